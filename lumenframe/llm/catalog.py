@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid
+from lumenframe.llm import langid, simhash
 
 QUERIES = {
     "op5_language_id": langid.op5,
+    "op6_simhash_groups": simhash.op6,
 }
 ORACLES: dict[str, str] = {}
