@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, simhash
+from lumenframe.llm import langid, mixing, packing, simhash
 
 QUERIES = {
+    "op4_source_mixing": mixing.op4,
     "op5_language_id": langid.op5,
     "op6_simhash_groups": simhash.op6,
+    "op8_packing": packing.op8,
 }
 ORACLES: dict[str, str] = {}
