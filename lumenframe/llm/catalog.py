@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, packing, simhash
+from lumenframe.llm import langid, mixing, packing, simhash, urlfilter, warc
 
 QUERIES = {
     "op4_source_mixing": mixing.op4,
     "op5_language_id": langid.op5,
     "op6_simhash_groups": simhash.op6,
+    "op7_url_filter": urlfilter.op7,
     "op8_packing": packing.op8,
+    "op10_warc": warc.op10,
+}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": urlfilter.SQL,
+    "op10_warc": warc.SQL,
 }
-ORACLES: dict[str, str] = {}
