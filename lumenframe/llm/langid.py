@@ -54,64 +54,67 @@ def _rows(held: Counter) -> pa.RecordBatch:
 
 
 class Model:
-    """Log frequencies centred over the languages: kinds[k][token] is a vector over ``langs``."""
+    """Log frequencies centred over the languages: ``rows[kinds[k][token]]`` is a vector over ``langs``."""
 
-    def __init__(self, langs: list[str], kinds: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.kinds = langs, kinds
+    def __init__(self, langs: list[str], kinds: dict[int, dict[str, int]], rows: np.ndarray):
+        self.langs, self.kinds, self.rows = langs, kinds, rows
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str, str, int]], alpha: float = 0.5) -> "Model":
-        langs = sorted({r[1] for r in rows})
+    def of(cls, counts: list[tuple[int, str, str, int]], alpha: float = 0.5) -> "Model":
+        langs = sorted({r[1] for r in counts})
         at = {x: i for i, x in enumerate(langs)}
         raw: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *ORDERS)}
         total = {k: np.zeros(len(langs)) for k in raw}
-        for kind, lang, token, n in rows:
+        for kind, lang, token, n in counts:
             raw[kind].setdefault(token, np.zeros(len(langs)))[at[lang]] += n
             total[kind][at[lang]] += n
-        kinds = {}
+        kinds, parts, first = {}, [np.zeros((0, len(langs)))], 0
         for k, table in raw.items():
-            if not table:
-                kinds[k] = {}
-                continue
-            m = np.log(np.array(list(table.values())) + alpha) - np.log(total[k] + alpha * len(table))
-            m -= m.mean(axis=1, keepdims=True)
-            kinds[k] = dict(zip(table, m.astype("float32"), strict=True))
-        return cls(langs, kinds)
-
-    def unseen(self, word: str) -> np.ndarray | None:
+            kinds[k] = {t: first + i for i, t in enumerate(table)}
+            first += len(table)
+            if table:
+                m = np.log(np.array(list(table.values())) + alpha) - np.log(total[k] + alpha * len(table))
+                parts.append(m - m.mean(axis=1, keepdims=True))
+        return cls(langs, kinds, np.concatenate(parts).astype("float32"))
+
+    def unseen(self, word: str) -> tuple[list[int], float]:
+        """Rows of the word's n-grams of the greatest length at which any is known, and the weight of each."""
         for k in ORDERS:
             table = self.kinds[k]
-            found = [v for g in grams(word, k) if (v := table.get(g)) is not None]
+            s = f"^{word}$" if k > 1 else word
+            found = [i for j in range(len(s) - k + 1) if (i := table.get(s[j : j + k])) is not None]
             if found:
-                return sum(found) / k
-        return None
+                return found, 1.0 / k
+        return [], 0.0
 
     def predict(self, text: str | None, cache: dict, most_evidence: float = 24.0) -> tuple[str, float]:
         """(language, posterior). Evidence of a long text counts as that of ``most_evidence`` mean words."""
         words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words:
+        if not words or not self.langs:
             return "und", 0.0
-        known, total, seen = self.kinds[0], np.zeros(len(self.langs)), 0
+        known, at, weight = self.kinds[0], [], []
         for w, n in words.items():
-            v = known.get(w)
-            if v is None:
-                v = cache.get(w, 0)
-                if type(v) is int:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    v = cache[w] = self.unseen(w)
-            seen += n
-            if v is not None:
-                total += n * v
-        if not self.langs:
-            return "und", 0.0
+            i = known.get(w)
+            if i is not None:
+                at.append(i)
+                weight.append(n)
+                continue
+            if w not in cache:
+                if len(cache) > 100_000:
+                    cache.clear()
+                cache[w] = self.unseen(w)
+            found, each = cache[w]
+            at += found
+            weight += [n * each] * len(found)
+        seen = sum(words.values())
+        total = np.array(weight) @ self.rows[at].astype(float) if at else np.zeros(len(self.langs))
         total *= min(seen, most_evidence) / seen
         best = int(total.argmax())
         return self.langs[best], 1.0 / float(np.exp(total - total[best]).sum())
 
 
 def train(
-    docs: DataFrame, ws: Workspace, docs_per_lang: int = 3000, words_per_lang: int = 40_000, grams_per_lang: int = 12_000
+    docs: DataFrame, ws: Workspace, docs_per_lang: int = 2000, words_per_lang: int = 40_000, grams_per_lang: int = 12_000
 ) -> Model:
     """Fit on the labelled rows of ``docs`` (columns doc_id, text, lang) outside the held-out fold.
 
@@ -123,7 +126,7 @@ def train(
     counts = labelled.groupBy("lang").count().withColumn("share", F.lit(float(docs_per_lang)) / F.col("count")).drop("count")
     share = {r["lang"]: r["share"] for r in counts.collect()}  # a row for each language
     if not share:
-        return Model([], {k: {} for k in (0, *ORDERS)})
+        return Model.of([])
     levels = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
     chance = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(chance < levels[F.col("lang")]).select("lang", "text")
@@ -148,7 +151,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         m, cache = sent.value, {}
         for b in batches:
-            out = [m.predict(t, cache) for t in b.column(text).to_pylist()]
+            texts = b.column(text).to_pylist()
+            known = {t: m.predict(t, cache) for t in set(texts)}
+            out = [known[t] for t in texts]
             cols = [*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "score"])
 
