@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, packing, simhash, urlfilter, warc
+from lumenframe.llm import langid, mixing, packing, simhash, topk, urlfilter, warc
 
 QUERIES = {
+    "op3_exact_top_k": topk.op3,
     "op4_source_mixing": mixing.op4,
     "op5_language_id": langid.op5,
     "op6_simhash_groups": simhash.op6,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {
+    "op3_exact_top_k": topk.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op10_warc": warc.SQL,
 }
