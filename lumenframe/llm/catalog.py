@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, packing, simhash, topk, urlfilter, warc
+from lumenframe.llm import langid, mixing, packing, simhash, topk, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op3_exact_top_k": topk.op3,
     "op4_source_mixing": mixing.op4,
     "op5_language_id": langid.op5,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {
+    "op1_toxicity": toxicity.op1,
     "op3_exact_top_k": topk.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op10_warc": warc.SQL,
