@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, packing, simhash, topk, toxicity, urlfilter, warc
+from lumenframe.llm import langid, mixing, packing, simhash, suffix, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_suffix_dedup": suffix.op2,
     "op3_exact_top_k": topk.op3,
     "op4_source_mixing": mixing.op4,
     "op5_language_id": langid.op5,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_toxicity": toxicity.op1,
+    "op2_suffix_dedup": suffix.op2,
     "op3_exact_top_k": topk.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op10_warc": warc.SQL,
