@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, packing, simhash, suffix, topk, toxicity, urlfilter, warc
+from lumenframe.llm import langid, mixing, neighbours, packing, simhash, suffix, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_groups": simhash.op6,
     "op7_url_filter": urlfilter.op7,
     "op8_packing": packing.op8,
+    "op9_neighbours": neighbours.op9,
     "op10_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {
@@ -20,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op2_suffix_dedup": suffix.op2,
     "op3_exact_top_k": topk.SQL,
     "op7_url_filter": urlfilter.SQL,
+    "op9_neighbours": neighbours.op9,
     "op10_warc": warc.SQL,
 }
