@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import langid
+from lumenframe.llm import langid, mixing, packing, simhash, suffix
 
 STAGES = [
     ("language_id", langid.keep_identified),
+    ("simhash_near_dedup", simhash.keep_representatives),
+    ("suffix_dedup", suffix.cut_repeats),
+    ("source_mixing", mixing.mix_sources),
+    ("packing", packing.pack_documents),
 ]
 ORACLE_SQL = None
 
