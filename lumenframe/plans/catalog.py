@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from lumenframe.plans import q_frames
+from lumenframe.plans import q_colour, q_frames, q_series
 from lumenframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "q_frames"]
+__all__ = ["ORACLES", "QUERIES", "q_colour", "q_frames", "q_series"]
