@@ -119,8 +119,17 @@ def pitch_convolve(df: DataFrame, kernels: tuple[list[float], ...], prescale: fl
     return got.select(key, "i", (out / prescale).alias("out"))
 
 
+def let(x: Column, use) -> Column:
+    """``use(x)`` with x computed once a row, however often the expression names it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def resampled(v: Column, size: int) -> Column:
     """Area resampling of an array to ``size`` values: overlap-weighted means; empty input gives zeros."""
+    return let(v, lambda x: _resampled(x, size))
+
+
+def _resampled(v: Column, size: int) -> Column:
     n = F.size(v)
     s = n / F.lit(float(size))
 
