@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import Workspace, arrow_rows, parallelism
 from lumenframe.llm.vectors import usable
 
-LEAF = 32
+LEAF = 256
 SHARD_ROWS = 8192
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 
 class BallTree:
