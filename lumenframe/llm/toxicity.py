@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded, documented sample of the labelled rows outside the held-out fold. Their vocabulary keeps the
-words whose presence depends on the label by a log-likelihood ratio test. Examples stand in blocks; for every word the
+The examples are a bounded, documented sample of the labelled rows outside the held-out fold. Their terms are words and
+word beginnings; the vocabulary keeps those whose presence speaks for the label by a log-likelihood ratio test. Examples stand in blocks; for every word the
 index keeps its postings by block and the block's greatest weight. A query ranks the blocks by the sum of those maxima,
 an upper bound of every cosine inside, and scores blocks until the next bound falls under its kth cosine: the neighbours
 are exact. Their votes count by inverse distance, and a monotone curve fitted on leave-one-out votes makes them scores.
@@ -22,6 +22,18 @@ from lumenframe.llm.common import arrow_rows, fold, held_out
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Lengths of the word beginnings that are terms too; families of one stem then count together.
+HEADS = (4, 5)
+
+
+def terms(words: dict[str, int]) -> dict[str, int]:
+    """Counts of the words and, marked with a tilde, of their beginnings."""
+    out = Counter(words)
+    for n in HEADS:
+        for w, c in words.items():
+            if len(w) > n:
+                out[w[:n] + "~"] += c
+    return out
 
 
 def _g2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
@@ -36,9 +48,10 @@ def _g2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
 class Index:
     """Block-max inverted index of unit TF-IDF vectors of examples (id, label, word counts)."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], k: int = 15, least_g2: float = 15.0, most_words: int = 4096, shares: tuple[float, float] = (1.0, 1.0)):
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], k: int = 15, least_g2: float = 15.0, least_share: float = 0.8, most_words: int = 4096, shares: tuple[float, float] = (1.0, 1.0)):
         self.k, n = k, len(examples)
         labels = np.array([e[1] for e in examples], np.int64)
+        examples = [(i, y, terms(words)) for i, y, words in examples]
         df, pos = Counter(), Counter()
         for _, y, words in examples:
             df.update(words.keys())
@@ -47,10 +60,15 @@ class Index:
         names = sorted(w for w, c in df.items() if c >= 2)
         c = np.array([df[w] for w in names], float)
         g = _g2(np.array([pos[w] for w in names], float), c, int(labels.sum()), n) if names else np.zeros(0)
-        keep = [i for i in np.argsort(-g, kind="stable")[:most_words] if g[i] >= least_g2]
+        # share of toxic holders if both classes had as many examples
+        with_ = np.array([pos[w] for w in names], float) / max(1, labels.sum())
+        clean = (c - np.array([pos[w] for w in names], float)) / max(1, n - labels.sum()) if names else c
+        keep = [i for i in np.argsort(-g, kind="stable")[:most_words] if g[i] >= least_g2 and with_[i] >= least_share * (with_[i] + clean[i])]
         self.words = {names[i]: j for j, i in enumerate(keep)}
         self.idf = np.array([math.log(1 + n / df[names[i]]) for i in keep])
-        vectors = [self.vector(e[2]) for e in examples]
+        self.full = {w for w in self.words if w[-1] != "~"}
+        self.heads = {k: {w[:-1] for w in self.words if w[-1] == "~" and len(w) == k + 1} for k in HEADS}
+        vectors = [self.vector({w: c for w, c in e[2].items() if w[-1] != "~"}) for e in examples]
         # examples of one label and leading word side by side, so that block maxima are tight
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         order = sorted(range(n), key=lambda i: (labels[i], lead[i], examples[i][0]))
@@ -68,7 +86,14 @@ class Index:
         self._calibrate([vectors[i] for i in order], shares)
 
     def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.words[w], c) for w, c in words.items() if w in self.words)
+        counts = {self.words[w]: words[w] for w in words.keys() & self.full}
+        for k, known in self.heads.items():
+            if known and (hit := {w[:k] for w in words} & known):
+                for w, c in words.items():
+                    if len(w) > k and w[:k] in hit:
+                        t = self.words[w[:k] + "~"]
+                        counts[t] = counts.get(t, 0) + c
+        found = sorted(counts.items())
         t = np.array([x[0] for x in found], np.int64)
         w = (1 + np.log(np.array([x[1] for x in found], float))) * self.idf[t] if len(found) else np.zeros(0)
         size = math.sqrt(float(w @ w))
