@@ -67,11 +67,31 @@ class Workspace:
                 fs.delete(s.getPath(), True)
         return out
 
+    def clear(self) -> None:
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Workspaces of pipeline stages that may still be read.
+_STAGES: list[Workspace] = []
+
+
+def stage_workspace(spark: SparkSession, name: str, docs: DataFrame) -> Workspace:
+    """A workspace for a pipeline stage over ``docs``. Those of former stages go, except one that ``docs`` itself still reads."""
+    read = docs.inputFiles()
+    for ws in list(_STAGES):
+        mark = ws.root.rsplit("/", 1)[1]
+        if not any(mark in f for f in read):
+            ws.clear()
+            _STAGES.remove(ws)
+    ws = Workspace(spark, name)
+    _STAGES.append(ws)
+    return ws
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

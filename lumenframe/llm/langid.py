@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, fold, held_out
+from lumenframe.llm.common import Workspace, arrow_rows, fold, held_out, stage_workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -174,6 +174,6 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
     """Pipeline stage: documents whose language can be told; ``und`` and scores under ``min_score`` go. ``lang`` becomes the prediction."""
-    model = train(docs.select("doc_id", "text", "lang"), Workspace(spark, "langid"))
+    model = train(docs.select("doc_id", "text", "lang"), stage_workspace(spark, "langid", docs))
     out = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])

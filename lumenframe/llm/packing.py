@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm.common import Workspace, arrow_rows
+from lumenframe.llm.common import Workspace, arrow_rows, stage_workspace
 
 
 class ByteBpe:
@@ -127,4 +127,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of every document with their ids."""
-    return pack(docs, Workspace(spark, "packing"))
+    return pack(docs, stage_workspace(spark, "packing", docs))

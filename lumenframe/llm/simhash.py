@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, parallelism
+from lumenframe.llm.common import Workspace, arrow_rows, parallelism, stage_workspace
 from lumenframe.llm.components import components
 
 BUCKET = 2048
@@ -333,7 +333,7 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str, widt
     Fingerprints here are of the set of words, which moves least under edits: of pairs with five-word shingle similarity of
     0.8 or more, four in five lie within four bits at once and most others through a third copy; unrelated texts do not.
     """
-    ws = Workspace(spark, "simhash")
+    ws = stage_workspace(spark, "simhash", docs)
     rows = ws.write(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     name = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     marked = near_duplicates(rows.select(name.alias("doc_id"), "text"), ws, width, distance, repeats=False)

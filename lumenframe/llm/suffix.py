@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, parallelism
+from lumenframe.llm.common import Workspace, arrow_rows, parallelism, stage_workspace
 
 SPAN = 200
 GRAM = 8
@@ -423,7 +423,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document without its repeated bytes; a character cut in two goes, and n_chars follows. A document of which nothing is left stays, empty."""
-    ws = Workspace(spark, "suffix")
+    ws = stage_workspace(spark, "suffix", docs)
     rest = [c for c in docs.columns if c != "text"]
     inner = docs.select(F.col("text"), F.struct(*[F.col(c) for c in rest]).alias("row"))
     chunks, marks = repeated(inner, ws)
