@@ -52,8 +52,10 @@ class Workspace:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads, and let the driver's cleaner free the shuffle files that made them."""
         for t in tables:
             self._delete(t.work_path)
+        self.spark._jvm.System.gc()
 
     def finish(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """Write the result, drop every other table of this workspace, and return the result as a scan."""

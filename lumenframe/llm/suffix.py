@@ -334,6 +334,7 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFra
 
     sent = chunks.select("chunk", "rid", "body").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(runs, "part int, chunk long, run binary")
     sent = ws.write(sent, "runs")
+    ws.drop(hashes, twice)
 
     def match(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
@@ -347,6 +348,7 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFra
         return pa.table([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "marks"])
 
     marks = ws.write(sent.groupBy("part").applyInArrow(match, "chunk long, marks binary"), "marks")
+    ws.drop(sent)
     return chunks, marks
 
 
