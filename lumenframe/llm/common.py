@@ -32,6 +32,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than the cluster has cores, dealt out to all of them; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Workspace:
     """Parquet tables under the shared folder. They cut lineage, outlive executors, and go when ``finish`` is called."""
 

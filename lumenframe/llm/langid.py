@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, fold, held_out, stage_workspace
+from lumenframe.llm.common import Workspace, arrow_rows, fold, held_out, spread, stage_workspace
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -166,7 +166,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null or letterless text: ``und`` with score 0. Null doc_id: not held out and never learned from. Repeated rows and
     ties: each row is scored alone; equal scores go to the first language in code-point order. Empty table: no rows.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     model = train(docs, Workspace(spark, "langid"))
     out = identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")

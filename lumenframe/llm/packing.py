@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm.common import Workspace, arrow_rows, stage_workspace
+from lumenframe.llm.common import Workspace, arrow_rows, spread, stage_workspace
 
 
 class ByteBpe:
@@ -122,7 +122,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts are the end id alone. Null doc_ids and repeated rows are packed like any other row. Empty table: no rows.
     """
     ws = Workspace(spark, "packing")
-    return ws.finish(digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ws)))
+    return ws.finish(digest(pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), ws)))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

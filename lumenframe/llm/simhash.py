@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, parallelism, stage_workspace
+from lumenframe.llm.common import Workspace, arrow_rows, parallelism, spread, stage_workspace
 from lumenframe.llm.components import components
 
 BUCKET = 2048
@@ -323,7 +323,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     never names it; a component of null ids only has a null component_id. Repeated rows stay. Empty table: no rows.
     """
     ws = Workspace(spark, "simhash")
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), ws)
+    out = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), ws)
     return ws.finish(out.select("doc_id", hex64("fp").alias("fingerprint"), "component_id"))
 
 

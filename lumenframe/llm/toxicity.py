@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import arrow_rows, fold, held_out
+from lumenframe.llm.common import arrow_rows, fold, held_out, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -210,7 +210,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without a word of the index, get the rate of toxic examples that are as silent. Null
     doc_id: not held out and never an example. Without labelled rows every score is 0. Repeated rows are scored alike. Empty table: no rows.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found, shares = examples(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     index = Index(found, shares=shares)
     out = score(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), index)
