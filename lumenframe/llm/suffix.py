@@ -2,7 +2,7 @@
 
 A byte is repeated when a string of ``length`` bytes that covers it also starts somewhere else. Sorting every suffix would
 move the corpus ``length`` times over, so each start s is represented by its anchor: the leftmost least hash of the
-8-byte strings at s .. s + SPAN - 1. Equal strings have the same anchor at the same distance, hence two starts are equal
+8-byte strings at s .. s + span - 1. Equal strings have the same anchor at the same distance, hence two starts are equal
 exactly if the suffixes at their anchors agree on ``length - d`` bytes and the texts before them on d bytes, d being that
 distance. One suffix, with what stands before it, then decides all starts of its anchor.
 
@@ -37,6 +37,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+def span_of(length: int) -> int:
+    """Positions among which a start has its anchor."""
+    return min(SPAN, length // 2)
+
+
 class Units:
     """The anchors of some texts that stand one after another in ``data``; ``ends`` closes each text.
 
@@ -45,7 +50,8 @@ class Units:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, length: int):
         self.data, self.length, n = data, length, len(data)
-        self.core = length - SPAN + 1
+        span = span_of(length)
+        self.core = length - span + 1
         self.x = self.lo = self.hi = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
@@ -55,10 +61,10 @@ class Units:
         v = ((v * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) << np.uint64(32)
         v |= np.arange(len(v), dtype=np.uint64)
         width = 1
-        while 2 * width <= SPAN:
+        while 2 * width <= span:
             v = np.minimum(v[:-width], v[width:])
             width *= 2
-        v = np.minimum(v[: len(v) - (SPAN - width)], v[SPAN - width :])
+        v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
         step = np.zeros(n + 1, np.int8)
         ok = ends - starts >= length
         np.add.at(step, starts[ok], 1)
@@ -187,7 +193,8 @@ def merge(runs: list):
 
 def classes(merged, length: int) -> dict[int, list[tuple[int, bytes | None]]]:
     """Run number -> (unit, mask) of the units with a repeated start; the mask's bits are distances, None is all of them."""
-    core = length - SPAN + 1
+    span = span_of(length)
+    core = length - span + 1
     lcp, run, unit, right, left, many = [], [], [], [], [], []
     for h, r, (s, _, before, u, f) in merged:
         lcp.append(h)
@@ -230,7 +237,7 @@ def classes(merged, length: int) -> dict[int, list[tuple[int, bytes | None]]]:
         high = np.array([len(t) for t in texts])
         order = np.array(sorted(range(len(texts)), key=texts.__getitem__))
         near = np.array([0, *(common(texts[a], texts[b]) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))])
-        for d in range(SPAN):
+        for d in range(span):
             on = np.flatnonzero((low <= d) & (d <= high))
             if len(on) < 2:
                 continue
@@ -265,8 +272,8 @@ def _units(table: pa.Table, length: int) -> Units:
 
 def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """Chunks of the corpus (chunk, rid, body and the columns of ``docs``) and the marks (chunk, marks) of their repeated starts."""
-    if length < 2 * SPAN:
-        raise ValueError(f"length must be at least {2 * SPAN}")
+    if length < 8 * GRAM:
+        raise ValueError(f"length must be at least {8 * GRAM}")
     spark = ws.spark
     arrow_rows(spark)
     kept = [c for c in docs.columns if c != "text"]
@@ -423,12 +430,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws.finish(cut(chunks, marks, ["doc_id"], False))
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document without its repeated bytes; a character cut in two goes, and n_chars follows. A document of which nothing is left stays, empty."""
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 300) -> DataFrame:
+    """Pipeline stage: every document without its repeated bytes, in strings of ``length`` bytes, about fifty words; a character cut in two goes, and n_chars follows. A document of which nothing is left stays, empty."""
     ws = stage_workspace(spark, "suffix", docs)
     rest = [c for c in docs.columns if c != "text"]
     inner = docs.select(F.col("text"), F.struct(*[F.col(c) for c in rest]).alias("row"))
-    chunks, marks = repeated(inner, ws)
-    out = cut(chunks, marks, ["row"], True)
+    chunks, marks = repeated(inner, ws, length)
+    out = cut(chunks, marks, ["row"], True, length)
     text = F.col("kept")
     return out.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lumenframe.llm import suffix
+from lumenframe.llm.common import Workspace
 
 
 def brute(texts, length=400):
@@ -61,6 +62,15 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, seed, chunk):
     assert got == {r[0]: want[i] for i, r in enumerate(rows)}
 
 
+@pytest.mark.parametrize("length", [100, 300])
+def test_other_lengths_match_brute_force(spark, length):
+    texts = corpus(5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    chunks, marks = suffix.repeated(docs, Workspace(spark, "t"), length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.cut(chunks, marks, ["doc_id"], False, length).collect()}
+    assert got == dict(enumerate(brute(texts, length)))
+
+
 def test_empty_and_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert suffix.op2(spark, str(tmp_path)).count() == 0
