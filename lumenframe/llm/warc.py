@@ -15,6 +15,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -110,8 +111,8 @@ def write(pages: DataFrame, out: str, ws: Workspace, shard_bytes: int = 32 << 20
     starts = np.array(bounds(rows, shard_bytes), np.int64)
 
     @F.pandas_udf("int")
-    def shard_of(key):
-        return key.map(lambda k: 0 if k != k else int(np.searchsorted(starts, k, side="right"))).astype("int32")
+    def shard_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, key.to_numpy(), side="right").astype("int32"))
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(out)
@@ -146,7 +147,7 @@ def write(pages: DataFrame, out: str, ws: Workspace, shard_bytes: int = 32 << 20
         cols = [pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(cols, names=["shard", "seq", "temp", "bytes", "records", "sha1"])
 
-    dealt = rows.withColumn("shard", shard_of("page_id")).repartition(max(1, len(starts) + 1), "shard")
+    dealt = rows.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))).repartition(max(1, len(starts) + 1), "shard")
     dealt = dealt.sortWithinPartitions("shard", "page_id", "digest", "url")
     written = ws.write(dealt.mapInArrow(run, "shard int, seq int, temp string, bytes long, records long, sha1 string"), "written")
     fs, root = pafs.FileSystem.from_uri(out)

@@ -17,7 +17,7 @@ def vectors(n, dims=8, seed=3):
     return [(i, x[i].tolist()) for i in range(n)]
 
 
-ODD = [(None, [1.0] * 8), (5000, None), (5020, [float("nan")] + [0.0] * 7), (5040, [float("inf")] + [0.0] * 7), (5060, [None] + [1.0] * 7), (5100, [])]
+ODD = [(None, [1.0] * 8), (5000, None), (5020, [float("nan")] + [0.0] * 7), (5040, [float("inf")] + [0.0] * 7), (5060, [None] + [1.0] * 7), (5100, []), (5120, [1.0] * 3)]
 
 
 def test_top_k_is_exact(spark, tmp_path, monkeypatch):
