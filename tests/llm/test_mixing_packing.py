@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lumenframe.llm import mixing, packing
-from lumenframe.llm.common import Workspace
+from lumenframe.llm.common import Workspace, spread
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, taken string"
 
@@ -93,7 +93,7 @@ def test_pieces_rebuild_every_document(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "été"], k=rng.randint(0, 900))), "s") for i in range(40)] + [(50, None, "s"), (51, "", "s"), (None, "no id", None), (52, "again", "s"), (52, "again", "s")]
     write(spark, tmp_path, rows)
-    pieces = packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), Workspace(spark, "t")).collect()
+    pieces = packing.pack(spread(spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")), Workspace(spark, "t")).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
