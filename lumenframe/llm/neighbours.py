@@ -160,7 +160,7 @@ def descend(edges: DataFrame, points: DataFrame, dims: int, k: int, each: int, t
     return edges.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
 
 
-def graph(points: DataFrame, ws: Workspace, dims: int, k: int = 16, trees: int = 6, rounds: int = 3, each: int = 8) -> DataFrame:
+def graph(points: DataFrame, ws: Workspace, dims: int, k: int = 20, trees: int = 8, rounds: int = 4, each: int = 10) -> DataFrame:
     """(u, v): the k nearest found of each node and up to k - 4 nodes that have it among theirs, and the node itself."""
     tasks, n = parallelism(ws.spark), points.count()
     edges = first_graph(points, n, dims, k, trees, tasks).withColumn("fresh", F.lit(1))
@@ -175,7 +175,7 @@ def graph(points: DataFrame, ws: Workspace, dims: int, k: int = 16, trees: int =
     return edges.select("u", "v").union(back).union(own).distinct()
 
 
-def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace, dims: int, pool: int = 320, step: int = 96, seeds: int = 32, most_rounds: int = 40) -> DataFrame:
+def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace, dims: int, pool: int = 800, step: int = 200, seeds: int = 32, most_rounds: int = 40) -> DataFrame:
     """(query, node) for the pool of each query of ``asked`` (query, node, vec: the query's id, node and packed vector)."""
     spark = ws.spark
     tasks = parallelism(spark)
