@@ -88,25 +88,35 @@ def taken(size, before, total, target) -> F.Column:
     return (epochs * size + part).cast("long")
 
 
-def schedule(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
-    """The training order: a row for each document and epoch with epoch, words (its first so many words are used) and position, range-sorted."""
-    m = mix(docs, ws, **rules)
+def laid_out(m: DataFrame) -> DataFrame:
+    """A row for each row of ``mix`` and epoch that takes words of it, with epoch, words (its first so many words are used) and position."""
     m = m.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int") - 1))))
     m = m.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))).where("words > 0")
     done = F.col("_before") + F.col("epoch") * F.col("source_size") + F.col("words") / 2
-    m = m.withColumn("position", position(done, F.col("target"), F.col("d0"), F.col("d1")))
-    return m.sort("position", "_key", "epoch")
+    return m.withColumn("position", position(done, F.col("target"), F.col("d0"), F.col("d1")))
+
+
+def schedule(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
+    """The training order: the rows of ``laid_out``, range-sorted by position."""
+    return laid_out(mix(docs, ws, **rules)).sort("position", "_key", "epoch")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row.
+    """doc_id, size, source_size, target, taken for every row, in training order: by first position, rows of which nothing is taken last.
 
-    Null and wordless texts have size 0 and taken 0. A null source is a source, last by rank. Rows that repeat entirely
-    share their place, which does not change what is taken in all. Null doc_id: the text alone orders it. Empty table: no rows.
+    ``taken`` sums the words of a row's epochs in the written schedule. Null and wordless texts have size 0 and taken 0. A
+    null source is a source, last by rank. Rows that repeat entirely share their place, which does not change what is taken
+    in all. Null doc_id: the text alone orders it. Empty table: no rows.
     """
     ws = Workspace(spark, "mixing")
-    m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), ws)
-    return ws.finish(m.select("doc_id", "size", "source_size", "target", "taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_row", F.monotonically_increasing_id())
+    m = mix(docs, ws)
+    order = ws.write(laid_out(m).sort("position", "_key", "epoch"), "schedule")
+    used = order.groupBy("_row").agg(F.sum("words").alias("used"), F.min("position").alias("position"))
+    out = m.drop("taken").join(used, "_row", "left").withColumn("taken", F.coalesce("used", F.lit(0)).cast("long"))
+    out = ws.finish(out.select("doc_id", "size", "source_size", "target", "taken", "position", "_key", "_row"))
+    # files do not keep their order when read, so the result is sorted as it is read
+    return out.sort(F.asc_nulls_last("position"), "_key", "_row").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

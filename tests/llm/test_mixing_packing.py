@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -59,6 +60,33 @@ def test_mixing_meets_the_targets(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
 
 
+def test_op4_deals_the_schedule(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "b", "b", "c", "c"])) for i in range(300)]
+    write(spark, tmp_path, rows)
+    got = [r.doc_id for r in mixing.op4(spark, str(tmp_path)).collect()]
+    own, goal = defaultdict(list), {r.source_size: r.target for r in mixing.op4(spark, str(tmp_path)).collect()}
+    for i, t, s in rows:
+        own[s].append((hashlib.md5(f"{i}/{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, len(t.split())))
+    first = {}
+    for s, (d0, d1) in zip("abc", mixing.SCHEDULES, strict=True):
+        total = sum(n for _, _, n in own[s])
+        target, before = goal[total], 0
+        for _, i, n in sorted(own[s]):
+            words = min(n, round(target) - before)
+            if words > 0:
+                demand = (before + words / 2) / target * (d0 + d1) / 2
+                lo, hi = 0.0, 1.0
+                for _ in range(60):  # the time at which the integral of the schedule reaches the demand
+                    t = (lo + hi) / 2
+                    lo, hi = (t, hi) if d0 * t + (d1 - d0) * t * t / 2 < demand else (lo, t)
+                first[i] = lo
+            before += n
+    at = [first[i] for i in got[: len(first)]]
+    assert all(x <= y + 1e-9 for x, y in zip(at[:-1], at[1:], strict=True))
+    assert sorted(got) == list(range(300)) and not set(got[len(first) :]) & set(first)
+
+
 def test_position_inverts_the_integral():
     for d0, d1 in mixing.SCHEDULES:
         for t in (0.0, 0.2, 0.7, 1.0):
