@@ -67,11 +67,12 @@ def _flushed(found):
 
 
 def nodes(vectors: DataFrame, ws: Workspace, k: int) -> tuple[DataFrame, int]:
-    """(node, vec, ids, v): distinct vectors, named by their least id, with their k + 1 least ids; and the dimension."""
+    """(node, vec, ids, v): distinct vectors, named by their least id (a hash where that names another already), with their k + 1 least ids; and the dimension."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = vectors.withColumn("r", rank).where(F.col("r") <= k + 1)
     few = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    few = few.withColumn("node", F.element_at("ids", 1))
+    few = few.withColumn("node", F.element_at("ids", 1)).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("v")))
+    few = few.withColumn("node", F.when(F.col("r") == 1, F.col("node")).otherwise(F.xxhash64("node", "v")))
     head = few.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     dims, scale = head[0] or 1, head[1] or 1.0
 
@@ -239,25 +240,57 @@ def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, again:
     """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds ids of theirs."""
     arrow_rows(ws.spark, 2000)
     points, dims = nodes(vectors, ws, k)
-    named = vectors.join(asked.select("id"), "id").select(F.col("id").alias("query"), "v")
-    named = named.join(points.select("v", "node", "vec"), "v").select("query", "node", "vec", "v")
-    named = ws.write(named, "asked")
+    named = vectors.join(asked.select("id").distinct(), "id").join(points.select("v", "node", "vec"), "v")
+    named = ws.write(named.select(F.col("id").alias("query_id"), "node", "vec", "v"), "asked")
     edges = ws.write(graph(points, ws, dims), "edges")
-    found = search(points, edges, named, ws, dims).where(F.col("place") < again)
-    exact = found.join(points.select("node", "ids", F.col("v").alias("w")), "node").join(named.select("query", "v"), "query")
+    # a query is a node, so equal ones are searched once and an id may have several
+    once = named.select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"])
+    found = search(points, edges, once, ws, dims).where(F.col("place") < again)
+    found = found.join(points.select("node", "ids", F.col("v").alias("w")), "node")
+    found = found.join(named.select("query_id", F.col("node").alias("query"), "v"), "query")
+    return ranked(found.select("query_id", F.explode("ids").alias("vec_id"), "v", "w"), k)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, v, w) -> (query_id, rank, vec_id, score) of the k nearest by the original vectors."""
     gap = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    rows = exact.select(F.col("query").alias("query_id"), F.explode("ids").alias("vec_id"), F.sqrt(gap).alias("score")).where("vec_id <> query_id")
+    return best(pairs.where("vec_id <> query_id").select("query_id", "vec_id", F.sqrt(gap).alias("score")), k)
+
+
+def best(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def by_size(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int) -> DataFrame:
+    """``nearest`` among the vectors of each size. Sizes of at most ``LEAF_ROWS`` vectors are searched exhaustively, together."""
+    size = F.size("v")
+    asks = asked.select(size.alias("d")).distinct()
+    counts = {r["d"]: r["count"] for r in vectors.groupBy(size.alias("d")).count().join(asks, "d").collect()}
+    few = [d for d, n in counts.items() if n <= LEAF_ROWS]
+    found = []
+    if few or not counts:
+        c = vectors.where(size.isin(few)).select(F.col("id").alias("vec_id"), F.col("v").alias("w"), size.alias("d"))
+        q = asked.where(size.isin(few)).select(F.col("id").alias("query_id"), "v", size.alias("d"))
+        found.append(ranked(q.join(c, "d").select("query_id", "vec_id", "v", "w"), k))
+    for d in sorted(set(counts) - set(few)):
+        found.append(nearest(vectors.where(size == d), asked.where(size == d), ws, k))
+    if len(found) == 1:
+        return found[0]
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return best(out.drop("rank"), k)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 10 nearest found of each query.
 
-    Rows with a null id or a vector that is null, empty, zero or not finite take no part. Repeated rows of one id count once.
-    Up to 32 distinct vectors are searched exhaustively. Empty table: no rows.
+    Rows with a null id or a vector that is null, empty, zero or not finite take no part. Vectors meet those of their
+    own size. Rows that repeat id and vector count once; an id with several vectors is a candidate with each. Up to 384
+    vectors of a size are searched exhaustively. Empty table: no rows.
     """
     ws = Workspace(spark, "neighbours")
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     rows = ws.write(rows.where(F.exists("v", lambda x: x != 0)), "vectors")
-    return ws.finish(nearest(rows, rows.where("id % 100 = 0"), ws, 10))
+    return ws.finish(by_size(rows, rows.where("id % 100 = 0"), ws, 10))

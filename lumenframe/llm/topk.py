@@ -84,28 +84,56 @@ class BallTree:
 
 
 def scaled(v, scale: int = 64):
-    return F.transform(v, lambda x: F.floor(x * scale).cast("double"))
+    """Whole numbers as doubles. From 2^52 on a double is whole as it is, and would not fit the long that ``floor`` gives."""
+    return F.transform(v, lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale))
+
+
+def _huge(v):
+    """True where partial sums of the squares can leave the doubles' whole numbers."""
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) >= 2.0**53
+
+
+def exact(pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, q, v) -> (query_id, vec_id, score, beyond) in Python's integers; a score no long can hold is held at its limit, and ``beyond`` orders it."""
+
+    def run(batches):
+        top = 2**63 - 1
+        for b in batches:
+            score, beyond = [], []
+            for q, v in zip(b.column("q").to_pylist(), b.column("v").to_pylist(), strict=True):
+                s = sum(int(x) * int(y) for x, y in zip(q, v, strict=True))
+                score.append(max(-top, min(top, s)))
+                beyond.append(None if abs(s) < top else (s + (1 << 2200)).to_bytes(280, "big"))
+            cols = [b.column("query_id"), b.column("vec_id"), pa.array(score, pa.int64()), pa.array(beyond, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score", "beyond"])
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): ``vectors`` and ``queries`` are (id, v) with whole-number components held as doubles.
 
-    Scores are exact while every partial sum stays under 2^53; larger components are refused.
+    Vectors meet those of their own size; an id may have several. Rows so large that a partial sum could pass 2^53 are few
+    and are scored beside the trees in whole numbers.
     """
     spark = ws.spark
     arrow_rows(spark, 4096)
-    most = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    if most is not None and most >= 2.0**53:
-        raise ValueError("components are too large for exact scores")
+    every, asking = vectors, queries
+    large = every.where(_huge("v")).limit(1).count() > 0
+    vectors, queries = every.where(~_huge("v")), asking.where(~_huge("v"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = vectors.withColumn("r", rank).where(F.col("r") <= k + 1)
     entries = ws.write(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    n, nq = entries.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // BLOCK_ROWS))
-    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 1
-    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    shard = entries.withColumn("shard", deal("v", shards)).groupBy("shard").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
-    block = queries.withColumn("block", deal("id", blocks)).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    # a row for each vector size
+    cuts = entries.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
+    asks = queries.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    cuts = F.broadcast(ws.write(cuts.join(asks, "d"), "cuts"))
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m))
+    named = lambda n: F.col("d") * F.lit(1 << 32) + n
+    dealt = entries.withColumn("d", F.size("v")).join(cuts, "d").withColumn("shard", named(deal("v", "shards")))
+    shard = dealt.groupBy("shard").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
+    placed = queries.withColumn("d", F.size("v")).join(cuts, "d").withColumn("at", deal("id", "blocks")).withColumn("block", named(F.col("at")))
+    block = placed.groupBy("block", "d", "at", "shards").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
     shard, block = ws.write(shard, "shards"), ws.write(block, "blocks")
     tasks = max(parallelism(spark), 1)
 
@@ -117,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> Data
                 if s != last:
                     rows = b.column("rows")[i].values
                     v = rows.field("v")
-                    x = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(len(rows), -1) if len(rows) else np.zeros((0, dims))
+                    x = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(len(rows), -1)
                     tree, ids, last = BallTree(x), rows.field("ids").to_pylist(), s
                 asked = b.column("asked")[i].as_py()
                 floors = dict(b.column("floors")[i].as_py() or [])
@@ -134,34 +162,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
 
     def cells(pairs: DataFrame) -> DataFrame:
-        return pairs.repartition(tasks, "shard", "block").sortWithinPartitions("shard").mapInArrow(walk, "query_id long, vec_id long, score long")
+        return pairs.repartition(tasks, "shard", "block").sortWithinPartitions("shard").mapInArrow(walk, "query_id long, vec_id long, score long").withColumn("beyond", F.lit(None).cast("binary"))
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    home = block.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(shard, "shard")
+    home = block.withColumn("shard", named(F.col("at") % F.col("shards"))).join(shard, "shard")
     empty = F.lit(None).cast("map<bigint,bigint>")
     first = ws.write(cells(home.withColumn("floors", empty)), "first")
     kth = best(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    floors = queries.select("id").join(kth, "id").withColumn("block", deal("id", blocks))
+    floors = placed.select("id", "block").distinct().join(kth, "id")
     floors = floors.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("id", "floor"))).alias("floors"))
     rest = block.join(floors, "block", "left")
     # a row for each (block, other shard); only the packed rows of both sides travel
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-    other = cells(rest.join(shard, "shard"))
-    return best(first.union(other)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rest = rest.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where(F.col("n") != F.col("at") % F.col("shards"))
+    found = first.union(cells(rest.withColumn("shard", named(F.col("n"))).join(shard, "shard")))
+    if large:
+        q, c = asking.select(F.col("id").alias("query_id"), F.col("v").alias("q")), every.select(F.col("id").alias("vec_id"), "v")
+        on = (F.size("q") == F.size("v")) & (F.col("query_id") != F.col("vec_id"))
+        pairs = q.join(F.broadcast(c.where(_huge("v"))), on).select("query_id", "vec_id", "q", "v")
+        pairs = pairs.union(F.broadcast(q.where(_huge("q"))).join(c.where(~_huge("v")), on).select("query_id", "vec_id", "q", "v"))
+        found = found.union(exact(pairs))
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 best of each query.
 
-    Rows with a null id or a vector that is null, empty or not finite take no part. Repeated rows of one id count once. Fewer
+    Rows with a null id or a vector that is null, empty or not finite take no part. Vectors meet those of their own size. Rows that repeat id and vector count once; an id with several vectors
+    is a candidate with each. Scores are exact; one that no long can hold is held at its limit, its rank still exact. Fewer
     than 20 candidates: all of them. Empty table: no rows.
     """
     ws = Workspace(spark, "topk")
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
-    rows = ws.write(rows.select("id", scaled(F.col("v")).alias("v")), "vectors")
+    rows = ws.write(rows.select("id", scaled(F.col("v")).alias("v")).distinct(), "vectors")
     return ws.finish(top_k(rows, rows.where("id % 20 = 0"), ws, 20))
 
 

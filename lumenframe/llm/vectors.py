@@ -13,8 +13,6 @@ def finite(col: str) -> Column:
 
 
 def usable(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(id, v) of the rows with a key and a finite vector as doubles; rows of equal key keep the least vector, and vectors shorter than the longest take no part."""
+    """Distinct (id, v) of the rows with a key and a finite vector as doubles; vectors of every size, and all vectors of an id, take part."""
     rows = df.where(F.col(key).isNotNull() & finite(col)).select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"))
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    rows = rows.where(F.size("v") == dims)
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.distinct()

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -66,3 +68,42 @@ def test_neighbours_recall(spark, tmp_path, n):
 def test_neighbours_of_nothing(spark, tmp_path):
     write(spark, tmp_path, ODD)
     assert neighbours.op9(spark, str(tmp_path)).count() == 0
+
+
+def mixed():
+    """Vectors of 8, and among them longer and shorter ones, second vectors of an id, and huge ones."""
+    rows = vectors(500)
+    rows += [(6000, [1.0] * 9), (6001, [2.0] * 9), (7000, [0.5, 1.0]), (7001, [1.0, 1.0])]
+    rows += [(100, [3.0, -2.0] * 4), (301, [1.5] * 8), (8000, [1e9] + [1.0] * 7), (8001, [-1e9] + [2.0] * 7), (8100, [1e25] * 8), (8101, [9e24] * 8)]
+    return [(i, np.array(v, "float32").tolist()) for i, v in rows]
+
+
+def test_top_k_of_every_size_and_magnitude(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    rows = mixed()
+    write(spark, tmp_path, rows)
+    got = {}
+    for r in topk.op3(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    asked = {i for i, _ in rows if i % 20 == 0}
+    assert set(got) == asked
+    top = 2**63 - 1
+    for q in asked:
+        found = [(-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in whole if i == q for j, w in whole if j != q and len(v) == len(w)]
+        assert sorted(got[q]) == [(n + 1, j, max(-top, min(top, -s))) for n, (s, j) in enumerate(sorted(found)[:20])]
+
+
+def test_neighbours_of_every_size(spark, tmp_path):
+    rows = [(i, v) for i, v in mixed() if i < 8000]
+    write(spark, tmp_path, rows)
+    got = {}
+    for r in neighbours.op9(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        want = sorted((math.dist(v, w), j) for i, v in rows if i == q for j, w in rows if j != q and len(v) == len(w))[:10]
+        assert [n for n, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
+        hits, total = hits + len({j for _, j in want} & {j for _, j, _ in got[q]}), total + len({j for _, j in want})
+    assert hits / total >= 0.9
