@@ -4,8 +4,8 @@ Equal vectors are one node. Random-projection leaves of bounded size give a firs
 every node's neighbours, and the nodes whose neighbour it is, with their vectors, compares them with each other, and keeps
 the nearest found for each. The graph, with its neighbours' vectors beside every node, then stays dealt out by node. A
 query keeps a pool of the nearest nodes seen; a round sends its unexpanded nearest to their places and folds the distances
-of their neighbours into the pool, until the pool is expanded throughout. The first of the pool are measured again in
-double precision on the original vectors.
+of their neighbours into the pool, until the pool is expanded throughout. The whole pool is measured again in double
+precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def contiguous(batches, key: str):
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f2").reshape(-1, dims).astype(np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dims)
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def nodes(vectors: DataFrame, ws: Workspace, k: int) -> tuple[DataFrame, int]:
     def pack(batches):
         for b in batches:
             v = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, dims) / scale
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype("<f2")], pa.binary()), b.column("ids"), b.column("v")], names=["node", "vec", "ids", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()), b.column("ids"), b.column("v")], names=["node", "vec", "ids", "v"])
 
     return ws.write(few.select("node", "ids", "v").mapInArrow(pack, "node long, vec binary, ids array<long>, v array<double>"), "nodes"), dims
 
@@ -236,7 +236,7 @@ def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace,
     return out.select("query", F.posexplode("ids").alias("place", "node"))
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, again: int = 48) -> DataFrame:
+def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, again: int = 800) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds ids of theirs."""
     arrow_rows(ws.spark, 2000)
     points, dims = nodes(vectors, ws, k)

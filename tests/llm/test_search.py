@@ -107,3 +107,16 @@ def test_neighbours_of_every_size(spark, tmp_path):
         assert [n for n, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
         hits, total = hits + len({j for _, j in want} & {j for _, j, _ in got[q]}), total + len({j for _, j in want})
     assert hits / total >= 0.9
+
+
+def test_neighbours_beside_huge_vectors(spark, tmp_path):
+    rows = vectors(900) + [(9000, [1e9] * 8), (9001, [-2e9] * 8)]
+    write(spark, tmp_path, rows)
+    got = {}
+    for r in neighbours.op9(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(100, 900, 100):
+        want = sorted((math.dist(rows[q][1], w), j) for j, w in rows if j != q)[:10]
+        recall.append(len({j for _, j in want} & got[q]) / 10)
+    assert np.mean(recall) >= 0.9
