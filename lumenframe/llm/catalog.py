@@ -17,11 +17,8 @@ QUERIES = {
     "op10_warc": warc.op10,
 }
 ORACLES: dict[str, str] = {
-    "op1_toxicity": toxicity.op1,
-    "op2_suffix_dedup": suffix.op2,
     "op3_exact_top_k": topk.SQL,
     "op4_source_mixing": mixing.SQL,
     "op7_url_filter": urlfilter.SQL,
-    "op9_neighbours": neighbours.op9,
     "op10_warc": warc.SQL,
 }
