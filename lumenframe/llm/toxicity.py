@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded, documented sample of the labelled rows outside the held-out fold. Their terms are words and
-word beginnings; the vocabulary keeps those whose presence speaks for the label by a log-likelihood ratio test. Examples stand in blocks; for every word the
-index keeps its postings by block and the block's greatest weight. A query ranks the blocks by the sum of those maxima,
-an upper bound of every cosine inside, and scores blocks until the next bound falls under its kth cosine: the neighbours
-are exact. Their votes count by inverse distance, and a monotone curve fitted on leave-one-out votes makes them scores.
+The examples are a bounded, documented sample of the labelled rows outside the held-out fold. Every word of theirs and every
+word beginning of 4 or 5 letters is a term; none is left out. A term weighs log frequency times inverse document frequency,
+times ``relevance``, the root of one plus its log-likelihood ratio against the label: at least 1 for every term, so the
+cosine stays one over the whole vocabulary, in which terms that tell the labels apart count for more.
+
+Examples stand in blocks; for every term the index keeps its postings by block and the block's greatest weight. A query
+ranks the blocks by the sum of those maxima, an upper bound of every cosine inside, and scores blocks until the next bound
+falls under its kth cosine: the neighbours are exact. Their votes count by inverse distance, and a monotone curve fitted on
+leave-one-out votes makes them scores.
 """
 
 from __future__ import annotations
@@ -21,102 +25,149 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import arrow_rows, fold, held_out, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK = 32
 #: Lengths of the word beginnings that are terms too; families of one stem then count together.
 HEADS = (4, 5)
 
 
+def names_of(word: str) -> list[str]:
+    """The terms of a word: itself and, marked with a tilde, its beginnings."""
+    return [word, *(word[:n] + "~" for n in HEADS if len(word) > n)]
+
+
 def terms(words: dict[str, int]) -> dict[str, int]:
-    """Counts of the words and, marked with a tilde, of their beginnings."""
-    out = Counter(words)
-    for n in HEADS:
-        for w, c in words.items():
-            if len(w) > n:
-                out[w[:n] + "~"] += c
+    out: Counter = Counter()
+    for w, c in words.items():
+        for t in names_of(w):
+            out[t] += c
     return out
 
 
 def _g2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
-    """Log-likelihood ratio of word presence against the label: a of df holders are positive, pos of n in all."""
+    """Log-likelihood ratio of term presence against the label: a of df holders are positive, pos of n in all."""
     out = np.zeros(len(df))
     for o, row, col in ((a, df, pos), (df - a, df, n - pos), (pos - a, n - df, pos), (n - pos - df + a, n - df, n - pos)):
         with np.errstate(divide="ignore", invalid="ignore"):
             out += np.where(o > 0, 2 * o * np.log(o * n / (row * col)), 0.0)
-    return out
+    return np.maximum(out, 0)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start .. end - 1, one range after another."""
+    n = end - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 class Index:
     """Block-max inverted index of unit TF-IDF vectors of examples (id, label, word counts)."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], k: int = 15, least_g2: float = 15.0, least_share: float = 0.8, most_words: int = 4096, shares: tuple[float, float] = (1.0, 1.0)):
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], k: int = 15, relevance: bool = True, shares: tuple[float, float] = (1.0, 1.0)):
         self.k, n = k, len(examples)
         labels = np.array([e[1] for e in examples], np.int64)
-        examples = [(i, y, terms(words)) for i, y, words in examples]
-        df, pos = Counter(), Counter()
-        for _, y, words in examples:
-            df.update(words.keys())
-            if y:
-                pos.update(words.keys())
-        names = sorted(w for w, c in df.items() if c >= 2)
-        c = np.array([df[w] for w in names], float)
-        g = _g2(np.array([pos[w] for w in names], float), c, int(labels.sum()), n) if names else np.zeros(0)
-        # share of toxic holders if both classes had as many examples
-        with_ = np.array([pos[w] for w in names], float) / max(1, labels.sum())
-        clean = (c - np.array([pos[w] for w in names], float)) / max(1, n - labels.sum()) if names else c
-        keep = [i for i in np.argsort(-g, kind="stable")[:most_words] if g[i] >= least_g2 and with_[i] >= least_share * (with_[i] + clean[i])]
-        self.words = {names[i]: j for j, i in enumerate(keep)}
-        self.idf = np.array([math.log(1 + n / df[names[i]]) for i in keep])
-        self.full = {w for w in self.words if w[-1] != "~"}
-        self.heads = {k: {w[:-1] for w in self.words if w[-1] == "~" and len(w) == k + 1} for k in HEADS}
-        vectors = [self.vector({w: c for w, c in e[2].items() if w[-1] != "~"}) for e in examples]
-        # examples of one label and leading word side by side, so that block maxima are tight
+        bags = [terms(words) for _, _, words in examples]
+        self.terms = {t: i for i, t in enumerate(sorted(set().union(*bags)))}
+        df, pos = np.zeros(len(self.terms)), np.zeros(len(self.terms))
+        where = [np.array([self.terms[t] for t in bag], np.int64) for bag in bags]
+        for t, y in zip(where, labels.tolist(), strict=True):
+            df[t] += 1
+            pos[t] += y
+        self.weight = np.log(1 + n / np.maximum(df, 1))
+        if relevance:
+            self.weight = self.weight * np.sqrt(1 + _g2(pos, df, int(labels.sum()), n))
+        vectors = [self._unit(t, np.array(list(bag.values()), float)) for t, bag in zip(where, bags, strict=True)]
+        # examples of one label and heaviest term side by side, so that block maxima are tight
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         order = sorted(range(n), key=lambda i: (labels[i], lead[i], examples[i][0]))
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.labels = labels[order]
         self.blocks = max(1, -(-n // BLOCK))
-        self.top = np.zeros((len(self.words), self.blocks))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                b = at // BLOCK
-                lists.setdefault((int(t), b), []).append((at % BLOCK, float(w)))
-                self.top[t, b] = max(self.top[t, b], w)
-        self.postings = {key: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for key, v in lists.items()}
-        self._calibrate([vectors[i] for i in order], shares)
-
-    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        counts = {self.words[w]: words[w] for w in words.keys() & self.full}
-        for k, known in self.heads.items():
-            if known and (hit := {w[:k] for w in words} & known):
-                for w, c in words.items():
-                    if len(w) > k and w[:k] in hit:
-                        t = self.words[w[:k] + "~"]
-                        counts[t] = counts.get(t, 0) + c
-        found = sorted(counts.items())
-        t = np.array([x[0] for x in found], np.int64)
-        w = (1 + np.log(np.array([x[1] for x in found], float))) * self.idf[t] if len(found) else np.zeros(0)
+        vectors = [vectors[i] for i in order]
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        place = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
+        # terms of a sixteenth of the examples or more: columns of a matrix, one product for many queries
+        often = np.flatnonzero(df >= max(8, n / 16))
+        self.column = np.full(len(self.terms), -1)
+        self.column[often] = np.arange(len(often))
+        common = self.column[term] >= 0
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        self.dense[place[common], self.column[term[common]]] = weight[common]
+        term, place, weight = term[~common], place[~common], weight[~common]
+        at = np.lexsort((place, term))
+        term, self.place, self.value = term[at], place[at].astype(np.int32), weight[at]
+        # entry e: the postings first[e] .. first[e + 1] - 1 of a term in block[e], the greatest of weight top[e]
+        key = term * self.blocks + self.place // BLOCK
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.first = np.concatenate([starts, [len(key)]])
+        self.block = (self.place[starts] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0, np.float32)
+        self.entry = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
+        self._calibrate(vectors, shares)
+
+    def _unit(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[t]
         size = math.sqrt(float(w @ w))
         return t, w / size if size else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The k greatest positive cosines as (cosine, place), ties to the smaller place; ``skip`` is a place left out."""
-        if not len(t):
-            return []
-        bound = w @ self.top[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] + 1e-12 < best[-1][0]):
+    def vector(self, words: dict[str, int], known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index that the words hold, and their unit weights. ``known`` remembers the terms of a word."""
+        counts: dict[int, int] = {}
+        known = {} if known is None else known
+        for w, c in words.items():
+            own = known.get(w)
+            if own is None:
+                if len(known) > 200_000:
+                    known.clear()
+                own = known[w] = [i for t in names_of(w) if (i := self.terms.get(t)) is not None]
+            for i in own:
+                counts[i] = counts.get(i, 0) + c
+        return self._unit(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector the k greatest positive cosines as (cosine, place), ties to the smaller place; ``skip`` has a place to leave out for each."""
+        out, full = [], self.dense.astype(float)
+        for lo in range(0, len(vectors), 64):
+            some = vectors[lo : lo + 64]
+            q = np.zeros((len(some), full.shape[1]))
+            for row, (t, w) in zip(q, some, strict=True):
+                c = self.column[t]
+                row[c[c >= 0]] = w[c >= 0]
+            for i, ((t, w), base) in enumerate(zip(some, q @ full.T, strict=True)):
+                out.append(self._walk(t, w, base, -1 if skip is None else skip[lo + i]))
+        return out
+
+    def _walk(self, t: np.ndarray, w: np.ndarray, base: np.ndarray, skip: int) -> list[tuple[float, int]]:
+        """Blocks by falling bound, the first few and then those over the kth cosine; ``base`` has the cosines' part of the common terms."""
+        rare = self.column[t] < 0
+        lo, hi = self.entry[t[rare]], self.entry[t[rare] + 1]
+        entries, q = _ranges(lo, hi), np.repeat(w[rare], hi - lo)
+        block, base = self.block[entries], base.reshape(self.blocks, BLOCK)
+        bound = np.bincount(block, q * self.top[entries], self.blocks) + base.max(1)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        scores, places, kth, done = np.zeros(0), np.zeros(0, np.int64), -1.0, 0
+        for last in (8, len(order)):
+            now = order[done:last]
+            now = now[bound[now] + 1e-9 >= kth]
+            if not len(now):
                 break
-            score = np.zeros(BLOCK)
-            for one, q in zip(t.tolist(), w.tolist(), strict=True):
-                p = self.postings.get((one, b))
-                if p is not None:
-                    score[p[0]] += q * p[1]
-            at = np.flatnonzero(score > 0)
-            best += [(s, b * BLOCK + i) for s, i in zip(score[at].tolist(), at.tolist(), strict=True) if b * BLOCK + i != skip]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
+            turn = np.full(self.blocks, -1)
+            turn[now] = np.arange(len(now))
+            on = np.flatnonzero(turn[block] >= 0)
+            a, b = self.first[entries[on]], self.first[entries[on] + 1]
+            p = _ranges(a, b)
+            cell = np.repeat(turn[block[on]] * BLOCK, b - a) + self.place[p] % BLOCK
+            got = base[now].ravel() + np.bincount(cell, np.repeat(q[on], b - a) * self.value[p], len(now) * BLOCK)
+            hit = np.flatnonzero(got > max(0.0, kth - 1e-9))
+            place = now[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, place = hit[place != skip], place[place != skip]
+            scores, places = np.concatenate([scores, got[hit]]), np.concatenate([places, place])
+            best = np.lexsort((places, -scores))[: self.k]
+            scores, places = scores[best], places[best]
+            kth = scores[-1] if len(scores) == self.k else -1.0
+            done = last
+        return list(zip(scores.tolist(), places.tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weights = [1.0 / (0.05 + max(0.0, 1.0 - s)) for s, _ in found]
@@ -125,10 +176,9 @@ class Index:
     def _calibrate(self, vectors, shares: tuple[float, float]) -> None:
         """Pool adjacent violators over leave-one-out votes, weighted back to the labels' shares before sampling; a prior of one half of a row in each pool."""
         votes, silent = [], [0.0, 0.0]
-        for i, (t, w) in enumerate(vectors):
+        for i, found in enumerate(self.nearest(vectors, list(range(len(vectors))))):
             y = int(self.labels[i])
             weight = 1.0 / max(shares[y], 1e-12)
-            found = self.nearest(t, w, i)
             if found:
                 votes.append((self.vote(found), y * weight, weight))
             else:
@@ -143,19 +193,13 @@ class Index:
         self.curve_x = [x for p in pools for x in (p[0], p[1])]
         self.curve_y = [y for p in pools for y in [(p[2] + 0.25) / (p[3] + 0.5)] * 2]
 
-    def score(self, words: dict[str, int], cache: dict) -> tuple[float, list[tuple[int, float, int]]]:
-        """(score, evidence): evidence lists the nearest examples as (doc_id, cosine, label)."""
-        t, w = self.vector(words)
-        if not len(t):
-            return self.silent, []
-        key = (t.tobytes(), w.round(12).tobytes())
-        if key not in cache:
-            if len(cache) > 20_000:
-                cache.clear()
-            found = self.nearest(t, w)
+    def score(self, bags: list[dict[str, int]], known: dict[str, list[int]] | None = None) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """(score, evidence) for each bag of words: evidence lists the nearest examples as (doc_id, cosine, label)."""
+        out = []
+        for found in self.nearest([self.vector(words, known) for words in bags]):
             p = float(np.interp(self.vote(found), self.curve_x, self.curve_y)) if found and self.curve_x else self.silent
-            cache[key] = p, [(int(self.ids[i]), s, int(self.labels[i])) for s, i in found[:3]]
-        return cache[key]
+            out.append((p, [(int(self.ids[i]), s, int(self.labels[i])) for s, i in found[:3]]))
+        return out
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int = 4096) -> tuple[list, tuple[float, float]]:
@@ -195,7 +239,8 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
         x, cache = sent.value, {}
         for b in batches:
             texts = b.column("text").to_pylist()
-            known = {t: x.score(Counter(LETTERS.findall((t or "").lower())), cache) for t in set(texts)}
+            once = list(dict.fromkeys(texts))
+            known = dict(zip(once, x.score([Counter(LETTERS.findall((t or "").lower())) for t in once], cache), strict=True))
             got = [known[t] for t in texts]
             evidence = [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in g[1]] for g in got]
             cols = [*b.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= threshold) for g in got], pa.int32()), pa.array(evidence, kind)]
@@ -207,7 +252,7 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row.
 
-    Null and empty texts, and texts without a word of the index, get the rate of toxic examples that are as silent. Null
+    Null and empty texts, and texts that share no word beginning with any example, get the rate of toxic examples that are as silent. Null
     doc_id: not held out and never an example. Without labelled rows every score is 0. Repeated rows are scored alike. Empty table: no rows.
     """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,21 +125,50 @@ def test_toxicity_finds_held_out_rows(spark, tmp_path):
     assert used and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in used)
 
 
+def plain_scores(ex, bags):
+    """Unit TF-IDF vectors over every term as dictionaries, weights counted anew from the examples."""
+    n, pos = len(ex), sum(y for _, y, _ in ex)
+    df, tox = Counter(), Counter()
+    for _, y, words in ex:
+        for t in toxicity.terms(words):
+            df[t] += 1
+            tox[t] += y
+
+    def weight(t):
+        cells = [(tox[t], df[t], pos), (df[t] - tox[t], df[t], n - pos), (pos - tox[t], n - df[t], pos), (n - pos - df[t] + tox[t], n - df[t], n - pos)]
+        g = sum(2 * o * math.log(o * n / (r * c)) for o, r, c in cells if o)
+        return math.log(1 + n / df[t]) * math.sqrt(1 + max(0, g))
+
+    out = []
+    for words in bags:
+        v = {t: (1 + math.log(c)) * weight(t) for t, c in toxicity.terms(words).items() if t in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        out.append({t: x / size for t, x in v.items()})
+    return out
+
+
 def test_nearest_equals_brute_force():
     rng = random.Random(1)
-    names = [f"w{i}x" for i in range(30)]
-    ex = [(i, int(i % 3 == 0), {**{w: rng.randint(1, 4) for w in rng.sample(names, 6)}, **({"bad": 1} if i % 3 == 0 else {})}) for i in range(300)]
-    x = toxicity.Index(ex, least_g2=0.0, least_share=0.0)
-    dense = np.zeros((len(ex), len(x.words)))
-    place = {int(i): n for n, i in enumerate(x.ids)}
-    for i, _, words in ex:
-        t, w = x.vector(words)
-        dense[place[i], t] = w
-    for i, _, words in ex[::17]:
-        t, w = x.vector(words)
-        s = dense[:, t] @ w
-        want = sorted((-v, n) for n, v in enumerate(s) if v > 0)[: x.k]
-        assert [n for _, n in x.nearest(t, w)] == [n for _, n in want] or np.allclose([v for v, _ in x.nearest(t, w)], [-v for v, _ in want])
+    names = [f"w{i}x{i % 4}" for i in range(90)]
+    ex = [(i, int(i % 3 == 0), {**{w: rng.randint(1, 4) for w in rng.sample(names, 6)}, **({"badly": 1} if i % 3 == 0 else {})}) for i in range(700)]
+    x = toxicity.Index(ex)
+    vectors = dict(zip((e[0] for e in ex), plain_scores(ex, [e[2] for e in ex]), strict=True))
+    asked = [e[2] for e in ex[::37]] + [{"badly": 2, "w1x1": 1, "unheard": 3}, {"w2": 1}]
+    for words, own in zip(asked, plain_scores(ex, asked), strict=True):
+        every = sorted(((sum(q * vectors[int(i)].get(t, 0) for t, q in own.items()), -n) for n, i in enumerate(x.ids)), reverse=True)
+        want = [(s, -n) for s, n in every if s > 1e-12][: x.k]
+        (got,) = x.nearest([x.vector(words)])
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-6)
+        assert len(got) == len(want) and {n for s, n in got if s > want[-1][0] + 1e-6} >= {n for s, n in want if s > want[-1][0] + 2e-6}
+
+
+def test_no_term_is_left_out_and_long_texts_score():
+    ex = [(i, i % 2, {f"one{i}": 1, "shared": 1}) for i in range(40)]
+    x = toxicity.Index(ex)
+    assert set(x.terms) == {t for _, _, w in ex for t in toxicity.terms(w)}
+    assert x.nearest([x.vector({"one7": 1})])[0][0][1] == int(np.flatnonzero(x.ids == 7)[0])
+    ((score, evidence),) = x.score([Counter(f"one{i % 5000}" for i in range(1_000_000))])
+    assert 0 <= score <= 1 and len(evidence) == 3
 
 
 def test_toxicity_without_rows(spark, tmp_path):
