@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,22 +12,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none, a temporary one is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        path = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
-        spark.sparkContext.setCheckpointDir(path)
+    """The folder all executors see. Only a local session that names none gets a temporary one (tests); on a cluster its absence is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
-    """Lower the rows of an Arrow batch so that a batch of long texts stays within a worker's memory."""
+def arrow_rows(spark: SparkSession, most: int = 1000, most_bytes: int = 32 << 20) -> None:
+    """Lower the rows and bytes of an Arrow batch so that a batch of long texts stays within a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > most:
+    if not 0 < int(spark.conf.get(key, "10000")) <= most:
         spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -83,20 +86,19 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Workspaces of pipeline stages that may still be read.
-_STAGES: list[Workspace] = []
+#: For each thread the workspaces of its pipeline stages: a stage's result is read from its tables until the next stage has it.
+_HELD = threading.local()
 
 
 def stage_workspace(spark: SparkSession, name: str, docs: DataFrame) -> Workspace:
-    """A workspace for a pipeline stage over ``docs``. Those of former stages go, except one that ``docs`` itself still reads."""
+    """A workspace for a pipeline stage over ``docs``. Those of this thread's former stages go, except one that ``docs`` itself still reads."""
     read = docs.inputFiles()
-    for ws in list(_STAGES):
-        mark = ws.root.rsplit("/", 1)[1]
-        if not any(mark in f for f in read):
+    stays = [ws for ws in getattr(_HELD, "stages", []) if any(ws.root.rsplit("/", 1)[1] in f for f in read)]
+    for ws in getattr(_HELD, "stages", []):
+        if ws not in stays:
             ws.clear()
-            _STAGES.remove(ws)
     ws = Workspace(spark, name)
-    _STAGES.append(ws)
+    _HELD.stages = [*stays, ws]
     return ws
 
 

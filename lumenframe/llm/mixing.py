@@ -57,17 +57,20 @@ def targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = (1, 2, 3
     return t.withColumn("target", goal)
 
 
-def position(done, target, d0, d1) -> F.Column:
-    """Training time at which cumulative demand reaches ``done``: the inverse of (d0 t + (d1 - d0) t^2 / 2) / ((d0 + d1) / 2) * target."""
-    share = done / target * (d0 + d1) / 2
+def position(done, whole, d0, d1) -> F.Column:
+    """Training time at which cumulative demand reaches ``done`` words of ``whole``; null from the end of demand on.
+
+    The inverse of (d0 t + (d1 - d0) t^2 / 2) / ((d0 + d1) / 2) * whole.
+    """
+    share = done / whole * (d0 + d1) / 2
     root = F.sqrt(F.greatest(d0 * d0 + 2 * (d1 - d0) * share, F.lit(0.0)))
-    return F.when(target <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * share / (d0 + root))))
+    return F.when(done < whole, 2 * share / (d0 + root))
 
 
 def mix(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
-    """Every row of ``docs`` (columns doc_id, text, source) without its text, with size, source_size, target, taken and the schedule.
+    """Every row of ``docs`` (columns doc_id, text, source and perhaps _row) without its text, with size, source_size, target, whole (the target in words) and the schedule.
 
-    ``_before`` is the running word count of its source ahead of it; ``taken`` its words over all epochs up to the target.
+    ``_before`` is the running word count of its source ahead of it.
     """
     also = [c for c in ("_row",) if c in docs.columns]
     rows = docs.select("doc_id", "source", *also, word_count(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("_t"))
@@ -77,23 +80,21 @@ def mix(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
     placed = running_offsets(rows, "source", ["_key"], "size")
     named = goals.withColumnRenamed("source", "_s")
     placed = placed.join(named, placed["source"].eqNullSafe(named["_s"])).drop("_s")
-    return ws.write(placed.withColumn("taken", taken(F.col("size"), F.col("_before"), F.col("source_size"), F.col("target"))), "mix")
-
-
-def taken(size, before, total, target) -> F.Column:
-    """Words that epochs 0, 1, 2, ... give of the words [before, before + size) of a source of ``total`` words, cut at round(target)."""
-    whole = F.round(target).cast("long")
-    epochs = F.when(total > 0, F.floor(whole / total)).otherwise(0)
-    part = F.greatest(F.lit(0), F.least(size, whole - epochs * total - before))
-    return (epochs * size + part).cast("long")
+    return ws.write(placed.withColumn("whole", F.round("target").cast("long")), "mix")
 
 
 def laid_out(m: DataFrame) -> DataFrame:
-    """A row for each row of ``mix`` and epoch that takes words of it, with epoch, words (its first so many words are used) and position."""
-    m = m.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int") - 1))))
-    m = m.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))).where("words > 0")
-    done = F.col("_before") + F.col("epoch") * F.col("source_size") + F.col("words") / 2
-    return m.withColumn("position", position(done, F.col("target"), F.col("d0"), F.col("d1")))
+    """A row for each row of ``mix`` and epoch in which demand reaches it, with epoch, position and words.
+
+    A source is laid out again for each epoch. The position of a document is the time at which the demand of its source
+    arrives at its first word; a document that no time reaches is not taken. Of the last one only the words ahead of the
+    end of demand are.
+    """
+    epochs = F.when(F.col("source_size") > 0, F.ceil(F.col("whole") / F.col("source_size"))).otherwise(0).cast("int")
+    m = m.where("size > 0").withColumn("epoch", F.explode(F.slice(F.sequence(F.lit(0), F.greatest(epochs, F.lit(1))), 1, epochs)))
+    done = F.col("_before") + F.col("epoch") * F.col("source_size")
+    m = m.withColumn("position", position(done, F.col("whole"), F.col("d0"), F.col("d1"))).where("position is not null")
+    return m.withColumn("words", F.least(F.col("size"), F.col("whole") - done))
 
 
 def schedule(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
@@ -102,32 +103,36 @@ def schedule(docs: DataFrame, ws: Workspace, **rules) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row, in training order: by first position, rows of which nothing is taken last.
+    """doc_id, size, source_size, target, taken, position for every row, in training order: by first position, rows of which nothing is taken last.
 
-    ``taken`` sums the words of a row's epochs in the written schedule. Null and wordless texts have size 0 and taken 0. A
-    null source is a source, last by rank. Rows that repeat entirely share their place, which does not change what is taken
-    in all. Null doc_id: the text alone orders it. Empty table: no rows.
+    ``taken`` sums the words of a row's epochs in the written schedule; ``position`` is its first, rounded to nine digits,
+    null where nothing is taken. Null and wordless texts have size 0 and taken 0. A null source is a source, last by rank.
+    Rows that repeat entirely share their place, which does not change what is taken in all. Null doc_id: the text alone
+    orders it. Empty table: no rows.
     """
     ws = Workspace(spark, "mixing")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_row", F.monotonically_increasing_id())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id())
     m = mix(docs, ws)
     order = ws.write(laid_out(m).sort("position", "_key", "epoch"), "schedule")
-    used = order.groupBy("_row").agg(F.sum("words").alias("used"), F.min("position").alias("position"))
-    out = m.drop("taken").join(used, "_row", "left").withColumn("taken", F.coalesce("used", F.lit(0)).cast("long"))
+    used = order.groupBy("_row").agg(F.sum("words").alias("taken"), F.round(F.min("position"), 9).alias("position"))
+    out = m.join(used, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     out = ws.finish(out.select("doc_id", "size", "source_size", "target", "taken", "position", "_key", "_row"))
     # files do not keep their order when read, so the result is sorted as it is read
-    return out.sort(F.asc_nulls_last("position"), "_key", "_row").select("doc_id", "size", "source_size", "target", "taken")
+    return out.sort(F.asc_nulls_last("position"), "_key", "_row").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in training order, once for each epoch that takes them, a last one cut at the word where its source's target is met."""
+    """Pipeline stage: the documents in training order, once for each epoch that takes them, a last one cut at the word where its source's target is met.
+
+    Null and wordless texts are never taken. Rows that repeat are laid out each. Columns of any name pass through.
+    """
     ws = stage_workspace(spark, "mixing", docs)
-    rows = ws.write(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    order = schedule(rows, ws).select("_row", "size", "epoch", "words", "position", "_key")
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("words").cast("int"))
-    cut = F.when(F.col("words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    rows = ws.write(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row")), "documents")
+    order = schedule(rows.select("doc.doc_id", "doc.text", "doc.source", "_row"), ws).select("_row", "size", "epoch", "words", "position", "_key")
+    words = F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})")), 1, F.col("words").cast("int"))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("doc.text"))
     out = rows.join(order, "_row").orderBy("position", "_key", "epoch")
-    return out.select(*[cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[cut.alias("text") if c == "text" else F.length(cut).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""
@@ -146,9 +151,11 @@ WITH d AS (
 ), f AS (
   SELECT level FROM l LEFT JOIN r ON r.n = l.n + 1 WHERE r.n IS NULL OR r.cap > l.level * r.w ORDER BY l.n LIMIT 1
 ), t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM r, f),
-b AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END * size
-            + greatest(0, least(size, CAST(round(target) AS BIGINT) - CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken
-FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+b AS (SELECT d.*, row_number() OVER () AS n, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+z AS (SELECT source, source_size, target, CAST(round(target) AS BIGINT) AS whole, rank % 3 AS m FROM (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM t)),
+y AS (SELECT *, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 0.5 END::DOUBLE AS d0, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 1.5 END::DOUBLE AS d1 FROM z),
+e AS (SELECT n, size, whole, d0, d1, before + e.i * source_size AS done FROM b JOIN y ON b.source IS NOT DISTINCT FROM y.source JOIN range(4) e(i) ON size > 0 AND before + e.i * source_size < whole),
+h AS (SELECT n, least(size, whole - done) AS words, done::DOUBLE / whole * (d0 + d1) / 2 AS share, d0, d1 FROM e),
+u AS (SELECT n, CAST(sum(words) AS BIGINT) AS taken, round(min(2 * share / (d0 + sqrt(greatest(d0 * d0 + 2 * (d1 - d0) * share, 0)))), 9) AS position FROM h GROUP BY n)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, position FROM b JOIN y ON b.source IS NOT DISTINCT FROM y.source LEFT JOIN u ON u.n = b.n
 """

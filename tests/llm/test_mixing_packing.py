@@ -64,27 +64,43 @@ def test_op4_deals_the_schedule(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "b", "b", "c", "c"])) for i in range(300)]
     write(spark, tmp_path, rows)
-    got = [r.doc_id for r in mixing.op4(spark, str(tmp_path)).collect()]
-    own, goal = defaultdict(list), {r.source_size: r.target for r in mixing.op4(spark, str(tmp_path)).collect()}
+    got = mixing.op4(spark, str(tmp_path)).collect()
+    own, goal = defaultdict(list), {r.source_size: r.target for r in got}
     for i, t, s in rows:
         own[s].append((hashlib.md5(f"{i}/{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, len(t.split())))
     first = {}
     for s, (d0, d1) in zip("abc", mixing.SCHEDULES, strict=True):
         total = sum(n for _, _, n in own[s])
-        target, before = goal[total], 0
+        whole, before = round(goal[total]), 0
         for _, i, n in sorted(own[s]):
-            words = min(n, round(target) - before)
-            if words > 0:
-                demand = (before + words / 2) / target * (d0 + d1) / 2
+            if n and before < whole:
+                demand = before / whole * (d0 + d1) / 2
                 lo, hi = 0.0, 1.0
                 for _ in range(60):  # the time at which the integral of the schedule reaches the demand
                     t = (lo + hi) / 2
                     lo, hi = (t, hi) if d0 * t + (d1 - d0) * t * t / 2 < demand else (lo, t)
                 first[i] = lo
             before += n
-    at = [first[i] for i in got[: len(first)]]
+    assert {r.doc_id for r in got if r.taken} == set(first)
+    assert all(r.position == pytest.approx(first[r.doc_id], abs=1e-8) for r in got if r.taken) and all(r.position is None for r in got if not r.taken)
+    at = [first[r.doc_id] for r in got[: len(first)]]
     assert all(x <= y + 1e-9 for x, y in zip(at[:-1], at[1:], strict=True))
-    assert sorted(got) == list(range(300)) and not set(got[len(first) :]) & set(first)
+    assert sorted(r.doc_id for r in got) == list(range(300))
+
+
+def test_other_schedules_give_another_order_of_the_same_words(spark, tmp_path, monkeypatch):
+    write(spark, tmp_path, [(i, "w " * (5 + i % 7), "abc"[i % 3]) for i in range(60)])
+    before = mixing.op4(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(mixing, "SCHEDULES", ((0.2, 1.8), (1.0, 1.0), (1.9, 0.1)))
+    after = mixing.op4(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in before] != [r.doc_id for r in after]
+    assert {r.doc_id: r.taken for r in before} == {r.doc_id: r.taken for r in after}
+
+
+def test_stage_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, "p", "k", 9)], "doc_id long, text string, source string, size int, epoch int, words int, position string, _key string, _row int")
+    out = mixing.mix_sources(spark, docs, "").collect()
+    assert [tuple(r) for r in out] == [(1, "a b", "s", 1, 2, 3, "p", "k", 9)] and out[0].asDict().keys() == set(docs.columns)
 
 
 def test_position_inverts_the_integral():
