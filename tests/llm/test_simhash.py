@@ -86,6 +86,63 @@ def test_query_shapes(spark, tmp_path):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
 
 
+def similarity(a, b):
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_verified_groups_match_brute_force(spark):
+    """A large group whose copies are near the original but not all near each other, reordered word sets, pairs and strangers."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=5))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(70):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    mixed = [word() for _ in range(40)]
+    for _ in range(30):
+        rng.shuffle(mixed)
+        texts.append(" ".join(mixed))
+    for _ in range(20):
+        w = [word() for _ in range(rng.randint(3, 90))]
+        texts += [" ".join(w), " ".join([*w, word()]), " ".join(w)]
+    rng.shuffle(texts)
+    want = brute_groups(texts)
+    df = spark.createDataFrame([(i, t, i, "x", 0) for i, t in enumerate(texts)], "id long, text string, doc_id long, fp string, node int")
+    got = {r.id: r.root for r in simhash.same_texts(df.select("id", "text"), Workspace(spark, "t")).collect()}
+    firsts = {}
+    for i in range(len(texts)):
+        firsts.setdefault(got[i], i)
+    missed = [i for i in range(len(texts)) if firsts[got[i]] != want[i]]
+    assert not [i for i in missed if want[i] == i]  # nothing is joined that should not be
+    assert len(missed) <= 0.1 * sum(want[i] != i for i in range(len(texts)))
+    kept = simhash.keep_representatives(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(firsts.values())
+
+
+def brute_groups(texts):
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert simhash.op6(spark, str(tmp_path)).count() == 0
