@@ -14,7 +14,9 @@ distance. One suffix, with what stands before it, then decides all starts of its
 4. From the array, and that of the reversed texts before the anchors, the classes of equal strings follow for each
    distance; the marked starts go back to their chunk, which cuts the covered bytes.
 
-Suffixes that agree entirely are exchanged once for each chunk, however often they occur there.
+Suffixes that agree entirely are exchanged once for each chunk, however often they occur there. A core that more than ``HOT``
+suffixes share, that of a passage in very many documents, would still meet in one range. Its starts are told apart by
+128-bit digests of their strings instead, counted with partial sums before the exchange.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from __future__ import annotations
 import hashlib
 import struct
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,12 @@ from lumenframe.llm.common import Workspace, arrow_rows, parallelism, stage_work
 SPAN = 200
 GRAM = 8
 CHUNK_BYTES = 4 << 20
+SEGMENT = 1 << 20
+#: Suffixes with one core above which their starts are compared by digests.
+HOT = 20_000
+#: Suffixes that a range of the order holds, about.
+RANGE_ROWS = 100_000
+SPACES = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -55,9 +65,23 @@ class Units:
         self.x = self.lo = self.hi = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        if n < length or not (ends - starts >= length).any():
+        ok = ends - starts >= length
+        if not ok.any():
             return
-        v = np.lib.stride_tricks.as_strided(data, (n - GRAM + 1, GRAM), (1, 1)).copy().view("<u8").ravel()
+        step = np.zeros(n + 1, np.int8)
+        np.add.at(step, starts[ok], 1)
+        np.add.at(step, ends[ok] - length + 1, -1)
+        valid = np.cumsum(step[:n], dtype=np.int8)
+        found = [f for a in range(0, n - length + 1, SEGMENT) if (f := self._segment(a, valid[a : a + SEGMENT], span))]
+        self.x, self.lo, self.hi, self.hash = (np.concatenate(c) for c in zip(*found, strict=True))
+
+    def _segment(self, at: int, valid: np.ndarray, span: int):
+        """The anchors of the starts from ``at`` on. A unit that lies across two segments becomes two, each with its own starts."""
+        s = np.flatnonzero(valid)
+        if not len(s):
+            return None
+        data = self.data[at : at + len(valid) + self.length + GRAM]
+        v = np.lib.stride_tricks.as_strided(data, (len(data) - GRAM + 1, GRAM), (1, 1)).copy().view("<u8").ravel()
         v = ((v * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) << np.uint64(32)
         v |= np.arange(len(v), dtype=np.uint64)
         width = 1
@@ -65,34 +89,38 @@ class Units:
             v = np.minimum(v[:-width], v[width:])
             width *= 2
         v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
-        step = np.zeros(n + 1, np.int8)
-        ok = ends - starts >= length
-        np.add.at(step, starts[ok], 1)
-        np.add.at(step, ends[ok] - length + 1, -1)
-        s = np.flatnonzero(np.cumsum(step[:n], dtype=np.int8))
         p = (v[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.flatnonzero((p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]]) - 1
-        self.x = p[first]
-        self.lo, self.hi = self.x - s[last], self.x - s[first]
-        power = np.full(n, BASE, np.uint64)
+        x = p[first]
+        power = np.full(len(data), BASE, np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        total = np.zeros(n + 1, np.uint64)
+        total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
         power.fill(INVERSE)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        h = (total[self.x + self.core] - total[self.x]) * power[self.x]
+        h = (total[x + self.core] - total[x]) * power[x]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        self.hash = h ^ (h >> np.uint64(32))
+        return x + at, x - s[last], x - s[first], h ^ (h >> np.uint64(32))
+
+    def contexts(self, which: np.ndarray):
+        """Yields (suffix, reversed text before it) of the chosen units, as far as their starts reach."""
+        raw, length = memoryview(self.data), self.length
+        for part in range(0, len(which), 1 << 14):
+            w = which[part : part + (1 << 14)]
+            for a, b, c in zip(self.x[w].tolist(), self.lo[w].tolist(), self.hi[w].tolist(), strict=True):
+                yield bytes(raw[a : a + length - b]), bytes(raw[a - c : a])[::-1]
 
-    def contexts(self, which: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """(suffix, reversed text before it) of the chosen units, as far as their starts reach."""
-        raw, length = self.data.tobytes(), self.length
-        x, lo, hi = self.x[which].tolist(), self.lo[which].tolist(), self.hi[which].tolist()
-        return [(raw[a : a + length - b], raw[a - c : a][::-1]) for a, b, c in zip(x, lo, hi, strict=True)]
+    def digests(self, which: np.ndarray):
+        """Yields (start, 128-bit digest of the string there) for every start of the chosen units."""
+        raw, length = memoryview(self.data), self.length
+        for i in which.tolist():
+            x = int(self.x[i])
+            for start in range(x - int(self.hi[i]), x - int(self.lo[i]) + 1):
+                yield start, xxhash.xxh3_128_digest(raw[start : start + length])
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -302,30 +330,32 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFra
             data, ends = _texts(t)
             u = Units(data, ends, length)
             owner = chunk[np.searchsorted(ends, u.x, side="right")] if len(u.x) else chunk[:0]
-            raw = data.tobytes()
+            raw = memoryview(data)
             for c in np.unique(owner):
                 own = np.flatnonzero(owner == c)
                 h, first, n = np.unique(u.hash[own], return_index=True, return_counts=True)
                 some = h % np.uint64(sampled) == 0
                 x = u.x[own[first]]
-                cores = [raw[x[i] : x[i] + u.core] if some[i] else None for i in range(len(h))] if some.any() else [None] * len(h)
-                cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(h), c)), pa.array(np.minimum(n, 2).astype(np.int8)), pa.array(cores, pa.binary())]
+                cores = [bytes(raw[x[i] : x[i] + u.core]) if some[i] else None for i in range(len(h))] if some.any() else [None] * len(h)
+                cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(h), c)), pa.array(n.astype(np.int32)), pa.array(cores, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["hash", "chunk", "n", "core"])
 
-    hashes = ws.write(chunks.select("body", "chunk").mapInArrow(detect, "hash long, chunk long, n byte, core binary"), "hashes")
-    twice = ws.write(hashes.groupBy("hash").agg(F.sum("n").alias("n"), F.max("core").alias("core")).where("n > 1").select("hash", "core"), "twice")
-    cores = sorted(bytes(r[0]) for r in twice.where("core is not null").select("core").collect())
-    ranges = max(1, 2 * parallelism(spark))
-    splits = [cores[len(cores) * i // ranges] for i in range(1, ranges)] if len(cores) >= ranges else []
-    splits = sorted(set(splits))
-    pairs = hashes.select("hash", "chunk").join(twice.select("hash"), "hash")
+    hashes = ws.write(chunks.select("body", "chunk").mapInArrow(detect, "hash long, chunk long, n int, core binary"), "hashes")
+    twice = hashes.groupBy("hash").agg(F.sum("n").alias("n"), F.max("core").alias("core")).where("n > 1")
+    twice = ws.write(twice.select("hash", "n", "core", (F.col("n") > HOT).alias("hot")), "twice")
+    cores = sorted(bytes(r[0]) for r in twice.where("core is not null and not hot").select("core").collect())
+    shared = twice.where("not hot").agg(F.sum("n")).first()[0] or 0
+    ranges = min(len(cores), max(2 * parallelism(spark), shared // RANGE_ROWS))
+    splits = sorted({cores[len(cores) * i // ranges] for i in range(1, ranges)})
+    pairs = hashes.select("hash", "chunk").join(twice.select("hash", "hot"), "hash")
 
     def runs(key, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         u = _units(left.sort_by("rid"), length)
-        which = np.flatnonzero(np.isin(u.hash, right.column("hash").to_numpy().view(np.uint64)))
+        hash_, hot = right.column("hash").to_numpy().view(np.uint64), right.column("hot").to_numpy()
+        which = np.flatnonzero(np.isin(u.hash, hash_[~hot]))
         seen: dict[tuple[bytes, bytes], list] = {}
         for c, i in zip(u.contexts(which), which.tolist(), strict=True):
             had = seen.get(c)
@@ -336,12 +366,14 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFra
         parts: dict[int, list] = {}
         for (r, b), (i, many) in sorted(seen.items()):
             parts.setdefault(bisect_right(splits, r[: u.core]), []).append((r, b, i, many))
-        blobs = [encode(x) for x in parts.values()]
-        return pa.table([pa.array(list(parts), pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+        blobs = {k: encode(x) for k, x in parts.items()}
+        if hot.any():
+            counts = Counter(d for _, d in u.digests(np.flatnonzero(np.isin(u.hash, hash_[hot]))))
+            blobs[-1] = b"".join(d + (b"2" if n > 1 else b"1") for d, n in counts.items())
+        return pa.table([pa.array(list(blobs), pa.int32()), pa.array([key[0].as_py()] * len(blobs), pa.int64()), pa.array(list(blobs.values()), pa.binary())], schema=schema)
 
     sent = chunks.select("chunk", "rid", "body").groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(runs, "part int, chunk long, run binary")
     sent = ws.write(sent, "runs")
-    ws.drop(hashes, twice)
 
     def match(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
@@ -354,19 +386,54 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = 400) -> tuple[DataFra
             blobs.append(head + np.array([u for u, _ in marks], "<u4").tobytes() + bytes(m is None for _, m in marks) + b"".join(some))
         return pa.table([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "marks"])
 
-    marks = ws.write(sent.groupBy("part").applyInArrow(match, "chunk long, marks binary"), "marks")
-    ws.drop(sent)
+    def spelled(batches):
+        for b in batches:
+            for chunk, run in zip(b.column("chunk").to_pylist(), b.column("run").to_pylist(), strict=True):
+                for lo in range(0, len(run), 17 * 50_000):
+                    some = [run[i : i + 17] for i in range(lo, min(len(run), lo + 17 * 50_000), 17)]
+                    cols = [pa.array([x[:16] for x in some], pa.binary()), pa.array([chunk] * len(some), pa.int64()), pa.array([x[16] - 48 for x in some], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "chunk", "n"])
+
+    marks = sent.where("part >= 0").groupBy("part").applyInArrow(match, "chunk long, marks binary")
+    hot = twice.where("hot").select("hash")
+    if hot.limit(1).count():
+        spelt = ws.write(sent.where("part < 0").select("chunk", "run").mapInArrow(spelled, "digest binary, chunk long, n int"), "digests")
+        again = spelt.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+        told = spelt.join(again, "digest").groupBy("chunk").agg(F.collect_list("digest").alias("d"))
+        own = hashes.select("hash", "chunk").join(hot, "hash").groupBy("chunk").agg(F.collect_list("hash").alias("h"))
+        marks = marks.unionByName(told.join(own, "chunk").mapInArrow(_keys, "chunk long, marks binary"))
+    marks = ws.write(marks, "marks")
+    ws.drop(sent, hashes, twice)
     return chunks, marks
 
 
-def covered(table: pa.Table, marks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, ends, mask of the repeated bytes) of a chunk in the order of ``rid``."""
+def _keys(batches):
+    """Marks of hot cores: their hashes and the digests of their repeated starts, behind a count that no other blob has."""
+    for b in batches:
+        blobs = [struct.pack("<II", 0, len(h)) + np.array(h, np.int64).tobytes() + b"".join(d) for h, d in zip(b.column("h").to_pylist(), b.column("d").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(blobs, pa.binary())], names=["chunk", "marks"])
+
+
+def covered(table: pa.Table, marks: list[bytes], length: int, least_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, ends, mask of the repeated bytes) of a chunk in the order of ``rid``.
+
+    With ``least_words``, only runs of repeated starts count that hold so many whole words.
+    """
     u = _units(table, length)
     data, ends = u.data, _texts(table)[1]
-    start = np.zeros(len(data) + length + 1, np.int32)
+    start = np.zeros(len(data) + 1, np.int32)
     masks: dict[int, bytes | None] = {}
     for blob in marks:
-        (n,) = struct.unpack_from("<I", blob)
+        n, other = struct.unpack_from("<II", blob)
+        if not n:
+            hashes = np.frombuffer(blob, np.int64, other, 8).view(np.uint64)
+            at = 8 + 8 * other
+            digests = {blob[i : i + 16] for i in range(at, len(blob), 16)}
+            for s, d in u.digests(np.flatnonzero(np.isin(u.hash, hashes))):
+                if d in digests:
+                    start[s] += 1
+                    start[s + 1] -= 1
+            continue
         units = np.frombuffer(blob, "<u4", n, 8).tolist()
         at = 8 + 5 * n
         for x, whole in zip(units, blob[8 + 4 * n : at], strict=True):
@@ -381,22 +448,41 @@ def covered(table: pa.Table, marks: list[bytes], length: int) -> tuple[np.ndarra
             m, x, lo, hi = known[c], int(u.x[i]), int(u.lo[i]), int(u.hi[i])
             if m is None:
                 start[x - hi] += 1
-                start[x - lo + length] -= 1
+                start[x - lo + 1] -= 1
             else:
                 for d in np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8))[: hi + 1]).tolist():
                     start[x - d] += 1
-                    start[x - d + length] -= 1
-    return data, ends, np.cumsum(start[: len(data)]) > 0
-
-
-def cut(chunks: DataFrame, marks: DataFrame, keep: list[str], with_text: bool, length: int = 400) -> DataFrame:
+                    start[x - d + 1] -= 1
+    edge = np.diff(np.concatenate([[0], np.cumsum(start[:-1]) > 0, [0]]).astype(np.int8))
+    first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) + length - 1
+    if least_words and len(first):
+        long = words_inside(data, ends, first, last) >= least_words
+        first, last = first[long], last[long]
+    step = np.zeros(len(data) + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, last, -1)
+    return data, ends, np.cumsum(step[:-1]) > 0
+
+
+def words_inside(data: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whole words in the bytes first[i] .. last[i] - 1."""
+    letter = ~np.isin(data, SPACES)
+    border = np.zeros(len(data) + 1, bool)
+    border[ends] = border[0] = True
+    ended = letter & (border[1:] | ~np.append(letter[1:], False))
+    begun = letter & (border[:-1] | ~np.append(False, letter[:-1]))
+    count = np.concatenate([[0], np.cumsum(ended)])
+    return count[last] - count[first] - (letter[first] & ~begun[first])
+
+
+def cut(chunks: DataFrame, marks: DataFrame, keep: list[str], with_text: bool, length: int = 400, least_words: int = 0) -> DataFrame:
     """A row for each document: the columns ``keep`` and n_bytes, n_removed, n_spans, kept_sha256, and the remaining text if asked for."""
     fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept string"] if with_text else [])])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("rid")
-        data, ends, gone = covered(left, right.column("marks").to_pylist(), length)
+        data, ends, gone = covered(left, right.column("marks").to_pylist(), length, least_words)
         out: list[list] = [[] for _ in range(4 + with_text)]
         begin = 0
         for end in ends.tolist():
@@ -430,12 +516,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws.finish(cut(chunks, marks, ["doc_id"], False))
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 300) -> DataFrame:
-    """Pipeline stage: every document without its repeated bytes, in strings of ``length`` bytes, about fifty words; a character cut in two goes, and n_chars follows. A document of which nothing is left stays, empty."""
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, least_words: int = 51) -> DataFrame:
+    """Pipeline stage: every document without its passages of over fifty words that start anywhere else too.
+
+    Such a passage has at least 101 bytes, so repeated strings of 101 bytes find them all; runs of their starts that hold
+    fewer words stay. A character cut in two goes, and n_chars follows. A document of which nothing is left stays, empty;
+    a null text becomes empty. Rows that repeat cut each other. Columns of any name pass through.
+    """
     ws = stage_workspace(spark, "suffix", docs)
-    rest = [c for c in docs.columns if c != "text"]
-    inner = docs.select(F.col("text"), F.struct(*[F.col(c) for c in rest]).alias("row"))
+    length = max(8 * GRAM, 2 * least_words - 1)
+    inner = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     chunks, marks = repeated(inner, ws, length)
-    out = cut(chunks, marks, ["row"], True, length)
+    out = cut(chunks, marks, ["row"], True, length, least_words)
     text = F.col("kept")
-    return out.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return out.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

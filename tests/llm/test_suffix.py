@@ -51,9 +51,10 @@ def test_loser_tree_merges_with_exact_prefixes():
     assert {(r, item[3]) for _, r, item in got} == {(i, j) for i, r in enumerate(runs) for j in range(len(r))}
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 1 << 20), (2, 1500), (3, 400)])
-def test_matches_brute_force(spark, tmp_path, monkeypatch, seed, chunk):
+@pytest.mark.parametrize(("seed", "chunk", "hot"), [(1, 1 << 20, 20_000), (2, 1500, 3), (3, 400, 20_000)])
+def test_matches_brute_force(spark, tmp_path, monkeypatch, seed, chunk, hot):
     monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix, "HOT", hot)
     texts = corpus(seed)
     rows = [(i if i != 3 else None, t, 7) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_bytes int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -74,7 +75,33 @@ def test_other_lengths_match_brute_force(spark, length):
 def test_empty_and_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert suffix.op2(spark, str(tmp_path)).count() == 0
-    docs = spark.createDataFrame([(1, "q" * 10 + "é" * 300, "en", "s", 1), (2, "é" * 300, "en", "s", 2), (3, "short", "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    passage, other = " ".join(f"p{i}" for i in range(51)), " ".join(f"r{i}" for i in range(50))
+    rows = [(1, f"head {passage} tail", "en", "s", 1), (2, passage, "en", "s", 2), (3, "short", "en", None, 5), (4, f"{other} x", "en", "s", 0), (5, f"y {other}", "en", "s", 0), (6, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, row string, n_chars long")
     out = suffix.cut_repeats(spark, docs, "")
     assert out.columns == docs.columns
-    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "q" * 10, 10), (2, "", 0), (3, "short", 5)}
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {1: "head  tail"[: len(got[1])], 2: "", 3: "short", 4: f"{other} x", 5: f"y {other}", 6: ""}
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_segments_hold_the_same_starts(monkeypatch):
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.choices(b"abc ", k=5000)), np.uint8)
+    ends = np.array([1200, 1210, 4000, 5000])
+    whole = suffix.Units(data, ends, 120)
+    monkeypatch.setattr(suffix, "SEGMENT", 333)
+    parts = suffix.Units(data, ends, 120)
+
+    def starts(u):
+        return {s: (x, h) for x, lo, hi, h in zip(u.x.tolist(), u.lo.tolist(), u.hi.tolist(), u.hash.tolist(), strict=True) for s in range(x - hi, x - lo + 1)}
+
+    assert starts(whole) == starts(parts) and len(starts(parts)) == sum(max(0, n - 119) for n in (1200, 10, 2790, 1000))
+
+
+def test_long_run_of_one_byte(spark, tmp_path):
+    """Every start of such a run is a unit; their contexts are never held at once."""
+    rows = [(1, "z" * 1_500_000), (2, "z" * 399), (3, "y " + "z" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.op2(spark, str(tmp_path)).collect()}
+    assert got == {1: (1_500_000, 1_500_000, 1), 2: (399, 0, 0), 3: (402, 400, 1)}
