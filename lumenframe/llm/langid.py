@@ -1,9 +1,8 @@
 """Language ID by word-first backoff.
 
 Known words score by their log frequency in each language. A word that no language knows falls back to character
-n-grams, the longest length first; the first length at which any n-gram of the word is known decides. Word and n-gram
-tables come from a bounded, documented sample of the labelled rows and are cut to a bounded number of entries, so the
-model is small enough to send to every executor.
+n-grams, the longest length first; the first length at which any n-gram of the word is known decides. The word and n-gram
+tables hold everything in a bounded, documented sample of the labelled rows, so the model can be sent to every executor.
 """
 
 from __future__ import annotations
@@ -13,15 +12,26 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import Workspace, arrow_rows, fold, held_out, spread, stage_workspace
+from lumenframe.llm.common import arrow_rows, fold, held_out, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. Numerals that are no digits, like one half or a raised two, are no letters."""
+    out = []
+    for w in LETTERS.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of the word within boundary marks; single characters come without marks."""
     s = f"^{word}$" if n > 1 else word
@@ -33,7 +43,7 @@ def _counts(batches):
     held: Counter = Counter()
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for w, n in Counter(LETTERS.findall(text.lower())).items():
+            for w, n in Counter(words_of(text)).items():
                 held[0, lang, w] += n
                 for k in ORDERS:
                     for g in grams(w, k):
@@ -89,7 +99,7 @@ class Model:
 
     def predict(self, text: str | None, cache: dict, most_evidence: float = 24.0) -> tuple[str, float]:
         """(language, posterior). Evidence of a long text counts as that of ``most_evidence`` mean words."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.langs:
             return "und", 0.0
         known, at, weight = self.kinds[0], [], []
@@ -113,15 +123,12 @@ class Model:
         return self.langs[best], 1.0 / float(np.exp(total - total[best]).sum())
 
 
-def train(
-    docs: DataFrame, ws: Workspace, docs_per_lang: int = 2000, words_per_lang: int = 40_000, grams_per_lang: int = 12_000
-) -> Model:
+def train(docs: DataFrame, docs_per_lang: int = 1000) -> Model:
     """Fit on the labelled rows of ``docs`` (columns doc_id, text, lang) outside the held-out fold.
 
     ``docs_per_lang`` bounds the sample: a language with more labelled rows keeps those whose id hashes lowest, in that
-    expected number. ``words_per_lang`` and ``grams_per_lang`` (for each length) bound the model.
+    expected number. All words and n-grams of the sample are in the model.
     """
-    spark = ws.spark
     labelled = docs.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().withColumn("share", F.lit(float(docs_per_lang)) / F.col("count")).drop("count")
     share = {r["lang"]: r["share"] for r in counts.collect()}  # a row for each language
@@ -131,13 +138,8 @@ def train(
     chance = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(chance < levels[F.col("lang")]).select("lang", "text")
     rows = sample.mapInArrow(_counts, "kind int, lang string, token string, n long")
-    rows = rows.groupBy("kind", "lang", "token").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "token"))
-    most = F.when(F.col("kind") == 0, words_per_lang).otherwise(grams_per_lang)
-    bound = max(words_per_lang, grams_per_lang)
-    best = rows.where("kind <> 0 or n > 1").withColumn("r", rank).where(F.col("r") <= bound).where(F.col("r") <= most)
-    table = best.select("kind", "lang", "token", "n").toArrow()  # bounded by the two limits times the languages
-    return Model.of(list(zip(*(table.column(c).to_pylist() for c in table.column_names), strict=True)))
+    table = rows.groupBy("kind", "lang", "token").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    return Model.of(list(zip(*(table.column(c).to_pylist() for c in ("kind", "lang", "token", "n")), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -167,13 +169,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ties: each row is scored alone; equal scores go to the first language in code-point order. Empty table: no rows.
     """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
-    model = train(docs, Workspace(spark, "langid"))
+    model = train(docs)
     out = identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents whose language can be told; ``und`` and scores under ``min_score`` go. ``lang`` becomes the prediction."""
-    model = train(docs.select("doc_id", "text", "lang"), stage_workspace(spark, "langid", docs))
-    out = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    """Pipeline stage: documents whose language can be told; ``und`` and scores under ``min_score`` go. ``lang`` becomes the prediction.
+
+    Null, empty and letterless texts are ``und``. Repeated rows fare alike. Columns of any name pass through.
+    """
+    model = train(docs.select("doc_id", "text", "lang"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    out = identify(packed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

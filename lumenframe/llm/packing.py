@@ -53,7 +53,12 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        try:
+            return self.fast.encode_ordinary(text)
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # its pattern engine panics on runs of about a million spaces
+            return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end: int = 1) -> DataFrame:
@@ -126,5 +131,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of every document with their ids."""
-    return pack(docs, stage_workspace(spark, "packing", docs))
+    """Pipeline stage: the pieces of every document with their ids; other columns go.
+
+    Null and empty texts are the end id alone. Null doc_ids and repeated rows are packed like any other row.
+    """
+    return pack(docs.select("doc_id", "text"), stage_workspace(spark, "packing", docs))

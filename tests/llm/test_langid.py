@@ -40,3 +40,23 @@ def test_stage_drops_unidentified(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = langid.keep_identified(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == 20
+
+
+def test_numerals_are_no_letters_and_long_texts_pass(spark):
+    assert langid.words_of("x² ½ ① Ab3c été") == ["x", "ab", "c", "été"]
+    m = langid.Model.of([(0, "a", "dog", 5), (0, "b", "cat", 5)])
+    assert m.predict("² ½ ①", {}) == ("und", 0.0)
+    assert m.predict("cat " * 500_000, {})[0] == "b" and m.predict("c" * 1_000_000, {})[1] <= 1
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang")
+    rows = langid.op5(spark, path).where("held_out").join(docs, "doc_id").where("lang is not null").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_stage_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "uno dos", "yy", 0.5, "q", 3), (2, "alpha", "xx", 0.1, "r", 4), (4, "12", "xx", 0.1, "r", 4)], "doc_id long, text string, lang string, score double, lang_pred string, doc int")
+    out = langid.keep_identified(spark, docs, "")
+    assert out.columns == docs.columns and sorted((r.doc_id, r.score, r.lang_pred, r.doc) for r in out.collect()) == [(1, 0.5, "q", 3), (2, 0.1, "r", 4)]

@@ -133,6 +133,12 @@ def test_fast_ids_equal_the_tokenizer(spark):
     assert [[*bpe.encode(t), 1] for t in texts] == [tokens(t) for t in texts]
 
 
+def test_long_runs_of_spaces():
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("a" + " " * 1_000_000 + "b", "\n" * 2_000_000):
+        assert [*bpe.encode(t), 1] == tokens(t)
+
+
 def test_pieces_rebuild_every_document(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "été"], k=rng.randint(0, 900))), "s") for i in range(40)] + [(50, None, "s"), (51, "", "s"), (None, "no id", None), (52, "again", "s"), (52, "again", "s")]
