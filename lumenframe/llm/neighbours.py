@@ -5,7 +5,8 @@ every node's neighbours, and the nodes whose neighbour it is, with their vectors
 the nearest found for each. The graph, with its neighbours' vectors beside every node, then stays dealt out by node. A
 query keeps a pool of the nearest nodes seen; a round sends its unexpanded nearest to their places and folds the distances
 of their neighbours into the pool, until the pool is expanded throughout. The whole pool is measured again in double
-precision on the original vectors.
+precision on the original vectors. A sample of the queries is also searched exhaustively, and the pool doubles until what
+it finds of their true neighbours reaches a bound.
 """
 
 from __future__ import annotations
@@ -176,16 +177,22 @@ def graph(points: DataFrame, ws: Workspace, dims: int, k: int = 20, trees: int =
     return edges.select("u", "v").union(back).union(own).distinct()
 
 
-def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace, dims: int, pool: int = 800, step: int = 200, seeds: int = 32, most_rounds: int = 40) -> DataFrame:
-    """(query, node) for the pool of each query of ``asked`` (query, node, vec: the query's id, node and packed vector)."""
+def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace, dims: int, pool: int = 800, step: int = 200, seeds: int = 32) -> DataFrame:
+    """(query, node) for the pool of each query of ``asked`` (query, node, vec: the query's id, node and packed vector).
+
+    A query starts from its own node and from ``seeds`` others, its own choice of about 4096, so that no node is asked by
+    all. It ends when its pool is expanded throughout; a pool only gets nearer, so every query ends.
+    """
     spark = ws.spark
     tasks = parallelism(spark)
     vec = points.select(F.col("node").alias("v"), "vec")
     placed = edges.join(vec, "v").groupBy("u").agg(F.collect_list(F.struct("v", "vec")).alias("near"))
     placed = ws.write(placed, "placed").repartition(tasks, "u").persist()
-    start = [r[0] for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(seeds).collect()]
+    start = [r[0] for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(4096).collect()]
+    first = F.pmod(F.xxhash64("query"), F.lit(max(1, len(start) - seeds + 1))).cast("int") + 1
     state = asked.select("query", "vec", F.array("node").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("dist"), F.array(F.lit(0)).alias("open"))
-    state = ws.write(state.withColumn("next", F.array_distinct(F.concat("ids", F.array(*[F.lit(x).cast("long") for x in start])))), "state")
+    sent = F.from_json(F.lit("[" + ",".join(map(str, start)) + "]"), "array<bigint>")
+    state = ws.write(state.withColumn("next", F.array_distinct(F.concat("ids", F.slice(sent, first, seeds)))), "state")
 
     def measure(batches):
         for b in batches:
@@ -218,7 +225,7 @@ def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace,
 
     kinds = "query long, vec binary, ids array<long>, dist array<float>, open array<int>, next array<long>"
     done = []
-    for _ in range(most_rounds):
+    while True:
         ahead = state.select("query", "vec", F.explode("next").alias("node"))
         got = ahead.repartition(tasks, "node").join(placed, F.col("node") == F.col("u")).select("query", "vec", "u", "near")
         got = got.mapInArrow(measure, "query long, u long, ids array<long>, dist array<float>")
@@ -227,8 +234,6 @@ def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace,
         state = new.where(F.size("next") > 0)
         if not state.limit(1).count():
             break
-    else:
-        done.append(state.select("query", "ids"))
     placed.unpersist()
     out = done[0]
     for x in done[1:]:
@@ -236,16 +241,45 @@ def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace,
     return out.select("query", F.posexplode("ids").alias("place", "node"))
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, again: int = 800) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds ids of theirs."""
+def truth(points: DataFrame, asked: DataFrame, dims: int, k: int, most: int = 64) -> DataFrame:
+    """(query, node): the k nearest other nodes of about ``most`` queries, chosen by a hash, from a scan of all points."""
+    some = asked.select("query", "vec").orderBy(F.xxhash64("query"), "query").limit(most).collect()
+    ids, q = np.array([r[0] for r in some], np.int64), np.frombuffer(b"".join(r[1] for r in some), "<f4").reshape(-1, dims)
+
+    def scan(batches):
+        for b in batches:
+            node, x = b.column("node").to_numpy(), _matrix(pa.chunked_array([b.column("vec")]), dims)
+            for i, own in zip(ids.tolist(), q, strict=True):
+                d = np.einsum("ij,ij->i", x - own, x - own)
+                d[node == i] = np.inf
+                at = np.argsort(d, kind="stable")[:k]
+                at = at[np.isfinite(d[at])]
+                yield _pairs([np.full(len(at), i)], [node[at]], [d[at]])
+
+    order = Window.partitionBy("u").orderBy("d", "v")
+    near = points.select("node", "vec").mapInArrow(scan, "u long, v long, d float").withColumn("r", F.row_number().over(order))
+    return near.where(F.col("r") <= k).select(F.col("u").alias("query"), F.col("v").alias("node"))
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, pool: int = 800, least_recall: float = 0.95) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds ids of theirs.
+
+    ``pool`` doubles until the search finds ``least_recall`` of the true neighbours of a sample of the queries.
+    """
     arrow_rows(ws.spark, 2000)
     points, dims = nodes(vectors, ws, k)
     named = vectors.join(asked.select("id").distinct(), "id").join(points.select("v", "node", "vec"), "v")
     named = ws.write(named.select(F.col("id").alias("query_id"), "node", "vec", "v"), "asked")
     edges = ws.write(graph(points, ws, dims), "edges")
     # a query is a node, so equal ones are searched once and an id may have several
-    once = named.select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"])
-    found = search(points, edges, once, ws, dims).where(F.col("place") < again)
+    once = ws.write(named.select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"]), "once")
+    real, n = ws.write(truth(points, once, dims, k), "truth"), points.count()
+    wanted = real.count()
+    while True:
+        found = ws.write(search(points, edges, once, ws, dims, pool).select("query", "node"), "found")
+        if pool >= n or found.join(real, ["query", "node"]).count() >= least_recall * wanted:
+            break
+        pool *= 2
     found = found.join(points.select("node", "ids", F.col("v").alias("w")), "node")
     found = found.join(named.select("query_id", F.col("node").alias("query"), "v"), "query")
     return ranked(found.select("query_id", F.explode("ids").alias("vec_id"), "v", "w"), k)

@@ -1,9 +1,11 @@
 """Exact top-k by inner product with ball trees.
 
-Distinct vectors are dealt to shards of bounded size, each with a ball tree. Blocks of queries meet every shard; a query
-walks a shard's nodes by falling upper bound <q, centre> + |q| radius and stops at the first bound under its kth score.
-The kth score is shared: a first pass over one shard for each block gives every query a floor with which the walks of
-the other shards begin. Equal vectors share one tree entry with their k + 1 smallest ids, so copies cannot swell a shard.
+The top of a ball tree, fitted on a bounded sample, deals the distinct vectors to regions, so that a region's ball is small
+where the data have clusters; a region of many rows is parted into shards by a hash. Every shard has a ball tree of its own.
+Queries go to the shards of a region in waves: first to the region of the greatest upper bound <q, centre> + |q| radius,
+then, with the kth score found so far as a floor, to the next ones by bound and to the rest, always leaving out regions whose
+bound is under the floor. Inside a shard a query walks the nodes by falling bound and stops at the first one under its kth
+score. Equal vectors share one entry with their k + 1 smallest ids, so copies cannot swell a shard.
 """
 
 from __future__ import annotations
@@ -18,9 +20,56 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import Workspace, arrow_rows, parallelism
 from lumenframe.llm.vectors import usable
 
-LEAF = 256
+LEAF = 128
 SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+#: Queries that meet a shard at once.
+BLOCK_ROWS = 1 << 15
+#: Bounds of the sample that shapes the regions, of the regions, and of the numbers in their centres, which all executors get.
+SAMPLE_ROWS, MOST_REGIONS, MOST_NUMBERS = 1 << 16, 4096, 1 << 21
+
+
+def halves(x: np.ndarray) -> np.ndarray:
+    """Direction from the mean to the farthest row; zeros if all rows are equal."""
+    d = x - x.mean(0)
+    n = np.einsum("ij,ij->i", d, d)
+    return d[n.argmax()]
+
+
+class Regions:
+    """Half-spaces down to ``most`` leaves of about equal shares of a sample."""
+
+    def __init__(self, sample: np.ndarray, most: int):
+        self.nodes: list[tuple] = []  # (direction, threshold, left, right) or the number of a leaf
+        self.leaves = 0
+        todo = [(np.arange(len(sample)), most, -1, 0)]
+        while todo:
+            rows, share, parent, side = todo.pop()
+            at = len(self.nodes)
+            if parent >= 0:
+                self.nodes[parent][2 + side] = at
+            way = halves(sample[rows]) if share > 1 and len(rows) > 1 else None
+            if way is None or not way.any():
+                self.nodes.append(self.leaves)
+                self.leaves += 1
+                continue
+            on = sample[rows] @ way
+            cut = np.sort(on)[int(len(rows) * (share // 2 / share))]
+            if not (on < cut).any():
+                cut = on[on > cut].min() if (on > cut).any() else cut
+            self.nodes.append([way, cut, 0, 0])
+            todo += [(rows[on >= cut], share - share // 2, at, 1), (rows[on < cut], share // 2, at, 0)]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            node = self.nodes[at]
+            if isinstance(node, int):
+                out[rows] = node
+            elif len(rows):
+                low = x[rows] @ node[0] < node[1]
+                todo += [(node[2], rows[low]), (node[3], rows[~low])]
+        return out
 
 
 class BallTree:
@@ -45,9 +94,8 @@ class BallTree:
             radii.append(np.sqrt(np.einsum("ij,ij->i", d, d).max()))
             self.nodes.append((lo, hi, -1, -1))
             if hi - lo > LEAF and radii[-1] > 0:
-                far = d[np.einsum("ij,ij->i", d, d).argmax()]
                 half = (hi - lo) // 2
-                self.order[lo:hi] = self.order[lo:hi][np.argsort(d @ far, kind="stable")]
+                self.order[lo:hi] = self.order[lo:hi][np.argsort(d @ halves(own), kind="stable")]
                 todo += [(lo + half, hi, at, 1), (lo, lo + half, at, 0)]
         self.centres, self.radii = np.array(centres), np.array(radii)
 
@@ -110,11 +158,36 @@ def exact(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """The vectors of a list column, all of one size."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _by_size(column):
+    """(size, rows, matrix) for each vector size in a list column."""
+    size = np.diff(column.offsets.to_numpy())
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield int(d), at, _matrix(column.take(pa.array(at)))
+
+
+def regions(entries: DataFrame) -> dict[int, Regions]:
+    """Regions of the sizes that have more vectors than a shard; a hash of the vector chooses the sample, and other sizes are one region each."""
+    counts = {r["d"]: r["count"] for r in entries.groupBy(F.size("v").alias("d")).count().where(F.col("count") > SHARD_ROWS).collect()}
+    out = {}
+    for d, n in counts.items():
+        few = entries.where(F.size("v") == d).where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / n)) + 1)
+        sample = _matrix(few.select("v").toArrow().column("v"))
+        out[d] = Regions(sample, max(2, min(MOST_REGIONS, MOST_NUMBERS // d, n // SHARD_ROWS)))
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int, tally: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): ``vectors`` and ``queries`` are (id, v) with whole-number components held as doubles.
 
     Vectors meet those of their own size; an id may have several. Rows so large that a partial sum could pass 2^53 are few
-    and are scored beside the trees in whole numbers.
+    and are scored beside the trees in whole numbers. ``tally`` gets the number of rows scored.
     """
     spark = ws.spark
     arrow_rows(spark, 4096)
@@ -124,60 +197,101 @@ def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> Data
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = vectors.withColumn("r", rank).where(F.col("r") <= k + 1)
     entries = ws.write(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    # a row for each vector size
-    cuts = entries.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
-    asks = queries.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    cuts = F.broadcast(ws.write(cuts.join(asks, "d"), "cuts"))
-    deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m))
-    named = lambda n: F.col("d") * F.lit(1 << 32) + n
-    dealt = entries.withColumn("d", F.size("v")).join(cuts, "d").withColumn("shard", named(deal("v", "shards")))
-    shard = dealt.groupBy("shard").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
-    placed = queries.withColumn("d", F.size("v")).join(cuts, "d").withColumn("at", deal("id", "blocks")).withColumn("block", named(F.col("at")))
-    block = placed.groupBy("block", "d", "at", "shards").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    shard, block = ws.write(shard, "shards"), ws.write(block, "blocks")
-    tasks = max(parallelism(spark), 1)
-
-    def walk(batches):
-        tree = last = ids = None
+    shape = spark.sparkContext.broadcast(regions(entries))
+
+    def deal(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                s = b.column("shard")[i].as_py()
-                if s != last:
-                    rows = b.column("rows")[i].values
-                    v = rows.field("v")
-                    x = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(len(rows), -1)
-                    tree, ids, last = BallTree(x), rows.field("ids").to_pylist(), s
-                asked = b.column("asked")[i].as_py()
-                floors = dict(b.column("floors")[i].as_py() or [])
-                q = np.array([a["v"] for a in asked])
-                size = np.sqrt(np.einsum("ij,ij->i", q, q))
-                bound = q @ tree.centres.T + size[:, None] * tree.radii
-                bound += 1e-9 * (np.abs(bound) + 1)
-                out: list[list] = [[], [], []]
-                for a, v, up in zip(asked, q, bound, strict=True):
-                    got, _ = tree.search(v, k, ids, a["id"], floors.get(a["id"], -np.inf), up)
-                    out[0] += [a["id"]] * len(got)
-                    out[1] += [g[1] for g in got]
-                    out[2] += [g[0] for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
-
-    def cells(pairs: DataFrame) -> DataFrame:
-        return pairs.repartition(tasks, "shard", "block").sortWithinPartitions("shard").mapInArrow(walk, "query_id long, vec_id long, score long").withColumn("beyond", F.lit(None).cast("binary"))
+            region = np.zeros(b.num_rows, np.int64)
+            for d, at, x in _by_size(b.column("v")):
+                region[at] = (d << 32) + (shape.value[d].of(x) if d in shape.value else 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region)], names=[*b.schema.names, "region"])
+
+    placed = ws.write(entries.mapInArrow(deal, "v array<double>, ids array<long>, region long"), "placed")
+    cuts = placed.groupBy("region").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("cuts"))
+    placed = placed.join(cuts, "region").withColumn("shard", F.concat_ws("/", "region", F.pmod(F.xxhash64("v"), F.col("cuts"))))
+
+    def packed(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("v"))
+        c = x.mean(0)
+        d = x - c
+        ids = t.column("ids").combine_chunks()
+        cells = [t.column("region")[0].as_py(), t.column("shard")[0].as_py(), t.num_rows, float(np.sqrt(np.einsum("ij,ij->i", d, d).max())), c.tobytes(), x.tobytes(), ids.flatten().to_pylist(), ids.offsets.to_pylist()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.table([pa.array([c], t_) for c, t_ in zip(cells, kinds, strict=True)], names=["region", "shard", "n", "radius", "centre", "x", "ids", "ends"])
+
+    shards = ws.write(placed.groupBy("shard").applyInArrow(packed, "region long, shard string, n long, radius double, centre binary, x binary, ids array<long>, ends array<int>"), "shards")
+    # balls of the shards: bounded by the regions and, in regions of many rows, joined to one ball of the region on the way
+    balls: dict[int, list] = {}
+    for r in shards.groupBy("region").agg(F.min_by("centre", "shard").alias("c"), F.collect_set("shard").alias("s")).collect():
+        balls.setdefault(r["region"] >> 32, []).append((r["region"], np.frombuffer(r["c"], float), sorted(r["s"])))
+    reach = {r["region"]: r["reach"] for r in shards.join(F.broadcast(shards.groupBy("region").agg(F.min_by("centre", "shard").alias("c"))), "region").select("region", "radius", "centre", "c").mapInArrow(_spread, "region long, reach double").groupBy("region").agg(F.max("reach").alias("reach")).collect()}
+    known = spark.sparkContext.broadcast({d: ([b[0] for b in bs], np.array([b[1] for b in bs]), np.array([reach[b[0]] for b in bs]), [b[2] for b in bs]) for d, bs in balls.items()})
+    most = max([len(bs) for bs in balls.values()], default=0)
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+
+    def ask(first: int, last: int):
+        """Rows of queries for the shards of the regions of rank first .. last - 1 by bound, if that is not under the floor."""
+
+        def run(batches):
+            for b in batches:
+                floor = b.column("floor").to_numpy(zero_copy_only=False)
+                for d, at, q in _by_size(b.column("v")):
+                    if d not in known.value:
+                        continue
+                    _, centre, radius, own = known.value[d]
+                    bound = q @ centre.T + np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * radius
+                    bound += 1e-9 * (np.abs(bound) + 1)
+                    best = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                    low = np.nan_to_num(floor[at].astype(float), nan=-np.inf)
+                    row, col = np.nonzero(np.take_along_axis(bound, best, 1) >= low[:, None])
+                    asked = [(i, s) for i, r in zip(at[row].tolist(), best[row, col].tolist(), strict=True) for s in own[r]]
+                    take = pa.array([i for i, _ in asked], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array([s for _, s in asked], pa.string())], names=[*b.schema.names, "shard"])
+
+        return run
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        x = np.frombuffer(left.column("x")[0].as_py()).reshape(left.column("n")[0].as_py(), -1)
+        flat, ends = left.column("ids")[0].as_py(), left.column("ends")[0].as_py()
+        ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        tree, q = BallTree(x), _matrix(right.column("v"))
+        size = np.sqrt(np.einsum("ij,ij->i", q, q))
+        out: list[list] = [[], [], []]
+        asked, floors, scored = right.column("id").to_pylist(), right.column("floor").to_pylist(), 0
+        for lo in range(0, len(q), 1024):
+            bound = q[lo : lo + 1024] @ tree.centres.T + size[lo : lo + 1024, None] * tree.radii
+            bound += 1e-9 * (np.abs(bound) + 1)
+            for i, up in enumerate(bound, lo):
+                got, n = tree.search(q[i], k, ids, asked[i], -np.inf if floors[i] is None else floors[i], up)
+                scored += n
+                out[0] += [asked[i]] * len(got)
+                out[1] += [g[1] for g in got]
+                out[2] += [g[0] for g in got]
+        out = [[*c, v] for c, v in zip(out, (None, None, scored), strict=True)]
+        return pa.table([pa.array(o, pa.int64()) for o in out], schema=schema)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    home = block.withColumn("shard", named(F.col("at") % F.col("shards"))).join(shard, "shard")
-    empty = F.lit(None).cast("map<bigint,bigint>")
-    first = ws.write(cells(home.withColumn("floors", empty)), "first")
-    kth = best(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    floors = placed.select("id", "block").distinct().join(kth, "id")
-    floors = floors.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("id", "floor"))).alias("floors"))
-    rest = block.join(floors, "block", "left")
-    # a row for each (block, other shard); only the packed rows of both sides travel
-    rest = rest.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where(F.col("n") != F.col("at") % F.col("shards"))
-    found = first.union(cells(rest.withColumn("shard", named(F.col("n"))).join(shard, "shard")))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    held = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found, floors, stops = None, None, sorted({0, 1, max(1, most // 4), most})
+    for first, last in zip(stops[:-1], stops[1:], strict=True):
+        asks = queries.select("id", "v").withColumn("floor", F.lit(None).cast("long")) if floors is None else queries.join(floors, "id", "left").select("id", "v", "floor")
+        asks = asks.mapInArrow(ask(first, last), "id long, v array<double>, floor long, shard string").withColumn("block", block)
+        got = held.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(walk, "query_id long, vec_id long, score long")
+        got = ws.write(got, "wave")
+        if tally is not None:
+            tally.append(got.where("query_id is null").agg(F.sum("score")).first()[0] or 0)
+        got = got.where("query_id is not null").withColumn("beyond", F.lit(None).cast("binary"))
+        found = ws.write(best(got if found is None else found.union(got)).drop("rank"), "best")
+        floors = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).withColumnRenamed("query_id", "id")
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score long, beyond binary")
     if large:
         q, c = asking.select(F.col("id").alias("query_id"), F.col("v").alias("q")), every.select(F.col("id").alias("vec_id"), "v")
         on = (F.size("q") == F.size("v")) & (F.col("query_id") != F.col("vec_id"))
@@ -187,6 +301,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int) -> Data
     return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _spread(batches):
+    """From the first centre of a region to the far side of each of its shards' balls."""
+    for b in batches:
+        far = [float(np.linalg.norm(np.frombuffer(x, float) - np.frombuffer(y, float))) + r for x, y, r in zip(b.column("centre").to_pylist(), b.column("c").to_pylist(), b.column("radius").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("region"), pa.array(far, pa.float64())], names=["region", "reach"])
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 best of each query.
 

@@ -2,7 +2,7 @@
 
 Records are range-sorted by key into shards whose bounds depend on the data alone. Each shard is written as gzip members,
 one for each record, into files that roll at a compressed size. Headers, record ids and digests are made anew from the
-record, with a fixed date, so the same input gives the same bytes. A task writes under names of its own attempt; the driver
+record, with a fixed date, so the same input gives the same bytes; only rows that agree in all columns are parted by where they stood. A task writes under names of its own attempt; the driver
 renames the files of the attempts that succeeded and then publishes a manifest. Only files in the manifest are read.
 """
 
@@ -78,41 +78,61 @@ def parse(stream, chunk: int = 1 << 20):
         yield names, block
 
 
-def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, digest, refers_to: of equal payloads of ``least`` bytes or more, rows of the largest page_id answer, the others revisit."""
+#: Payload groups up to which their table is sent to all executors, about 100 bytes each.
+MOST_SENT = 100_000
+
+
+def decide(pages: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
+    """page_id, url, payload, digest, refers_to: of equal payloads of ``least`` bytes or more, rows of the largest page_id answer, the others revisit it.
+
+    Groups are counted without their payloads, with partial sums before the exchange. Where they are few, their table goes
+    to the pages and payloads stay where they are.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     groups = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1")
-    groups = groups.select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "top")
+    groups = ws.write(groups.select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "top"), "groups")
+    if groups.count() <= MOST_SENT:
+        groups = F.broadcast(groups)
     rows = rows.join(groups, (rows["digest"] == F.col("_d")) & (rows["n"] == F.col("_n")), "left")
     other = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.select("page_id", "url", "payload", "digest", F.when(other, F.col("top")).alias("refers_to"))
 
 
-def bounds(rows: DataFrame, shard_bytes: int, sample_rows: int = 20_000) -> list[int]:
-    """Keys that start shards 1, 2, ...: quantiles by payload bytes of a sample chosen by a hash of the key, in expected number ``sample_rows``."""
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("b")).first()
+def place() -> F.Column:
+    """Text that sorts as the records do: by page_id, null first, then payload, url and a number that parts equal rows."""
+    number = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rest = F.concat(F.substring("digest", 1, 12), F.lpad(F.hex(F.xxhash64("url")), 16, "0"), F.lpad(F.hex(F.pmod("_n", F.lit(256))), 2, "0"))
+    return F.concat(F.coalesce(number, F.lit("!")), rest)
+
+
+def bounds(rows: DataFrame, shard_bytes: int, sample_rows: int = 20_000) -> list[str]:
+    """Places that start shards 1, 2, ...: quantiles by payload bytes of a sample chosen by a hash of the place, in expected number ``sample_rows``."""
+    size = F.octet_length("payload")
+    total = rows.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
     shards = -(-(total["b"] or 0) // shard_bytes)
     if shards < 2:
         return []
     share = min(1.0, sample_rows / total["n"])
-    few = rows.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-    got = sorted((r[0], r[1]) for r in few.select("page_id", F.octet_length("payload")).collect())
-    keys, size = np.array([x[0] for x in got], np.int64), np.cumsum([x[1] for x in got])
-    at = np.searchsorted(size, size[-1] * np.arange(1, shards) / shards) if len(got) else []
-    return sorted({int(keys[i]) for i in at})
+    few = rows.where(F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    got = sorted((r[0], r[1]) for r in few.select("place", size).collect())
+    if not got:
+        return []
+    sums = np.cumsum([x[1] for x in got])
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, shards) / shards)
+    return sorted({got[i][0] for i in at})
 
 
 def write(pages: DataFrame, out: str, ws: Workspace, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) under the folder ``out`` and return the manifest's rows: file, records, bytes, sha1."""
     spark = ws.spark
     arrow_rows(spark, 500)
-    rows = ws.write(decide(pages), "records")
-    starts = np.array(bounds(rows, shard_bytes), np.int64)
+    rows = ws.write(decide(pages, ws).withColumn("_n", F.monotonically_increasing_id()).withColumn("place", place()).drop("_n"), "records")
+    starts = np.array(bounds(rows, shard_bytes), "S64")
 
     @F.pandas_udf("int")
     def shard_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, key.to_numpy(), side="right").astype("int32"))
+        return pd.Series(np.searchsorted(starts, key.to_numpy().astype("S64"), side="right").astype("int32"))
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(out)
@@ -147,8 +167,8 @@ def write(pages: DataFrame, out: str, ws: Workspace, shard_bytes: int = 32 << 20
         cols = [pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(cols, names=["shard", "seq", "temp", "bytes", "records", "sha1"])
 
-    dealt = rows.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))).repartition(max(1, len(starts) + 1), "shard")
-    dealt = dealt.sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = rows.withColumn("shard", shard_of("place")).repartitionById(len(starts) + 1, "shard")
+    dealt = dealt.sortWithinPartitions("shard", "place")
     written = ws.write(dealt.mapInArrow(run, "shard int, seq int, temp string, bytes long, records long, sha1 string"), "written")
     fs, root = pafs.FileSystem.from_uri(out)
     manifest = []
@@ -188,7 +208,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return files.repartition(n, "file").mapInArrow(run, schema)
+    return files.repartition(n).mapInArrow(run, schema)
 
 
 def _row(names: dict, block: bytes) -> tuple:

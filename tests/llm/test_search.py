@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lumenframe.llm import neighbours, topk
+from lumenframe.llm.common import Workspace
 
 EMB = "vec_id long, embedding array<float>, label int, v string, id int"
 
@@ -39,6 +40,23 @@ def test_top_k_is_exact(spark, tmp_path, monkeypatch):
         assert sorted(found) == [(n + 1, i, -v) for n, (v, i) in enumerate(want)]
 
 
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 256)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 12)) * 40
+    x = np.floor(centres[rng.integers(0, 24, 4000)] + rng.normal(size=(4000, 12)) * 4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    tally = []
+    got = {}
+    for r in topk.top_k(rows, rows.where("id % 40 = 0"), Workspace(spark, "t"), 5, tally).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 4000, 40):
+        s = x @ x[q]
+        want = sorted((-int(s[i]), i) for i in range(4000) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -v) for n, (v, i) in enumerate(want)]
+    assert sum(tally) < 0.5 * 100 * 4000
+
+
 def test_top_k_of_few_and_none(spark, tmp_path):
     write(spark, tmp_path / "a", vectors(3))
     assert sorted((r.query_id, r.rank) for r in topk.op3(spark, str(tmp_path / "a")).collect()) == [(0, 1), (0, 2)]
@@ -65,6 +83,17 @@ def test_neighbours_recall(spark, tmp_path, n):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize(("dims", "pool"), [(8, 60), (24, 20)])
+def test_recall_of_the_graph_search_beyond_its_pool(spark, dims, pool):
+    x = np.random.default_rng(11).normal(size=(3000, dims)).astype("float32").astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in neighbours.nearest(rows, rows.where("id % 60 = 0"), Workspace(spark, "t"), 10, pool=pool).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {i for _, i in sorted((((x[i] - x[q]) ** 2).sum(), i) for i in range(3000) if i != q)[:10]}) for q in range(0, 3000, 60)]
+    assert np.mean(hits) >= 9
+
+
 def test_neighbours_of_nothing(spark, tmp_path):
     write(spark, tmp_path, ODD)
     assert neighbours.op9(spark, str(tmp_path)).count() == 0

@@ -96,6 +96,16 @@ def test_empty_pages(spark, tmp_path):
     assert warc.op10(spark, str(tmp_path)).count() == 0
 
 
+def test_one_key_is_parted_among_shards(spark):
+    rows = [(None, "http://a.b/", f"{i} " * 300) for i in range(300)] + [(7, "http://a.b/", "same " * 300)] * 300
+    ws = Workspace(spark, "t")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    m = warc.write(pages, f"{ws.root}/archive", ws, shard_bytes=40_000).collect()
+    assert len({r.file.split("-")[1] for r in m}) >= 8 and max(r.records for r in m) <= 120
+    back = warc.read(spark, f"{ws.root}/archive").collect()
+    assert len(back) == 600 and all(r.record_type == "response" for r in back)
+
+
 def toxic_corpus():
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
