@@ -1,4 +1,4 @@
-"""Frame queries over the embeddings as 8 x 8 planes."""
+"""Frame queries over the embeddings as 4:2:0 frames of 8 x 8 pixels, a row for each plane where planes come out."""
 
 from __future__ import annotations
 
@@ -6,24 +6,27 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import frames as op
+from lumenframe.operators import planes
 from lumenframe.plans.registry import query
-from lumenframe.sources.tables import SQL_FRAMES, SQL_PIXELS, frames
+from lumenframe.sources.tables import SQL_FRAMES, SQL_PIXELS, SQL_PLANES, frames, planar
 
 INFO = ("average", "min", "max", "rms", "energy")
 
 
-def _packed(agg: str) -> str:
-    """A plane as text, so that both engines compare it alike."""
-    return f"array_to_string({agg}, ',')"
+HEX = "string_agg(printf('%02x', v), '' ORDER BY pos)"
+ROWS = f"SELECT stream_id, seq, plane, {HEX} AS px"
+BY = "GROUP BY stream_id, seq, plane"
 
 
-def _text(px):
-    return F.array_join(F.transform(px, lambda x: x.cast("string")), ",")
+def rows(f):
+    """A row for each plane, its bytes as hex, so that both engines compare it alike."""
+    p = f.select("stream_id", "seq", F.posexplode(F.array("y", "cb", "cr")).alias("plane", "p"))
+    return p.select("stream_id", "seq", "plane", F.lower(F.hex("p")).alias("px"))
 
 
-@query("passthru", f"WITH {SQL_FRAMES} SELECT stream_id, seq, {_packed('px')} AS px FROM frames")
+@query("passthru", f"WITH {SQL_PLANES} {ROWS} FROM planes {BY}")
 def passthru(spark, d):
-    return frames(spark, d).transform(lambda f: f).select("stream_id", "seq", _text("px").alias("px"))
+    return rows(planar(spark, d).transform(lambda f: f))
 
 
 SQL_INFO = f"""{SQL_PIXELS}, info AS (
@@ -31,37 +34,40 @@ SQL_INFO = f"""{SQL_PIXELS}, info AS (
          sqrt(var_pop(v) + power(avg(v) - min(v), 2)) / 255 AS energy FROM pixels GROUP BY stream_id, seq)"""
 
 
-def rounded(cols: dict):
-    return [F.round(c, 6).alias(k) for k, c in cols.items()]
+def _info(table: str) -> str:
+    return f"""SELECT stream_id, seq, plane, avg(v) / 255 AS average, min(v) / 255 AS min, max(v) / 255 AS max, stddev_pop(v) / 255 AS rms,
+  sqrt(var_pop(v) + power(avg(v) - min(v), 2)) / 255 AS energy FROM {table} {BY}"""
 
 
-@query("frameinfo", f"WITH {SQL_INFO} SELECT stream_id, seq, {', '.join(f'round({c}, 6) AS {c}' for c in INFO)} FROM info")
+@query("frameinfo", f"WITH {SQL_PLANES}, i AS ({_info('planes')}) SELECT stream_id, seq, plane, {', '.join(f'round({c}, 6) AS {c}' for c in INFO)} FROM i")
 def frameinfo(spark, d):
-    return frames(spark, d).select("stream_id", "seq", *rounded(op.frame_info(F.col("px"))))
+    f = planes.info(planar(spark, d))
+    each = F.array(*[F.struct(*[F.round(f"raw_{p}_{c}", 6).alias(c) for c in INFO]) for p in ("Y", "Cb", "Cr")])
+    return f.select("stream_id", "seq", F.posexplode(each).alias("plane", "i")).select("stream_id", "seq", "plane", "i.*")
 
 
-SQL_DELTA = """deltas AS (
-  SELECT stream_id, seq, pos, x, y, greatest(0, least(255, v - coalesce(lag(v) OVER (PARTITION BY stream_id, pos ORDER BY seq), v) + 128)) AS v FROM pixels)"""
+SQL_DELTA = f"""{SQL_PLANES}, deltas AS (
+  SELECT stream_id, seq, plane, pos, greatest(0, least(255, v - coalesce(lag(v) OVER (PARTITION BY stream_id, plane, pos ORDER BY seq), v) + 128)) AS v FROM planes)"""
 
 
-@query("delta", f"WITH {SQL_PIXELS}, {SQL_DELTA} SELECT stream_id, seq, string_agg(v, ',' ORDER BY pos) AS px FROM deltas GROUP BY stream_id, seq")
+@query("delta", f"WITH {SQL_DELTA} {ROWS} FROM deltas {BY}")
 def delta(spark, d):
-    return op.delta(frames(spark, d)).select("stream_id", "seq", _text("px").alias("px"))
+    return rows(planes.delta(planar(spark, d)))
+
+
+STATS = [(kind, p, c) for kind in ("raw", "delta") for p in ("Y", "Cb", "Cr") for c in INFO]
 
 
 @query(
     "get_stats",
-    f"""WITH {SQL_INFO}, {SQL_DELTA}, dinfo AS (
-  SELECT stream_id, seq, avg(v) / 255 AS average, min(v) / 255 AS min, max(v) / 255 AS max, stddev_pop(v) / 255 AS rms,
-         sqrt(var_pop(v) + power(avg(v) - min(v), 2)) / 255 AS energy FROM deltas GROUP BY stream_id, seq)
-SELECT stream_id, seq, {', '.join(f'round(i.{c}, 6) AS raw_Y_{c}, round(e.{c}, 6) AS delta_Y_{c}' for c in INFO)} FROM info i JOIN dinfo e USING (stream_id, seq)""",
+    f"""WITH {SQL_DELTA}, s AS (SELECT 'raw' AS kind, * FROM ({_info('planes')}) UNION ALL SELECT 'delta', * FROM ({_info('deltas')}))
+SELECT stream_id, seq, {', '.join(f"round(max(CASE WHEN kind = '{k}' AND plane = {('Y', 'Cb', 'Cr').index(p)} THEN {c} END), 6) AS {k}_{p}_{c}" for k, p, c in STATS)} FROM s GROUP BY stream_id, seq""",
 )
 def get_stats(spark, d):
-    f = frames(spark, d)
-    before = F.coalesce(F.lag("px").over(op.by_stream()), F.col("px"))
-    both = f.withColumn("diff", F.zip_with("px", before, lambda a, b: op.clamp(a - b + 128, 0, 255)))
-    raw, dif = op.frame_info(F.col("px")), op.frame_info(F.col("diff"))
-    return both.select("stream_id", "seq", *rounded({f"raw_Y_{k}": c for k, c in raw.items()} | {f"delta_Y_{k}": c for k, c in dif.items()}))
+    """The thirty columns of a frame's statistics: its planes as they are, and as differences to the frame before."""
+    raw = planes.info(planar(spark, d))
+    both = planes.info(planes.delta(raw), "delta")
+    return both.select("stream_id", "seq", *[F.round(f"{k}_{p}_{c}", 6).alias(f"{k}_{p}_{c}") for k, p, c in STATS])
 
 
 @query("delay", f"WITH {SQL_FRAMES} SELECT stream_id, seq, lead(seq, 27) OVER (PARTITION BY stream_id ORDER BY seq) AS out_at FROM frames")
@@ -70,87 +76,93 @@ def delay(spark, d):
     return frames(spark, d).select("stream_id", "seq", F.lead("seq", 27).over(op.by_stream()).alias("out_at"))
 
 
-@query(
-    "merge_frames",
-    f"""WITH {SQL_PIXELS}, m AS (SELECT stream_id, seq // 5 AS g, pos, CAST(floor(sum(v) / 5) AS INTEGER) AS v FROM pixels GROUP BY stream_id, seq // 5, pos)
-SELECT stream_id, g AS seq, string_agg(v, ',' ORDER BY pos) AS px FROM m GROUP BY stream_id, g""",
-)
+@query("merge_frames", f"WITH {SQL_PLANES}, m AS (SELECT stream_id, seq // 5 AS seq, plane, pos, CAST(floor(sum(v) / 5) AS INTEGER) AS v FROM planes GROUP BY stream_id, seq // 5, plane, pos) {ROWS} FROM m {BY}")
 def merge_frames(spark, d):
-    return op.merge(frames(spark, d), 5, 64).select("stream_id", "seq", _text("px").alias("px"))
+    return rows(planes.merge(planar(spark, d), 5))
 
 
 @query(
     "hist_equalise",
-    f"""WITH {SQL_PIXELS}, h AS (SELECT stream_id, seq, pos, v, count(*) OVER (PARTITION BY stream_id, seq ORDER BY v) * 255.0::DOUBLE / 64 AS c,
-       count(*) FILTER (v <= 0) OVER (PARTITION BY stream_id, seq) * 255.0::DOUBLE / 64 AS c0 FROM pixels)
-SELECT stream_id, seq, string_agg(CAST(floor(greatest(16, least(235, CASE WHEN c0 < 255 THEN (c - c0) / (255 - c0) * 219 + 16 ELSE 16 END))) AS INTEGER), ',' ORDER BY pos) AS px
-FROM h GROUP BY stream_id, seq""",
+    f"""WITH {SQL_PLANES}, h AS (SELECT stream_id, seq, plane, pos, v, count(*) OVER (PARTITION BY stream_id, seq, plane ORDER BY v) * 255.0::DOUBLE / 64 AS c,
+       count(*) FILTER (v <= 0) OVER (PARTITION BY stream_id, seq, plane) * 255.0::DOUBLE / 64 AS c0 FROM planes),
+q AS (SELECT stream_id, seq, plane, pos, CASE WHEN plane > 0 THEN v ELSE CAST(floor(greatest(16, least(235, CASE WHEN c0 < 255 THEN (c - c0) / (255 - c0) * 219 + 16 ELSE 16 END))) AS INTEGER) END AS v FROM h) {ROWS} FROM q {BY}""",
 )
 def hist_equalise(spark, d):
-    return frames(spark, d).select("stream_id", "seq", _text(op.equalise(F.col("px"))).alias("px"))
+    return rows(planes.equalise(planar(spark, d)))
 
 
-SQL_CENTRE = f"""{SQL_PIXELS}, t AS (SELECT stream_id, seq, sum(v) // 2 AS half FROM pixels GROUP BY stream_id, seq),
+SQL_CENTRE = f"""{SQL_PLANES}, pixels AS (SELECT * FROM planes WHERE plane = 0), t AS (SELECT stream_id, seq, sum(v) // 2 AS half FROM pixels GROUP BY stream_id, seq),
 cx AS (SELECT stream_id, seq, min(x) AS cx FROM (SELECT stream_id, seq, x, sum(sum(v)) OVER (PARTITION BY stream_id, seq ORDER BY x) AS c FROM pixels GROUP BY stream_id, seq, x) JOIN t USING (stream_id, seq) WHERE c >= half GROUP BY stream_id, seq),
 cy AS (SELECT stream_id, seq, min(y) AS cy FROM (SELECT stream_id, seq, y, sum(sum(v)) OVER (PARTITION BY stream_id, seq ORDER BY y) AS c FROM pixels GROUP BY stream_id, seq, y) JOIN t USING (stream_id, seq) WHERE c >= half GROUP BY stream_id, seq)"""
 
 
 @query("centre_point", f"WITH {SQL_CENTRE} SELECT stream_id, seq, cx, cy FROM cx JOIN cy USING (stream_id, seq)")
 def centre_point(spark, d):
-    cx, cy = op.centre(F.col("px"), 8, 8)
-    return frames(spark, d).select("stream_id", "seq", cx.alias("cx"), cy.alias("cy"))
+    return planes.centre(planar(spark, d)).select("stream_id", "seq", "cx", "cy")
 
 
 @query(
     "centre_shift",
-    f"""WITH {SQL_CENTRE}, canvas AS (SELECT stream_id, seq, cx, cy, unnest(range(256)) AS p FROM cx JOIN cy USING (stream_id, seq))
-SELECT c.stream_id, c.seq, string_agg(coalesce(v, 16), ',' ORDER BY p) AS px FROM canvas c
-LEFT JOIN pixels q ON q.stream_id = c.stream_id AND q.seq = c.seq AND q.x = p % 16 - (8 - cx) AND q.y = p // 16 - (8 - cy)
-GROUP BY c.stream_id, c.seq""",
+    f"""WITH {SQL_CENTRE}, k(plane, w, sub, fill) AS (VALUES (0, 8, 1, 16), (1, 4, 2, 128), (2, 4, 2, 128)),
+canvas AS (SELECT stream_id, seq, plane, w, fill, p, p % (2 * w) - (8 - cx) // sub AS sx, p // (2 * w) - (8 - cy) // sub AS sy
+  FROM (SELECT *, unnest(range(4 * w * w)) AS p FROM cx JOIN cy USING (stream_id, seq), k)),
+m AS (SELECT c.stream_id, c.seq, c.plane, c.p AS pos, coalesce(q.v, fill) AS v FROM canvas c LEFT JOIN planes q ON q.stream_id = c.stream_id AND q.seq = c.seq AND q.plane = c.plane AND q.x = sx AND q.y = sy) {ROWS} FROM m {BY}""",
 )
 def centre_shift(spark, d):
-    cx, cy = op.centre(F.col("px"), 8, 8)
-    f = frames(spark, d).withColumns({"cx": cx, "cy": cy})
-    return f.select("stream_id", "seq", _text(op.shifted(F.col("px"), 8, 8, F.col("cx"), F.col("cy"), op.FILL_Y)).alias("px"))
+    return rows(planes.centred(planar(spark, d)))
 
 
 @query(
     "scale_area",
-    f"""WITH {SQL_PIXELS}, g AS (SELECT i AS o, j AS p, greatest(0, least(j + 1, (i + 1) * (8 / 5.0::DOUBLE)) - greatest(j, i * (8 / 5.0::DOUBLE))) / (8 / 5.0::DOUBLE) AS w
-  FROM range(5) a(i), range(8) b(j)),
-c AS (SELECT stream_id, seq, gy.o AS oy, gx.o AS ox, sum(v * gx.w * gy.w) AS s FROM pixels JOIN g gx ON gx.p = x AND gx.w > 0 JOIN g gy ON gy.p = y AND gy.w > 0 GROUP BY stream_id, seq, gy.o, gx.o)
-SELECT stream_id, seq, string_agg(CAST(floor(round(s, 9)) AS INTEGER), ',' ORDER BY oy, ox) AS px FROM c GROUP BY stream_id, seq""",
+    f"""WITH {SQL_PLANES}, g AS (SELECT i AS o, j AS p, greatest(0, least(j + 1, (i + 1) * (8 / 6.0::DOUBLE)) - greatest(j, i * (8 / 6.0::DOUBLE))) / (8 / 6.0::DOUBLE) AS share FROM range(6) a(i), range(8) b(j)),
+c AS (SELECT stream_id, seq, plane, gy.o * 6 + gx.o AS pos, CAST(floor(round(sum(v * gx.share * gy.share), 9)) AS INTEGER) AS v FROM planes JOIN g gx ON gx.p = x AND gx.share > 1e-12 JOIN g gy ON gy.p = y AND gy.share > 1e-12 GROUP BY stream_id, seq, plane, gy.o, gx.o) {ROWS} FROM c {BY}""",
 )
 def scale_area(spark, d):
-    return frames(spark, d).select("stream_id", "seq", _text(op.area_scale(F.col("px"), 8, 8, 5, 5)).alias("px"))
+    """To 6 x 6, the chroma planes to 3 x 3."""
+    return rows(planes.scale(planar(spark, d), 6, 6))
 
 
-@query("sub_window", f"WITH {SQL_PIXELS} SELECT stream_id, seq, string_agg(v, ',' ORDER BY pos) AS px FROM pixels WHERE x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 6 GROUP BY stream_id, seq")
+@query("sub_window", f"WITH {SQL_PLANES} {ROWS} FROM planes WHERE CASE plane WHEN 0 THEN x BETWEEN 2 AND 5 AND y BETWEEN 4 AND 7 ELSE x BETWEEN 1 AND 2 AND y BETWEEN 2 AND 3 END {BY}")
 def sub_window(spark, d):
-    return frames(spark, d).select("stream_id", "seq", _text(op.sub_window(F.col("px"), 8, 2, 3, 4, 4)).alias("px"))
+    return rows(planes.window(planar(spark, d), 2, 4, 4, 4))
 
 
-@query("downsample", f"WITH {SQL_PIXELS}, b AS (SELECT stream_id, seq, y // 2 AS b0, x // 2 AS b1, CAST(floor(sum(v) / 4) AS INTEGER) AS v FROM pixels GROUP BY stream_id, seq, y // 2, x // 2) SELECT stream_id, seq, string_agg(v, ',' ORDER BY b0, b1) AS px FROM b GROUP BY stream_id, seq")
-def downsample(spark, d):
-    return frames(spark, d).select("stream_id", "seq", _text(op.downsample(F.col("px"), 8, 8, 2, 2)).alias("px"))
+def as_444(f):
+    return f.withColumn("parms", F.map_zip_with("parms", "parms", lambda k, a, b: F.when(k == "C", "444").otherwise(a)))
+
 
+def as_420(f):
+    return f.withColumn("parms", F.map_zip_with("parms", "parms", lambda k, a, b: F.when(k == "C", "420").otherwise(a)))
 
-@query("upsample", f"WITH {SQL_PIXELS}, big AS (SELECT stream_id, seq, p, v FROM (SELECT unnest(range(256)) AS p) JOIN pixels ON y = (p // 16) // 2 AND x = (p % 16) // 2) SELECT stream_id, seq, string_agg(v, ',' ORDER BY p) AS px FROM big GROUP BY stream_id, seq")
+
+@query("upsample", f"WITH {SQL_PLANES}, u AS (SELECT stream_id, seq, plane, p AS pos, v FROM planes JOIN range(64) r(p) ON x = p % 8 // (8 // w) AND y = p // 8 // (8 // w)) {ROWS} FROM u {BY}")
 def upsample(spark, d):
-    return frames(spark, d).select("stream_id", "seq", _text(op.upsample(F.col("px"), 8, 2, 2)).alias("px"))
+    """Through floats to 4:4:4."""
+    return rows(planes.from_float(as_444(planes.to_float(planar(spark, d)))))
+
+
+@query("downsample", f"WITH {SQL_PLANES}, b AS (SELECT stream_id, seq, plane, pos, v FROM planes WHERE plane = 0 UNION ALL SELECT stream_id, seq, k, y // 2 * 4 + x // 2, CAST(floor(sum(v) / 4) AS INTEGER) FROM planes, range(1, 3) r(k) WHERE plane = 0 GROUP BY stream_id, seq, k, y // 2, x // 2) {ROWS} FROM b {BY}")
+def downsample(spark, d):
+    """A 4:4:4 frame whose planes are all the luma, through floats to 4:2:0."""
+    f = as_444(planar(spark, d)).withColumns({"cb": F.col("y"), "cr": F.col("y")})
+    return rows(planes.from_float(as_420(planes.to_float(f))))
 
 
-@query("draw_point", f"WITH {SQL_PIXELS} SELECT stream_id, seq, string_agg(CASE WHEN x = seq % 8 AND y = (seq // 8) % 8 THEN 235 ELSE v END, ',' ORDER BY pos) AS px FROM pixels GROUP BY stream_id, seq")
+@query("draw_point", f"WITH {SQL_PLANES}, p AS (SELECT stream_id, seq, plane, pos, CASE WHEN (plane = 0 AND (x, y) IN ((3, 5), (6, 6))) OR (plane > 0 AND (x, y) IN ((1, 2), (3, 3))) THEN CASE plane WHEN 0 THEN 235 WHEN 1 THEN 90 ELSE 200 END ELSE v END AS v FROM planes) {ROWS} FROM p {BY}")
 def draw_point(spark, d):
-    p = (F.floor(F.col("seq") / 8) % 8 * 8 + F.col("seq") % 8).cast("int")
-    return frames(spark, d).select("stream_id", "seq", _text(op.draw(F.col("px"), 8, F.array(p), 235)).alias("px"))
+    return rows(planes.draw(planar(spark, d), [(3, 5), (9, 2), (6, 6), (-3, 1)], (235, 90, 200)))
 
 
-@query("draw_line", f"WITH {SQL_PIXELS}, pts(p) AS (SELECT y * 8 + floor(1 + 5 * (y - 1) / 6.0::DOUBLE + 0.5) FROM (SELECT unnest(range(1, 8)) AS y)) SELECT stream_id, seq, string_agg(CASE WHEN pos IN (SELECT p FROM pts) THEN 235 ELSE v END, ',' ORDER BY pos) AS px FROM pixels GROUP BY stream_id, seq")
+@query(
+    "draw_line",
+    f"""WITH RECURSIVE {SQL_PLANES}, ends(plane, x0, y0, dx, dy) AS (VALUES (0, 1, 1, 5, 6), (1, 0, 0, 3, 3), (2, 0, 0, 3, 3)),
+steps AS (SELECT plane, x0 AS x, y0 AS y, dx, dy, (dx + dy) >> 1 AS acc, dy AS left_ FROM ends
+  UNION ALL SELECT plane, x + CASE WHEN acc - dx <= 0 THEN 1 ELSE 0 END, y + 1, dx, dy, acc - dx + CASE WHEN acc - dx <= 0 THEN dy ELSE 0 END, left_ - 1 FROM steps WHERE left_ > 0),
+p AS (SELECT stream_id, seq, plane, pos, CASE WHEN (plane, x, y) IN (SELECT (plane, x, y) FROM steps) THEN CASE plane WHEN 0 THEN 235 WHEN 1 THEN 90 ELSE 200 END ELSE v END AS v FROM planes) {ROWS} FROM p {BY}""",
+)
 def draw_line(spark, d):
-    """A line from (1, 1) to (6, 7)."""
-    points = F.array(*[F.lit(p) for p in op.line_points(1, 1, 6, 7, 8, 8)])
-    return frames(spark, d).select("stream_id", "seq", _text(op.draw(F.col("px"), 8, points, 235)).alias("px"))
+    """A line from (1, 1) to (6, 7); the SQL walks it by its accumulator."""
+    return rows(planes.draw_line(planar(spark, d), 1, 1, 6, 7, (235, 90, 200)))
 
 
 @query("every_nth", f"WITH {SQL_FRAMES} SELECT stream_id, seq, printf('frame-%05d.png', CAST(seq // 10 AS BIGINT)) AS file FROM frames WHERE seq % 10 = 0")
