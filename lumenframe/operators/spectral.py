@@ -85,3 +85,39 @@ def over_smoothed(v: Column, span: int, ceil: bool = False) -> Column:
 def signature(norm: Column, span: int, bits: int = 256) -> Column:
     """Binary text: where the normalised spectrum, resampled, lies over its smoothed self."""
     return of_values(resampled(over_smoothed(norm, span), bits))
+
+
+def signatures(span: int, bits: int = 256, ceil: bool = False, smooth_first: bool = True):
+    """``signature`` as a vectorised function from spectra to binary texts; with ``smooth_first`` off the spectrum is resampled before it is compared with its smoothed self."""
+    half = -(-span // 2) if ceil else span // 2
+
+    def over(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        i = np.arange(n)
+        lo, hi = np.maximum(0, i - (span - half)), np.minimum(n - 1, i + half - 1) + 1
+        logs = np.concatenate([np.zeros((len(x), 1)), np.cumsum(np.log(np.maximum(x, FLOOR)), axis=1)], axis=1)
+        return x - np.exp((logs[:, hi] - logs[:, lo]) / (hi - lo))
+
+    def resized(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        if n == bits:
+            return x
+        s, i, o = n / bits, np.arange(n)[:, None], np.arange(bits)[None, :]
+        return x @ (np.maximum(0.0, np.minimum(i + 1, (o + 1) * s) - np.maximum(i, o * s)) / s)
+
+    @F.pandas_udf("string")
+    def run(spectra: pd.Series) -> pd.Series:
+        out = [None] * len(spectra)
+        sizes = np.array([-1 if s is None else len(s) for s in spectra])
+        for n in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == n)
+            if n == 0:
+                v = np.zeros((len(at), bits))
+            else:
+                x = np.stack([np.asarray(spectra.iloc[i], float) for i in at])
+                v = resized(over(x)) if smooth_first else over(resized(x))
+            for i, row in zip(at, np.where(v.round(9) > 0, "1", "0"), strict=True):
+                out[i] = "".join(row.tolist())
+        return pd.Series(out)
+
+    return run

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators import frames as fop
+from lumenframe.operators import planes
 from lumenframe.operators import series as op
+from lumenframe.plans.q_frames import BY as PLANE
+from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query
-from lumenframe.sources.tables import SQL_FRAMES, SQL_SERIES, frames, series
+from lumenframe.sources.tables import SQL_FRAMES, SQL_PLANES, SQL_SERIES, frames, planar, series
 
 POS = "positive AS (SELECT user_id, i, greatest(v, 1e-9::DOUBLE) AS v FROM series)"
 BY = "PARTITION BY user_id ORDER BY i"
@@ -295,18 +297,16 @@ _resample("resample_up", 100)
 _resample("resample_scale", -(-64 * 3 // 4))
 
 
-SQL_BEND = f"""{SQL_FRAMES}, n AS (SELECT *, lead(px) OVER (PARTITION BY stream_id ORDER BY seq) AS nx, unnest(range(CAST(floor(round(seq / 1.7::DOUBLE, 9)) AS BIGINT), greatest(CAST(floor(round(seq / 1.7::DOUBLE, 9)) AS BIGINT), CAST(ceil(round((seq + 1) / 1.7::DOUBLE, 9)) AS BIGINT) - 1) + 1)) AS o FROM frames),
+SQL_BEND = f"""{SQL_PLANES}, n AS (SELECT *, lead(v) OVER (PARTITION BY stream_id, plane, pos ORDER BY seq) AS nx, CASE plane WHEN 0 THEN 16 ELSE 128 END AS fill,
+  unnest(range(CAST(floor(round(seq / 1.7::DOUBLE, 9)) AS BIGINT), greatest(CAST(floor(round(seq / 1.7::DOUBLE, 9)) AS BIGINT), CAST(ceil(round((seq + 1) / 1.7::DOUBLE, 9)) AS BIGINT) - 1) + 1)) AS o FROM planes),
 b AS (SELECT *, greatest(seq, o * 1.7::DOUBLE) AS t0, least(seq + 1, (o + 1) * 1.7::DOUBLE) AS t1 FROM n),
-w AS (SELECT stream_id, o, unnest(range(64)) AS pos, unnest(px) AS v, unnest(coalesce(nx, list_transform(px, lambda x: 16))) AS x, (1 - (t0 - seq)) * greatest((t1 - t0) / 1.7::DOUBLE, 0) AS p, (t0 - seq) * greatest((t1 - t0) / 1.7::DOUBLE, 0) AS c FROM b),
-s AS (SELECT stream_id, o, pos, sum(v * p + CASE WHEN c > 1e-5 THEN x * c ELSE 0 END) + greatest(0, 1 - sum(p + c)) * 16 AS v FROM w GROUP BY stream_id, o, pos)"""
+w AS (SELECT *, (1 - (t0 - seq)) * greatest((t1 - t0) / 1.7::DOUBLE, 0) AS p, (t0 - seq) * greatest((t1 - t0) / 1.7::DOUBLE, 0) AS c FROM b),
+s AS (SELECT stream_id, o AS seq, plane, pos, sum(v * p + CASE WHEN c > 1e-5 THEN coalesce(nx, fill) * c ELSE 0 END) + greatest(0, 1 - sum(p + c)) * any_value(fill) AS s FROM w GROUP BY stream_id, o, plane, pos),
+f AS (SELECT *, CAST(floor(greatest(16, least(240, round(s, 6)))) AS INTEGER) AS v FROM s)"""
 
 
-@query("timebend_fixed", f"WITH {SQL_BEND} SELECT stream_id, o AS seq, string_agg(CAST(floor(greatest(16, least(240, round(v, 9)))) AS INTEGER), ',' ORDER BY pos) AS px FROM s GROUP BY stream_id, o")
+@query("timebend_fixed", f"WITH {SQL_BEND} {ROWS} FROM f {PLANE}")
 def timebend_fixed(spark, d):
     """Frames at 1.7 times their speed; a last, partial output is filled up with black."""
-    t = op.bent(frames(spark, d), 1.7, fop.FILL_Y)
-    sums = [F.sum(F.element_at("px", i + 1) * F.col("p") + F.element_at("nx", i + 1) * F.col("c")).alias(f"_{i}") for i in range(64)]
-    left = F.greatest(F.lit(0.0), 1 - F.sum(F.col("p") + F.col("c")))
-    g = t.groupBy("stream_id", F.col("out").alias("seq")).agg(left.alias("left"), *sums)
-    cell = lambda i: F.floor(F.greatest(F.lit(16.0), F.least(F.lit(240.0), F.round(F.col(f"_{i}") + F.col("left") * fop.FILL_Y, 9)))).cast("int")
-    return g.select("stream_id", "seq", F.concat_ws(",", *[cell(i).cast("string") for i in range(64)]).alias("px"))
+    f = planar(spark, d)
+    return rows(planes.bent(f, planes.fixed_spans(f, 1.7)))

@@ -6,20 +6,26 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import signature as sig
-from lumenframe.operators import samplers, spectral
-from lumenframe.operators.series import resampled
+from lumenframe.operators import planes, samplers, spectral
+from lumenframe.plans.q_frames import BY as PLANE
+from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query
-from lumenframe.sources.tables import SQL_FRAMES, SQL_PIXELS, frames, series
+from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, planar, series
 
 
 def _text(a, digits: int = 7):
     return F.array_join(F.transform(a, lambda x: F.format_string(f"%.{digits}f", F.round(x, digits))), ",")
 
 
+def luma(spark, d, order, cells: bool = False):
+    """(stream_id, seq, signal): the luma planes in a sampler's order."""
+    return planes.sampled(planar(spark, d), order, cells).select("stream_id", "seq", F.col("signals")[0].alias("signal"))
+
+
 def _sampler(name: str, order: str):
     @query(f"sampler_{name}", f"WITH {SQL_PIXELS} SELECT stream_id, seq, string_agg(printf('%.7f', (v - 128) / 128.0::DOUBLE), ',' ORDER BY {order}) AS signal FROM pixels GROUP BY stream_id, seq")
     def run(spark, d):
-        return frames(spark, d).select("stream_id", "seq", _text(samplers.sample(F.col("px"), name, 8, 8)).alias("signal"))
+        return luma(spark, d, samplers.REGISTRY[name]).select("stream_id", "seq", _text("signal").alias("signal"))
 
 
 _sampler("raster", "pos")
@@ -29,8 +35,8 @@ _sampler("zigzag", "x + y, CASE WHEN (x + y) % 2 = 1 THEN y ELSE x END")
 
 @query("sampler_spiral")
 def sampler_spiral(spark, d):
-    signal = samplers.sample(F.col("px"), "spiral", 8, 8, a_rate=1.5, r_rate=0.6, area_limit=4.0)
-    return frames(spark, d).select("stream_id", "seq", _text(signal).alias("signal"))
+    cells = lambda w, h: samplers.spiral(w, h, a_rate=1.5, r_rate=0.6, area_limit=4.0)
+    return luma(spark, d, cells, True).select("stream_id", "seq", _text("signal").alias("signal"))
 
 
 @query("voronoi_map")
@@ -42,8 +48,7 @@ def voronoi_map(spark, d):
 
 
 def spectra(spark, d, compat: bool = False):
-    f = frames(spark, d).withColumn("signal", samplers.sample(F.col("px"), "raster", 8, 8))
-    return f.select("stream_id", "seq", spectral.magnitudes(compat=compat)("signal").alias("spectrum"))
+    return luma(spark, d, samplers.raster).select("stream_id", "seq", spectral.magnitudes(compat=compat)("signal").alias("spectrum"))
 
 
 def _dft(limit: str = "") -> str:
@@ -124,7 +129,7 @@ signatures AS (SELECT stream_id, seq, string_agg(CASE WHEN round(v, 9) > 0 THEN
 
 
 def signatures(spark, d):
-    return normal(spark, d).select("stream_id", "seq", spectral.signature(F.col("norm"), 7).alias("signature"))
+    return normal(spark, d).select("stream_id", "seq", spectral.signatures(7)("norm").alias("signature"))
 
 
 @query("signature", f"WITH {SQL_SIGNATURE} SELECT stream_id, seq, signature FROM signatures")
@@ -141,8 +146,7 @@ SELECT stream_id, seq, string_agg(CASE WHEN round(v, 9) > 0 THEN '1' ELSE '0' EN
 )
 def signature_std(spark, d):
     """Resampled first, then compared with its smoothed self, span 15."""
-    r = normal(spark, d).withColumn("r", resampled(F.col("norm"), 256))
-    return r.select("stream_id", "seq", sig.of_values(spectral.over_smoothed(F.col("r"), 15, ceil=True)).alias("signature"))
+    return normal(spark, d).select("stream_id", "seq", spectral.signatures(15, ceil=True, smooth_first=False)("norm").alias("signature"))
 
 
 XOR = " + ".join(f"bit_count(xor(CAST(('0b' || substr(a.signature, {1 + 32 * i}, 32)) AS BIGINT), CAST(('0b' || substr(b.signature, {1 + 32 * i}, 32)) AS BIGINT)))::INTEGER" for i in range(8))
@@ -150,28 +154,21 @@ XOR = " + ".join(f"bit_count(xor(CAST(('0b' || substr(a.signature, {1 + 32 * i},
 
 @query(
     "signature_nearest",
-    f"""WITH {SQL_SIGNATURE}, p AS (SELECT a.stream_id, a.seq, b.seq AS other, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq BETWEEN a.seq - 50 AND a.seq - 1)
-SELECT stream_id, seq, arg_min(other, bits * 1000000 + other) AS nearest, min(bits) AS bits FROM p GROUP BY stream_id, seq""",
+    f"""WITH {SQL_SIGNATURE}, p AS (SELECT a.stream_id, a.seq, b.seq AS other, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq < a.seq)
+SELECT stream_id, seq, arg_min(other, CAST(bits AS BIGINT) * 1000000000 + other) AS nearest, min(bits) AS bits FROM p GROUP BY stream_id, seq""",
 )
 def signature_nearest(spark, d):
-    """Of the fifty frames before a frame, that with the nearest signature, the earliest among equals."""
-    s = signatures(spark, d).select("stream_id", "seq", sig.parse(F.col("signature")).alias("w"))
-    before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(-50, -1)
-    s = s.withColumn("past", F.collect_list(F.struct("seq", "w")).over(before)).where(F.size("past") > 0)  # fifty rows at most
-    best = F.array_min(F.transform("past", lambda p: F.struct(sig.distance(F.col("w"), p["w"]).alias("bits"), p["seq"].alias("seq"))))
-    return s.withColumn("best", best).select("stream_id", "seq", F.col("best.seq").alias("nearest"), F.col("best.bits").alias("bits"))
+    """Of all frames before a frame, that with the nearest signature, the earliest among equals."""
+    return sig.nearest_before(signatures(spark, d), "stream_id", "seq").select("stream_id", "seq", "nearest", "bits")
 
 
 @query(
     "hamming_pairs",
-    f"""WITH {SQL_SIGNATURE} SELECT a.stream_id, b.seq AS first, a.seq AS second, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq BETWEEN a.seq - 5 AND a.seq - 1""",
+    f"""WITH {SQL_SIGNATURE}, p AS (SELECT a.stream_id, b.seq AS first, a.seq AS second, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq < a.seq) SELECT * FROM p WHERE bits <= 80""",
 )
 def hamming_pairs(spark, d):
-    """Distances of the frames of a stream that are at most five apart."""
-    s = signatures(spark, d).select("stream_id", "seq", sig.parse(F.col("signature")).alias("w"))
-    past = F.collect_list(F.struct("seq", "w")).over(Window.partitionBy("stream_id").orderBy("seq").rowsBetween(-5, -1))
-    t = s.withColumn("past", past).select("stream_id", "seq", "w", F.explode("past").alias("p"))
-    return t.select("stream_id", F.col("p.seq").alias("first"), F.col("seq").alias("second"), sig.distance(F.col("w"), F.col("p.w")).alias("bits"))
+    """Pairs of frames of a stream whose signatures differ in at most 80 bits."""
+    return sig.pairs_within(signatures(spark, d), "stream_id", "seq", 80)
 
 
 @query(
@@ -198,35 +195,25 @@ def stft(spark, d):
     return t.select("channel", "frame", F.col("band").cast("long").alias("band"), F.round("level", 6).alias("level"))
 
 
-SQL_RATES = f"""{SQL_PIXELS}, rates AS (SELECT stream_id, seq AS o, 0.5::DOUBLE + 1.5::DOUBLE * (avg(v) / 255) AS rate FROM pixels GROUP BY stream_id, seq),
+SQL_RATES = f"""{SQL_PLANES}, rates AS (SELECT stream_id, seq AS o, 0.5::DOUBLE + 1.5::DOUBLE * (avg(v) / 255) AS rate FROM planes WHERE plane = 0 GROUP BY stream_id, seq),
 spans AS (SELECT stream_id, o, rate, coalesce(sum(rate) OVER (PARTITION BY stream_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0, sum(rate) OVER (PARTITION BY stream_id ORDER BY o) AS t1 FROM rates),
-pieces AS (SELECT s.stream_id, o, rate, f.seq, f.pos, f.v, n.v AS nv, greatest(f.seq, t0) AS a, least(f.seq + 1, t1) AS b FROM spans s JOIN pixels f ON f.stream_id = s.stream_id AND f.seq < t1 AND f.seq + 1 > t0
-  LEFT JOIN pixels n ON n.stream_id = f.stream_id AND n.seq = f.seq + 1 AND n.pos = f.pos),
-sums AS (SELECT stream_id, o, pos, sum(v * (1 - (a - seq)) * (b - a) / rate + coalesce(nv, 16) * CASE WHEN (a - seq) * (b - a) / rate > 1e-5 THEN (a - seq) * (b - a) / rate ELSE 0 END) + greatest(0, 1 - sum((b - a) / rate)) * 16 AS v FROM pieces GROUP BY stream_id, o, pos)"""
+pieces AS (SELECT s.stream_id, o, rate, f.seq, f.plane, f.pos, f.v, n.v AS nv, CASE f.plane WHEN 0 THEN 16 ELSE 128 END AS fill, greatest(f.seq, t0) AS a, least(f.seq + 1, t1) AS b FROM spans s JOIN planes f ON f.stream_id = s.stream_id AND f.seq < t1 AND f.seq + 1 > t0
+  LEFT JOIN planes n ON n.stream_id = f.stream_id AND n.seq = f.seq + 1 AND n.plane = f.plane AND n.pos = f.pos),
+sums AS (SELECT stream_id, o, plane, pos, sum(v * (1 - (a - seq)) * (b - a) / rate + coalesce(nv, fill) * CASE WHEN (a - seq) * (b - a) / rate > 1e-5 THEN (a - seq) * (b - a) / rate ELSE 0 END) + greatest(0, 1 - sum((b - a) / rate)) * any_value(fill) AS s FROM pieces GROUP BY stream_id, o, plane, pos),
+f AS (SELECT stream_id, o AS seq, plane, pos, CAST(floor(greatest(16, least(240, round(s, 6)))) AS INTEGER) AS v FROM sums)"""
 
 
-@query("timebend_rate", f"WITH {SQL_RATES} SELECT stream_id, o AS seq, string_agg(CAST(floor(greatest(16, least(240, round(v, 6)))) AS INTEGER), ',' ORDER BY pos) AS px FROM sums GROUP BY stream_id, o")
+@query("timebend_rate", f"WITH {SQL_RATES} {ROWS} FROM f {PLANE}")
 def timebend_rate(spark, d):
     """Time-bend at a rate for each output frame, taken from the brightness of the frame of that number.
 
     Output o lasts one unit and takes in rate(o) units of input, so the running sum of the rates cuts the input.
     """
-    f = frames(spark, d)
-    nxt = F.coalesce(F.lead("px").over(Window.partitionBy("stream_id").orderBy("seq")), F.transform("px", lambda _: F.lit(16)))
-    mean = F.aggregate("px", F.lit(0).cast("long"), lambda s, x: s + x) / F.size("px") / 255
-    rates = f.select("stream_id", F.col("seq").alias("o"), (0.5 + 1.5 * mean).alias("rate"))
+    f = planar(spark, d)
+    rates = planes.info(f).select("stream_id", F.col("seq").alias("o"), (0.5 + 1.5 * F.col("raw_Y_average")).alias("rate"))
     w = Window.partitionBy("stream_id").orderBy("o")
     spans = rates.withColumns({"t0": F.coalesce(F.sum("rate").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "t1": F.sum("rate").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    spans = spans.withColumn("at", F.explode(F.sequence(F.floor("t0"), F.ceil("t1") - 1)))
-    p = spans.join(f.withColumn("nx", nxt), (spans["stream_id"] == f["stream_id"]) & (F.col("at") == F.col("seq"))).drop(f["stream_id"])
-    a, b = F.greatest(F.col("seq").cast("double"), F.col("t0")), F.least(F.col("seq") + 1.0, F.col("t1"))
-    p = p.withColumns({"a": a, "need": (b - a) / F.col("rate")}).where("need > 0")
-    late = (F.col("a") - F.col("seq")) * F.col("need")
-    p = p.withColumns({"p": (1 - (F.col("a") - F.col("seq"))) * F.col("need"), "c": F.when(late > 1e-5, late).otherwise(0.0)})
-    sums = [F.sum(F.element_at("px", i + 1) * F.col("p") + F.element_at("nx", i + 1) * F.col("c")).alias(f"_{i}") for i in range(64)]
-    g = p.groupBy("stream_id", F.col("o").alias("out")).agg(F.greatest(F.lit(0.0), 1 - F.sum("need")).alias("left"), *sums)
-    cell = lambda i: F.floor(F.greatest(F.lit(16.0), F.least(F.lit(240.0), F.round(F.col(f"_{i}") + F.col("left") * 16, 6)))).cast("int").cast("string")
-    return g.select("stream_id", F.col("out").alias("seq"), F.concat_ws(",", *[cell(i) for i in range(64)]).alias("px"))
+    return rows(planes.bent(f, spans))
 
 
 @query("series_translate")
