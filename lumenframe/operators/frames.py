@@ -1,9 +1,4 @@
-"""Operators on packed planes (arrays of byte values) and on streams of frames.
-
-Stateless operators are array expressions: they stay in one stage and shuffle nothing. Operators with memory partition by
-stream and order by seq; what they remember is a row, a count of rows or a group of rows, so a window or an aggregate of
-arrays carries it without exploding pixels.
-"""
+"""Values of planes as column expressions, and graphs over streams of frames; whole frames are in ``planes``."""
 
 from __future__ import annotations
 
@@ -43,114 +38,6 @@ def clamp(x: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def delta(frames: DataFrame) -> DataFrame:
-    """Difference to the frame before, around 128 and clamped to a byte; a stream's first frame gives 128 throughout."""
-    before = F.coalesce(F.lag("px").over(by_stream()), F.col("px"))
-    return frames.withColumn("px", F.zip_with("px", before, lambda a, b: clamp(a - b + 128, 0, 255)))
-
-
-def merge(frames: DataFrame, n: int, width: int) -> DataFrame:
-    """Mean of every n frames by pixel, truncated. A stream's last, shorter group is still divided by n."""
-    group = F.floor(F.col("seq") / n).cast("long")
-    sums = [F.sum(F.element_at("px", i + 1)).alias(f"_{i}") for i in range(width)]
-    summed = frames.groupBy("stream_id", group.alias("seq")).agg(*sums)
-    return summed.select("stream_id", "seq", F.array(*[F.floor(F.col(f"_{i}") / n).cast("int") for i in range(width)]).alias("px"))
-
-
-def equalise(px: Column) -> Column:
-    """Cumulative histogram as a lookup, value 0 to 16 and value 255 to 235. A plane of one value, where that is 0 / 0, gives 16."""
-    n = F.size(px)
-    upto = lambda v: F.size(F.filter(px, lambda x: x <= v)) * 255.0 / n
-    low = upto(F.lit(0))
-    scaled = lambda v: F.when(low < 255, (upto(v) - low) / (255 - low) * 219 + 16).otherwise(16)
-    return F.transform(px, lambda v: F.floor(F.greatest(F.lit(16.0), F.least(F.lit(235.0), scaled(v)))).cast("int"))
-
-
-def centre(px: Column, width: int, height: int) -> tuple[Column, Column]:
-    """(cx, cy): first column and row at which the running total reaches half of the plane's, halves rounded down."""
-    half = F.floor(total(px) / 2)
-
-    def first(count: int, index) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: total(F.filter(px, lambda v, p: index(p) <= i)))
-        return (F.array_position(F.transform(sums, lambda s: s >= half), True) - 1).cast("int")
-
-    return first(width, lambda p: p % width), first(height, lambda p: F.floor(p / width))
-
-
-def shifted(px: Column, width: int, height: int, cx: Column, cy: Column, fill: int) -> Column:
-    """The plane pasted at (width - cx, height - cy) of a canvas of twice its sides."""
-    cells = F.sequence(F.lit(0), F.lit(4 * width * height - 1))
-
-    def at(p: Column) -> Column:
-        x = p % (2 * width) - (width - cx)
-        y = F.floor(p / (2 * width)) - (height - cy)
-        inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
-        return F.when(inside, F.element_at(px, F.when(inside, y * width + x + 1).otherwise(1).cast("int"))).otherwise(fill)
-
-    return F.transform(cells, at)
-
-
-def sub_window(px: Column, width: int, x0: int, y0: int, w: int, h: int) -> Column:
-    """The rectangle at (x0, y0) as a plane of its own."""
-    return F.flatten(F.array(*[F.slice(px, (y0 + r) * width + x0 + 1, w) for r in range(h)]))
-
-
-def area_scale(px: Column, width: int, height: int, w: int, h: int) -> Column:
-    """Box scaling of a plane: every output pixel is the overlap-weighted mean of the input, truncated."""
-
-    def overlap(i: int, o: int, n: int, m: int) -> float:
-        s = n / m
-        return max(0.0, min(i + 1, (o + 1) * s) - max(i, o * s)) / s
-
-    cells = []
-    for oy in range(h):
-        for ox in range(w):
-            terms = [
-                F.element_at(px, y * width + x + 1) * (a * b)
-                for y in range(height)
-                if (a := overlap(y, oy, height, h)) > 0
-                for x in range(width)
-                if (b := overlap(x, ox, width, w)) > 0
-            ]
-            cells.append(F.floor(F.round(sum(terms[1:], terms[0]), 9)).cast("int"))
-    return F.array(*cells)
-
-
-def upsample(px: Column, width: int, xs: int, ys: int) -> Column:
-    """Nearest-neighbour enlargement of a plane by whole factors."""
-    height = F.floor(F.size(px) / width)
-    cells = F.sequence(F.lit(0), F.size(px) * xs * ys - 1)
-    at = lambda p: F.floor(F.floor(p / (width * xs)) / ys) * width + F.floor((p % (width * xs)) / xs) + 1
-    return F.when(height > 0, F.transform(cells, lambda p: F.element_at(px, at(p).cast("int"))))
-
-
-def downsample(px: Column, width: int, height: int, xs: int, ys: int) -> Column:
-    """Mean of xs by ys boxes, clamped to a byte and truncated."""
-    cells = []
-    for y in range(height // ys):
-        for x in range(width // xs):
-            terms = [F.element_at(px, (y * ys + j) * width + x * xs + i + 1) for j in range(ys) for i in range(xs)]
-            cells.append(F.floor(clamp(sum(terms[1:], terms[0]) / (xs * ys), 0, 255)).cast("int"))
-    return F.array(*cells)
-
-
-def draw(px: Column, width: int, points: Column, value: int) -> Column:
-    """Set the pixels whose raster positions are in the array ``points``."""
-    return F.transform(px, lambda v, p: F.when(F.array_contains(points, p), value).otherwise(v))
-
-
-def line_points(x0: int, y0: int, x1: int, y1: int, width: int, height: int) -> list[int]:
-    """Raster positions of the line between two points, ends included, clipped to the plane: one step along the longer axis each, the other rounded half up."""
-    n = max(abs(x1 - x0), abs(y1 - y0))
-    out = []
-    for i in range(n + 1):
-        x = x0 + ((x1 - x0) * i * 2 + n) // (2 * n) if n else x0
-        y = y0 + ((y1 - y0) * i * 2 + n) // (2 * n) if n else y0
-        if 0 <= x < width and 0 <= y < height:
-            out.append(y * width + x)
-    return out
-
-
 def scrolled(frames: DataFrame, value: Column, width: int) -> DataFrame:
     """The last ``width`` values as a plot row, newest last, older columns to the left."""
     w = by_stream().rowsBetween(-(width - 1), 0)

@@ -249,14 +249,14 @@ def line(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
     """Pixels of the line between two points, both included.
 
     One step along the longer axis each, from its low end (vertical at a tie). With n steps there and m across, the other
-    axis has moved (m i - (n + m) div 2) div n + 1 pixels after step i.
+    axis has moved (m i - (n + m) div 2) div n + 1 pixels after step i > 0.
     """
     across = abs(x1 - x0) > abs(y1 - y0)
     (a0, b0), (a1, b1) = ((x0, y0), (x1, y1)) if across else ((y0, x0), (y1, x1))
     if a1 < a0:
         a0, b0, a1, b1 = a1, b1, a0, b0
     n, m, way = a1 - a0, abs(b1 - b0), 1 if b1 >= b0 else -1
-    moved = [(m * i - (n + m) // 2) // n + 1 if n else 0 for i in range(n + 1)]
+    moved = [(m * i - (n + m) // 2) // n + 1 if i else 0 for i in range(n + 1)]
     return [(a0 + i, b0 + way * k) if across else (b0 + way * k, a0 + i) for i, k in enumerate(moved)]
 
 

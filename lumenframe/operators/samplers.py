@@ -1,7 +1,6 @@
 """Samplers: a plane flattened to a signal by a fixed permutation of its pixels, or by means over spiral cells.
 
-A map from pixels to signal depends on the size of the plane alone. It is made once on the driver, bounded by the pixels of
-one frame, and stands in the plan as a literal, so sampling is a projection.
+A map from pixels to signal depends on the size of the plane alone; ``planes.sampled`` makes it once in each task.
 """
 
 from __future__ import annotations
@@ -9,8 +8,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def raster(width: int, height: int) -> list[int]:
@@ -74,26 +71,11 @@ def spiral(width: int, height: int, a_rate: float = 1.0, r_rate: float = 1.0, ar
     return cells
 
 
-REGISTRY = {"raster": raster, "weave": weave, "zigzag": zigzag, "spiral": spiral}
-
-
-def unit(x: Column) -> Column:
-    return (x - 128) / 128.0
-
-
-def permuted(px: Column, order: list[int]) -> Column:
-    """The plane's values in sampler order, a byte as -1 .. 1."""
-    return F.transform(F.array(*[F.lit(p + 1) for p in order]), lambda p: unit(F.element_at(px, p)))
-
-
-def averaged(px: Column, cells: list[list[int]]) -> Column:
-    """Means over cells; an empty cell is 0."""
-    means = [F.lit(0.0) if not c else sum((F.element_at(px, p + 1) for p in c[1:]), F.element_at(px, c[0] + 1)) / float(len(c)) for c in cells]
-    return F.array(*[unit(m) if c else m for m, c in zip(means, cells, strict=True)])
-
-
-def sample(px: Column, name: str, width: int, height: int, **params) -> Column:
+def named(name: str):
+    """The sampler of that name."""
     if name not in REGISTRY:
         raise ValueError(f"no sampler is named {name}")
-    made = REGISTRY[name](width, height, **params)
-    return averaged(px, made) if name == "spiral" else permuted(px, made)
+    return REGISTRY[name]
+
+
+REGISTRY = {"raster": raster, "weave": weave, "zigzag": zigzag, "spiral": spiral}

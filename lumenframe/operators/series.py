@@ -7,6 +7,9 @@ equi-joins on buckets of the axis.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,43 +42,37 @@ def lookahead(v: Column, how: str, width: int, key: str = "user_id", order: str
 def decayed(df: DataFrame, rate: float, v: str = "v", out: str = "out", value: float = 0.0, scale: float = 1.0, key: str = "user_id") -> DataFrame:
     """Add the running decayed mean: value = value * rate + x, scale = scale * rate + 1, value / scale, from the given start.
 
-    Series are folded in blocks of ``BLOCK`` rows whatever their length. ``rate`` must make BLOCK steps vanish.
+    Series are folded in blocks of ``BLOCK`` rows, or as many more as ``rate`` needs to vanish over a block; from 0 up to, but
+    not at, 1.
     """
-    if rate**BLOCK > 1e-18:
-        raise ValueError("the rate decays too slowly for blocks of this length")
-    block = F.floor(F.col("i") / BLOCK)
-    packed = df.withColumn("_b", block).groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("i", F.col(v).alias("x"), F.struct(*df.columns).alias("row")))).alias("xs"))
-    step = lambda s, e: F.struct((s["a"] * rate + e["x"]).alias("a"), (s["s"] * rate + 1).alias("s"))
-    start = lambda a, s: F.struct(F.lit(a).cast("double").alias("a"), F.lit(s).cast("double").alias("s"))
-    first = F.col("_b") == 0
-    tail = F.aggregate("xs", F.when(first, start(value, scale)).otherwise(start(0.0, 0.0)), step)
-    packed = packed.withColumn("_tail", tail)
+    if not 0 <= rate < 1:
+        raise ValueError("the rate must be at least 0 and under 1")
+    length = max(BLOCK, math.ceil(41.5 / -math.log(rate))) if rate else BLOCK
+    packed = df.withColumn("_b", F.floor(F.col("i") / length)).groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("i", F.col(v).cast("double").alias("x"), F.struct(*df.columns).alias("row")))).alias("xs"))
+
+    @F.pandas_udf("struct<a:double,s:double>")
+    def tail(xs: pd.Series, first: pd.Series) -> pd.DataFrame:
+        ends = [_fold(x, rate, *((value, scale) if f else (0.0, 0.0)))[-1] for x, f in zip(xs, first, strict=True)]
+        return pd.DataFrame(ends, columns=["a", "s"])
+
+    @F.pandas_udf("array<double>")
+    def states(xs: pd.Series, a: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([[p / q for p, q in _fold(x, rate, a0, s0)] for x, a0, s0 in zip(xs, a, s, strict=True)])
+
+    packed = packed.withColumn("_x", F.col("xs.x"))
+    packed = packed.withColumn("_tail", tail("_x", F.col("_b") == 0))
     carry = F.lag("_tail").over(Window.partitionBy(key).orderBy("_b"))
-    packed = packed.withColumn("_from", F.coalesce(carry, start(value, scale)))
-    # the states of a block, newest last, each from the one before
-    grow = lambda acc, e: F.concat(acc, F.array(step(F.element_at(acc, -1), e)))
-    states = F.aggregate("xs", F.array(F.col("_from")), grow)
-    zipped = F.arrays_zip("xs", F.slice(states, 2, BLOCK).alias("st"))
-    rows_ = packed.select(F.explode(zipped).alias("z"))
-    return rows_.select("z.xs.row.*", (F.col("z.st.a") / F.col("z.st.s")).alias(out))
-
+    packed = packed.withColumns({"_a": F.coalesce(carry["a"], F.lit(float(value))), "_s": F.coalesce(carry["s"], F.lit(float(scale)))})
+    rows_ = packed.select(F.explode(F.arrays_zip("xs", states("_x", "_a", "_s").alias("st"))).alias("z"))
+    return rows_.select("z.xs.row.*", F.col("z.st").alias(out))
 
-def bent(df: DataFrame, rate: float, fill: float) -> DataFrame:
-    """Time-bend (key, seq, px) at a fixed rate: output o blends the frames that pass while its unit of time runs.
 
-    A frame fades into the next one over a unit of input time. An output boundary cuts the unit; every piece weighs the
-    fade where it begins. The frame after a stream's last is ``fill``. Returns (stream_id, out, p, c, px, nx): a row for each piece with the weights of its frame and the next.
-    """
-    nxt = F.coalesce(F.lead("px").over(Window.partitionBy("stream_id").orderBy("seq")), F.transform("px", lambda _: F.lit(int(fill))))
-    first = F.floor(F.round(F.col("seq") / rate, 9)).cast("long")
-    final = (F.ceil(F.round((F.col("seq") + 1) / rate, 9)) - 1).cast("long")
-    t = df.withColumns({"nx": nxt, "out": F.explode(F.sequence(first, F.greatest(first, final)))})
-    begin = F.greatest(F.col("seq").cast("double"), F.col("out") * rate)
-    end = F.least(F.col("seq") + 1.0, (F.col("out") + 1) * rate)
-    need = F.greatest((end - begin) / rate, F.lit(0.0))
-    left = 1 - (begin - F.col("seq"))
-    c = (1 - left) * need
-    return t.select("stream_id", "out", (left * need).alias("p"), F.when(c > 1e-5, c).otherwise(0.0).alias("c"), "px", "nx")
+def _fold(xs, rate: float, a: float, s: float) -> list[tuple[float, float]]:
+    out = []
+    for x in xs:
+        a, s = a * rate + x, s * rate + 1
+        out.append((a, s))
+    return out
 
 
 def kernel_area(coefs: list[float], x: Column) -> Column:
@@ -89,19 +86,24 @@ def kernel_area(coefs: list[float], x: Column) -> Column:
 
 
 def pitch_convolve(df: DataFrame, kernels: tuple[list[float], ...], prescale: float = 1.0, linear: bool = False, key: str = "user_id") -> DataFrame:
-    """Convolve (key, i, v), v > 0, with a kernel whose axis runs at 1 / v: fast samples pass it quickly.
+    """Convolve (key, i, v), v >= 0, with a kernel whose axis runs at 1 / v: fast samples pass it quickly, one of zero takes half the kernel.
 
     A sample is the interval [T, T + 1 / v) of the axis, T the sum of 1 / v before it. At home sample h the kernel lies on
     [T_h - centre + 1 / (2 v_h), + width]. Three kernels apply to samples under, at and over the home value. The overlap
-    join goes by buckets of the kernel's width.
+    join goes by buckets of the kernel's width. However long a sample is, only its ends and its middle are in reach of a kernel,
+    its own or a neighbour's, so it stands in a few buckets.
     """
     kernels = kernels if len(kernels) == 3 else kernels * 3
     width = len(kernels[0]) - 1
-    step = 1 / F.col("v")
+    step = F.when(F.abs("v") < 1e-5, width / 2).otherwise(1 / F.when(F.abs("v") >= 1e-5, F.col("v")))
     w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     t = df.withColumns({"sa": step, "t": F.coalesce(F.sum(step).over(w), F.lit(0.0))})
     bucket = lambda x: F.floor(x / width)
-    samples = t.select(F.col(key), F.col("i").alias("p"), F.col("v").alias("pv"), F.col("t").alias("pt"), "sa", F.explode(F.sequence(bucket(F.col("t")), bucket(F.col("t") + F.col("sa")))).alias("_b"))
+    between = lambda x, y: F.sequence(bucket(x), bucket(y))
+    begin, end, half = F.col("t"), F.col("t") + F.col("sa"), F.col("t") + F.col("sa") / 2
+    reach = F.array_distinct(F.concat(between(begin, begin + width), between(half - width / 2, half + width / 2), between(end - width, end)))
+    reach = F.when(F.col("sa") <= 3 * width, between(begin, end)).otherwise(reach)
+    samples = t.select(F.col(key), F.col("i").alias("p"), F.col("v").alias("pv"), F.col("t").alias("pt"), "sa", F.explode(reach).alias("_b"))
     low = F.col("t") - width / 2 + F.col("sa") / 2
     homes = t.select(F.col(key), "i", "v", low.alias("low"), F.explode(F.sequence(bucket(low), bucket(low + width))).alias("_b"))
     pairs = homes.join(samples, [key, "_b"])

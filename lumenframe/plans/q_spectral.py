@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from lumenframe.operators import planes, samplers, spectral
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query
-from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, planar, series
+from lumenframe.sources import y4m
+from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, numbered, planar, series
+from lumenframe.streaming import run
 
 
 def _text(a, digits: int = 7):
@@ -25,7 +29,7 @@ def luma(spark, d, order, cells: bool = False):
 def _sampler(name: str, order: str):
     @query(f"sampler_{name}", f"WITH {SQL_PIXELS} SELECT stream_id, seq, string_agg(printf('%.7f', (v - 128) / 128.0::DOUBLE), ',' ORDER BY {order}) AS signal FROM pixels GROUP BY stream_id, seq")
     def run(spark, d):
-        return luma(spark, d, samplers.REGISTRY[name]).select("stream_id", "seq", _text("signal").alias("signal"))
+        return luma(spark, d, samplers.named(name)).select("stream_id", "seq", _text("signal").alias("signal"))
 
 
 _sampler("raster", "pos")
@@ -162,6 +166,22 @@ def signature_nearest(spark, d):
     return sig.nearest_before(signatures(spark, d), "stream_id", "seq").select("stream_id", "seq", "nearest", "bits")
 
 
+@query(
+    "y4m_signature_nearest",
+    f"""WITH {SQL_SIGNATURE}, p AS (SELECT a.stream_id, a.seq, b.seq AS other, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq < a.seq)
+SELECT CAST(stream_id AS VARCHAR) AS stream_id, seq, arg_min(other, CAST(bits AS BIGINT) * 1000000000 + other) AS nearest, min(bits) AS bits FROM p GROUP BY stream_id, seq""",
+)
+def y4m_signature_nearest(spark, d):
+    """From files to neighbours: streams written as YUV4MPEG2, scanned, sampled, transformed, normalised by their profile, signed and compared."""
+    path = f"{run.folder(spark)}/y4m-{uuid.uuid4().hex}"
+    y4m.write(planar(spark, d).withColumn("stream_id", F.col("stream_id").cast("string")), path)
+    spark.dataSource.register(y4m.Y4mSource)
+    f = planes.sampled(spark.read.format("y4m").load(path), samplers.raster).select("stream_id", "seq", F.col("signals")[0].alias("signal"))
+    s = f.select("stream_id", "seq", spectral.magnitudes()("signal").alias("spectrum"))
+    norm = s.join(spectral.packed_baseline(s, "stream_id"), "stream_id").select("stream_id", "seq", spectral.normalised(F.col("spectrum"), F.col("baseline")).alias("norm"))
+    return sig.nearest_before(norm.select("stream_id", "seq", spectral.signatures(7)("norm").alias("signature")), "stream_id", "seq").select("stream_id", "seq", "nearest", "bits")
+
+
 @query(
     "hamming_pairs",
     f"""WITH {SQL_SIGNATURE}, p AS (SELECT a.stream_id, b.seq AS first, a.seq AS second, {XOR} AS bits FROM signatures a JOIN signatures b ON a.stream_id = b.stream_id AND b.seq < a.seq) SELECT * FROM p WHERE bits <= 80""",
@@ -183,8 +203,8 @@ SELECT channel, frame, (k - 1) // 4 AS band, round(avg(m), 6) AS level FROM m GR
 def stft(spark, d):
     """Spectra of half-overlapping, windowed frames of 64 values for each event type, averaged by four bins."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    s = e.select(F.col("event_type").alias("channel"), i.cast("long").alias("i"), F.col("value").alias("v"))
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    s = numbered(e, "event_type", day, ["ts", "event_id"]).select(F.col("event_type").alias("channel"), F.col("seq").alias("i"), F.col("value").alias("v"))
     b = s.groupBy("channel", F.floor(F.col("i") / 32).alias("frame")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x"))
     nxt = F.lead(F.col("x.v")).over(Window.partitionBy("channel").orderBy("frame"))
     f = b.select("channel", "frame", F.concat(F.col("x.v"), nxt).alias("signal")).where(F.size("signal") == 64)

@@ -182,14 +182,20 @@ class Y4mSource(DataSource):
 
 
 def write(frames, path: str) -> None:
-    """Write (stream_id, seq, parms, y, cb, cr) as one file for each stream under ``path``; a stream goes through one task in order."""
+    """Write (stream_id, seq, parms, y, cb, cr) as one file for each stream under ``path``; a stream goes through one task in order.
+
+    The first frame's parameters head the file; a later frame carries those of its own that differ. A task writes under a
+    name of its attempt, and the driver gives the files of the attempts that succeeded their names, so a task that runs
+    again spoils nothing.
+    """
+    import uuid
 
     def run(batches):
         import pyarrow as pa
 
         fs, root = _filesystem(path)
-        fs.create_dir(root, recursive=True)
-        name = out = None
+        temp = f"{root}/_temporary/{uuid.uuid4().hex}"
+        name = out = head = None
         done = []
         for b in batches:
             for r in b.to_pylist():
@@ -197,17 +203,25 @@ def write(frames, path: str) -> None:
                 if r["stream_id"] != name:
                     if out is not None:
                         out.close()
-                    name = r["stream_id"]
-                    done.append(name)
-                    out = fs.open_output_stream(f"{root}/{name}.y4m", compression=None)
-                    out.write(MAGIC + format_params(parms).encode() + b"\n")
-                out.write(FRAME + b"\n" + r["y"] + r["cb"] + r["cr"])
+                    name, head = r["stream_id"], parms
+                    fs.create_dir(temp, recursive=True)
+                    done.append((name, f"{temp}/{len(done)}.y4m"))
+                    out = fs.open_output_stream(done[-1][1], compression=None)
+                    out.write(MAGIC + format_params(head).encode() + b"\n")
+                own = {k: v for k, v in parms.items() if head.get(k) != v}
+                out.write(FRAME + format_params(own).encode() + b"\n" + r["y"] + r["cb"] + r["cr"])
         if out is not None:
             out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["stream_id"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], names=["stream_id", "temp"])
 
     ordered = frames.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    ordered.select("stream_id", "seq", "parms", "y", "cb", "cr").mapInArrow(run, "stream_id string").write.format("noop").mode("overwrite").save()
+    found = ordered.select("stream_id", "seq", "parms", "y", "cb", "cr").mapInArrow(run, "stream_id string, temp string").collect()  # a row for each file
+    fs, root = _filesystem(path)
+    fs.create_dir(root, recursive=True)
+    for r in found:
+        fs.move(r["temp"], f"{root}/{r['stream_id']}.y4m")
+    if found:
+        fs.delete_dir(f"{root}/_temporary")
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:

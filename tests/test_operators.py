@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import colour, parse
 from lumenframe.functions import signature as sig
-from lumenframe.operators import frames, samplers, series, spectral
+from lumenframe.operators import planes, samplers, series, spectral
 from lumenframe.plans.q_spectral import translate
 from lumenframe.sources import y4m
 
@@ -31,14 +31,14 @@ def test_resample_of_nothing_is_zeros(spark):
 
 
 def test_decay_is_a_fold_whatever_the_block(spark, monkeypatch):
-    monkeypatch.setattr(series, "BLOCK", 400)
+    monkeypatch.setattr(series, "BLOCK", 100)
     rng = random.Random(1)
-    xs = [rng.random() for _ in range(1500)]
+    xs = [rng.random() for _ in range(9000)]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(xs)], "user_id long, i long, v double")
-    got = [r.out for r in series.decayed(df, 0.9).orderBy("i").collect()]
+    got = [r.out for r in series.decayed(df, 0.99).orderBy("i").collect()]
     value, scale = 0.0, 1.0
     for x, y in zip(xs, got, strict=True):
-        value, scale = value * 0.9 + x, scale * 0.9 + 1
+        value, scale = value * 0.99 + x, scale * 0.99 + 1
         assert y == pytest.approx(value / scale)
 
 
@@ -60,19 +60,121 @@ def test_spiral_cells_are_nearest_pixels():
     assert all(len(c) <= most and not any(p % 20 in (0, 19) or p // 20 in (0, 15) for p in c) for c in cells) and cells[-1]
 
 
-def test_unknown_sampler_is_an_error(spark):
+def test_unknown_sampler_is_an_error():
     with pytest.raises(ValueError, match="no sampler"):
-        samplers.sample(F.array(F.lit(1)), "nope", 1, 1)
-
-
-def test_line_points_are_clipped_and_symmetric():
-    assert frames.line_points(0, 0, 3, 3, 4, 4) == [0, 5, 10, 15]
-    assert frames.line_points(-2, 1, 9, 1, 4, 4) == [4, 5, 6, 7]
-    assert frames.line_points(2, 2, 2, 2, 4, 4) == [10]
-
-
-def test_black_plane_equalises_to_the_floor(spark):
-    assert one(spark, frames.equalise(F.array(*[F.lit(0)] * 4))) == [16] * 4
+        samplers.named("nope")
+
+
+def walked(x0, y0, x1, y1):
+    """The line by its accumulator, a step at a time."""
+    dx, dy = x1 - x0, y1 - y0
+    steep = abs(dx) <= abs(dy)
+    a, b, n, m = (y0, x0, dy, dx) if steep else (x0, y0, dx, dy)
+    if n < 0:
+        a, b, n, m = (y1, x1, -dy, -dx) if steep else (x1, y1, -dx, -dy)
+    way, m = (-1, -m) if m < 0 else (1, m)
+    acc, out = (n + m) >> 1, []
+    for _ in range(n + 1):
+        out.append((b, a) if steep else (a, b))
+        a, acc = a + 1, acc - m
+        if acc <= 0:
+            acc, b = acc + n, b + way
+    return out
+
+
+def test_lines_follow_the_accumulator():
+    for x in range(-7, 8):
+        for y in range(-7, 8):
+            assert planes.line(2, 3, x, y) == walked(2, 3, x, y)
+    assert planes.line(1, 1, 6, 7) == [(1, 1), (2, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7)]
+
+
+PARMS = {"420": {"W": "512", "H": "512", "C": "420"}, "422": {"W": "128", "H": "96", "C": "422"}, "444": {"W": "5", "H": "3", "C": "444"}}
+
+
+def stream(spark, cs, n=4, seed=1):
+    rng = np.random.default_rng(seed)
+    raw = [[rng.integers(0, 256, s, dtype=np.uint8) for s in planes.shapes(PARMS[cs])] for _ in range(n)]
+    df = spark.createDataFrame([("s", i, PARMS[cs], *(p.tobytes() for p in f)) for i, f in enumerate(raw)], "stream_id string, seq long, parms map<string,string>, y binary, cb binary, cr binary")
+    return raw, df
+
+
+def read(df):
+    return {r.seq: [np.frombuffer(x, np.uint8).reshape(s) for x, s in zip((r.y, r.cb, r.cr), planes.shapes(r.parms), strict=True)] for r in df.collect()}
+
+
+@pytest.mark.parametrize("cs", ["420", "422", "444"])
+def test_frame_operators_on_whole_frames(spark, cs):
+    raw, df = stream(spark, cs)
+    d = read(planes.delta(df))
+    m = read(planes.merge(df, 3))
+    for k in range(3):
+        assert (d[0][k] == 128).all() and all((d[i][k] == np.clip(raw[i][k].astype(int) - raw[i - 1][k] + 128, 0, 255)).all() for i in (1, 2, 3))
+        assert (m[0][k] == sum(f[k].astype(int) for f in raw[:3]) // 3).all() and (m[1][k] == raw[3][k] // 3).all()
+    info = planes.info(df).where("seq = 2").first()
+    for name, p in zip(("Y", "Cb", "Cr"), raw[2], strict=True):
+        x = p.astype(float)
+        want = (x.mean() / 255, x.min() / 255, x.max() / 255, x.std() / 255, math.sqrt(x.var() + (x.mean() - x.min()) ** 2) / 255)
+        assert [info[f"raw_{name}_{f}"] for f in planes.INFO] == pytest.approx(list(want))
+    assert all((a == b).all() for i, f in read(planes.from_float(planes.to_float(df))).items() for a, b in zip(f, raw[i], strict=True))
+    same = read(planes.scale(df, int(PARMS[cs]["W"]), int(PARMS[cs]["H"])))
+    assert all((a == b).all() for i, f in same.items() for a, b in zip(f, raw[i], strict=True))
+    bent = read(planes.bent(df, planes.fixed_spans(df, 1.0)))
+    assert all((a == np.clip(b, 16, 240)).all() for i, f in bent.items() for a, b in zip(f, raw[i], strict=True))
+
+
+def test_centre_and_equalise_on_whole_frames(spark):
+    raw, df = stream(spark, "420", 1)
+    r = planes.centre(df).first()
+    half, x = int(raw[0][0].sum(dtype=np.int64)) // 2, raw[0][0].astype(np.int64)
+    assert x[:, : r.cx + 1].sum() >= half > x[:, : r.cx].sum() and x[: r.cy + 1].sum() >= half > x[: r.cy].sum()
+    big = read(planes.centred(df))[0]
+    assert [p.shape for p in big] == [(1024, 1024), (512, 512), (512, 512)]
+    assert (big[0][512 - r.cy :, 512 - r.cx :][:512, :512] == raw[0][0]).all() and big[0][0, 0] == 16 and big[1][0, 0] == 128
+    black = df.withColumn("y", F.unhex(F.repeat(F.lit("00"), 512 * 512)))
+    assert (read(planes.equalise(black))[0][0] == 16).all()
+    assert (read(planes.equalise(df))[0][0].min(), read(planes.equalise(df))[0][0].max()) == (16, 235)
+
+
+def test_samplers_on_whole_frames(spark):
+    raw, df = stream(spark, "422", 1)
+    got = planes.sampled(df, samplers.zigzag).first()["signals"]
+    for p, signal in zip(raw[0], got, strict=True):
+        h, w = p.shape
+        assert signal == pytest.approx(((p.ravel()[samplers.zigzag(w, h)] - 128.0) / 128).tolist())
+    cells = lambda w, h: [[0, w], [], [w * h - 1]]
+    got = planes.sampled(df, cells, True).first()["signals"]
+    assert got[0] == pytest.approx([((raw[0][0][0, 0] / 2 + raw[0][0][1, 0] / 2) - 128) / 128, 0, (raw[0][0][-1, -1] - 128.0) / 128])
+
+
+def test_nearest_signature_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sig, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = [(s, i, "".join(rng.choice("01") for _ in range(256))) for s in ("a", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, signature string").repartition(3)
+    gap = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    of = {(s, i): t for s, i, t in rows}
+    got = {(r.stream_id, r.seq): (r.bits, r.nearest) for r in sig.nearest_before(df, "stream_id", "seq").collect()}
+    assert got == {(s, i): min((gap(t, of[s, j]), j) for j in range(i)) for s, i, t in rows if i}
+    pairs = {(r.stream_id, r.first, r.second): r.bits for r in sig.pairs_within(df, "stream_id", "seq", 115).collect()}
+    assert pairs == {(s, j, i): g for s, i, t in rows for j in range(i) if (g := gap(t, of[s, j])) <= 115}
+
+
+def test_zeros_and_slow_samples_convolve(spark):
+    rng = random.Random(6)
+    v = [rng.choice([0.0, 1e-4, 0.3, 1.0, 2.5]) for _ in range(50)]
+    kernel, width = [0.0, 0.25, 0.5, 0.25, 0.0], 4
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "user_id long, i long, v double")
+    got = [r.out for r in series.pitch_convolve(df, (kernel,), 1.0, True).orderBy("i").collect()]
+    area = lambda x: np.trapezoid(np.interp(t := np.linspace(0, x, 4001), range(5), kernel), t)
+    length = [width / 2 if x < 1e-5 else 1 / x for x in v]
+    starts = np.concatenate([[0], np.cumsum(length)])
+    for h in range(50):
+        low = starts[h] - width / 2 + length[h] / 2
+        cut = [(max(0, starts[p] - low), min(width, starts[p + 1] - low), v[p]) for p in range(50)]
+        cut = [c for c in cut if c[1] > c[0]]
+        want = width / sum(b - a for a, b, _ in cut) * sum(x * (area(b) - area(a)) for a, b, x in cut)
+        assert got[h] == pytest.approx(want, abs=1e-4)
 
 
 def test_colour_round_trip_and_specs(spark):
