@@ -75,6 +75,26 @@ def _fold(xs, rate: float, a: float, s: float) -> list[tuple[float, float]]:
     return out
 
 
+def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id") -> DataFrame:
+    """Time-bend a series (key, i, v, rate) to whole ticks of output time: (key, i, v).
+
+    The way from a value to the next takes 1 / rate of output time, the rate being that of the next value; the last value
+    stays for one such way more. A tick holds the values that pass in it, each piece at the mix where it begins. A last tick
+    that is not filled goes.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    t = df.select(key, "i", F.col(v).alias("v"), F.coalesce(F.lead(v).over(w), F.col(v)).alias("nx"), F.coalesce(F.lead(rate).over(w), F.col(rate)).alias("r"))
+    t = t.withColumn("t1", F.sum(1 / F.col("r")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("t0", F.coalesce(F.lag("t1").over(w), F.lit(0.0)))
+    total = t.groupBy(F.col(key).alias("_k")).agg(F.floor(F.max("t1") + 1e-9).alias("_n"))
+    t = t.withColumn("o", F.explode(F.sequence(F.floor("t0"), F.greatest(F.floor("t0"), F.ceil("t1") - 1))))
+    begin, end = F.greatest("t0", F.col("o").cast("double")), F.least("t1", F.col("o") + 1.0)
+    left = 1 - (begin - F.col("t0")) * F.col("r")
+    t = t.withColumn("x", (end - begin) * (F.col("v") * left + F.col("nx") * (1 - left)))
+    out = t.groupBy(key, "o").agg(F.sum("x").alias("v")).join(total, F.col(key).eqNullSafe(F.col("_k"))).where(F.col("o") < F.col("_n"))
+    return out.select(key, F.col("o").cast("long").alias("i"), "v")
+
+
 def kernel_area(coefs: list[float], x: Column) -> Column:
     """Integral from 0 to x of the piecewise-linear kernel through the coefficients at 0, 1, 2, ...; x within the kernel."""
     total, out = 0.0, None

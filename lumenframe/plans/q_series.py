@@ -76,6 +76,39 @@ def mk_timebend_rate(spark, d):
     return out(s, ("rate", F.greatest(F.lit(1.0), F.least(F.lit(50.0), 50 * power))))
 
 
+def _bent_sql(source: str) -> str:
+    return f"""(WITH a AS (SELECT user_id, i, v, coalesce(lead(v) OVER w, v) AS nx, coalesce(lead(rate) OVER w, rate) AS r FROM {source} WINDOW w AS ({BY})),
+  b AS (SELECT *, sum(1 / r) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS t1 FROM a), c AS (SELECT *, coalesce(lag(t1) OVER ({BY}), 0) AS t0, floor(max(t1) OVER (PARTITION BY user_id) + 1e-9) AS n FROM b),
+  d AS (SELECT *, unnest(range(CAST(floor(t0) AS BIGINT), greatest(CAST(floor(t0) AS BIGINT), CAST(ceil(t1) AS BIGINT) - 1) + 1)) AS o FROM c),
+  e AS (SELECT user_id, o, n, least(t1, o + 1) - greatest(t0, o) AS need, 1 - (greatest(t0, o) - t0) * r AS rest, v, nx FROM d)
+  SELECT user_id, o AS i, sum(need * (v * rest + nx * (1 - rest))) AS v FROM e WHERE o < n GROUP BY user_id, o)"""
+
+
+@query(
+    "mk_timebend",
+    f"""WITH {SQL_SERIES}, z AS (SELECT user_id, i, v / 500 AS v, avg(v / 500) OVER (PARTITION BY user_id) / 2 AS zero FROM series),
+rates AS (SELECT user_id, i, r AS v, r AS rate FROM (SELECT user_id, i, greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, zero - v))))) AS r FROM z)),
+scaled AS {_bent_sql('rates')},
+means AS (SELECT user_id, i, avg(v) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS m, 1 / v AS rate FROM scaled),
+lows AS (SELECT user_id, i, min(m) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS v, rate FROM means),
+jiffed AS {_bent_sql('lows')},
+again AS (SELECT user_id, i, v, (SELECT count(*) FROM jiffed k WHERE k.user_id = j.user_id) / (SELECT count(*) FROM rates r WHERE r.user_id = j.user_id)::DOUBLE AS rate FROM jiffed j)
+SELECT user_id, i, round(v, 6) AS rate FROM {_bent_sql('again')} x""",
+)
+def mk_timebend(spark, d):
+    """A time-bend's schedule from a user's values: rates bent by themselves, evened out, bent back, and scaled to the first length."""
+    s = series(spark, d).withColumn("v", F.col("v") / 500)
+    gap = F.avg("v").over(Window.partitionBy("user_id")) / 2 - F.col("v")
+    power = F.pow(F.lit(100.0), F.greatest(F.lit(-6.0), F.least(F.lit(0.0), gap)))
+    rates = s.select("user_id", "i", F.greatest(F.lit(1.0), F.least(F.lit(50.0), 50 * power)).alias("v"))
+    scaled = op.bent(rates.withColumn("rate", F.col("v")))
+    even = scaled.select("user_id", "i", op.lookahead(F.col("v"), "avg", 100).alias("m"), (1 / F.col("v")).alias("rate"))
+    jiffed = op.bent(even.select("user_id", "i", op.lookahead(F.col("m"), "min", 25).alias("v"), "rate"))
+    size = lambda t, n: t.groupBy(F.col("user_id").alias("_u")).agg(F.count("*").alias(n))
+    both = size(jiffed, "a").join(size(rates, "b"), "_u").select("_u", (F.col("a") / F.col("b")).alias("rate"))
+    return op.bent(jiffed.join(both, F.col("user_id") == F.col("_u")).drop("_u")).select("user_id", "i", F.round("v", 6).alias("rate"))
+
+
 @query("power_norm", f"WITH {SQL_SERIES} SELECT user_id, i, round(exp(-0.45 * power(ln(i + 1), 1.2) + 4.15), 6) AS norm, round(v / exp(-0.45 * power(ln(i + 1), 1.2) + 4.15), 6) AS scaled FROM series")
 def power_norm(spark, d):
     norm = F.exp(-0.45 * F.pow(F.ln(F.col("i") + 1), 1.2) + 4.15)
