@@ -4,8 +4,8 @@ The 64 bits are grouped into parts, correlated bits together. For a query finger
 t_i >= -1 with sum(t_i + 1) = distance + 1; any fingerprint within the distance then agrees with the query to within t_i
 bits on some part i (a part at -1 is not probed). A dynamic programme picks the thresholds of each query by the candidate
 counts that a sample of the fingerprints predicts. Probes meet the indexed fingerprints in buckets (part, value), and
-every candidate is verified on all bits. A bucket emits a spanning forest of its links, not its pairs. A bucket with more
-than ``BUCKET`` fingerprints is divided by the remaining bits, again by the pigeonhole principle, so no group is unbounded
+every candidate is verified on all bits. A bucket emits a spanning forest of its links, not its pairs. A bucket of more
+than ``BUCKET`` squared comparisons is divided by the remaining bits, again by the pigeonhole principle, so no group is unbounded
 and no link is lost.
 
 The pipeline's stage takes the fingerprints for candidates only and verifies each on the five-word shingles of the texts.
@@ -188,38 +188,42 @@ def forest(fp: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray,
 
 def pairs_of(fp: np.ndarray, own: np.ndarray, cls: np.ndarray, distance: int, step: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Index pairs within ``distance`` of different classes: all while they are at most four for each member, else the ``step`` nearest of each member; and whether some were held back."""
-    m, all_a, all_b, some_a, some_b, total, cut = len(fp), [], [], [], [], 0, False
+    m, at, all_a, all_b, some_a, some_b, total, cut = len(fp), np.flatnonzero(own < 2), [], [], [], [], 0, False
     rows = max(1, min(256, (1 << 20) // max(1, m)))
-    for lo in range(0, m, rows):
-        i, j = np.arange(lo, min(m, lo + rows))[:, None], np.arange(m)[None, :]
+    for lo in range(0, len(at), rows):
+        i, j = at[lo : lo + rows, None], np.arange(m)[None, :]
         d = np.bitwise_count(fp[i] ^ fp[j])
         ok = (d <= distance) & meets(own, i, j) & (cls[i] != cls[j])
-        x, y = np.nonzero(ok & (i < j))
+        if not ok.any():
+            continue
+        x, y = np.nonzero(ok & ((i < j) | (own[j] == 2)))
         total += len(x)
         if total <= 4 * m:
-            all_a.append(x + lo)
+            all_a.append(at[lo + x])
             all_b.append(y)
         far = np.where(ok, d, 100)
-        at = np.argsort(far, axis=1, kind="stable")[:, :step]
-        keep = np.take_along_axis(far, at, 1) < 100
+        near = np.argsort(far, axis=1, kind="stable")[:, :step]
+        keep = np.take_along_axis(far, near, 1) < 100
         cut |= bool((ok.sum(1) > step).any())
-        some_a.append(np.repeat(np.arange(lo, lo + len(at)), keep.sum(1)))
-        some_b.append(at[keep])
-    if total <= 4 * m:
-        return np.concatenate(all_a), np.concatenate(all_b), False
-    return np.concatenate(some_a), np.concatenate(some_b), cut
+        some_a.append(np.repeat(at[lo : lo + rows], keep.sum(1)))
+        some_b.append(near[keep])
+    few = total <= 4 * m
+    a, b = (all_a, all_b) if few else (some_a, some_b)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + a), np.concatenate(none + b), cut and not few
 
 
-def buckets(fps: DataFrame, ws: Workspace, distance: int, sample_rows: int = 20_000) -> list[DataFrame]:
+def buckets(fps: DataFrame, ws: Workspace, distance: int, parts: int = 4, sample_rows: int = 20_000) -> list[DataFrame]:
     """(fp, node) -> tables of (path, value, fp, own, node), whose buckets (path, value) hold all links between them.
 
-    No bucket but those of the last depth, whose members agree on all but a few bits, has more than ``BUCKET`` rows.
+    No bucket but those of the last depth, whose members agree on all but a few bits, needs more than ``BUCKET`` squared
+    comparisons of an indexed row with another.
     """
     total = fps.count()
     # bounded in expectation by sample_rows: a hash of the fingerprint chooses
     few = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(1, total)))).select("fp")
     sample = np.array([r[0] for r in few.collect()], np.int64).view(np.uint64)
-    plan = ws.spark.sparkContext.broadcast(Plan(sample, distance, total))
+    plan = ws.spark.sparkContext.broadcast(Plan(sample, distance, total, parts))
 
     def post(batches):
         for b in batches:
@@ -233,14 +237,15 @@ def buckets(fps: DataFrame, ws: Workspace, distance: int, sample_rows: int = 20_
     out = []
     for depth in range(DEPTH):
         posted = ws.write(posted, "postings")
-        size = posted.groupBy("path", "value").agg(F.count("*").alias("n"), F.max("own").alias("probed"), F.min("own").alias("held"))
-        size = ws.write(size.where("n > 1 and probed > 0 and held < 2"), "buckets")
-        live = posted.join(size.select("path", "value", "n"), ["path", "value"])
-        last = depth == DEPTH - 1 or not size.where(F.col("n") > BUCKET).limit(1).count()
-        out.append((live if last else live.where(F.col("n") <= BUCKET)).drop("n"))
+        held = F.count(F.when(F.col("own") < 2, 1))
+        size = posted.groupBy("path", "value").agg(F.count("*").alias("n"), F.max("own").alias("probed"), held.alias("held"))
+        size = ws.write(size.where("n > 1 and probed > 0 and held > 0").select("path", "value", (F.col("n") * F.col("held")).alias("work")), "buckets")
+        live = posted.join(size, ["path", "value"])
+        last = depth == DEPTH - 1 or not size.where(F.col("work") > BUCKET**2).limit(1).count()
+        out.append((live if last else live.where(F.col("work") <= BUCKET**2)).drop("work"))
         if last:
             break
-        posted = _divide(live.where(F.col("n") > BUCKET).drop("n"), plan, distance)
+        posted = _divide(live.where(F.col("work") > BUCKET**2).drop("work"), plan, distance)
     return out
 
 
@@ -430,6 +435,17 @@ def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) ->
     return ws.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
 
+def _joined(groups_: DataFrame | None, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, root) of the groups so far, put together by new edges (a, b); only edges between roots are followed."""
+    if groups_ is None:
+        return components(edges, ws)
+    for c in ("a", "b"):
+        edges = edges.join(groups_.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    new = ws.write(components(edges.where("a <> b").distinct(), ws), "joined")
+    up = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return groups_.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root")).distinct()
+
+
 def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float = 0.8) -> DataFrame:
     """(id, text), id long and distinct -> (id, root): rows of a group, joined by five-word shingle similarity of ``least`` or more, share their root.
 
@@ -438,8 +454,8 @@ def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float =
     rows = ws.write(described(docs), "described")
     nodes = ws.write(rows.groupBy("fp", "sig").agg(F.min("id").alias("node")), "nodes")
     texts = docs.select(F.col("id").alias("node"), "text")
-    tables, tasks = buckets(nodes, ws, distance), parallelism(ws.spark)
-    edges, groups_, step = [], None, 2
+    tables, tasks = buckets(nodes, ws, distance, 5), parallelism(ws.spark)
+    groups_, step = None, 2
     while True:
         def emit(path, value, fp, own, node, cls, step=step):
             a, b, more = pairs_of(fp, own, cls, distance, step)
@@ -447,14 +463,13 @@ def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float =
 
         found = ws.write(_union([_within(t, emit, tasks) for t in tables]), "candidates")
         pairs = found.where("path is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges.append(verified(ws.write(pairs, "pairs"), texts, ws, least))
-        groups_ = ws.write(components(_union(edges), ws), "groups")
+        groups_ = ws.write(_joined(groups_, verified(ws.write(pairs, "pairs"), texts, ws, least), ws), "groups")
         more = found.where("path is not null").select("path", "value")
         if not more.limit(1).count():
             break
         held = [t.join(more, ["path", "value"], "left_semi").join(groups_.select("node", F.col("root").alias("cls")), "node", "left") for t in (x.drop("cls") for x in tables)]
         tables = [ws.write(_union([t.withColumn("cls", F.coalesce("cls", "node")) for t in held]), "held")]
-        step *= 4
+        step *= 16
     named = nodes.join(groups_, "node", "left").select("fp", "sig", F.coalesce("root", "node").alias("root"))
     return rows.join(named, ["fp", "sig"]).select("id", "root")
 
