@@ -1,7 +1,7 @@
 """URL filter by a cascade of Bloom filters; built and probed with SQL functions alone.
 
-A rule is a host with a path prefix. The keys a url can match are its host suffixes at dots, each with the path prefixes
-of the lengths that the rules have. Over the complete universe of such keys, level 0 of a cascade encodes the listed
+A rule is a host with a path prefix. The keys a url can match are its host suffixes at dots, of as many labels as the rules
+have, each with the path prefixes of the lengths that the rules have. Over the complete universe of such keys, level 0 of a cascade encodes the listed
 keys, level 1 the keys of the universe that level 0 passes wrongly, level 2 the listed keys that level 1 passes, and so
 on until no key is passed wrongly. For any key of the universe membership is then exact, and judging is a projection: the
 bit arrays are literals of the plan and no join is needed. Levels over ``MOST_BITS`` are refused: the rules are then too
@@ -38,12 +38,14 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys of the host suffixes with the path prefixes of the given lengths."""
+def candidates(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """Keys of the host suffixes of ``depths`` labels with the path prefixes of ``lengths``: those that a rule can have."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fit = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(fit, lambda n: F.concat(s, F.substr(path, F.lit(1), n)))))
+    n = F.size(labels)
+    some = F.filter(F.array(*[F.lit(k) for k in depths]), lambda k: k <= n)
+    suffixes = F.transform(some, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    fit = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= F.length(path))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(fit, lambda k: F.concat(s, F.substr(path, F.lit(1), k)))))
 
 
 class Level:
@@ -105,18 +107,20 @@ def judge(pages: DataFrame, rules: DataFrame, ws: Workspace, unlisted: str = "al
     ``rules`` has host, path and verdict (allow or block). The longest rule that fits wins; a url that none fits gets
     ``unlisted``. A rule listed with both verdicts blocks.
     """
-    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("key"), F.length("path").alias("n"), (F.col("verdict") == "block").alias("block"))
-    rules = rules.groupBy("key", "n").agg(F.max("block").alias("block"))
-    lengths = sorted(r[0] for r in rules.select("n").distinct().collect())
+    rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("key"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("d"), (F.col("verdict") == "block").alias("block"))
+    rules = rules.groupBy("key", "n", "d").agg(F.max("block").alias("block"))
+    shape = rules.agg(F.sort_array(F.collect_set("n")).alias("n"), F.sort_array(F.collect_set("d")).alias("d")).first()
+    lengths, depths = shape["n"], shape["d"]
     host, path = parts(F.col("url"))
     read = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    keys = read.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key"))
+    keys = read.select(F.explode(candidates(F.col("host"), F.col("path"), lengths, depths)).alias("key"))
     every = keys.withColumn("block", F.lit(None).cast("boolean")).unionByName(rules.select("key", "block"))
     every = ws.write(every.groupBy("key").agg(F.max("block").alias("block")), "universe")  # null: not listed
     blocked, allowed = every.where("block"), every.where("not block")
     stops = Cascade(blocked, every.where("block is null or not block"), 0)
     passes = Cascade(allowed, every.where("block is null or block"), 64)
-    cands = candidates(F.col("host"), F.col("path"), lengths)
+    ws.drop(every)
+    cands = candidates(F.col("host"), F.col("path"), lengths, depths)
     hit = F.transform(cands, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), stops.has(k).alias("block"), passes.has(k).alias("allow")))
     best = F.array_max(F.filter(hit, lambda h: h["block"] | h["allow"]))
     out = read.withColumn("_best", best)
