@@ -8,6 +8,7 @@ group the pieces of an output frame; a plane is one value throughout, so neither
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,25 @@ def each(frames: DataFrame, fn: Callable) -> DataFrame:
     return mapped(frames, lambda parms, ps: (parms, [fn(p, i, parms) for i, p in enumerate(ps)], ()))
 
 
+def testcard(spark, width: int, height: int, steps: int = 256) -> DataFrame:
+    """Frames (stream_id, seq, parms, y, cb, cr) in 4:4:4: ramps from 0 to 255 along x, along y and over ``steps`` frames, dealt to the planes in all six orders."""
+    parms = {"A": "1:1", "C": "444", "F": "25:1", "H": str(height), "I": "t", "W": str(width)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.broadcast_to(np.arange(width) * 255 // max(1, width - 1), (height, width)).astype(np.uint8).tobytes()
+        y = np.broadcast_to((np.arange(height) * 255 // max(1, height - 1))[:, None], (height, width)).astype(np.uint8).tobytes()
+        for b in batches:
+            for lo in range(0, b.num_rows, 16):
+                seq = b.column("id").slice(lo, 16).to_pylist()
+                ramps = [(x, y, bytes([n % steps * 255 // max(1, steps - 1)]) * (width * height)) for n in seq]
+                orders = [list(permutations(range(3)))[n // steps] for n in seq]
+                cols = [pa.array(["testcard"] * len(seq)), pa.array(seq, pa.int64()), pa.array([list(parms.items())] * len(seq), pa.map_(pa.string(), pa.string()))]
+                cols += [pa.array([r[o[k]] for r, o in zip(ramps, orders, strict=True)], pa.binary()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(cols, names=["stream_id", "seq", "parms", *PLANES])
+
+    return spark.range(6 * steps).mapInArrow(run, "stream_id string, seq long, parms map<string,string>, y binary, cb binary, cr binary")
+
+
 def info_of(p: np.ndarray) -> tuple[float, ...]:
     """average, min, max, rms, energy over 255; rms is the population deviation, energy that around the minimum."""
     x = p.astype(float)

@@ -264,17 +264,13 @@ def lane_layout(spark, d):
 
 @query(
     "testcard_gen",
-    """SELECT CAST(f.i AS BIGINT) AS frame, CAST(k.j AS BIGINT) AS plane, min(16 + (CASE (k.j + f.i // 256) % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE f.i % 256 END) * (CASE k.j WHEN 0 THEN 219 ELSE 224 END) // 255) AS low,
-       max(16 + (CASE (k.j + f.i // 256) % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE f.i % 256 END) * (CASE k.j WHEN 0 THEN 219 ELSE 224 END) // 255) AS high
-FROM range(1536) f(i), range(3) k(j), (SELECT unnest(range(0, 256, 85)) AS x), (SELECT unnest(range(0, 256, 51)) AS y) GROUP BY f.i, k.j""",
+    """WITH o(n, a, b, c) AS (VALUES (0, 0, 1, 2), (1, 0, 2, 1), (2, 1, 0, 2), (3, 1, 2, 0), (4, 2, 0, 1), (5, 2, 1, 0)),
+f AS (SELECT i AS frame, unnest([0, 1, 2]) AS plane, unnest([a, b, c]) AS ramp FROM range(1536) t(i) JOIN o ON n = i // 256),
+cells AS (SELECT x * 255 // 63 AS vx, y * 255 // 47 AS vy FROM range(64) a(x), range(48) b(y)),
+sums AS (SELECT 0 AS ramp, min(vx) AS low, max(vx) AS high, sum(vx) AS total FROM cells UNION ALL SELECT 1, min(vy), max(vy), sum(vy) FROM cells)
+SELECT CAST(frame AS BIGINT) AS frame, plane, CAST(coalesce(low, frame % 256) AS INTEGER) AS low, CAST(coalesce(high, frame % 256) AS INTEGER) AS high, CAST(coalesce(total, frame % 256 * 3072) AS BIGINT) AS total FROM f LEFT JOIN sums USING (ramp)""",
 )
 def testcard_gen(spark, d):
-    """Ramps along x, y and time, dealt to the planes in turn every 256 frames; the lowest and highest sample of each plane."""
-    f = spark.range(1536).withColumnRenamed("id", "frame")
-    grid = F.expr("transform(sequence(0, 23), p -> named_struct('x', (p % 4) * 85, 'y', (p div 4) * 51))")
-    planes = f.select("frame", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("plane"))
-    which = (F.col("plane") + F.floor(F.col("frame") / 256)) % 3
-    top = F.when(F.col("plane") == 0, 219).otherwise(224)
-    ramp = lambda q: F.when(which == 0, q["x"]).when(which == 1, q["y"]).otherwise(F.col("frame") % 256)
-    v = F.transform(grid, lambda q: (16 + F.floor(ramp(q) * top / 255)).cast("long"))
-    return planes.select("frame", "plane", F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    """Whole test cards of 64 x 48; the lowest and highest pixel and the sum of each plane."""
+    f = planes.mapped(planes.testcard(spark, 64, 48), lambda parms, ps: (parms, ps, ([{"low": int(p.min()), "high": int(p.max()), "total": int(p.sum())} for p in ps],)), "t array<struct<low:int,high:int,total:bigint>>", planes=False)
+    return f.select(F.col("seq").alias("frame"), F.posexplode("t").alias("plane", "t")).select("frame", "plane", "t.low", "t.high", "t.total")
