@@ -95,6 +95,32 @@ def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id")
     return out.select(key, F.col("o").cast("long").alias("i"), "v")
 
 
+def translated(df: DataFrame, ticks: int, key: str = "user_id") -> DataFrame:
+    """Rates (key, i, v > 0) played onto an output clock of ``ticks`` ticks: (key, tick, value, stop).
+
+    The way from a value to the next takes 1 / v of output time; it is cut at whole ticks. A piece adds its length over the
+    area under the rates, joined by lines and falling to 0 after the last, on as long a stretch of input from where it
+    begins. ``stop`` is where the clock stands when the input ends, ``ticks`` at most.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    t = df.select(key, "i", "v", F.lead("v").over(w).alias("nx"), (F.count("*").over(Window.partitionBy(key))).alias("n"))
+    t = t.withColumn("t1", F.sum(F.when(F.col("nx").isNotNull(), 1 / F.col("v"))).over(w))
+    t = t.withColumns({"t0": F.coalesce(F.lag("t1").over(w), F.lit(0.0)), "last": F.col("nx").isNull(), "nx": F.coalesce("nx", F.lit(0.0))})
+    t = t.withColumn("c", F.coalesce(F.sum((F.col("v") + F.col("nx")) / 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    clock = F.array(*[F.struct(F.lit(o).alias("tick"), F.lit(0.0).alias("x")) for o in range(ticks)])
+    every = t.groupBy(key).agg(F.least(F.lit(float(ticks)), F.coalesce(F.max(F.when(~F.col("last"), F.col("t1"))), F.lit(0.0))).alias("stop"))
+    p = t.where(~F.col("last") & (F.col("t0") < ticks)).withColumn("tick", F.explode(F.sequence(F.floor("t0"), F.least(F.lit(ticks - 1), F.greatest(F.floor("t0"), F.ceil("t1") - 1)))))
+    a, b = F.greatest("t0", F.col("tick").cast("double")), F.least("t1", F.col("tick") + 1.0)
+    p = p.withColumns({"_l": b - a, "_f": (a - F.col("t0")) * F.col("v")}).where("_l > 0")
+    area = lambda c, v, nx, f: c + v * f + (nx - v) * f * f / 2
+    end = F.least(F.col("i") + F.col("_f") + F.col("_l"), F.col("n").cast("double"))
+    p = p.select(F.col(key).alias("_k"), "tick", "_l", area(F.col("c"), F.col("v"), F.col("nx"), F.col("_f")).alias("_from"), end.alias("_e"), F.least(F.floor(end), F.col("n") - 1).alias("_i"))
+    p = p.join(t.select(key, "i", "c", "v", "nx"), F.col("_k").eqNullSafe(F.col(key)) & (F.col("_i") == F.col("i")))
+    p = p.select(key, "tick", (F.col("_l") / (area(F.col("c"), F.col("v"), F.col("nx"), F.col("_e") - F.col("_i")) - F.col("_from"))).alias("x"))
+    full = p.unionByName(every.select(key, F.inline(clock))).groupBy(key, "tick").agg(F.sum("x").alias("value"))
+    return full.join(every, key).select(key, F.col("tick").cast("int").alias("tick"), "value", "stop")
+
+
 def kernel_area(coefs: list[float], x: Column) -> Column:
     """Integral from 0 to x of the piecewise-linear kernel through the coefficients at 0, 1, 2, ...; x within the kernel."""
     total, out = 0.0, None

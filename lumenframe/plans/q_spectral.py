@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import signature as sig
 from lumenframe.operators import planes, samplers, spectral
+from lumenframe.operators.series import translated
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query
 from lumenframe.sources import y4m
-from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, numbered, planar, series
+from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, SQL_SERIES, numbered, planar, series
 from lumenframe.streaming import run
 
 
@@ -37,13 +38,32 @@ _sampler("weave", "y * 8 + CASE WHEN y % 2 = 1 THEN 7 - x ELSE x END")
 _sampler("zigzag", "x + y, CASE WHEN (x + y) % 2 = 1 THEN y ELSE x END")
 
 
-@query("sampler_spiral")
+def _cells_sql(side: int, a: float, r: float) -> str:
+    """points (tag, px, py) of the spiral and tags (x, y, tag), the nearest point of every pixel, of equals the first."""
+    at = lambda f, x, y: f"{side // 2} + CAST(trunc({f}({x}) * ({y})) AS INTEGER)"
+    return f"""walk AS (SELECT 0 AS n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS r, {at('sin', '0.0', '1.0')} AS px, {at('cos', '0.0', '1.0')} AS py
+  UNION ALL SELECT n + 1, a + {a}::DOUBLE / r, r + {r}::DOUBLE / r, {at('sin', f'a + {a}::DOUBLE / r', f'r + {r}::DOUBLE / r')}, {at('cos', f'a + {a}::DOUBLE / r', f'r + {r}::DOUBLE / r')}
+  FROM walk WHERE px >= 0 AND px < {side} AND py >= 0 AND py <= {side}),
+moves AS (SELECT n, px, py, lag(px, 1, 0) OVER (ORDER BY n) AS lx, lag(py, 1, 0) OVER (ORDER BY n) AS ly FROM walk),
+points AS (SELECT row_number() OVER (ORDER BY n) - 1 AS tag, px, py FROM moves WHERE (px <> lx OR py <> ly) AND px >= 0 AND px < {side} AND py >= 0 AND py <= {side}),
+tags AS (SELECT x, y, arg_min(tag, ((x - px) * (x - px) + (y - py) * (y - py)) * 1000000 + tag) AS tag FROM range({side}) b(x), range({side}) c(y), points GROUP BY x, y)"""
+
+
+@query(
+    "sampler_spiral",
+    f"""WITH RECURSIVE {SQL_PIXELS}, {_cells_sql(8, 1.5, 0.6)}, sizes AS (SELECT tag, count(*) AS n FROM tags GROUP BY tag),
+kept AS (SELECT tag FROM sizes WHERE n <= 64 // (SELECT count(*) FROM points) * 4.0),
+slots AS (SELECT unnest(range((SELECT max(tag) FROM kept) + 1)) AS slot),
+means AS (SELECT stream_id, seq, t.tag, avg((v - 128) / 128.0::DOUBLE) AS m FROM pixels p JOIN tags t ON t.x = p.x AND t.y = p.y JOIN kept k ON k.tag = t.tag GROUP BY stream_id, seq, t.tag),
+every AS (SELECT stream_id, seq, slot FROM (SELECT DISTINCT stream_id, seq FROM pixels), slots)
+SELECT e.stream_id, e.seq, string_agg(printf('%.7f', round(coalesce(m, 0), 7)), ',' ORDER BY slot) AS signal FROM every e LEFT JOIN means n ON n.stream_id = e.stream_id AND n.seq = e.seq AND n.tag = slot GROUP BY e.stream_id, e.seq""",
+)
 def sampler_spiral(spark, d):
     cells = lambda w, h: samplers.spiral(w, h, a_rate=1.5, r_rate=0.6, area_limit=4.0)
     return luma(spark, d, cells, True).select("stream_id", "seq", _text("signal").alias("signal"))
 
 
-@query("voronoi_map")
+@query("voronoi_map", f"WITH RECURSIVE {_cells_sql(64, 3.0, 1.0)} SELECT x, y, CAST(tag AS INTEGER) AS tag FROM tags")
 def voronoi_map(spark, d):
     """The cell of every pixel of a 64 x 64 plane."""
     tag = samplers.nearest_tags(samplers.spiral_points(64, 64, 3.0, 1.0), 64, 64)
@@ -236,45 +256,19 @@ def timebend_rate(spark, d):
     return rows(planes.bent(f, spans))
 
 
-@query("series_translate")
+@query(
+    "series_translate",
+    f"""WITH {SQL_SERIES}, r AS (SELECT user_id, i, v / 100 + 0.5::DOUBLE AS v, lead(v / 100 + 0.5::DOUBLE) OVER w AS nx, count(*) OVER (PARTITION BY user_id) AS n FROM series WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+s AS (SELECT user_id, i, v, n, nx IS NULL AS last, coalesce(nx, 0) AS nx, sum(CASE WHEN nx IS NOT NULL THEN 1 / v END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS t1,
+  coalesce(sum((v + coalesce(nx, 0)) / 2) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
+t AS (SELECT *, coalesce(lag(t1) OVER (PARTITION BY user_id ORDER BY i), 0) AS t0 FROM s),
+p AS (SELECT user_id, i, n, o, least(t1, o + 1) - greatest(t0, o) AS l, (greatest(t0, o) - t0) * v AS f, c, v, nx FROM t JOIN range(16) k(o) ON NOT last AND o < t1 AND o + 1 > t0),
+q AS (SELECT user_id, n, o, l, c + v * f + (nx - v) * f * f / 2 AS a0, least(i + f + l, n) AS e FROM p WHERE l > 0),
+x AS (SELECT q.user_id, o, l / (t.c + t.v * (e - t.i) + (t.nx - t.v) * (e - t.i) * (e - t.i) / 2 - a0) AS x FROM q JOIN t ON t.user_id = q.user_id AND t.i = least(CAST(floor(e) AS BIGINT), q.n - 1)),
+u AS (SELECT user_id, least(16, coalesce(max(CASE WHEN NOT last THEN t1 END), 0)) AS stop FROM t GROUP BY user_id)
+SELECT u.user_id, CAST(k.o AS INTEGER) AS tick, round(coalesce(sum(x), 0), 6) AS value, round(any_value(stop), 6) AS stop FROM u CROSS JOIN range(16) k(o) LEFT JOIN x ON x.user_id = u.user_id AND x.o = k.o GROUP BY u.user_id, k.o""",
+)
 def series_translate(spark, d):
     """A user's values as rates, played onto an output clock of 16 ticks: what each tick holds and where the clock stops."""
-    s = series(spark, d).withColumn("v", F.col("v") / 100 + 0.5)
-    packed = s.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x")).select("user_id", F.col("x.v").alias("rates"))
-    t = packed.mapInPandas(_translate, "user_id long, tick int, value double, stop double")
+    t = translated(series(spark, d).withColumn("v", F.col("v") / 100 + 0.5), 16)
     return t.select("user_id", "tick", F.round("value", 6).alias("value"), F.round("stop", 6).alias("stop"))
-
-
-def translate(rates, ticks: int) -> tuple[list[float], float]:
-    """The output clock cuts the input at whole input and output positions; a piece counts by the mean rate under it."""
-    out, last, i, o = [0.0] * ticks, len(rates) - 1, 0.0, 0.0
-    while i < last and o < ticks:
-        cell, tick = int(i), int(o)
-        rate = rates[cell]
-        step = min((min(cell + 1, last) - i) / rate, min(tick + 1, ticks) - o)
-        area, at, left = 0.0, i, step
-        while left > 1e-12:
-            k = int(at)
-            part = min(left, k + 1 - at)
-            a, b = rates[k], rates[k + 1] if k + 1 < len(rates) else 0.0
-            area += part * (a + (b - a) * (at - k + part / 2))
-            at, left = at + part, left - part
-            if k + 1 >= len(rates):
-                break
-        if not area:
-            break
-        out[tick] += step / area
-        i, o = i + step * rate, o + step
-        if int(i) == cell and cell + 1 - i < 1e-9:
-            i = float(cell + 1)
-        if int(o) == tick and tick + 1 - o < 1e-9:
-            o = float(tick + 1)
-    return out, o
-
-
-def _translate(batches):
-    import pandas as pd
-
-    for b in batches:
-        rows = [(u, t, v, stop) for u, r in zip(b["user_id"], b["rates"], strict=True) for out, stop in [translate(list(r), 16)] for t, v in enumerate(out)]
-        yield pd.DataFrame(rows, columns=["user_id", "tick", "value", "stop"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, else a temporary one (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lumenframe-')}").rstrip("/")
+    """The shared folder that the cluster names; a local session without one gets a temporary folder (tests), on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or f"file://{tempfile.mkdtemp(prefix='lumenframe-')}").rstrip("/")
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,7 +26,7 @@ def sliding(events: DataFrame, length: str, step: str) -> DataFrame:
 
 def _ordered(pdfs) -> pd.DataFrame:
     """All chunks of a key in a batch, by time: a key's rows can come in several chunks and in any order."""
-    return pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
+    return pd.concat([p for p in pdfs if len(p)]).sort_values(["ts", "event_id"], kind="stable")
 
 
 def delta(events: DataFrame) -> DataFrame:

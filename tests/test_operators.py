@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lumenframe.functions import colour, parse
 from lumenframe.functions import signature as sig
 from lumenframe.operators import planes, samplers, series, spectral
-from lumenframe.plans.q_spectral import translate
 from lumenframe.sources import y4m
 
 
@@ -222,9 +221,30 @@ def test_numpipe_repeats_what_it_last_gave(spark):
     assert got == {"first": [-1, 5, 5, 5, 9], "average": [-1, 6, 6, 6, 9], "last": [-1, 7, 7, 7, 9]}
 
 
-def test_translate_at_a_constant_rate():
-    out, stop = translate([2.0] * 9, 16)
-    assert stop == pytest.approx(4) and out[:4] == pytest.approx([1.0] * 4) and not any(out[4:])
+def translate(rates, ticks):
+    """The output clock cuts the input at whole input and output positions, a step at a time."""
+    out, last, i, o = [0.0] * ticks, len(rates) - 1, 0.0, 0.0
+    height = lambda x: np.interp(x, range(len(rates) + 1), [*rates, 0.0])
+    while i < last and o < ticks:
+        cell, tick = int(i + 1e-9), int(o + 1e-9)
+        if cell >= last or tick >= ticks:
+            break
+        step = min((cell + 1 - i) / rates[cell], tick + 1 - o)
+        at = sorted({i, min(i + step, len(rates)), *(k for k in range(len(rates) + 1) if i < k < i + step)})
+        area = sum((b - a) * (height(a) + height(b)) / 2 for a, b in zip(at[:-1], at[1:], strict=True))
+        out[tick] += step / area
+        i, o = i + step * rates[cell], o + step
+    return out, o
+
+
+def test_translate_equals_the_stepped_clock(spark):
+    rng = random.Random(12)
+    rates = {1: [2.0] * 9, 2: [rng.uniform(0.5, 5) for _ in range(60)], 3: [0.7] * 40, 4: [1.5]}
+    df = spark.createDataFrame([(u, i, x) for u, r in rates.items() for i, x in enumerate(r)], "user_id long, i long, v double")
+    got = {(r.user_id, r.tick): (r.value, r.stop) for r in series.translated(df, 16).collect()}
+    for u, r in rates.items():
+        out, stop = translate(r, 16)
+        assert [got[u, t][0] for t in range(16)] == pytest.approx(out, abs=1e-6) and got[u, 0][1] == pytest.approx(stop)
 
 
 def test_constant_series_convolve_to_themselves(spark):
