@@ -96,6 +96,15 @@ def test_empty_pages(spark, tmp_path):
     assert warc.op10(spark, str(tmp_path)).count() == 0
 
 
+def test_long_hosts_are_judged_like_others(spark):
+    ws = Workspace(spark, "t")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    urls = ["http://" + "a." * 20_000 + "example.com/en/x", "http://" + "b" * 200_000, "x://NET/fr/" + "y" * 100_000, None, "no"]
+    got = urlfilter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules, ws).collect()
+    assert {(r.rule, r.verdict) for r in got if r.url in urls[:3]} == {("example.com/en/", "block"), (None, "allow"), ("net/fr/", "block")}
+    assert all(r.rule is None and r.verdict == "allow" and r.host == "" for r in got if r.url in (None, "no"))
+
+
 def test_one_key_is_parted_among_shards(spark):
     rows = [(None, "http://a.b/", f"{i} " * 300) for i in range(300)] + [(7, "http://a.b/", "same " * 300)] * 300
     ws = Workspace(spark, "t")
