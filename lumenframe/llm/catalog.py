@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, mixing, neighbours, packing, simhash, suffix, topk, toxicity, urlfilter, warc
+from lumenframe.llm import codes, langid, mixing, neighbours, packing, simhash, suffix, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_neighbours": neighbours.op9,
     "op10_warc": warc.op10,
+    "op11_vector_codes": codes.op11,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": topk.SQL,
     "op4_source_mixing": mixing.SQL,
     "op7_url_filter": urlfilter.SQL,
     "op10_warc": warc.SQL,
+    "op11_vector_codes": codes.SQL,
 }

@@ -17,7 +17,7 @@ def test_oracles_are_sql():
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, DATA)
     got = con.execute(catalog.ORACLES[name])
