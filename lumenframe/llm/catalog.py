@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import codes, langid, mixing, neighbours, packing, simhash, suffix, topk, toxicity, trie, urlfilter, warc
+from lumenframe.llm import codes, langid, mixing, neighbours, ngrams, packing, simhash, suffix, topk, toxicity, trie, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_neighbours": neighbours.op9,
     "op10_warc": warc.op10,
     "op11_vector_codes": codes.op11,
+    "op12_ngram_join": ngrams.op12,
     "op13_conversation_trie": trie.op13,
 }
 ORACLES: dict[str, str] = {
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": urlfilter.SQL,
     "op10_warc": warc.SQL,
     "op11_vector_codes": codes.SQL,
+    "op12_ngram_join": ngrams.SQL,
     "op13_conversation_trie": trie.SQL,
 }

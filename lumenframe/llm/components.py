@@ -43,3 +43,14 @@ def components(edges: DataFrame, ws: Workspace, most_rounds: int = 50) -> DataFr
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b"))).distinct()
+
+
+def merged(groups: DataFrame | None, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, root) of the groups so far, put together by new edges (a, b); only edges between roots are followed."""
+    if groups is None:
+        return components(edges, ws)
+    for c in ("a", "b"):
+        edges = edges.join(groups.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    new = ws.write(components(edges.where("a <> b").distinct(), ws), "joined")
+    up = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return groups.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root")).distinct()

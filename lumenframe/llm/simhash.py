@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import Workspace, arrow_rows, parallelism, spread, stage_workspace
-from lumenframe.llm.components import components
+from lumenframe.llm.components import components, merged
 
 BUCKET = 2048
 #: By then at most four bits of a path are open.
@@ -435,17 +435,6 @@ def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) ->
     return ws.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
 
-def _joined(groups_: DataFrame | None, edges: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, root) of the groups so far, put together by new edges (a, b); only edges between roots are followed."""
-    if groups_ is None:
-        return components(edges, ws)
-    for c in ("a", "b"):
-        edges = edges.join(groups_.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    new = ws.write(components(edges.where("a <> b").distinct(), ws), "joined")
-    up = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return groups_.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(new.select("node", "root")).distinct()
-
-
 def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float = 0.8) -> DataFrame:
     """(id, text), id long and distinct -> (id, root): rows of a group, joined by five-word shingle similarity of ``least`` or more, share their root.
 
@@ -463,7 +452,7 @@ def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float =
 
         found = ws.write(_union([_within(t, emit, tasks) for t in tables]), "candidates")
         pairs = found.where("path is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        groups_ = ws.write(_joined(groups_, verified(ws.write(pairs, "pairs"), texts, ws, least), ws), "groups")
+        groups_ = ws.write(merged(groups_, verified(ws.write(pairs, "pairs"), texts, ws, least), ws), "groups")
         more = found.where("path is not null").select("path", "value")
         if not more.limit(1).count():
             break
