@@ -13,8 +13,6 @@ until none is left. A list of more than ``LIST_ROWS`` sets is compared as pairs
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +29,8 @@ NUM, DEN = 90, 100
 LIST_ROWS = 2048
 #: Bounds of the buckets in which occurrences are counted; all executors get a byte for each.
 LEAST_BUCKETS, MOST_BUCKETS, CHUNK = 1 << 14, 1 << 22, 1 << 12
+#: Bits of the table that tells texts to verify from others.
+FILTER_BITS = 1 << 26
 #: Words whose hashes a task remembers.
 KNOWN = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -84,7 +84,8 @@ def levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
             for s in _sets(b.column("text"), width, words):
                 np.add.at(total, (s >> shift).astype(np.int64), 1)
         some = [i for i in range(0, buckets, CHUNK) if total[i : i + CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[i : i + CHUNK].tobytes() for i in some], pa.binary())], names=["first", "n"])
+        packed = [(lambda c: c.astype(f"<u{1 if c.max() < 1 << 8 else 2 if c.max() < 1 << 16 else 4}").tobytes())(total[i : i + CHUNK]) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["first", "n"])
 
     def add(batches):
         now, total = None, None
@@ -95,7 +96,7 @@ def levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
                     if now is not None:
                         done.append((now, rank(total)))
                     now, total = first, np.zeros(CHUNK, np.int64)
-                total += np.frombuffer(n, np.uint32)
+                total += np.frombuffer(n, f"<u{len(n) // CHUNK}")
             yield table(done)
         if now is not None:
             yield table([(now, rank(total))])
@@ -171,7 +172,7 @@ def lists(groups: DataFrame, classes: DataFrame, ws: Workspace, num: int = NUM,
     """Rows of the lists in which sets meet: LIST, own (its block), node_id, kin_id, n, place, sketch. Kind 0: groups that share a member; kind 1: sets of one group."""
     posts = postings(groups)
     held = F.sum((F.col("place") < F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1).cast("long"))
-    size = posts.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("rows"), held.alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    size = posts.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("rows"), held.alias("held"))
     size = ws.write(size.where("groups > 1 and held > 0").select("token", "rows"), "lists")
     met = posts.join(size, "token").select(F.lit(0).alias("kind"), "token", "kin_id", "place", "rows")
     alone = groups.where("members > 1").select(F.lit(1).alias("kind"), F.col("kin_id").alias("token"), "kin_id", F.lit(0).cast("long").alias("place"), F.col("members").alias("rows"))
@@ -259,6 +260,14 @@ def candidates(rows: DataFrame, step: int, tasks: int, num: int = NUM, den: int
     return rows.select(*LIST, *names, "sketch").mapInArrow(run, schema)
 
 
+def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` can be in ``wanted``: a bit table of FILTER_BITS, so at most FILTER_BITS / 64 rows, goes to every task and keeps other rows out of a shuffle."""
+    word, bit = f"cast(shiftright(pmod(xxhash64({key}), {FILTER_BITS}L), 6) as long)", f"cast(pmod(xxhash64({key}), 64L) as int)"
+    bits = wanted.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    near = rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word")
+    return near.where(F.expr(f"shiftright(_bits, {bit}) & 1L = 1L")).select(*rows.columns)
+
+
 def whole_sets(docs: DataFrame, nodes: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
     """(node_id, node, text_hash) -> (node_id, set) from the texts; a text that only shares the hash has another digest and is left out."""
 
@@ -273,7 +282,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, ws: Workspace, width: int = WI
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("node_id").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node_id", "set"])
 
-    texts = docs.select("text_hash", "text").join(nodes, "text_hash").select("node_id", "node", "text")
+    texts = _among(docs.select("text_hash", "text"), nodes, "text_hash").join(nodes, "text_hash").select("node_id", "node", "text")
     return ws.write(texts.mapInArrow(run, "node_id long, set binary").groupBy("node_id").agg(F.any_value("set").alias("set")), "sets")
 
 
@@ -303,11 +312,14 @@ def join_components(rows: DataFrame, docs: DataFrame, classes: DataFrame, ws: Wo
         if sets is None:  # each row with a close partner is in a pair of the first round
             nodes = pairs.select(F.col("a").alias("node_id")).union(pairs.select("b")).distinct()
             sets = whole_sets(docs, classes.join(nodes, "node_id").select("node_id", "node", "text_hash"), ws, width)
-        roots = ws.write(merged(roots, verified(pairs, sets, ws, num, den), ws), "roots")
+            asked = sets
+        else:
+            asked = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("node_id")), "node_id")
+        roots = ws.write(merged(roots, verified(pairs, asked, ws, num, den), ws), "roots")
         more = found.where("kind is not null").select(*LIST)
         if not more.limit(1).count():
             return roots
-        again = rows.join(more, LIST, "left_semi").drop("cls").join(roots.select(F.col("node").alias("node_id"), F.col("root").alias("cls")), "node_id", "left")
+        again = _among(rows, more, "token").join(more, LIST, "left_semi").drop("cls").join(roots.select(F.col("node").alias("node_id"), F.col("root").alias("cls")), "node_id", "left")
         rows = ws.write(again.withColumn("cls", F.coalesce("cls", "node_id")), "held")
         step *= 8
 
@@ -318,16 +330,22 @@ def similar(docs: DataFrame, ws: Workspace, num: int = NUM, den: int = DEN, widt
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     told = ws.write(described(docs, levels(docs, width), num, den, width), "described")
     one = {c: F.any_value(c).alias(c) for c in ("n", "kin", "prefix", "sketch")}
-    classes = told.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), *one.values())
-    classes = ws.write(classes.withColumn("node_id", F.monotonically_increasing_id()), "classes")
-    groups = classes.groupBy("kin").agg(F.count("*").alias("members"), one["n"], one["prefix"])
+    wide = told.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), *one.values())
+    wide = ws.write(wide.withColumn("node_id", F.monotonically_increasing_id()), "classes")
+    rows = ws.write(told.select("doc_id", "n", "node"), "documents")
+    ws.drop(told)
+    groups = wide.groupBy("kin").agg(F.count("*").alias("members"), one["n"], one["prefix"])
     groups = ws.write(groups.withColumn("kin_id", F.monotonically_increasing_id()), "groups")
-    named = ws.write(classes.join(groups.select("kin", "kin_id"), "kin").select("node_id", "kin_id", "n", "sketch"), "named")
-    roots = join_components(lists(groups, named, ws, num, den), docs, classes, ws, num, den, width)
+    named = ws.write(wide.join(groups.select("kin", "kin_id"), "kin").select("node_id", "kin_id", "n", "sketch"), "named")
+    classes = ws.write(wide.select("node", "node_id", "text_hash", "least"), "nodes")
+    ws.drop(wide)
+    met = lists(groups, named, ws, num, den)
+    ws.drop(groups, named)
+    roots = join_components(met, docs, classes, ws, num, den, width)
     top = classes.select("node", "node_id", "least").join(roots.select(F.col("node").alias("node_id"), "root"), "node_id", "left").withColumn("root", F.coalesce("root", "node_id"))
     top = ws.write(top.join(top.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "components")
-    alone = told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return told.where("n > 0").join(top, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.where("n > 0").join(top, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
