@@ -260,7 +260,7 @@ def candidates(rows: DataFrame, step: int, tasks: int, num: int = NUM, den: int
     return rows.select(*LIST, *names, "sketch").mapInArrow(run, schema)
 
 
-def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` can be in ``wanted``: a bit table of FILTER_BITS, so at most FILTER_BITS / 64 rows, goes to every task and keeps other rows out of a shuffle."""
     word, bit = f"cast(shiftright(pmod(xxhash64({key}), {FILTER_BITS}L), 6) as long)", f"cast(pmod(xxhash64({key}), 64L) as int)"
     bits = wanted.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
@@ -282,7 +282,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, ws: Workspace, width: int = WI
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("node_id").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["node_id", "set"])
 
-    texts = _among(docs.select("text_hash", "text"), nodes, "text_hash").join(nodes, "text_hash").select("node_id", "node", "text")
+    texts = among(docs.select("text_hash", "text"), nodes, "text_hash").join(nodes, "text_hash").select("node_id", "node", "text")
     return ws.write(texts.mapInArrow(run, "node_id long, set binary").groupBy("node_id").agg(F.any_value("set").alias("set")), "sets")
 
 
@@ -314,12 +314,12 @@ def join_components(rows: DataFrame, docs: DataFrame, classes: DataFrame, ws: Wo
             sets = whole_sets(docs, classes.join(nodes, "node_id").select("node_id", "node", "text_hash"), ws, width)
             asked = sets
         else:
-            asked = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("node_id")), "node_id")
+            asked = among(sets, pairs.select(F.explode(F.array("a", "b")).alias("node_id")), "node_id")
         roots = ws.write(merged(roots, verified(pairs, asked, ws, num, den), ws), "roots")
         more = found.where("kind is not null").select(*LIST)
         if not more.limit(1).count():
             return roots
-        again = _among(rows, more, "token").join(more, LIST, "left_semi").drop("cls").join(roots.select(F.col("node").alias("node_id"), F.col("root").alias("cls")), "node_id", "left")
+        again = among(rows, more, "token").join(more, LIST, "left_semi").drop("cls").join(roots.select(F.col("node").alias("node_id"), F.col("root").alias("cls")), "node_id", "left")
         rows = ws.write(again.withColumn("cls", F.coalesce("cls", "node_id")), "held")
         step *= 8
 

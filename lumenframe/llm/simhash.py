@@ -8,23 +8,30 @@ every candidate is verified on all bits. A bucket emits a spanning forest of its
 than ``BUCKET`` squared comparisons is divided by the remaining bits, again by the pigeonhole principle, so no group is unbounded
 and no link is lost.
 
-The pipeline's stage takes the fingerprints for candidates only and verifies each on the five-word shingles of the texts.
+The pipeline's stage takes the fingerprints for candidates only and verifies each on the five-word shingles of the texts, after
+sizes and parity sketches of the shingle sets have told most pairs of a bucket that cannot reach the similarity.
 There a bucket emits its pairs while they are few for its members, else the nearest of each member; what verifies is one
 class from then on, and the buckets that held pairs back emit more of those between different classes, until none is left.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm import sketch
 from lumenframe.llm.common import Workspace, arrow_rows, parallelism, spread, stage_workspace
 from lumenframe.llm.components import components, merged
+from lumenframe.llm.ngrams import among
 
 BUCKET = 2048
+#: Bits of a parity sketch of a text's five-word shingles.
+SKETCH = 512
 #: By then at most four bits of a path are open.
 DEPTH = 8
 
@@ -186,14 +193,20 @@ def forest(fp: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def pairs_of(fp: np.ndarray, own: np.ndarray, cls: np.ndarray, distance: int, step: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Index pairs within ``distance`` of different classes: all while they are at most four for each member, else the ``step`` nearest of each member; and whether some were held back."""
+def pairs_of(fp: np.ndarray, own: np.ndarray, cls: np.ndarray, distance: int, step: int, n: np.ndarray, bits: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index pairs within ``distance`` of different classes that can be as similar as ``least``: all while they are at most four for each member, else the ``step`` nearest of each member; and whether some were held back.
+
+    n and bits are the sizes and parity sketches of the members' shingle sets: they tell exactly that most pairs are too far apart.
+    """
     m, at, all_a, all_b, some_a, some_b, total, cut = len(fp), np.flatnonzero(own < 2), [], [], [], [], 0, False
     rows = max(1, min(256, (1 << 20) // max(1, m)))
     for lo in range(0, len(at), rows):
         i, j = at[lo : lo + rows, None], np.arange(m)[None, :]
         d = np.bitwise_count(fp[i] ^ fp[j])
         ok = (d <= distance) & meets(own, i, j) & (cls[i] != cls[j])
+        x, y = np.nonzero(ok)
+        far_apart = sketch.apart(bits[at[lo + x]], bits[y]) > sketch.may_differ(n[at[lo + x]], n[y], least.numerator, least.denominator)
+        ok[x[far_apart], y[far_apart]] = False
         if not ok.any():
             continue
         x, y = np.nonzero(ok & ((i < j) | (own[j] == 2)))
@@ -256,7 +269,7 @@ BUCKETS = "path string, value long, fp long, own byte, node long"
 def links(fps: DataFrame, ws: Workspace, distance: int = 2) -> DataFrame:
     """Distinct fingerprints (column fp) -> (a, b) links that span every component within ``distance`` bits."""
 
-    def spanning(path, value, fp, own, node, cls):
+    def spanning(path, value, fp, own, node, cls, n, bits):
         a, b = forest(fp, own, distance)
         return node[a], node[b], False
 
@@ -275,20 +288,20 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def _within(rows: DataFrame, emit, tasks: int) -> DataFrame:
     """(a, b, null, null) for the pairs that ``emit`` finds in each bucket, and (null, null, path, value) of those with more.
 
-    ``rows`` may have a column cls, the class of each node so far. Buckets arrive side by side in sorted partitions, several
-    to an Arrow batch.
+    ``rows`` may have columns cls, the class of each node so far, and n and sketch, the size and parity sketch of its set. Buckets
+    arrive side by side in sorted partitions, several to an Arrow batch.
     """
     if "cls" not in rows.columns:
         rows = rows.withColumn("cls", F.col("node"))
-    rows = rows.select(*NAMES, "cls").repartition(tasks, "path", "value").sortWithinPartitions("path", "value")
+    sized = "sketch" in rows.columns
+    rows = rows.select(*NAMES, "cls", *(("n", "sketch") if sized else ())).repartition(tasks, "path", "value").sortWithinPartitions("path", "value")
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         last = None
 
         def close(out):
-            fp, own, node, cls = (np.concatenate(c) for c in zip(*held, strict=True))
-            a, b, more = emit(*last, fp, own, node, cls)
+            a, b, more = emit(*last, *(np.concatenate(c) for c in zip(*held, strict=True)))
             out.append((a, b, last if more else None))
 
         for t in batches:
@@ -296,6 +309,8 @@ def _within(rows: DataFrame, emit, tasks: int) -> DataFrame:
                 continue
             path = t.column("path").to_numpy(zero_copy_only=False)
             value, fp, own, node, cls = (t.column(c).to_numpy(zero_copy_only=False) for c in ("value", "fp", "own", "node", "cls"))
+            n = t.column("n").to_numpy(zero_copy_only=False) if sized else np.zeros(len(fp), np.int64)
+            bits = sketch.matrix(t.column("sketch").to_pylist()) if sized else np.zeros((len(fp), 1), np.uint64)
             cut = [0, *(np.flatnonzero((value[1:] != value[:-1]) | (path[1:] != path[:-1])) + 1).tolist(), len(path)]
             found: list = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -304,7 +319,7 @@ def _within(rows: DataFrame, emit, tasks: int) -> DataFrame:
                     if held:
                         close(found)
                     held, last = [], key
-                held.append([fp[lo:hi].view(np.uint64), own[lo:hi], node[lo:hi], cls[lo:hi]])
+                held.append([fp[lo:hi].view(np.uint64), own[lo:hi], node[lo:hi], cls[lo:hi], n[lo:hi], bits[lo:hi]])
             yield _edges(found)
         if held:
             found = []
@@ -397,7 +412,7 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, fp, sig): the fingerprint of the set of words, and a digest of the set of five-word shingles."""
+    """(id, text) -> (id, fp, sig, n, sketch): the fingerprint of the set of words, and digest, size and parity sketch of the set of five-word shingles."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -405,12 +420,14 @@ def described(docs: DataFrame) -> DataFrame:
             known: dict = {}
             for t in b.column("text").to_pylist():
                 if t not in known:
-                    known[t] = fingerprint(t, 1, False), xxhash.xxh128_digest(shingles(t).tobytes())
+                    s = shingles(t)
+                    known[t] = fingerprint(t, 1, False), xxhash.xxh128_digest(s.tobytes()), len(s), sketch.parity(s, SKETCH)
             got = [known[t] for t in b.column("text").to_pylist()]
             fp = pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), fp, pa.array([g[1] for g in got], pa.binary())], names=["id", "fp", "sig"])
+            rest = [pa.array([g[i] for g in got], k) for i, k in ((1, pa.binary()), (2, pa.int64()), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), fp, *rest], names=["id", "fp", "sig", "n", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, fp long, sig binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, fp long, sig binary, n long, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) -> DataFrame:
@@ -430,7 +447,7 @@ def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) ->
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = ws.write(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary"), "sets")
+    own = ws.write(among(texts, nodes, "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary"), "sets")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return ws.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
@@ -438,16 +455,19 @@ def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) ->
 def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float = 0.8) -> DataFrame:
     """(id, text), id long and distinct -> (id, root): rows of a group, joined by five-word shingle similarity of ``least`` or more, share their root.
 
-    Texts with equal shingle sets are one node. Candidates are the nodes whose word-set fingerprints lie within ``distance``.
+    Texts with equal shingle sets are one node. Candidates are the nodes whose word-set fingerprints lie within ``distance`` and
+    whose sizes and parity sketches leave room for the similarity.
     """
-    rows = ws.write(described(docs), "described")
-    nodes = ws.write(rows.groupBy("fp", "sig").agg(F.min("id").alias("node")), "nodes")
-    texts = docs.select(F.col("id").alias("node"), "text")
-    tables, tasks = buckets(nodes, ws, distance, 5), parallelism(ws.spark)
+    told = ws.write(described(docs), "described")
+    nodes = ws.write(told.groupBy("fp", "sig").agg(F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
+    rows = ws.write(told.select("id", "fp", "sig"), "rows")
+    ws.drop(told)
+    texts, size = docs.select(F.col("id").alias("node"), "text"), nodes.select("node", "n", "sketch")
+    tables, tasks, bound = [t.join(size, "node") for t in buckets(nodes, ws, distance, 5)], parallelism(ws.spark), Fraction(least).limit_denominator(1000)
     groups_, step = None, 2
     while True:
-        def emit(path, value, fp, own, node, cls, step=step):
-            a, b, more = pairs_of(fp, own, cls, distance, step)
+        def emit(path, value, fp, own, node, cls, n, bits, step=step):
+            a, b, more = pairs_of(fp, own, cls, distance, step, n, bits, bound)
             return node[a], node[b], more
 
         found = ws.write(_union([_within(t, emit, tasks) for t in tables]), "candidates")
