@@ -17,11 +17,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each over a written copy of what its predecessor kept."""
+    """Apply the stages to ``documents``, each over a written copy of what its predecessor kept; a copy goes once the next one is written."""
     from lumenframe.llm.common import Workspace
 
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = ws.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            ws.drop(before)
+        before = docs
     return docs
