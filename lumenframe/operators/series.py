@@ -75,6 +75,22 @@ def _fold(xs, rate: float, a: float, s: float) -> list[tuple[float, float]]:
     return out
 
 
+#: The least and greatest rate of a time-bend, and how steeply it falls with the value.
+RATE_MIN, RATE_MAX, RATE_BASE, RATE_BOOST = 1.0, 50.0, 100.0, 100.0
+
+
+def bend_rates(df: DataFrame, key: str = "user_id") -> DataFrame:
+    """Add ``rate`` to (key, v): RATE_MAX * RATE_BASE ^ ((half the key's mean - v) * RATE_BOOST), held between RATE_MIN and RATE_MAX.
+
+    Means come from one partial aggregation, so a key with most rows is no task of its own. The power is held where both limits
+    are passed long since, so that no value overflows.
+    """
+    mean = df.groupBy(F.col(key).alias("_k")).agg((F.avg("v") / 2).alias("_zero"))
+    t = df.join(mean, df[key].eqNullSafe(F.col("_k"))).drop("_k")
+    power = F.greatest(F.lit(-6.0), F.least(F.lit(0.0), (F.col("_zero") - F.col("v")) * RATE_BOOST))
+    return t.withColumn("rate", F.greatest(F.lit(RATE_MIN), F.least(F.lit(RATE_MAX), RATE_MAX * F.pow(F.lit(RATE_BASE), power)))).drop("_zero")
+
+
 def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id") -> DataFrame:
     """Time-bend a series (key, i, v, rate) to whole ticks of output time: (key, i, v).
 
@@ -137,10 +153,14 @@ def pitch_convolve(df: DataFrame, kernels: tuple[list[float], ...], prescale: fl
     A sample is the interval [T, T + 1 / v) of the axis, T the sum of 1 / v before it. At home sample h the kernel lies on
     [T_h - centre + 1 / (2 v_h), + width]. Three kernels apply to samples under, at and over the home value. The overlap
     join goes by buckets of the kernel's width. However long a sample is, only its ends and its middle are in reach of a kernel,
-    its own or a neighbour's, so it stands in a few buckets.
+    its own or a neighbour's, so it stands in a few buckets. Kernels of one coefficient have no width and so no area: out is NaN.
     """
     kernels = kernels if len(kernels) == 3 else kernels * 3
     width = len(kernels[0]) - 1
+    if any(len(k) - 1 != width for k in kernels) or width < 0:
+        raise ValueError("the kernels must have one length, of at least one coefficient")
+    if width == 0:
+        return df.select(key, "i", F.lit(float("nan")).alias("out"))
     step = F.when(F.abs("v") < 1e-5, width / 2).otherwise(1 / F.when(F.abs("v") >= 1e-5, F.col("v")))
     w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     t = df.withColumns({"sa": step, "t": F.coalesce(F.sum(step).over(w), F.lit(0.0))})

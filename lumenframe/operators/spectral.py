@@ -121,3 +121,17 @@ def signatures(span: int, bits: int = 256, ceil: bool = False, smooth_first: boo
         return pd.Series(out)
 
     return run
+
+
+def overlapping(df: DataFrame, key: str, stride: int) -> DataFrame:
+    """A series (key, i, v) in half-overlapping frames: (key, frame, signal), each of 2 x ``stride`` values, a stride apart.
+
+    Every block stands in its own frame and in the one before it, so frames are gathered without a window over the key. The last
+    block is filled up with zeros; a key of one block has no frame.
+    """
+    blk = F.floor(F.col("i") / stride)
+    pieces = df.groupBy(key, blk.alias("_b")).agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("x"))
+    pieces = pieces.withColumn("x", F.slice(F.concat(F.col("x.v"), F.array_repeat(F.lit(0.0), stride)), 1, stride))
+    twice = pieces.select(key, F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("frame"), F.struct("_b", "x").alias("p")).where("frame >= 0")
+    both = twice.groupBy(key, "frame").agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") == 2)
+    return both.select(key, "frame", F.flatten(F.col("p.x")).alias("signal"))

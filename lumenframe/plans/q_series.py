@@ -67,13 +67,9 @@ def rate_from_rms(spark, d):
     return out(s, ("rate", F.avg("r").over(op.rows("user_id", "i", 24, 0))))
 
 
-@query("mk_timebend_rate", f"WITH {SQL_SERIES}, z AS (SELECT user_id, i, v / 500 AS v, avg(v / 500) OVER (PARTITION BY user_id) / 2 AS zero FROM series) SELECT user_id, i, round(greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, (zero - v) * 100 / 100))))), 6) AS rate FROM z")
+@query("mk_timebend_rate", f"WITH {SQL_SERIES}, z AS (SELECT user_id, i, v / 500 AS v, avg(v / 500) OVER (PARTITION BY user_id) / 2 AS zero FROM series) SELECT user_id, i, round(greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, (zero - v) * 100))))), 6) AS rate FROM z")
 def mk_timebend_rate(spark, d):
-    """Fast where little changes: 50 * 100 ^ (half the mean - value), held between 1 and 50."""
-    s = series(spark, d).withColumn("v", F.col("v") / 500)
-    gap = F.avg("v").over(Window.partitionBy("user_id")) / 2 - F.col("v")
-    power = F.pow(F.lit(100.0), F.greatest(F.lit(-6.0), F.least(F.lit(0.0), gap)))
-    return out(s, ("rate", F.greatest(F.lit(1.0), F.least(F.lit(50.0), 50 * power))))
+    return out(op.bend_rates(series(spark, d).withColumn("v", F.col("v") / 500)), ("rate", F.col("rate")))
 
 
 def _bent_sql(source: str) -> str:
@@ -87,7 +83,7 @@ def _bent_sql(source: str) -> str:
 @query(
     "mk_timebend",
     f"""WITH {SQL_SERIES}, z AS (SELECT user_id, i, v / 500 AS v, avg(v / 500) OVER (PARTITION BY user_id) / 2 AS zero FROM series),
-rates AS (SELECT user_id, i, r AS v, r AS rate FROM (SELECT user_id, i, greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, zero - v))))) AS r FROM z)),
+rates AS (SELECT user_id, i, r AS v, r AS rate FROM (SELECT user_id, i, greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, (zero - v) * 100))))) AS r FROM z)),
 scaled AS {_bent_sql('rates')},
 means AS (SELECT user_id, i, avg(v) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS m, 1 / v AS rate FROM scaled),
 lows AS (SELECT user_id, i, min(m) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS v, rate FROM means),
@@ -97,10 +93,7 @@ SELECT user_id, i, round(v, 6) AS rate FROM {_bent_sql('again')} x""",
 )
 def mk_timebend(spark, d):
     """A time-bend's schedule from a user's values: rates bent by themselves, evened out, bent back, and scaled to the first length."""
-    s = series(spark, d).withColumn("v", F.col("v") / 500)
-    gap = F.avg("v").over(Window.partitionBy("user_id")) / 2 - F.col("v")
-    power = F.pow(F.lit(100.0), F.greatest(F.lit(-6.0), F.least(F.lit(0.0), gap)))
-    rates = s.select("user_id", "i", F.greatest(F.lit(1.0), F.least(F.lit(50.0), 50 * power)).alias("v"))
+    rates = op.bend_rates(series(spark, d).withColumn("v", F.col("v") / 500)).select("user_id", "i", F.col("rate").alias("v"))
     scaled = op.bent(rates.withColumn("rate", F.col("v")))
     even = scaled.select("user_id", "i", op.lookahead(F.col("v"), "avg", 100).alias("m"), (1 / F.col("v")).alias("rate"))
     jiffed = op.bent(even.select("user_id", "i", op.lookahead(F.col("m"), "min", 25).alias("v"), "rate"))

@@ -13,7 +13,7 @@ from lumenframe.operators.series import translated
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query
-from lumenframe.sources import y4m
+from lumenframe.sources import audio, y4m
 from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, SQL_SERIES, numbered, planar, series
 from lumenframe.streaming import run
 
@@ -211,23 +211,27 @@ def hamming_pairs(spark, d):
     return sig.pairs_within(signatures(spark, d), "stream_id", "seq", 80)
 
 
-@query(
-    "stft",
-    """WITH s AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, value AS v FROM events),
-b AS (SELECT channel, i // 32 AS blk, i % 32 AS j, v FROM s), n AS (SELECT channel, max(i) // 32 AS last, count(*) AS c FROM s GROUP BY channel),
+SQL_STFT = """WITH s AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, value AS v FROM events),
+b AS (SELECT channel, i // 32 AS blk, i % 32 AS j, v FROM s), n AS (SELECT channel, max(i) // 32 AS last FROM s GROUP BY channel),
 w AS (SELECT channel, blk AS frame, j AS p, v FROM b UNION ALL SELECT channel, blk - 1, j + 32, v FROM b WHERE blk > 0),
-f AS (SELECT w.channel, frame, p, v * 0.5 * (1 - cos(2 * pi() * p / 63)) AS v FROM w JOIN n ON n.channel = w.channel WHERE (frame + 2) * 32 <= n.c),
+f AS (SELECT w.channel, frame, p, v * 0.5 * (1 - cos(2 * pi() * p / 63)) AS v FROM w JOIN n ON n.channel = w.channel WHERE frame < n.last),
 m AS (SELECT channel, frame, k, sqrt(power(sum(v * cos(2 * pi() * k * p / 64)), 2) + power(sum(v * sin(2 * pi() * k * p / 64)), 2)) AS m FROM f, range(1, 32) t(k) GROUP BY channel, frame, k)
-SELECT channel, frame, (k - 1) // 4 AS band, round(avg(m), 6) AS level FROM m GROUP BY channel, frame, (k - 1) // 4""",
+SELECT channel, frame, (k - 1) // 4 AS band, round(avg(m), 6) AS level FROM m GROUP BY channel, frame, (k - 1) // 4"""
+
+
+@query(
+    "stft",
+    SQL_STFT,
 )
 def stft(spark, d):
-    """Spectra of half-overlapping, windowed frames of 64 values for each event type, averaged by four bins."""
+    """Spectra of half-overlapping, windowed frames of 64 values for each event type, the last block filled up with zeros, averaged by four bins."""
     e = spark.read.parquet(f"{d}/events.parquet")
     day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
     s = numbered(e, "event_type", day, ["ts", "event_id"]).select(F.col("event_type").alias("channel"), F.col("seq").alias("i"), F.col("value").alias("v"))
-    b = s.groupBy("channel", F.floor(F.col("i") / 32).alias("frame")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x"))
-    nxt = F.lead(F.col("x.v")).over(Window.partitionBy("channel").orderBy("frame"))
-    f = b.select("channel", "frame", F.concat(F.col("x.v"), nxt).alias("signal")).where(F.size("signal") == 64)
+    return _bands(spectral.overlapping(s, "channel", 32))
+
+
+def _bands(f):
     m = f.select("channel", "frame", spectral.magnitudes(window=True)("signal").alias("m"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("m", k * 4 + 1, 4))
     mean = F.transform(bands, lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x))
@@ -235,6 +239,17 @@ def stft(spark, d):
     return t.select("channel", "frame", F.col("band").cast("long").alias("band"), F.round("level", 6).alias("level"))
 
 
+@query("audio_stft", SQL_STFT)
+def audio_stft(spark, d):
+    """The same spectra from audio files: a file of samples for each event type, scanned in overlapping blocks."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    s = numbered(e, "event_type", day, ["ts", "event_id"]).select(F.col("event_type").alias("stream_id"), F.col("seq").alias("i"), F.array("value").alias("samples"))
+    path = f"{run.folder(spark)}/wav-{uuid.uuid4().hex}"
+    audio.write(s, path)
+    return _bands(audio.load(spark, path, 32).select(F.col("stream_id").alias("channel"), "frame", F.col("samples").alias("signal")))
+
+
 SQL_RATES = f"""{SQL_PLANES}, rates AS (SELECT stream_id, seq AS o, 0.5::DOUBLE + 1.5::DOUBLE * (avg(v) / 255) AS rate FROM planes WHERE plane = 0 GROUP BY stream_id, seq),
 spans AS (SELECT stream_id, o, rate, coalesce(sum(rate) OVER (PARTITION BY stream_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0, sum(rate) OVER (PARTITION BY stream_id ORDER BY o) AS t1 FROM rates),
 pieces AS (SELECT s.stream_id, o, rate, f.seq, f.plane, f.pos, f.v, n.v AS nv, CASE f.plane WHEN 0 THEN 16 ELSE 128 END AS fill, greatest(f.seq, t0) AS a, least(f.seq + 1, t1) AS b FROM spans s JOIN planes f ON f.stream_id = s.stream_id AND f.seq < t1 AND f.seq + 1 > t0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import timeline as tl
@@ -51,23 +52,83 @@ def clip_overlay(spark, d):
     return tl.frames_of(c).join(F.broadcast(shortest)).where("local_frame < total").select(F.col("local_frame").alias("framenum"), F.col("clip_id").alias("layer"))
 
 
+def _dissolve(name: str, easing, eased: str):
+    @query(
+        name,
+        f"""WITH {SQL_CLIPS}, p AS (SELECT a.clip_id AS a, a.frames AS na, b.frames AS nb, least(8, a.frames, b.frames) AS f FROM clips a JOIN clips b ON b.clip_id = a.clip_id + 1),
+u AS (SELECT a, na, f, n, (n - (na - f)) / f::DOUBLE AS x FROM (SELECT *, unnest(range(na)) AS n FROM p)), o AS (SELECT a, na, f, n, n / f::DOUBLE AS x FROM (SELECT *, unnest(range(nb)) AS n FROM p))
+SELECT a, n AS framenum, 'under' AS layer, n AS local_frame, round(CASE WHEN n < na - f THEN 1 ELSE 1 - {eased} END, 6)::DOUBLE AS alpha FROM u
+UNION ALL SELECT a, na - f + n, 'over', n, round(CASE WHEN n < f THEN {eased} ELSE 1 END, 6)::DOUBLE FROM o""",
+    )
+    def run_(spark, d):
+        c = clips(spark, d)
+        nxt = c.select((F.col("clip_id") - 1).alias("clip_id"), F.col("frames").alias("nb"))
+        p = c.join(nxt, "clip_id").select(F.col("clip_id").alias("a"), F.col("frames").alias("na"), "nb")
+        return tl.dissolve(p, 8, easing).withColumn("alpha", F.round("alpha", 6))
+
+
+_dissolve("clip_dissolve", lambda x: x, "x")
+_dissolve("clip_dissolve_eased", lambda x: x * x * (3 - 2 * x), "x * x * (3 - 2 * x)")
+
+SQL_TAGS = """clips AS (SELECT n_regionkey AS sequence_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, n_name AS tag, CAST(n_nationkey + 5 AS BIGINT) AS frames FROM nation)"""
+
+
+def tagged(spark, d):
+    """The nations of each region as a sequence of clips."""
+    pos = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    clip = F.struct(F.col("n_name").alias("tag"), (F.col("n_nationkey") + 5).cast("long").alias("frames"))
+    return table(spark, d, "nation").select(F.col("n_regionkey").alias("sequence_id"), pos.cast("long").alias("pos"), clip.alias("clip"))
+
+
 @query(
-    "clip_dissolve",
-    f"""WITH {SQL_CLIPS}, p AS (SELECT a.clip_id AS a, b.clip_id AS b, a.frames AS na, b.frames AS nb, least(8, a.frames, b.frames) AS f FROM clips a JOIN clips b ON b.clip_id = a.clip_id + 1)
-SELECT a, n AS framenum, 'under' AS layer, n AS local_frame, 1.0::DOUBLE AS alpha FROM (SELECT *, unnest(range(na)) AS n FROM p)
-UNION ALL SELECT a, na - f + n, 'over', n, round(least(1, n / f::DOUBLE), 6) FROM (SELECT *, unnest(range(nb)) AS n FROM p)""",
+    "clip_map",
+    f"""WITH {SQL_TAGS}, m AS (SELECT sequence_id, pos, 0 AS sub, 'new ' || tag AS tag, frames * 2 AS frames FROM clips WHERE pos % 3 <> 2 UNION ALL SELECT sequence_id, pos, 1, tag, frames FROM clips WHERE pos % 3 = 1)
+SELECT sequence_id, row_number() OVER (PARTITION BY sequence_id ORDER BY pos, sub) - 1 AS pos, tag, frames FROM m""",
 )
-def clip_dissolve(spark, d):
-    """Each clip fades into the next over eight frames, or as many as both have."""
-    c = clips(spark, d)
-    nxt = c.select((F.col("clip_id") - 1).alias("clip_id"), F.col("frames").alias("nb"))
-    p = c.join(nxt, "clip_id").select(F.col("clip_id").alias("a"), F.col("frames").alias("na"), "nb", F.least(F.lit(8), "frames", "nb").alias("f"))
-    zero = F.lit(0).cast("long")
-    under = p.select("a", F.explode(F.sequence(zero, F.col("na") - 1)).alias("framenum"))
-    under = under.select("a", "framenum", F.lit("under").alias("layer"), F.col("framenum").alias("local_frame"), F.lit(1.0).alias("alpha"))
-    over = p.select("a", "na", "f", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("n"))
-    over = over.select("a", (F.col("na") - F.col("f") + F.col("n")).alias("framenum"), F.lit("over").alias("layer"), F.col("n").alias("local_frame"), F.round(F.least(F.lit(1.0), F.col("n") / F.col("f")), 6).alias("alpha"))
-    return under.unionByName(over)
+def clip_map(spark, d):
+    """Every third clip goes, every second of three stays beside its new one, the others are replaced."""
+
+    def make(clip, pos):
+        new = F.struct(F.concat(F.lit("new "), clip["tag"]).alias("tag"), (clip["frames"] * 2).alias("frames"))
+        return F.when(pos % 3 == 0, F.array(new)).when(pos % 3 == 1, F.array(new, clip))
+
+    return tl.mapped(tagged(spark, d), make).select("sequence_id", "pos", "clip.tag", "clip.frames")
+
+
+@query("clip_reduce", f"WITH {SQL_TAGS} SELECT sequence_id, string_agg(tag, ' and ' ORDER BY pos) AS tag, CAST(sum(frames) AS BIGINT) AS frames FROM clips GROUP BY sequence_id")
+def clip_reduce(spark, d):
+    pair = lambda a, b: F.struct(F.concat(a["tag"], F.lit(" and "), b["tag"]).alias("tag"), (a["frames"] + b["frames"]).alias("frames"))
+    return tl.reduced(tagged(spark, d), pair).select("sequence_id", "clip.tag", "clip.frames")
+
+
+def _placed_sql(sx: str, sy: str, turn: str, mx: str, my: str, ox: str, oy: str) -> str:
+    """Columns of T(origin) S R T(move - origin) on a canvas of 320 x 240."""
+    a, b, c, d = f"({sx}) * cos({turn})", f"({sy}) * sin({turn})", f"-({sx}) * sin({turn})", f"({sy}) * cos({turn})"
+    ux, uy = f"(({mx}) - ({ox}) * 320)", f"(({my}) - ({oy}) * 240)"
+    return f"{a} AS a, {b} AS b, {c} AS c, {d} AS d, {a} * {ux} + {c} * {uy} + ({ox}) * 320 AS e, {b} * {ux} + {d} * {uy} + ({oy}) * 240 AS f"
+
+
+def _times_sql(m: str, n: str) -> str:
+    return f"{m}.a * {n}.a + {m}.c * {n}.b AS a, {m}.b * {n}.a + {m}.d * {n}.b AS b, {m}.a * {n}.c + {m}.c * {n}.d AS c, {m}.b * {n}.c + {m}.d * {n}.d AS d, {m}.a * {n}.e + {m}.c * {n}.f + {m}.e AS e, {m}.b * {n}.e + {m}.d * {n}.f + {m}.f AS f"
+
+
+@query(
+    "transform_nested",
+    f"""WITH outer_ AS (SELECT r_regionkey AS k, {_placed_sql('1 + r_regionkey / 10.0::DOUBLE', '2', 'r_regionkey / 5.0::DOUBLE', '10', '-5', '0.5', '0.5')} FROM region),
+inner_ AS (SELECT n_nationkey AS clip_id, n_regionkey AS k, {_placed_sql('1', '1', '-n_nationkey / 7.0::DOUBLE', 'n_nationkey', '3', '0', '1')} FROM nation),
+raw AS (SELECT 1.0::DOUBLE AS a, 0.25::DOUBLE AS b, -0.5::DOUBLE AS c, 1.5::DOUBLE AS d, 4.0::DOUBLE AS e, -2.0::DOUBLE AS f),
+two AS (SELECT clip_id, {_times_sql('outer_', 'inner_')} FROM inner_ JOIN outer_ USING (k)), m AS (SELECT clip_id, {_times_sql('two', 'raw')} FROM two, raw)
+SELECT clip_id, round(a * 10 + c * 20 + e, 6) AS x, round(b * 10 + d * 20 + f, 6) AS y FROM m""",
+)
+def transform_nested(spark, d):
+    """Where the point (10, 20) of each nation's clip comes to lie under its region's transform, its own and a raw matrix."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    r = F.col("n_regionkey")
+    around = n.select(k.alias("clip_id"), F.lit(0).alias("depth"), tl.transform(320, 240, rotate=r / 5.0, scale=(1 + r / 10.0, 2.0), move=(10, -5)).alias("m"))
+    own = n.select(k.alias("clip_id"), F.lit(1).alias("depth"), tl.transform(320, 240, origin=(0, 1), rotate=-k / 7.0, move=(k.cast("double"), 3)).alias("m"))
+    raw = n.select(k.alias("clip_id"), F.lit(2).alias("depth"), tl.transform(320, 240, raw=(1.0, 0.25, -0.5, 1.5, 4.0, -2.0)).alias("m"))
+    x, y = tl.moved(F.col("m"), F.lit(10.0), F.lit(20.0))
+    return tl.composed(own.union(raw).union(around), "clip_id").select("clip_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 @query("prop_ramp", f"WITH {SQL_CLIPS} SELECT clip_id, n AS local_frame, round((200 - 50) * (n / frames) + 50, 6) AS v FROM (SELECT clip_id, frames, unnest(range(frames)) AS n FROM clips)")
@@ -104,30 +165,6 @@ def affine(spark, d):
     return points(spark, d).select("tag", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("quadtree_bucket", f"WITH {POINTS} SELECT x // 16 AS bx, y // 16 AS by_, count(*) AS n, min(tag) AS first FROM points GROUP BY x // 16, y // 16")
-def quadtree_bucket(spark, d):
-    cell = lambda c: F.floor(F.col(c) / 16)
-    return points(spark, d).groupBy(cell("x").alias("bx"), cell("y").alias("by_")).agg(F.count("*").alias("n"), F.min("tag").alias("first"))
-
-
-@query("quadtree_sorted", f"WITH {POINTS} SELECT x, y, string_agg(tag, ',' ORDER BY tag) AS tags, CAST(count(*) AS INTEGER) AS n FROM points GROUP BY x, y")
-def quadtree_sorted(spark, d):
-    """Tags at each place, in order."""
-    g = points(spark, d).groupBy("x", "y").agg(F.sort_array(F.collect_list("tag")).alias("t"))
-    return g.select("x", "y", F.array_join(F.transform("t", lambda t: t.cast("string")), ",").alias("tags"), F.size("t").alias("n"))
-
-
-@query("nearest_point", f"WITH {POINTS}, targets AS (SELECT n_nationkey AS target, n_nationkey * 37 % 251 AS tx, n_nationkey * 53 % 241 AS ty FROM nation), d AS (SELECT tag, target, (x - tx) * (x - tx) + (y - ty) * (y - ty) AS dist FROM points, targets) SELECT tag, CAST(min(dist) AS BIGINT) AS dist, arg_min(target, dist * 1000 + target) AS target FROM d GROUP BY tag")
-def nearest_point(spark, d):
-    """The nearest of the nations' points, a table of fixed size held as one array; of equals the least."""
-    k = F.col("n_nationkey")
-    t = table(spark, d, "nation").select(F.struct(k.alias("target"), (k * 37 % 251).alias("tx"), (k * 53 % 241).alias("ty")).alias("p"))
-    t = t.agg(F.collect_list("p").alias("targets"))
-    gap = lambda p: (F.col("x") - p["tx"]) * (F.col("x") - p["tx"]) + (F.col("y") - p["ty"]) * (F.col("y") - p["ty"])
-    best = F.array_min(F.transform("targets", lambda p: F.struct(gap(p).alias("dist"), p["target"].alias("target"))))
-    return points(spark, d).join(F.broadcast(t)).withColumn("b", best).select("tag", F.col("b.dist").alias("dist"), F.col("b.target").alias("target"))
-
-
 def _twice() -> str:
     """The one-round SQL with its result, unrounded, as the input of the next round."""
     once = _convolve_sql((KERNEL,) * 3, 1.0, True)

@@ -1,6 +1,7 @@
 """YUV4MPEG2 streams: a pure codec, and a Spark data source ``y4m`` over files of them.
 
-A file is split by frame ranges: as long as frame headers are bare, a frame's place follows from its number.
+A file is split by frame ranges. As long as frame headers are bare, a frame's place follows from its number; the sink leaves an
+index beside a file whose frames have parameters, so that such files split as well.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenframe.operators.frames import SUBSAMPLING
+from lumenframe.sources.files import FileWriter
+from lumenframe.sources.files import filesystem as _filesystem
 
 #: The words that open a stream and a frame, and the longest header line.
 MAGIC, FRAME, MOST_HEADER = b"YUV4MPEG2", b"FRAME", 1024
@@ -68,7 +71,7 @@ def _line(stream) -> bytes | None:
     return got[:-1]
 
 
-def decode(stream, first: int = 0, count: int | None = None, header: dict[str, str] | None = None) -> Iterator[tuple[int, float, dict[str, str], bytes, bytes, bytes]]:
+def decode(stream, first: int = 0, count: int | None = None, header: dict[str, str] | None = None, elapsed: float | None = None) -> Iterator[tuple[int, float, dict[str, str], bytes, bytes, bytes]]:
     """(seq, elapsed, parms, y, cb, cr) of a binary file object; frame headers add to the stream's parameters."""
     if header is None:
         line = _line(stream)
@@ -77,7 +80,7 @@ def decode(stream, first: int = 0, count: int | None = None, header: dict[str, s
         if line.split(b" ")[0] != MAGIC:
             raise ValueError("not a YUV4MPEG2 stream")
         header = parse_params(line[len(MAGIC) :])
-    seq, elapsed = first, first * seconds(header)
+    seq, elapsed = first, first * seconds(header) if elapsed is None else elapsed
     while count is None or seq < first + count:
         line = _line(stream)
         if line is None:
@@ -94,52 +97,93 @@ def decode(stream, first: int = 0, count: int | None = None, header: dict[str, s
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, count: int | None):
-        self.path, self.first, self.count = path, first, count
+    """Frames from ``first`` at byte ``at``, ``elapsed`` seconds in, up to ``count`` of them or byte ``end``."""
+
+    def __init__(self, path: str, first: int, count: int | None, at: int, elapsed: float, end: int | None):
+        self.path, self.first, self.count, self.at, self.elapsed, self.end = path, first, count, at, elapsed, end
+
+
+#: An index: places and times of every INDEXED-th frame and of the end, as pairs of a 64-bit whole and a 64-bit floating number.
+INDEX, INDEXED = ".idx", 64
 
 
 class Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.step = int(options.get("framesperpartition", "256"))
+        self.most_bytes = int(options.get("batchbytes", str(16 << 20)))
 
     def partitions(self):
         from pyarrow import fs as pafs
 
         fs, root = _filesystem(self.path)
         info = fs.get_file_info(root)
-        found = [info] if info.type == pafs.FileType.File else [i for i in fs.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".y4m")]
+        every = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root))
+        index = {i.path for i in every if i.path.endswith(INDEX)}
         out = []
-        for i in sorted(found, key=lambda x: x.path):
-            with fs.open_input_stream(i.path) as f:
-                line = f.read(MOST_HEADER).split(b"\n")[0]
-            size = len(FRAME) + 1 + sum(plane_sizes(parse_params(line[len(MAGIC) :])))
-            frames, rest = divmod(i.size - len(line) - 1, size)
-            if rest:  # frame headers with parameters: one task reads the file through
-                out.append(Range(i.path, 0, None))
+        for i in sorted((i for i in every if info.type == pafs.FileType.File or i.path.endswith(".y4m")), key=lambda x: x.path):
+            if i.path + INDEX in index or (info.type == pafs.FileType.File and fs.get_file_info(i.path + INDEX).type == pafs.FileType.File):
+                out += self._indexed(fs, i.path)
             else:
-                out += [Range(i.path, a, min(self.step, frames - a)) for a in range(0, frames, self.step)]
+                out += self._even(fs, i)
         return out
 
+    def _indexed(self, fs, path: str):
+        import numpy as np
+
+        with fs.open_input_stream(path + INDEX) as f:
+            raw = np.frombuffer(f.read(), np.dtype([("at", "<i8"), ("elapsed", "<f8")]))
+        every = max(1, self.step // INDEXED)
+        marks = [*range(0, len(raw) - 1, every), len(raw) - 1]
+        return [Range(path, a * INDEXED, None, int(raw["at"][a]), float(raw["elapsed"][a]), int(raw["at"][b])) for a, b in zip(marks[:-1], marks[1:], strict=True)]
+
+    def _even(self, fs, info):
+        """Ranges by division, where every range then begins with a bare frame header; else the file as one."""
+        with fs.open_input_file(info.path) as f:
+            line = f.read(MOST_HEADER).split(b"\n")[0]
+            header = parse_params(line[len(MAGIC) :])
+            start, size = len(line) + 1, len(FRAME) + 1 + sum(plane_sizes(header))
+            frames, rest = divmod(info.size - start, size)
+
+            def bare(n: int) -> bool:
+                f.seek(start + n * size)
+                return f.read(len(FRAME) + 1) == FRAME + b"\n"
+
+            firsts = range(0, frames, self.step)
+            if rest or not all(bare(a) for a in firsts):
+                return [Range(info.path, 0, None, start, 0.0, None)]
+        return [Range(info.path, a, min(self.step, frames - a), start + a * size, a * seconds(header), start + min(frames, a + self.step) * size) for a in firsts]
+
     def read(self, part: Range):
         import io
 
+        import pyarrow as pa
+
         fs, _ = _filesystem(self.path)
         name = part.path.rsplit("/", 1)[1].removesuffix(".y4m")
-        with fs.open_input_file(part.path) as raw:
-            f = io.BufferedReader(_Raw(raw))
-            line = _line(f)
-            header = parse_params(line[len(MAGIC) :])
-            if part.count is not None:
-                f.seek(len(line) + 1 + part.first * (len(FRAME) + 1 + sum(plane_sizes(header))))
-            for row in decode(f, part.first, part.count, header):
-                yield (name, *row)
+        kinds = [pa.int64(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary(), pa.binary()]
 
+        def batch(rows):
+            cols = [pa.array([name] * len(rows)), *(pa.array([list(r[i].items()) if i == 2 else r[i] for r in rows], k) for i, k in enumerate(kinds))]
+            return pa.RecordBatch.from_arrays(cols, names=["stream_id", "seq", "elapsed", "parms", "y", "cb", "cr"])
 
-def _filesystem(path: str):
-    from pyarrow import fs as pafs
-
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        with fs.open_input_file(part.path) as raw:
+            f = io.BufferedReader(_Raw(raw))
+            header = parse_params(_line(f)[len(MAGIC) :])
+            f.seek(part.at)
+            held, size = [], 0
+            for row in decode(f, part.first, part.count, header, part.elapsed):
+                held.append(row)
+                size += sum(map(len, row[3:]))
+                if size >= self.most_bytes:
+                    yield batch(held)
+                    held, size = [], 0
+                if part.count is None and part.end is not None and f.tell() >= part.end:
+                    break
+            if part.end is not None and f.tell() != part.end:
+                raise ValueError(f"{part.path}: frames have parameters and no index tells where they are")
+            if held:
+                yield batch(held)
 
 
 def _Raw(raw):
@@ -180,48 +224,50 @@ class Y4mSource(DataSource):
     def reader(self, schema):
         return Reader(self.options)
 
+    def writer(self, schema, overwrite):
+        return Writer(self.options)
 
-def write(frames, path: str) -> None:
-    """Write (stream_id, seq, parms, y, cb, cr) as one file for each stream under ``path``; a stream goes through one task in order.
 
-    The first frame's parameters head the file; a later frame carries those of its own that differ. A task writes under a
-    name of its attempt, and the driver gives the files of the attempts that succeeded their names, so a task that runs
-    again spoils nothing.
+class Writer(FileWriter):
+    """A file for each run of rows of one stream_id, and an index beside it if its frames have parameters.
+
+    The first frame's parameters head the file; a later frame carries those of its own that differ.
     """
-    import uuid
 
-    def run(batches):
-        import pyarrow as pa
+    def store(self, batches, create):
+        import struct
 
-        fs, root = _filesystem(path)
-        temp = f"{root}/_temporary/{uuid.uuid4().hex}"
         name = out = head = None
-        done = []
+        at, elapsed, n, marks, differ = 0, 0.0, 0, [], False
+
+        def close():
+            if name is not None and differ:
+                create(f"{name}.y4m{INDEX}").write(b"".join(struct.pack("<qd", *m) for m in [*marks, (at, elapsed)]))
+
         for b in batches:
             for r in b.to_pylist():
                 parms = dict(r["parms"])
                 if r["stream_id"] != name:
-                    if out is not None:
-                        out.close()
+                    close()
                     name, head = r["stream_id"], parms
-                    fs.create_dir(temp, recursive=True)
-                    done.append((name, f"{temp}/{len(done)}.y4m"))
-                    out = fs.open_output_stream(done[-1][1], compression=None)
-                    out.write(MAGIC + format_params(head).encode() + b"\n")
+                    out = create(f"{name}.y4m")
+                    line = MAGIC + format_params(head).encode() + b"\n"
+                    out.write(line)
+                    at, elapsed, n, marks, differ = len(line), 0.0, 0, [], False
                 own = {k: v for k, v in parms.items() if head.get(k) != v}
-                out.write(FRAME + format_params(own).encode() + b"\n" + r["y"] + r["cb"] + r["cr"])
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], names=["stream_id", "temp"])
+                if n % INDEXED == 0:
+                    marks.append((at, elapsed))
+                frame = FRAME + format_params(own).encode() + b"\n" + r["y"] + r["cb"] + r["cr"]
+                out.write(frame)
+                at, elapsed, n, differ = at + len(frame), elapsed + seconds(head | own), n + 1, differ or bool(own)
+        close()
+
 
+def write(frames, path: str) -> None:
+    """Write (stream_id, seq, parms, y, cb, cr) as one file for each stream under ``path``; a stream goes through one task in order."""
+    frames.sparkSession.dataSource.register(Y4mSource)
     ordered = frames.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    found = ordered.select("stream_id", "seq", "parms", "y", "cb", "cr").mapInArrow(run, "stream_id string, temp string").collect()  # a row for each file
-    fs, root = _filesystem(path)
-    fs.create_dir(root, recursive=True)
-    for r in found:
-        fs.move(r["temp"], f"{root}/{r['stream_id']}.y4m")
-    if found:
-        fs.delete_dir(f"{root}/_temporary")
+    ordered.selectExpr("cast(stream_id as string) as stream_id", "seq", "parms", "y", "cb", "cr").write.format("y4m").mode("append").save(path)
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
@@ -234,3 +280,57 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
 
     rows = b"".join(b"\0" + rgb[3 * width * y : 3 * width * (y + 1)] for y in range(height))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def rgb(parms: dict[str, str], y: bytes, cb: bytes, cr: bytes) -> bytes:
+    """Interleaved RGB of a frame: chroma by nearest pixels, then the fixed-point transform of ``colour.b_yuv2rgb``."""
+    import numpy as np
+
+    from lumenframe.functions.colour import TO_RGB
+
+    w, h = int(parms["W"]), int(parms["H"])
+    xs, ys = SUBSAMPLING[parms.get("C", "420")]
+    planes = [np.frombuffer(y, np.uint8).reshape(h, w).astype(np.int64)]
+    for p in (cb, cr):
+        small = np.frombuffer(p, np.uint8).reshape(h // ys, w // xs)
+        big = np.repeat(np.repeat(small, ys, axis=0), xs, axis=1)
+        planes.append(np.pad(big, ((0, h - big.shape[0]), (0, w - big.shape[1])), mode="edge").astype(np.int64))
+    out = np.zeros((h, w, 3), np.uint8)
+    for i, (offset, coefs) in enumerate(TO_RGB):
+        total = np.full((h, w), float(offset))
+        for p, k in zip(planes, coefs, strict=True):
+            total += np.sign(k) * ((p * int(abs(k) * 256)) >> 16)
+        out[:, :, i] = np.clip(np.trunc(total), 0, 255)
+    return out.tobytes()
+
+
+class PngWriter(FileWriter):
+    """A PNG file for each row (name, parms, y, cb, cr), under its name."""
+
+    def store(self, batches, create):
+        for b in batches:
+            for r in b.to_pylist():
+                parms = dict(r["parms"])
+                create(r["name"]).write(png(int(parms["W"]), int(parms["H"]), rgb(parms, r["y"], r["cb"], r["cr"])))
+
+
+class PngSink(DataSource):
+    @classmethod
+    def name(cls):
+        return "y4m_png"
+
+    def schema(self):
+        return "name string, parms map<string,string>, y binary, cb binary, cr binary"
+
+    def writer(self, schema, overwrite):
+        return PngWriter(self.options)
+
+
+def dump(frames, path: str, every: int = 1) -> None:
+    """Write every ``every``-th frame of each stream as ``<stream_id>-<number, five digits>.png``; a file a row, wherever the row is."""
+    from pyspark.sql import functions as F
+
+    frames.sparkSession.dataSource.register(PngSink)
+    few = frames.where(F.col("seq") % every == 0)
+    name = F.format_string("%s-%05d.png", F.col("stream_id").cast("string"), F.floor(F.col("seq") / every))
+    few.select(name.alias("name"), "parms", "y", "cb", "cr").write.format("y4m_png").mode("append").save(path)
