@@ -137,6 +137,12 @@ def translated(df: DataFrame, ticks: int, key: str = "user_id") -> DataFrame:
     return full.join(every, key).select(key, F.col("tick").cast("int").alias("tick"), "value", "stop")
 
 
+def sine_kernel(steps: Column) -> Column:
+    """One period of a raised sine over ``steps`` steps, lowest at both ends: an array of (i, coef)."""
+    every = F.sequence(F.lit(0).cast("long"), steps.cast("long"))
+    return F.transform(every, lambda i: F.struct(i.alias("i"), (F.sin(i * 2 * F.pi() / steps - F.pi() / 2) + 1).alias("coef")))
+
+
 def kernel_area(coefs: list[float], x: Column) -> Column:
     """Integral from 0 to x of the piecewise-linear kernel through the coefficients at 0, 1, 2, ...; x within the kernel."""
     total, out = 0.0, None

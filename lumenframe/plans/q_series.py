@@ -9,7 +9,7 @@ from lumenframe.operators import planes
 from lumenframe.operators import series as op
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
-from lumenframe.plans.registry import query
+from lumenframe.plans.registry import query, table
 from lumenframe.sources.tables import SQL_FRAMES, SQL_PLANES, SQL_SERIES, frames, planar, series
 
 POS = "positive AS (SELECT user_id, i, greatest(v, 1e-9::DOUBLE) AS v FROM series)"
@@ -290,19 +290,21 @@ def hist_interp(spark, d):
     return g.select("bin", F.round(F.col("n") + (F.col("n1") - F.col("n")) * (F.col("bin") - F.col("k")) / (F.col("k1") - F.col("k")), 6).alias("level"))
 
 
-@query("fake_trace", "SELECT f.frame, count(*) AS points, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT f AS frame, sin(0.217 * f + 0.321 * p) + 20 AS v FROM range(100) a(f), range(200) b(p)) f GROUP BY f.frame")
+@query("fake_trace", "SELECT s_suppkey AS frame, count(*) AS points, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT s_suppkey, sin(0.217 * s_suppkey + 0.321 * p) + 20 AS v FROM supplier, range(200) b(p)) f GROUP BY s_suppkey")
 def fake_trace(spark, d):
-    """100 frames of 200 points on a sine that moves on by a phase each frame."""
-    f = spark.range(100).withColumnRenamed("id", "frame")
+    """A frame of 200 points for each supplier, on a sine that moves on by a phase with its number."""
+    f = table(spark, d, "supplier").select(F.col("s_suppkey").alias("frame"))
     v = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda p: F.sin(0.217 * F.col("frame") + 0.321 * p) + 20)
     f = f.withColumn("v", v)
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
     return f.select("frame", F.size("v").cast("long").alias("points"), *[F.round(x, 6).alias(k) for k, x in (("low", F.array_min("v")), ("high", F.array_max("v")), ("mean", mean))])
 
 
-@query("mk_sin", "SELECT i, round(sin(i * pi() / 12 - pi() / 2) + 1, 6) AS coef FROM range(25) t(i)")
+@query("mk_sin", "SELECT p_partkey, i, round(sin(i * 2 * pi() / (p_size + 1) - pi() / 2) + 1, 6) AS coef FROM (SELECT p_partkey, p_size, unnest(range(p_size + 2)) AS i FROM part)")
 def mk_sin(spark, d):
-    return spark.range(25).select(F.col("id").alias("i"), F.round(F.sin(F.col("id") * F.pi() / 12 - F.pi() / 2) + 1, 6).alias("coef"))
+    """A raised sine as a kernel for each part, one period over as many steps as its size and one more."""
+    t = table(spark, d, "part").select("p_partkey", "p_size", F.explode(op.sine_kernel(F.col("p_size") + 1)).alias("k"))
+    return t.select("p_partkey", F.col("k.i").alias("i"), F.round("k.coef", 6).alias("coef"))
 
 
 def _resample(name: str, size: int):
