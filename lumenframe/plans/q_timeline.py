@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import properties
 from lumenframe.operators import timeline as tl
 from lumenframe.operators.series import let, pitch_convolve
 from lumenframe.plans.q_series import KERNEL, _convolve_sql
@@ -142,6 +143,26 @@ def prop_circle(spark, d):
     return tl.frames_of(clips(spark, d)).select("clip_id", "local_frame", F.round(x * 1.5 + 100, 6).alias("x"), F.round(y * 0.5 + 50, 6).alias("y"))
 
 
+@query(
+    "prop_bound",
+    f"""WITH {SQL_CLIPS}, p AS (SELECT clip_id, n AS local_frame, n / frames AS portion FROM (SELECT clip_id, frames, unnest(range(frames)) AS n FROM clips)),
+r AS (SELECT *, 40 * portion + clip_id AS radius, portion * 2 * pi() AS angle FROM p)
+SELECT clip_id, local_frame, round(radius, 6) AS radius, round(100 + radius * cos(angle), 6) AS x, round(60 + radius * sin(angle) / 2, 6) AS y FROM r""",
+)
+def prop_bound(spark, d):
+    """A point on a spiral: its place is bound to a radius and an angle, which are bound to the portion of the clip gone by."""
+    props = {
+        "x": lambda s: s.origin_x + s.radius * F.cos(s.angle),
+        "y": lambda s: s.origin_y + s.radius * F.sin(s.angle) / 2,
+        "radius": lambda s: 40 * s.portion + s.clip_id,
+        "angle": lambda s: s.portion * 2 * F.pi(),
+        "origin_x": 100.0,
+        "origin_y": 60.0,
+    }
+    f = properties.bind(tl.frames_of(clips(spark, d)), props)
+    return f.select("clip_id", "local_frame", *[F.round(c, 6).alias(c) for c in ("radius", "x", "y")])
+
+
 @query("iter_loop", f"WITH {SQL_CLIPS}, m AS (SELECT count(*) AS n FROM seq) SELECT i, clip_id, local_frame FROM (SELECT i, i % n AS k FROM range(1000) t(i), m) JOIN seq ON framenum = k")
 def iter_loop(spark, d):
     """A finite sequence played over and over for 1000 frames."""

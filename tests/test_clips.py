@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import series
+from lumenframe.operators import properties, series
 from lumenframe.operators import timeline as tl
 
 
@@ -56,3 +56,21 @@ def test_rates_by_hand(spark):
 def test_kernel_of_one_coefficient(spark):
     df = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0)], "user_id long, i long, v double")
     assert all(math.isnan(r.out) for r in series.pitch_convolve(df, ([1.0],)).collect())
+
+
+def test_properties_read_each_other(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.5)], "framenum long, portion double")
+    props = {"y": lambda s: s.x * 2 + s.base, "x": lambda s: s.portion * s.width, "width": 10.0, "base": F.col("framenum"), "text": "t", "portion2": lambda s: s.portion}
+    got = [(r.x, r.y, r.text, r.portion2) for r in properties.bind(df, props).orderBy("framenum").collect()]
+    assert got == [(0.0, 0.0, "t", 0.0), (5.0, 11.0, "t", 0.5)]
+
+
+@pytest.mark.parametrize("props", [{"a": lambda s: s.a}, {"a": lambda s: s.b, "b": lambda s: s.c + 1, "c": lambda s: s.a}])
+def test_circular_properties_are_refused(spark, props):
+    with pytest.raises(properties.CircularReference, match="a -> "):
+        properties.bind(spark.range(1), props)
+
+
+def test_unknown_names_are_refused(spark):
+    with pytest.raises(KeyError):
+        properties.bind(spark.range(1), {"a": lambda s: s.nothing})
