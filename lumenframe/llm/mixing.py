@@ -53,6 +53,8 @@ def targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = (1, 2, 3
             level = level if left else float("inf")
             break
         before, level = left, (row["all"] - (row["capped"] or 0.0)) / left
+    else:
+        raise RuntimeError("the water level did not settle")
     goal = F.least(cap, F.lit(level) * F.col("w")) if level != float("inf") else cap
     return t.withColumn("target", goal)
 
