@@ -197,6 +197,7 @@ def pairs_of(fp: np.ndarray, own: np.ndarray, cls: np.ndarray, distance: int, st
     """Index pairs within ``distance`` of different classes that can be as similar as ``least``: all while they are at most four for each member, else the ``step`` nearest of each member; and whether some were held back.
 
     n and bits are the sizes and parity sketches of the members' shingle sets: they tell exactly that most pairs are too far apart.
+    All zero, they tell nothing and leave every pair in. A step of 0 gives all pairs or none.
     """
     m, at, all_a, all_b, some_a, some_b, total, cut = len(fp), np.flatnonzero(own < 2), [], [], [], [], 0, False
     rows = max(1, min(256, (1 << 20) // max(1, m)))
@@ -214,21 +215,24 @@ def pairs_of(fp: np.ndarray, own: np.ndarray, cls: np.ndarray, distance: int, st
         if total <= 4 * m:
             all_a.append(at[lo + x])
             all_b.append(y)
-        far = np.where(ok, d, 100)
-        near = np.argsort(far, axis=1, kind="stable")[:, :step]
-        keep = np.take_along_axis(far, near, 1) < 100
         cut |= bool((ok.sum(1) > step).any())
-        some_a.append(np.repeat(at[lo : lo + rows], keep.sum(1)))
-        some_b.append(near[keep])
+        if step:
+            far = np.where(ok, d, 100)
+            near = np.argsort(far, axis=1, kind="stable")[:, :step]
+            keep = np.take_along_axis(far, near, 1) < 100
+            some_a.append(np.repeat(at[lo : lo + rows], keep.sum(1)))
+            some_b.append(near[keep])
     few = total <= 4 * m
     a, b = (all_a, all_b) if few else (some_a, some_b)
     none = [np.zeros(0, np.int64)]
     return np.concatenate(none + a), np.concatenate(none + b), cut and not few
 
 
-def buckets(fps: DataFrame, ws: Workspace, distance: int, parts: int = 4, sample_rows: int = 20_000) -> list[DataFrame]:
+def buckets(fps: DataFrame, ws: Workspace, distance: int, parts: int = 4, sample_rows: int = 20_000, prune: bool = True) -> list[DataFrame]:
     """(fp, node) -> tables of (path, value, fp, own, node), whose buckets (path, value) hold all links between them.
 
+    ``prune`` joins away the buckets of one member, which pays where most are; elsewhere the join moves more than it saves.
+
     No bucket but those of the last depth, whose members agree on all but a few bits, needs more than ``BUCKET`` squared
     comparisons of an indexed row with another.
     """
@@ -255,7 +259,7 @@ def buckets(fps: DataFrame, ws: Workspace, distance: int, parts: int = 4, sample
         size = ws.write(size.where("n > 1 and probed > 0 and held > 0").select("path", "value", (F.col("n") * F.col("held")).alias("work")), "buckets")
         live = posted.join(size, ["path", "value"])
         last = depth == DEPTH - 1 or not size.where(F.col("work") > BUCKET**2).limit(1).count()
-        out.append((live if last else live.where(F.col("work") <= BUCKET**2)).drop("work"))
+        out.append(posted if last and not prune else (live if last else live.where(F.col("work") <= BUCKET**2)).drop("work"))
         if last:
             break
         posted = _divide(live.where(F.col("work") > BUCKET**2).drop("work"), plan, distance)
@@ -430,6 +434,21 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, fp long, sig binary, n long, sketch binary")
 
 
+def within_reach(pairs: DataFrame, sizes: DataFrame, least: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and parity sketches (node, n, sketch) leave room for a similarity of ``least``."""
+
+    def run(batches):
+        for t in batches:
+            n, m = (t.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+            bits = sketch.apart(sketch.matrix(t.column("x").to_pylist()), sketch.matrix(t.column("y").to_pylist()))
+            ok = bits <= sketch.may_differ(n, m, least.numerator, least.denominator)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first = sizes.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x"))
+    second = sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, ws: Workspace, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts (node, text) have a five-word shingle similarity of ``least`` or more."""
 
@@ -456,15 +475,16 @@ def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float =
     """(id, text), id long and distinct -> (id, root): rows of a group, joined by five-word shingle similarity of ``least`` or more, share their root.
 
     Texts with equal shingle sets are one node. Candidates are the nodes whose word-set fingerprints lie within ``distance`` and
-    whose sizes and parity sketches leave room for the similarity.
+    whose sizes and parity sketches leave room for the similarity. The first round goes without sketches and gives the pairs of
+    all buckets that have few, sketched afterwards; only the buckets it holds back take sketches along.
     """
     told = ws.write(described(docs), "described")
     nodes = ws.write(told.groupBy("fp", "sig").agg(F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
     rows = ws.write(told.select("id", "fp", "sig"), "rows")
     ws.drop(told)
     texts, size = docs.select(F.col("id").alias("node"), "text"), nodes.select("node", "n", "sketch")
-    tables, tasks, bound = [t.join(size, "node") for t in buckets(nodes, ws, distance, 5)], parallelism(ws.spark), Fraction(least).limit_denominator(1000)
-    groups_, step = None, 2
+    tables, tasks, bound = buckets(nodes, ws, distance, 5, prune=False), parallelism(ws.spark), Fraction(least).limit_denominator(1000)
+    groups_, step = None, 0
     while True:
         def emit(path, value, fp, own, node, cls, n, bits, step=step):
             a, b, more = pairs_of(fp, own, cls, distance, step, n, bits, bound)
@@ -472,13 +492,15 @@ def same_texts(docs: DataFrame, ws: Workspace, distance: int = 7, least: float =
 
         found = ws.write(_union([_within(t, emit, tasks) for t in tables]), "candidates")
         pairs = found.where("path is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs if step else within_reach(pairs, size, bound)
         groups_ = ws.write(merged(groups_, verified(ws.write(pairs, "pairs"), texts, ws, least), ws), "groups")
         more = found.where("path is not null").select("path", "value")
         if not more.limit(1).count():
             break
-        held = [t.join(more, ["path", "value"], "left_semi").join(groups_.select("node", F.col("root").alias("cls")), "node", "left") for t in (x.drop("cls") for x in tables)]
-        tables = [ws.write(_union([t.withColumn("cls", F.coalesce("cls", "node")) for t in held]), "held")]
-        step *= 16
+        held = _union([t.drop("cls").join(more, ["path", "value"], "left_semi") for t in tables])
+        held = held.join(groups_.select("node", F.col("root").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+        tables = [ws.write(held if step else held.join(size, "node"), "held")]
+        step = step * 16 or 2
     named = nodes.join(groups_, "node", "left").select("fp", "sig", F.coalesce("root", "node").alias("root"))
     return rows.join(named, ["fp", "sig"]).select("id", "root")
 
