@@ -227,3 +227,74 @@ def latest(df: DataFrame, how: str, epoch: Column, default: float, key: str = "u
     every = most.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("epoch"))
     held = F.last("x", ignorenulls=True).over(Window.partitionBy(key).orderBy("epoch"))
     return every.join(got, [key, "epoch"], "left").select(key, "epoch", F.coalesce(held, F.lit(default)).alias("value"))
+
+
+#: Levels of a histogram, and how often their range can be halved.
+LEVELS, HALVINGS = 256, 9
+
+
+def _median(upto: Column, lo: Column, hi: Column) -> Column:
+    """Place in [lo, hi) of a cumulative histogram where half the counts between are passed, found by halving steps."""
+    half = (upto[lo] + upto[hi - 1]) / 2
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        low = upto[mid] < half
+        return F.when(s.lo >= s.hi, s).otherwise(F.struct(F.when(low, mid + 1).otherwise(s.lo).alias("lo"), F.when(low, s.hi).otherwise(mid - 1).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(HALVINGS)), F.struct(lo.alias("lo"), hi.alias("hi")), step).lo
+
+
+def _bridged(known: Column) -> Column:
+    """An array of LEVELS values from a map of some of them: lines between neighbours, 0 and LEVELS - 1 at ends that the map lacks."""
+    ends = lambda i: F.when(i == 0, F.lit(0)).when(i == LEVELS - 1, F.lit(LEVELS - 1))
+    level = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    whole = F.transform(level, lambda i: F.struct(i.alias("i"), F.coalesce(known[i], ends(i)).cast("double").alias("v")))
+
+    def lines(knots: Column) -> Column:
+        runs = F.zip_with(F.slice(knots, 1, F.size(knots) - 1), F.slice(knots, 2, F.size(knots) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        points = lambda r: F.transform(F.sequence(r.a.i, r.b.i - 1), lambda i: r.a.v + (r.b.v - r.a.v) * (i - r.a.i) / (r.b.i - r.a.i))
+        return F.concat(F.flatten(F.transform(runs, points)), F.array(F.element_at(knots, -1).v))
+
+    return let(F.filter(whole, lambda p: p.v.isNotNull()), lines)
+
+
+def balanced(counts: DataFrame, key: str) -> DataFrame:
+    """Histograms (key, level, n), level from 0 to 255, -> (key, level, mapped, inverse): the map that balances each, and its inverse.
+
+    The middle of a range of outputs takes the median of its range of inputs; the ranges on both sides follow, level by level,
+    each without its neighbour of the middle below. What is left between is bridged by straight lines, and so is the inverse,
+    where of levels with one whole output the last counts. A key is one array of 256 counts, whatever its rows were, so the
+    splitting needs no shuffle. Null keys are one key; levels and counts that are null count nothing; others out of range are
+    an error. No rows: no rows.
+    """
+    inside = F.when(F.col("level").isNull() | F.col("level").between(0, LEVELS - 1), F.col("level")).otherwise(F.raise_error(F.lit("a level is out of range")))
+    some = counts.select(key, inside.cast("int").alias("level"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    some = some.groupBy(key, "level").agg(F.sum("n").alias("n"))
+    h = some.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "n")))).alias("_h"))
+    count = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.coalesce(F.col("_h")[i], F.lit(0).cast("long")))
+    h = h.withColumn("_n", count)
+    grow = lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))
+    h = h.withColumn("_c", F.aggregate("_n", F.array(F.lit(0).cast("long")), grow))
+
+    def node(lo, hi, clo, chi):
+        return F.struct(lo.alias("lo"), hi.alias("hi"), clo.alias("clo"), chi.alias("chi"))
+
+    def split(s: Column, _: Column) -> Column:
+        cut = F.transform(s.todo, lambda r: F.struct(r.alias("r"), F.floor((r.lo + r.hi) / 2).cast("int").alias("mid"), _median(F.col("_c"), r.clo, r.chi).alias("half")))
+
+        def after(t: Column) -> Column:
+            both = F.flatten(F.transform(t, lambda x: F.array(node(x.r.lo, x.mid - 1, x.r.clo, x.half - 1), node(x.mid + 1, x.r.hi, x.half + 1, x.r.chi))))
+            done = F.concat(s.done, F.transform(t, lambda x: F.struct(x.mid.alias("i"), x.half.alias("v"))))
+            return F.struct(F.filter(both, lambda r: (r.lo < r.hi) & (r.clo < r.chi)).alias("todo"), done.alias("done"))
+
+        return let(cut, after)
+
+    zero, top = F.lit(0), F.lit(LEVELS)
+    start = F.struct(F.array(node(zero, top, zero, top)).alias("todo"), F.array().cast("array<struct<i:int,v:int>>").alias("done"))
+    h = h.withColumn("_done", F.aggregate(F.sequence(F.lit(0), F.lit(HALVINGS)), start, split).done)
+    h = h.withColumn("_map", _bridged(F.map_from_entries("_done")))
+    back = F.transform("_map", lambda v, i: F.struct(F.floor(v).cast("int").alias("o"), i.alias("i")))
+    last = lambda pairs: F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q.o == p.o) & (q.i > p.i)))
+    h = h.withColumn("_back", back).withColumn("_inv", _bridged(F.map_from_entries(last(F.col("_back")))))
+    return h.select(key, F.posexplode(F.arrays_zip(F.col("_map").alias("m"), F.col("_inv").alias("v"))).alias("level", "z")).select(key, F.col("level").cast("long").alias("level"), F.col("z.m").alias("mapped"), F.col("z.v").alias("inverse"))

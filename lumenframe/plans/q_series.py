@@ -290,6 +290,36 @@ def hist_interp(spark, d):
     return g.select("bin", F.round(F.col("n") + (F.col("n1") - F.col("n")) * (F.col("bin") - F.col("k")) / (F.col("k1") - F.col("k")), 6).alias("level"))
 
 
+def _lines(name: str, known: str) -> str:
+    """All levels of ``known`` (stream_id, i, v), ends filled in, on straight lines between those it has."""
+    return f"""{name}_k AS (SELECT stream_id, i, CAST(v AS DOUBLE) AS v FROM {known} UNION ALL SELECT stream_id, e.i, e.i FROM keys, (VALUES (0), (255)) e(i) WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.stream_id = keys.stream_id AND k.i = e.i)),
+{name}_r AS (SELECT *, lead(i) OVER (PARTITION BY stream_id ORDER BY i) AS i1, lead(v) OVER (PARTITION BY stream_id ORDER BY i) AS v1 FROM {name}_k),
+{name} AS (SELECT r.stream_id, CAST(l.i AS BIGINT) AS level, CASE WHEN l.i = r.i THEN r.v ELSE r.v + (v1 - r.v) * (l.i - r.i) / (i1 - r.i) END AS v FROM {name}_r r JOIN range(256) l(i) ON l.i = r.i OR l.i > r.i AND l.i < r.i1)"""
+
+
+@query(
+    "hist_balance",
+    f"""WITH RECURSIVE {SQL_FRAMES}, px AS (SELECT stream_id, unnest(px) AS level FROM frames), keys AS (SELECT DISTINCT stream_id FROM px),
+n AS (SELECT stream_id, level, count(*) AS n FROM px GROUP BY stream_id, level),
+c AS (SELECT k.stream_id, i, coalesce((SELECT sum(n) FROM n WHERE n.stream_id = k.stream_id AND level < i), 0) AS c FROM keys k, range(257) t(i)),
+w AS (SELECT stream_id, list(c ORDER BY i) AS c FROM c GROUP BY stream_id),
+tree AS (SELECT stream_id, c, 0 AS lo, 256 AS hi, 0 AS clo, 256 AS chi, 0 AS a, 256 AS b FROM w
+  UNION ALL SELECT stream_id, c, lo, hi, clo, chi, a, b FROM (
+    SELECT stream_id, c, CASE WHEN a < b OR side = 0 THEN lo ELSE (lo + hi) // 2 + 1 END AS lo, CASE WHEN a < b OR side = 1 THEN hi ELSE (lo + hi) // 2 - 1 END AS hi,
+      CASE WHEN a < b OR side = 0 THEN clo ELSE a + 1 END AS clo, CASE WHEN a < b OR side = 1 THEN chi ELSE a - 1 END AS chi,
+      CASE WHEN a < b THEN CASE WHEN c[(a + b) // 2 + 1] < (c[clo + 1] + c[chi]) / 2 THEN (a + b) // 2 + 1 ELSE a END WHEN side = 0 THEN clo ELSE a + 1 END AS a,
+      CASE WHEN a < b THEN CASE WHEN c[(a + b) // 2 + 1] < (c[clo + 1] + c[chi]) / 2 THEN b ELSE (a + b) // 2 - 1 END WHEN side = 1 THEN chi ELSE a - 1 END AS b
+    FROM tree, (VALUES (0), (1)) s(side) WHERE a >= b OR side = 0) WHERE lo < hi AND clo < chi),
+known AS (SELECT stream_id, (lo + hi) // 2 AS i, a AS v FROM tree WHERE a >= b), {_lines("map", "known")},
+back AS (SELECT stream_id, CAST(floor(v) AS INTEGER) AS i, max(level) AS v FROM map GROUP BY 1, 2), {_lines("inv", "back")}
+SELECT map.stream_id, map.level, round(map.v, 6) AS mapped, round(inv.v, 6) AS inverse FROM map JOIN inv ON map.stream_id = inv.stream_id AND map.level = inv.level""",
+)
+def hist_balance(spark, d):
+    """The map that balances the luma of each stream by splits at medians, and its inverse."""
+    n = frames(spark, d).select("stream_id", F.explode("px").alias("level")).groupBy("stream_id", "level").agg(F.count("*").alias("n"))
+    return op.balanced(n, "stream_id").select("stream_id", "level", *[F.round(c, 6).alias(c) for c in ("mapped", "inverse")])
+
+
 @query("fake_trace", "SELECT s_suppkey AS frame, count(*) AS points, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT s_suppkey, sin(0.217 * s_suppkey + 0.321 * p) + 20 AS v FROM supplier, range(200) b(p)) f GROUP BY s_suppkey")
 def fake_trace(spark, d):
     """A frame of 200 points for each supplier, on a sine that moves on by a phase with its number."""

@@ -203,9 +203,11 @@ def convolve_iterate(spark, d):
     return s.select("user_id", "i", F.round("v", 6).alias("out"))
 
 
-@query("y4m_scan", f"WITH {SQL_FRAMES} SELECT CAST(stream_id AS VARCHAR) AS stream_id, seq, round(seq / 25.0::DOUBLE, 6) AS elapsed, list_sum(px)::BIGINT AS total FROM frames")
-def y4m_scan(spark, d):
-    """Frames written as one file for each stream and scanned back by the data source."""
+SQL_SCAN = f"WITH {SQL_FRAMES} SELECT CAST(stream_id AS VARCHAR) AS stream_id, seq, round(seq / 25.0::DOUBLE, 6) AS elapsed, list_sum(px)::BIGINT AS total FROM frames"
+
+
+def _written(spark, d) -> str:
+    """A folder with the frames as one file for each stream."""
     import uuid
 
     path = f"{run.folder(spark)}/y4m-{uuid.uuid4().hex}"
@@ -215,9 +217,24 @@ def y4m_scan(spark, d):
     head = F.create_map(*[F.lit(x) for x in ("W", "8", "H", "8", "F", "25:1", "C", "420")])
     y4m.write(f.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", head.alias("parms"), byte(F.col("px")).alias("y"), grey.alias("cb"), grey.alias("cr")), path)
     spark.dataSource.register(y4m.Y4mSource)
-    back = spark.read.format("y4m").load(path)
+    return path
+
+
+def _totals(scan):
     total = let(F.hex("y"), lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")))
-    return back.select("stream_id", "seq", F.round("elapsed", 6).alias("elapsed"), total.alias("total"))
+    return scan.select("stream_id", "seq", F.round("elapsed", 6).alias("elapsed"), total.alias("total"))
+
+
+@query("y4m_scan", SQL_SCAN)
+def y4m_scan(spark, d):
+    """Frames written as one file for each stream and scanned back by the data source."""
+    return _totals(spark.read.format("y4m").load(_written(spark, d)))
+
+
+@query("y4m_live", SQL_SCAN)
+def y4m_live(spark, d):
+    """The same folder followed as a stream: every frame once, by its place in its file."""
+    return run.drain(_totals(spark.readStream.format("y4m").load(_written(spark, d))), "append")
 
 
 def _events(spark, d):

@@ -7,8 +7,9 @@ index beside a file whose frames have parameters, so that such files split as we
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lumenframe.operators.frames import SUBSAMPLING
 from lumenframe.sources.files import FileWriter
@@ -42,14 +43,20 @@ def plane_sizes(parms: dict[str, str]) -> tuple[int, int, int]:
     return w * h, (w // xs) * (h // ys), (w // xs) * (h // ys)
 
 
-def seconds(parms: dict[str, str]) -> float:
-    """Length of a frame; 0 without a rate."""
+def _length(parms: dict[str, str]) -> tuple[int, int]:
+    """Length of a frame in seconds, as numerator and denominator; 0 without a rate."""
     if "F" not in parms:
-        return 0.0
+        return 0, 1
     num, sep, den = parms["F"].partition(":")
     if not (sep and num.isdigit() and den.isdigit() and int(num)):
         raise ValueError(f"bad rate {parms['F']!r}")
-    return int(den) / int(num)
+    return int(den), int(num)
+
+
+def seconds(parms: dict[str, str]) -> float:
+    """Length of a frame; 0 without a rate."""
+    den, num = _length(parms)
+    return den / num
 
 
 def encode(parms: dict[str, str], frames: Iterable[tuple[bytes, bytes, bytes]]) -> bytes:
@@ -186,6 +193,105 @@ class Reader(DataSourceReader):
                 yield batch(held)
 
 
+class LiveReader(DataSourceStreamReader):
+    """Frames of files that grow, and of files that appear: every whole frame once, by its place in its file.
+
+    An offset holds, for each file, the frames seen, the byte after them and their length in seconds, as an exact
+    fraction, so that an offset is the same whether it was reached in one step or many. A frame that is not all
+    there yet waits, so does a file without its whole header. The driver looks at frame headers only; where they are bare, at one
+    in ``framesperpartition``. A file that shrinks below its offset is an error. Files keep their names and are only appended to.
+    """
+
+    def __init__(self, options):
+        self.batches = Reader(options)
+        self.seen: dict[str, list] = {}
+        self.starts: dict[str, tuple[int, dict[str, str]]] = {}
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        from pyarrow import fs as pafs
+
+        fs, root = _filesystem(self.batches.path)
+        for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if i.path.endswith(".y4m"):
+                self._look(fs, i.path)
+        return {k: list(v) for k, v in self.seen.items()}
+
+    def _start(self, f, path: str) -> tuple[int, dict[str, str]] | None:
+        """Where a file's frames begin, and its parameters; None as long as its header is not all there."""
+        if path not in self.starts:
+            f.seek(0)
+            line, end, _ = f.read(MOST_HEADER).partition(b"\n")
+            if not end:
+                return None
+            if line.split(b" ")[0] != MAGIC:
+                raise ValueError(f"{path} is not a YUV4MPEG2 stream")
+            self.starts[path] = len(line) + 1, parse_params(line[len(MAGIC) :])
+        return self.starts[path]
+
+    def _look(self, fs, path: str) -> None:
+        """Move the file's offset behind its last whole frame."""
+        with fs.open_input_file(path) as f:
+            whole = f.size()
+            start = self._start(f, path)
+            if start is None:
+                return
+            n, at, elapsed = self.seen.get(path, [0, start[0], "0"])
+            elapsed = Fraction(elapsed)
+            if whole < at:
+                raise ValueError(f"{path} has become shorter than what was read of it")
+            bare = FRAME + b"\n"
+            size = len(bare) + sum(plane_sizes(start[1]))
+            more = (whole - at) // size
+            looked = {*range(0, more, self.batches.step), *range(max(0, more - 1), more)}
+            rest = at + more * size
+
+            def head(place: int) -> bytes:
+                f.seek(place)
+                return f.read(MOST_HEADER).partition(b"\n")[0] + b"\n"
+
+            if all(head(at + i * size) == bare for i in looked) and (rest == whole or bare.startswith(head(rest)[: min(len(bare), whole - rest)])):
+                n, at, elapsed = n + more, rest, elapsed + more * Fraction(*_length(start[1]))
+            else:
+                while at < whole:
+                    line = head(at)
+                    if at + len(line) > whole:
+                        break
+                    if line.split(b" ")[0].rstrip(b"\n") != FRAME:
+                        raise ValueError(f"{path}: expected a frame, found {line[:20]!r}")
+                    parms = start[1] | parse_params(line[len(FRAME) :])
+                    end = at + len(line) + sum(plane_sizes(parms))
+                    if end > whole:
+                        break
+                    n, at, elapsed = n + 1, end, elapsed + Fraction(*_length(parms))
+            self.seen[path] = [n, at, str(elapsed)]
+
+    def partitions(self, start, end):
+        fs, _ = _filesystem(self.batches.path)
+        out = []
+        for path, (n, at, elapsed) in sorted(end.items()):
+            with fs.open_input_file(path) as f:
+                first, header = self._start(f, path)
+            n0, at0, elapsed0 = start.get(path, [0, first, "0"])
+            elapsed0 = Fraction(elapsed0)
+            size, step = len(FRAME) + 1 + sum(plane_sizes(header)), self.batches.step
+            if n <= n0:
+                continue
+            if at - at0 != (n - n0) * size:
+                out.append(Range(path, n0, None, at0, float(elapsed0), at))
+                continue
+            for a in range(0, n - n0, step):
+                b = min(n - n0, a + step)
+                out.append(Range(path, n0 + a, b - a, at0 + a * size, float(elapsed0 + a * Fraction(*_length(header))), at0 + b * size))
+            self.seen.setdefault(path, [n, at, elapsed])
+        return out
+
+    def read(self, partition):
+        return self.batches.read(partition)
+
+
 def _Raw(raw):
     import io
 
@@ -212,7 +318,7 @@ def _Raw(raw):
 
 
 class Y4mSource(DataSource):
-    """``spark.dataSource.register(Y4mSource)``, then ``spark.read.format("y4m").load(path)``."""
+    """``spark.dataSource.register(Y4mSource)``, then ``spark.read.format("y4m").load(path)``, or ``readStream`` to follow a folder."""
 
     @classmethod
     def name(cls):
@@ -224,6 +330,9 @@ class Y4mSource(DataSource):
     def reader(self, schema):
         return Reader(self.options)
 
+    def streamReader(self, schema):
+        return LiveReader(self.options)
+
     def writer(self, schema, overwrite):
         return Writer(self.options)
 
