@@ -42,8 +42,8 @@ def of_values(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.when(F.round(v, 9) > 0, "1").otherwise("0")), "")
 
 
-#: Signatures of a stream that are compared as one block.
-BLOCK = 2048
+#: Signatures of a stream that are compared as one block, and blocks of earlier ones that meet the later ones in one task.
+BLOCK, GROUP = 2048, 4
 
 
 def _blocks(signatures: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,10 +61,13 @@ def _blocks(signatures: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def _compared(signatures: DataFrame, key: str, order: str, emit) -> DataFrame:
-    """Rows (key, second, first, bits) that ``emit(distances, ok)`` chooses of each pair of blocks, ok marking the pairs of a row and an earlier one."""
-    b = _blocks(signatures, key, order)
-    late = b.select(F.col(key).alias("k"), F.col("blk").alias("b"), F.col("at").alias("a"), F.col("words").alias("w"))
-    pairs = late.join(b, (F.col("k") == F.col(key)) & (F.col("blk") <= F.col("b")))
+    """Rows (key, second, first, bits) that ``emit(distances, ok)`` chooses of each pair of blocks, ok marking the pairs of a row and an earlier one.
+
+    A block goes once to each group of ``GROUP`` blocks up to its own, so a stream's pairs are dealt over as many tasks as it has groups.
+    """
+    b = _blocks(signatures, key, order).withColumn("_g", F.floor(F.col("blk") / GROUP))
+    late = b.select(F.col(key).alias("k"), F.col("blk").alias("b"), F.col("at").alias("a"), F.col("words").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), "_g")).alias("_h"))
+    pairs = late.join(b, F.col("k").eqNullSafe(F.col(key)) & (F.col("_h") == F.col("_g")) & (F.col("blk") <= F.col("b")))
 
     def run(batches):
         for t in batches:

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import blocks
+
 #: Fill of luma and chroma, and the legal output ranges.
 FILL_Y, FILL_C, LOW, HIGH_Y, HIGH_C = 16, 128, 16, 235, 240
 #: Subsampling of the chroma planes by colourspace, aliases included.
 SUBSAMPLING = {"420": (2, 2), "420jpeg": (2, 2), "420mpeg2": (2, 2), "420paldv": (2, 2), "422": (2, 1), "444": (1, 1)}
 
 
-def by_stream() -> Window:
-    return Window.partitionBy("stream_id").orderBy("seq")
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -39,9 +37,9 @@ def clamp(x: Column, low: int, high: int) -> Column:
 
 
 def scrolled(frames: DataFrame, value: Column, width: int) -> DataFrame:
-    """The last ``width`` values as a plot row, newest last, older columns to the left."""
-    w = by_stream().rowsBetween(-(width - 1), 0)
-    return frames.withColumn("row", F.collect_list(value).over(w))
+    """The last ``width`` values as a plot row, newest last, older columns to the left. ``seq`` counts from 0 without gaps."""
+    row = lambda t, k: t.withColumn("row", F.collect_list("_v").over(Window.partitionBy(k).orderBy("seq").rowsBetween(-(width - 1), 0)))
+    return blocks.sliding(frames.withColumn("_v", value), width - 1, 0, row, "stream_id", "seq").drop("_v")
 
 
 def graph_points(frames: DataFrame, value: Column, width: int, height: int) -> DataFrame:

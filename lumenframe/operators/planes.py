@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from lumenframe.operators.frames import FILL_C, FILL_Y, HIGH_C, LOW, SUBSAMPLING, by_stream
+from lumenframe.operators import blocks
+from lumenframe.operators.frames import FILL_C, FILL_Y, HIGH_C, LOW, SUBSAMPLING
 
 PLANES = ("y", "cb", "cr")
 FILL = (FILL_Y, FILL_C, FILL_C)
@@ -76,23 +77,26 @@ def each(frames: DataFrame, fn: Callable) -> DataFrame:
     return mapped(frames, lambda parms, ps: (parms, [fn(p, i, parms) for i, p in enumerate(ps)], ()))
 
 
-def testcard(spark, width: int, height: int, steps: int = 256) -> DataFrame:
-    """Frames (stream_id, seq, parms, y, cb, cr) in 4:4:4: ramps from 0 to 255 along x, along y and over ``steps`` frames, dealt to the planes in all six orders."""
+def testcard(numbers: DataFrame, width: int, height: int, steps: int = 256) -> DataFrame:
+    """Frames (stream_id, seq, parms, y, cb, cr) in 4:4:4 for (stream_id, seq), seq from 0 to 6 x steps - 1: ramps from 0 to 255 along
+    x, along y and over ``steps`` frames, dealt to the planes in all six orders."""
     parms = {"A": "1:1", "C": "444", "F": "25:1", "H": str(height), "I": "t", "W": str(width)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.broadcast_to(np.arange(width) * 255 // max(1, width - 1), (height, width)).astype(np.uint8).tobytes()
         y = np.broadcast_to((np.arange(height) * 255 // max(1, height - 1))[:, None], (height, width)).astype(np.uint8).tobytes()
+        orders = list(permutations(range(3)))
         for b in batches:
             for lo in range(0, b.num_rows, 16):
-                seq = b.column("id").slice(lo, 16).to_pylist()
+                some = b.slice(lo, 16)
+                seq = some.column("seq").to_pylist()
                 ramps = [(x, y, bytes([n % steps * 255 // max(1, steps - 1)]) * (width * height)) for n in seq]
-                orders = [list(permutations(range(3)))[n // steps] for n in seq]
-                cols = [pa.array(["testcard"] * len(seq)), pa.array(seq, pa.int64()), pa.array([list(parms.items())] * len(seq), pa.map_(pa.string(), pa.string()))]
-                cols += [pa.array([r[o[k]] for r, o in zip(ramps, orders, strict=True)], pa.binary()) for k in range(3)]
+                cols = [some.column("stream_id"), some.column("seq"), pa.array([list(parms.items())] * len(seq), pa.map_(pa.string(), pa.string()))]
+                cols += [pa.array([r[orders[n // steps][k]] for r, n in zip(ramps, seq, strict=True)], pa.binary()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(cols, names=["stream_id", "seq", "parms", *PLANES])
 
-    return spark.range(6 * steps).mapInArrow(run, "stream_id string, seq long, parms map<string,string>, y binary, cb binary, cr binary")
+    kind = numbers.schema["stream_id"].dataType.simpleString()
+    return numbers.select("stream_id", F.col("seq").cast("long")).mapInArrow(run, f"stream_id {kind}, seq long, parms map<string,string>, y binary, cb binary, cr binary")
 
 
 def info_of(p: np.ndarray) -> tuple[float, ...]:
@@ -109,11 +113,17 @@ def info(frames: DataFrame, kind: str = "raw") -> DataFrame:
     return mapped(frames, lambda parms, ps: (parms, ps, tuple(float(v) for p in ps for v in info_of(p))), ", ".join(f"{n} double" for n in names), planes=False)
 
 
+#: Frames of a stream that are paired in one task.
+PAIRED = 256
+
+
 def with_neighbour(frames: DataFrame, ahead: bool) -> DataFrame:
-    """Add y0, cb0, cr0: the planes of the next frame of the stream, or of the one before; null at its end."""
-    side = F.lead if ahead else F.lag
-    both = side(F.struct(*PLANES)).over(by_stream())
-    return frames.withColumn("_n", both).select("*", *[F.col(f"_n.{p}").alias(f"{p}0") for p in PLANES]).drop("_n")
+    """Add y0, cb0, cr0: the planes of the next frame of the stream, or of the one before; null at its end.
+
+    A stream is as many tasks as it has blocks of ``PAIRED`` frames; a block lends one frame to the next.
+    """
+    both = blocks.beside(frames, PLANES, ahead, "stream_id", "seq", PAIRED)
+    return both.select("*", *[F.col(f"_n.{p}").alias(f"{p}0") for p in PLANES]).drop("_n")
 
 
 NEIGHBOURS = (*PLANES, *(f"{p}0" for p in PLANES))

@@ -1,26 +1,29 @@
 """Operators on numeric series (key, i, v): windows, folds, resampling and kernels.
 
-Sliding operators are window frames. Folds with a decay run in blocks of bounded length; a block starts from what the one
-before it left, which is exact because anything older has decayed below a double's precision. Joins of intervals are
-equi-joins on buckets of the axis.
+Sliding operators are window frames, to be used inside ``blocks.sliding``. Running sums and folds with a decay go by blocks of
+fixed length, a block's start being composed from the blocks before it. Joins of intervals are equi-joins on buckets of the axis.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import blocks
+
 BLOCK = 4096
+Key = str | Sequence[str]
 
 
-def rows(key: str, order: str, before: int, after: int) -> Window:
+def rows(key: Key, order: str, before: int, after: int) -> Window:
     return Window.partitionBy(key).orderBy(order).rowsBetween(-before, after)
 
 
-def moving(v: Column, how: str, length: int, key: str = "user_id", order: str = "i") -> Column:
+def moving(v: Column, how: str, length: int, key: Key = "user_id", order: str = "i") -> Column:
     """avg, min or max of the last ``length`` values; ``log``: their geometric mean."""
     w = rows(key, order, length - 1, 0)
     if how == "log":
@@ -28,13 +31,13 @@ def moving(v: Column, how: str, length: int, key: str = "user_id", order: str =
     return getattr(F, how)(v).over(w)
 
 
-def smooth(v: Column, span: int, key: str = "user_id", order: str = "i", ceil: bool = False) -> Column:
+def smooth(v: Column, span: int, key: Key = "user_id", order: str = "i", ceil: bool = False) -> Column:
     """Centred geometric mean of ``span`` values, shrinking at both ends. Odd spans lean back, or with ``ceil`` ahead."""
     half = -(-span // 2) if ceil else span // 2
     return F.exp(F.avg(F.ln(v)).over(rows(key, order, span - half, half - 1)))
 
 
-def lookahead(v: Column, how: str, width: int, key: str = "user_id", order: str = "i") -> Column:
+def lookahead(v: Column, how: str, width: int, key: Key = "user_id", order: str = "i") -> Column:
     """avg or min of the value and those ahead of it, half a window in all, shrinking at the end."""
     return getattr(F, how)(v).over(rows(key, order, 0, -(-width // 2) - 1))
 
@@ -42,28 +45,37 @@ def lookahead(v: Column, how: str, width: int, key: str = "user_id", order: str
 def decayed(df: DataFrame, rate: float, v: str = "v", out: str = "out", value: float = 0.0, scale: float = 1.0, key: str = "user_id") -> DataFrame:
     """Add the running decayed mean: value = value * rate + x, scale = scale * rate + 1, value / scale, from the given start.
 
-    Series are folded in blocks of ``BLOCK`` rows, or as many more as ``rate`` needs to vanish over a block; from 0 up to, but
-    not at, 1.
+    Series are folded in blocks of ``BLOCK`` rows; rates from 0 up to, but not at, 1. A block takes a start (a, s) to
+    (a * rate ^ n + tail, s * rate ^ n + tail), so what each block starts from is a fold over one row for each block, at any rate.
     """
     if not 0 <= rate < 1:
         raise ValueError("the rate must be at least 0 and under 1")
-    length = max(BLOCK, math.ceil(41.5 / -math.log(rate))) if rate else BLOCK
-    packed = df.withColumn("_b", F.floor(F.col("i") / length)).groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("i", F.col(v).cast("double").alias("x"), F.struct(*df.columns).alias("row")))).alias("xs"))
+    packed = df.withColumn("_b", F.floor(F.col("i") / BLOCK)).groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("i", F.col(v).cast("double").alias("x"), F.struct(*df.columns).alias("row")))).alias("xs"))
 
     @F.pandas_udf("struct<a:double,s:double>")
-    def tail(xs: pd.Series, first: pd.Series) -> pd.DataFrame:
-        ends = [_fold(x, rate, *((value, scale) if f else (0.0, 0.0)))[-1] for x, f in zip(xs, first, strict=True)]
-        return pd.DataFrame(ends, columns=["a", "s"])
+    def tail(xs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_fold(x, rate, 0.0, 0.0)[-1] for x in xs], columns=["a", "s"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, a, s = [], value, scale  # a list holds the key, as a key may be null
+        for b in batches:
+            begin = []
+            for k, n, x, y in zip(*(b.column(c).to_pylist() for c in ("_k", "n", "a", "s")), strict=True):
+                if now != [k]:
+                    now, a, s = [k], value, scale
+                begin.append((a, s))
+                a, s = a * rate**n + x, s * rate**n + y
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_c"), *(pa.array([float(p[j]) for p in begin], pa.float64()) for j in (0, 1))], names=["_k", "_c", "_a", "_s"])
 
     @F.pandas_udf("array<double>")
     def states(xs: pd.Series, a: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([[p / q for p, q in _fold(x, rate, a0, s0)] for x, a0, s0 in zip(xs, a, s, strict=True)])
 
-    packed = packed.withColumn("_x", F.col("xs.x"))
-    packed = packed.withColumn("_tail", tail("_x", F.col("_b") == 0))
-    carry = F.lag("_tail").over(Window.partitionBy(key).orderBy("_b"))
-    packed = packed.withColumns({"_a": F.coalesce(carry["a"], F.lit(float(value))), "_s": F.coalesce(carry["s"], F.lit(float(scale)))})
-    rows_ = packed.select(F.explode(F.arrays_zip("xs", states("_x", "_a", "_s").alias("st"))).alias("z"))
+    ends = packed.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.size("xs").alias("n"), tail("xs.x").alias("t")).select("_k", "_c", "n", "t.a", "t.s")
+    kind = df.schema[key].dataType.simpleString()
+    begin = ends.repartition("_k").sortWithinPartitions("_k", "_c").mapInArrow(carry, f"_k {kind}, _c long, _a double, _s double")
+    packed = packed.join(begin, packed[key].eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
+    rows_ = packed.select(F.explode(F.arrays_zip("xs", states("xs.x", "_a", "_s").alias("st"))).alias("z"))
     return rows_.select("z.xs.row.*", F.col("z.st").alias(out))
 
 
@@ -98,10 +110,9 @@ def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id")
     stays for one such way more. A tick holds the values that pass in it, each piece at the mix where it begins. A last tick
     that is not filled goes.
     """
-    w = Window.partitionBy(key).orderBy("i")
-    t = df.select(key, "i", F.col(v).alias("v"), F.coalesce(F.lead(v).over(w), F.col(v)).alias("nx"), F.coalesce(F.lead(rate).over(w), F.col(rate)).alias("r"))
-    t = t.withColumn("t1", F.sum(1 / F.col("r")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("t0", F.coalesce(F.lag("t1").over(w), F.lit(0.0)))
+    following = lambda t, k: t.withColumns({n: F.coalesce(F.lead(c).over(Window.partitionBy(k).orderBy("i")), F.col(c)) for n, c in (("nx", "v"), ("r", "_r"))})
+    t = blocks.sliding(df.select(key, "i", F.col(v).alias("v"), F.col(rate).alias("_r")), 0, 1, following, key)
+    t = blocks.running(t, {"t1": 1 / F.col("r")}, key=key).withColumnRenamed("t1_before", "t0")
     total = t.groupBy(F.col(key).alias("_k")).agg(F.floor(F.max("t1") + 1e-9).alias("_n"))
     t = t.withColumn("o", F.explode(F.sequence(F.floor("t0"), F.greatest(F.floor("t0"), F.ceil("t1") - 1))))
     begin, end = F.greatest("t0", F.col("o").cast("double")), F.least("t1", F.col("o") + 1.0)
@@ -118,11 +129,12 @@ def translated(df: DataFrame, ticks: int, key: str = "user_id") -> DataFrame:
     area under the rates, joined by lines and falling to 0 after the last, on as long a stretch of input from where it
     begins. ``stop`` is where the clock stands when the input ends, ``ticks`` at most.
     """
-    w = Window.partitionBy(key).orderBy("i")
-    t = df.select(key, "i", "v", F.lead("v").over(w).alias("nx"), (F.count("*").over(Window.partitionBy(key))).alias("n"))
-    t = t.withColumn("t1", F.sum(F.when(F.col("nx").isNotNull(), 1 / F.col("v"))).over(w))
-    t = t.withColumns({"t0": F.coalesce(F.lag("t1").over(w), F.lit(0.0)), "last": F.col("nx").isNull(), "nx": F.coalesce("nx", F.lit(0.0))})
-    t = t.withColumn("c", F.coalesce(F.sum((F.col("v") + F.col("nx")) / 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    size = df.groupBy(F.col(key).alias("_z")).agg(F.count("*").alias("n"))
+    t = blocks.sliding(df.select(key, "i", "v"), 0, 1, lambda t, k: t.withColumn("nx", F.lead("v").over(Window.partitionBy(k).orderBy("i"))), key)
+    t = t.join(size, F.col(key).eqNullSafe(F.col("_z"))).drop("_z")
+    passed = F.when(F.col("nx").isNotNull(), 1 / F.col("v"))
+    t = blocks.running(t, {"t1": passed, "c1": (F.col("v") + F.coalesce("nx", F.lit(0.0))) / 2}, key=key)
+    t = t.withColumns({"t0": F.col("t1_before"), "c": F.col("c1_before"), "last": F.col("nx").isNull(), "nx": F.coalesce("nx", F.lit(0.0))})
     clock = F.array(*[F.struct(F.lit(o).alias("tick"), F.lit(0.0).alias("x")) for o in range(ticks)])
     every = t.groupBy(key).agg(F.least(F.lit(float(ticks)), F.coalesce(F.max(F.when(~F.col("last"), F.col("t1"))), F.lit(0.0))).alias("stop"))
     p = t.where(~F.col("last") & (F.col("t0") < ticks)).withColumn("tick", F.explode(F.sequence(F.floor("t0"), F.least(F.lit(ticks - 1), F.greatest(F.floor("t0"), F.ceil("t1") - 1)))))
@@ -168,8 +180,7 @@ def pitch_convolve(df: DataFrame, kernels: tuple[list[float], ...], prescale: fl
     if width == 0:
         return df.select(key, "i", F.lit(float("nan")).alias("out"))
     step = F.when(F.abs("v") < 1e-5, width / 2).otherwise(1 / F.when(F.abs("v") >= 1e-5, F.col("v")))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    t = df.withColumns({"sa": step, "t": F.coalesce(F.sum(step).over(w), F.lit(0.0))})
+    t = blocks.running(df.withColumn("sa", step), {"_t": F.col("sa")}, key=key).drop("_t").withColumnRenamed("_t_before", "t")
     bucket = lambda x: F.floor(x / width)
     between = lambda x, y: F.sequence(bucket(x), bucket(y))
     begin, end, half = F.col("t"), F.col("t") + F.col("sa"), F.col("t") + F.col("sa") / 2
@@ -225,8 +236,9 @@ def latest(df: DataFrame, how: str, epoch: Column, default: float, key: str = "u
     got = put.groupBy(key, "epoch").agg(value.alias("x"))
     most = got.groupBy(key).agg(F.max("epoch").alias("m"))
     every = most.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("epoch"))
-    held = F.last("x", ignorenulls=True).over(Window.partitionBy(key).orderBy("epoch"))
-    return every.join(got, [key, "epoch"], "left").select(key, "epoch", F.coalesce(held, F.lit(default)).alias("value"))
+    t = every.join(got, [key, "epoch"], "left")
+    held = blocks.running(t, {"_h": F.when(F.col("x").isNotNull(), F.struct("epoch", "x"))}, "max", key, "epoch")  # the latest put so far
+    return held.select(key, "epoch", F.coalesce("_h.x", F.lit(default)).alias("value"))
 
 
 #: Levels of a histogram, and how often their range can be halved.

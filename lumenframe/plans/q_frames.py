@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import blocks, planes
 from lumenframe.operators import frames as op
-from lumenframe.operators import planes
-from lumenframe.plans.registry import query
+from lumenframe.plans.registry import query, table
 from lumenframe.sources.tables import SQL_FRAMES, SQL_PIXELS, SQL_PLANES, frames, planar
 
 INFO = ("average", "min", "max", "rms", "energy")
@@ -73,7 +73,8 @@ def get_stats(spark, d):
 @query("delay", f"WITH {SQL_FRAMES} SELECT stream_id, seq, lead(seq, 27) OVER (PARTITION BY stream_id ORDER BY seq) AS out_at FROM frames")
 def delay(spark, d):
     """A frame leaves when 27 later ones have come; null: at the end of the stream."""
-    return frames(spark, d).select("stream_id", "seq", F.lead("seq", 27).over(op.by_stream()).alias("out_at"))
+    late = lambda t, k: t.withColumn("out_at", F.lead("seq", 27).over(Window.partitionBy(k).orderBy("seq")))
+    return blocks.sliding(frames(spark, d).select("stream_id", "seq"), 0, 27, late, "stream_id", "seq")
 
 
 @query("merge_frames", f"WITH {SQL_PLANES}, m AS (SELECT stream_id, seq // 5 AS seq, plane, pos, CAST(floor(sum(v) / 5) AS INTEGER) AS v FROM planes GROUP BY stream_id, seq // 5, plane, pos) {ROWS} FROM m {BY}")
@@ -265,12 +266,14 @@ def lane_layout(spark, d):
 @query(
     "testcard_gen",
     """WITH o(n, a, b, c) AS (VALUES (0, 0, 1, 2), (1, 0, 2, 1), (2, 1, 0, 2), (3, 1, 2, 0), (4, 2, 0, 1), (5, 2, 1, 0)),
-f AS (SELECT i AS frame, unnest([0, 1, 2]) AS plane, unnest([a, b, c]) AS ramp FROM range(1536) t(i) JOIN o ON n = i // 256),
+f AS (SELECT p_partkey, p_partkey % 1536 AS i, unnest([0, 1, 2]) AS plane, unnest([a, b, c]) AS ramp FROM part JOIN o ON n = p_partkey % 1536 // 256),
 cells AS (SELECT x * 255 // 63 AS vx, y * 255 // 47 AS vy FROM range(64) a(x), range(48) b(y)),
 sums AS (SELECT 0 AS ramp, min(vx) AS low, max(vx) AS high, sum(vx) AS total FROM cells UNION ALL SELECT 1, min(vy), max(vy), sum(vy) FROM cells)
-SELECT CAST(frame AS BIGINT) AS frame, plane, CAST(coalesce(low, frame % 256) AS INTEGER) AS low, CAST(coalesce(high, frame % 256) AS INTEGER) AS high, CAST(coalesce(total, frame % 256 * 3072) AS BIGINT) AS total FROM f LEFT JOIN sums USING (ramp)""",
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(i AS BIGINT) AS frame, plane, CAST(coalesce(low, i % 256) AS INTEGER) AS low, CAST(coalesce(high, i % 256) AS INTEGER) AS high, CAST(coalesce(total, i % 256 * 3072) AS BIGINT) AS total FROM f LEFT JOIN sums USING (ramp)""",
 )
 def testcard_gen(spark, d):
-    """Whole test cards of 64 x 48; the lowest and highest pixel and the sum of each plane."""
-    f = planes.mapped(planes.testcard(spark, 64, 48), lambda parms, ps: (parms, ps, ([{"low": int(p.min()), "high": int(p.max()), "total": int(p.sum())} for p in ps],)), "t array<struct<low:int,high:int,total:bigint>>", planes=False)
-    return f.select(F.col("seq").alias("frame"), F.posexplode("t").alias("plane", "t")).select("frame", "plane", "t.low", "t.high", "t.total")
+    """A whole test card of 64 x 48 for each part, the frame that its key numbers; the lowest and highest pixel and the sum of each plane."""
+    k = F.col("p_partkey").cast("long")
+    cards = planes.testcard(table(spark, d, "part").select(k.alias("stream_id"), (k % 1536).alias("seq")), 64, 48)
+    f = planes.mapped(cards, lambda parms, ps: (parms, ps, ([{"low": int(p.min()), "high": int(p.max()), "total": int(p.sum())} for p in ps],)), "t array<struct<low:int,high:int,total:bigint>>", planes=False)
+    return f.select(F.col("stream_id").alias("p_partkey"), F.col("seq").alias("frame"), F.posexplode("t").alias("plane", "t")).select("p_partkey", "frame", "plane", "t.low", "t.high", "t.total")

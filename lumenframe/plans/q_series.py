@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators import planes
+from lumenframe.operators import blocks, planes
 from lumenframe.operators import series as op
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
@@ -20,38 +20,44 @@ def positive(spark, d):
     return series(spark, d).withColumn("v", F.greatest("v", F.lit(1e-9)))
 
 
+def slid(df, before, after, **cols):
+    """Each of ``cols``, made from the keys of its window, over rows ``before`` back to ``after`` ahead, in blocks."""
+    made = blocks.sliding(df, before, after, lambda t, k: t.withColumns({n: c(k) for n, c in cols.items()}))
+    return out(made, *[(n, F.col(n)) for n in cols])
+
+
 def out(df, *cols, digits: int = 6):
     return df.select("user_id", "i", *[F.round(c, digits).alias(k) for k, c in cols])
 
 
 @query("moving_avg", f"WITH {SQL_SERIES} SELECT user_id, i, round(avg(v) OVER ({BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM series")
 def moving_avg(spark, d):
-    return out(series(spark, d), ("mean", op.moving(F.col("v"), "avg", 5)))
+    return slid(series(spark, d), 4, 0, mean=lambda k: op.moving(F.col("v"), "avg", 5, k))
 
 
 @query("moving_min_max", f"WITH {SQL_SERIES} SELECT user_id, i, round(min(v) OVER w, 6) AS low, round(max(v) OVER w, 6) AS high FROM series WINDOW w AS ({BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def moving_min_max(spark, d):
-    return out(series(spark, d), ("low", op.moving(F.col("v"), "min", 5)), ("high", op.moving(F.col("v"), "max", 5)))
+    return slid(series(spark, d), 4, 0, low=lambda k: op.moving(F.col("v"), "min", 5, k), high=lambda k: op.moving(F.col("v"), "max", 5, k))
 
 
 @query("moving_geomean", f"WITH {SQL_SERIES}, {POS} SELECT user_id, i, round(exp(avg(ln(v)) OVER ({BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), 6) AS mean FROM positive")
 def moving_geomean(spark, d):
-    return out(positive(spark, d), ("mean", op.moving(F.col("v"), "log", 5)))
+    return slid(positive(spark, d), 4, 0, mean=lambda k: op.moving(F.col("v"), "log", 5, k))
 
 
 @query("smooth_log", f"WITH {SQL_SERIES}, {POS} SELECT user_id, i, round(exp(avg(ln(v)) OVER ({BY} ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING)), 6) AS smooth FROM positive")
 def smooth_log(spark, d):
-    return out(positive(spark, d), ("smooth", op.smooth(F.col("v"), 7)))
+    return slid(positive(spark, d), 4, 2, smooth=lambda k: op.smooth(F.col("v"), 7, k))
 
 
 @query("js_smooth", f"WITH {SQL_SERIES}, {POS} SELECT user_id, i, round(exp(avg(ln(v)) OVER ({BY} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), 6) AS smooth FROM positive")
 def js_smooth(spark, d):
-    return out(positive(spark, d), ("smooth", op.smooth(F.col("v"), 7, ceil=True)))
+    return slid(positive(spark, d), 3, 3, smooth=lambda k: op.smooth(F.col("v"), 7, k, ceil=True))
 
 
 @query("iter_window", f"WITH {SQL_SERIES} SELECT user_id, i, round(min(v) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), 6) AS low, round(avg(v) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING), 6) AS mean FROM series")
 def iter_window(spark, d):
-    return out(series(spark, d), ("low", op.lookahead(F.col("v"), "min", 25)), ("mean", op.lookahead(F.col("v"), "avg", 100)))
+    return slid(series(spark, d), 0, 49, low=lambda k: op.lookahead(F.col("v"), "min", 25, k), mean=lambda k: op.lookahead(F.col("v"), "avg", 100, k))
 
 
 @query(
@@ -61,10 +67,13 @@ m AS (SELECT user_id, i, greatest(1, least(100, power(0.1 / greatest(max(x) OVER
 SELECT user_id, i, round(avg(r) OVER ({BY} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 6) AS rate FROM m""",
 )
 def rate_from_rms(spark, d):
-    s = series(spark, d).withColumn("x", F.avg(F.col("v") / 500).over(op.rows("user_id", "i", 4, 0)))
-    high = F.greatest(F.max("x").over(op.rows("user_id", "i", 24, 0)), F.lit(1e-9))
-    s = s.withColumn("r", F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.pow(0.1 / high, 1.5))))
-    return out(s, ("rate", F.avg("r").over(op.rows("user_id", "i", 24, 0))))
+    def rates(t, k):
+        t = t.withColumn("x", F.avg(F.col("v") / 500).over(op.rows(k, "i", 4, 0)))
+        high = F.greatest(F.max("x").over(op.rows(k, "i", 24, 0)), F.lit(1e-9))
+        t = t.withColumn("r", F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.pow(0.1 / high, 1.5))))
+        return t.withColumn("rate", F.avg("r").over(op.rows(k, "i", 24, 0)))
+
+    return out(blocks.sliding(series(spark, d), 52, 0, rates), ("rate", F.col("rate")))
 
 
 @query("mk_timebend_rate", f"WITH {SQL_SERIES}, z AS (SELECT user_id, i, v / 500 AS v, avg(v / 500) OVER (PARTITION BY user_id) / 2 AS zero FROM series) SELECT user_id, i, round(greatest(1, least(50, 50 * power(100.0::DOUBLE, greatest(-6, least(0, (zero - v) * 100))))), 6) AS rate FROM z")
@@ -95,8 +104,8 @@ def mk_timebend(spark, d):
     """A time-bend's schedule from a user's values: rates bent by themselves, evened out, bent back, and scaled to the first length."""
     rates = op.bend_rates(series(spark, d).withColumn("v", F.col("v") / 500)).select("user_id", "i", F.col("rate").alias("v"))
     scaled = op.bent(rates.withColumn("rate", F.col("v")))
-    even = scaled.select("user_id", "i", op.lookahead(F.col("v"), "avg", 100).alias("m"), (1 / F.col("v")).alias("rate"))
-    jiffed = op.bent(even.select("user_id", "i", op.lookahead(F.col("m"), "min", 25).alias("v"), "rate"))
+    even = lambda t, k: t.withColumn("m", op.lookahead(F.col("v"), "avg", 100, k)).withColumn("low", op.lookahead(F.col("m"), "min", 25, k))
+    jiffed = op.bent(blocks.sliding(scaled, 0, 61, even).select("user_id", "i", F.col("low").alias("v"), (1 / F.col("v")).alias("rate")))
     size = lambda t, n: t.groupBy(F.col("user_id").alias("_u")).agg(F.count("*").alias(n))
     both = size(jiffed, "a").join(size(rates, "b"), "_u").select("_u", (F.col("a") / F.col("b")).alias("rate"))
     return op.bent(jiffed.join(both, F.col("user_id") == F.col("_u")).drop("_u")).select("user_id", "i", F.round("v", 6).alias("rate"))
@@ -190,11 +199,10 @@ FROM (SELECT *, CASE WHEN since IS NULL THEN i + 1 ELSE i - since END AS n FROM
 )
 def bit_change(spark, d):
     """Steps since a bit last changed, and the decayed mean of ones since then from 0 with a scale of 5."""
-    w = Window.partitionBy("user_id").orderBy("i")
-    b = series(spark, d).withColumn("bit", (F.col("v") > 50).cast("int"))
-    b = b.withColumn("changed", F.coalesce((F.col("bit") != F.lag("bit").over(w)).cast("int"), F.lit(0)))
-    since = F.max(F.when(F.col("changed") == 1, F.col("i"))).over(w)
-    n = F.when(since.isNull(), F.col("i") + 1).otherwise(F.col("i") - since)
+    before = lambda t, k: t.withColumn("changed", F.coalesce((F.col("bit") != F.lag("bit").over(Window.partitionBy(k).orderBy("i"))).cast("int"), F.lit(0)))
+    b = blocks.sliding(series(spark, d).withColumn("bit", (F.col("v") > 50).cast("int")), 1, 0, before)
+    b = blocks.running(b, {"since": F.when(F.col("changed") == 1, F.col("i"))}, "max")
+    n = F.when(F.col("since").isNull(), F.col("i") + 1).otherwise(F.col("i") - F.col("since"))
     left = F.pow(F.lit(0.9), n)
     ones = (1 - left) / 0.1
     glow = F.when(F.col("changed") == 1, 0.0).otherwise(ones / (5 * left + ones))
@@ -214,16 +222,16 @@ def log_scrape_chunk_avg(spark, d):
 @query("series_elapsed", f"WITH {SQL_SERIES}, f AS (SELECT *, sum(CAST(abs(v) < 1e-9 AS INTEGER)) OVER ({BY}) AS stop FROM series) SELECT user_id, count(*) FILTER (stop = 0) AS n, round(coalesce(sum(1 / v) FILTER (stop = 0), 0), 6) AS elapsed FROM f GROUP BY user_id")
 def series_elapsed(spark, d):
     """Sum of 1 / v up to the first zero."""
-    stop = F.sum((F.abs("v") < 1e-9).cast("int")).over(Window.partitionBy("user_id").orderBy("i"))
-    s = series(spark, d).withColumn("live", stop == 0)
+    s = blocks.running(series(spark, d), {"stops": (F.abs("v") < 1e-9).cast("int")}).withColumn("live", F.col("stops") == 0)
     return s.groupBy("user_id").agg(F.count_if("live").alias("n"), F.round(F.coalesce(F.sum(F.when(F.col("live"), 1 / F.col("v"))), F.lit(0.0)), 6).alias("elapsed"))
 
 
 @query("kernel_unity", f"WITH {SQL_SERIES}, p AS (SELECT user_id, i, v, (v + lead(v) OVER ({BY})) / 2 AS part FROM series), a AS (SELECT user_id, i, v, sum(part) OVER (PARTITION BY user_id) AS area FROM p) SELECT user_id, i, round(v / area, 6) AS coef FROM a WHERE area > 0")
 def kernel_unity(spark, d):
     """A user's values as a kernel scaled to a trapezoid area of 1."""
-    part = (F.col("v") + F.lead("v").over(Window.partitionBy("user_id").orderBy("i"))) / 2
-    s = series(spark, d).withColumn("part", part).withColumn("area", F.sum("part").over(Window.partitionBy("user_id"))).where("area > 0")
+    part = lambda t, k: t.withColumn("part", (F.col("v") + F.lead("v").over(Window.partitionBy(k).orderBy("i"))) / 2)
+    s = blocks.sliding(series(spark, d), 0, 1, part)
+    s = s.join(s.groupBy("user_id").agg(F.sum("part").alias("area")), "user_id").where("area > 0")
     return out(s, ("coef", F.col("v") / F.col("area")))
 
 
@@ -282,8 +290,8 @@ def hist_interp(spark, d):
     """Counts of whole values, gaps bridged by straight lines; before the first count the line starts at 0."""
     e = spark.read.parquet(f"{d}/events.parquet")
     h = e.groupBy(F.floor("value").cast("long").alias("k")).agg(F.count("*").alias("n"))
-    after = F.lead(F.struct("k", "n")).over(Window.orderBy("k"))  # a row for each whole value
-    h = h.withColumn("next", after).withColumn("first", F.row_number().over(Window.orderBy("k")) == 1)
+    h = blocks.beside(h.withColumn("all", F.lit(0)), ["k", "n"], True, "all", "k").withColumnRenamed("_n", "next")
+    h = h.join(h.agg(F.min("k").alias("least"))).withColumn("first", F.col("k") == F.col("least"))
     up = h.select("k", F.col("n").cast("double").alias("n"), F.coalesce("next.k", F.col("k") + 1).alias("k1"), F.coalesce("next.n", "n").cast("double").alias("n1"))
     lead = h.where("first and k > 0").select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("n"), F.col("k").alias("k1"), F.col("n").cast("double").alias("n1"))
     g = up.union(lead).withColumn("bin", F.explode(F.sequence("k", F.col("k1") - 1)))

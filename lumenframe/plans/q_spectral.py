@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import signature as sig
-from lumenframe.operators import planes, samplers, spectral
+from lumenframe.operators import blocks, planes, samplers, space, spectral
 from lumenframe.operators.series import translated
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
-from lumenframe.plans.registry import query
+from lumenframe.plans.registry import query, table
 from lumenframe.sources import audio, y4m
 from lumenframe.sources.tables import SQL_PIXELS, SQL_PLANES, SQL_SERIES, numbered, planar, series
 from lumenframe.streaming import run
@@ -63,12 +62,19 @@ def sampler_spiral(spark, d):
     return luma(spark, d, cells, True).select("stream_id", "seq", _text("signal").alias("signal"))
 
 
-@query("voronoi_map", f"WITH RECURSIVE {_cells_sql(64, 3.0, 1.0)} SELECT x, y, CAST(tag AS INTEGER) AS tag FROM tags")
+@query(
+    "voronoi_map",
+    """WITH sites AS (SELECT c_custkey AS tag, c_custkey * 37 % 256 AS sx, c_custkey * 101 % 241 AS sy FROM customer),
+pixels AS (SELECT DISTINCT p_partkey * 7 % 256 AS x, p_partkey * 11 % 241 AS y FROM part)
+SELECT x, y, arg_min(tag, ((x - sx) * (x - sx) + (y - sy) * (y - sy)) * 1000000000 + tag) AS tag FROM pixels, sites GROUP BY x, y""",
+)
 def voronoi_map(spark, d):
-    """The cell of every pixel of a 64 x 64 plane."""
-    tag = samplers.nearest_tags(samplers.spiral_points(64, 64, 3.0, 1.0), 64, 64)
-    t = spark.range(64 * 64).select((F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"), "id")
-    return t.select("x", "y", F.element_at(F.array(*[F.lit(int(v)) for v in tag]), (F.col("id") + 1).cast("int")).alias("tag"))
+    """The cell of every pixel that a part names on a plane of 256 x 241 with a site for each customer; of equally near sites the first."""
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    sites = table(spark, d, "customer").select(c.alias("tag"), (c * 37 % 256).alias("x"), (c * 101 % 241).alias("y"))
+    pixels = table(spark, d, "part").select((p * 7 % 256).alias("x"), (p * 11 % 241).alias("y")).distinct()
+    near = space.nearest(pixels.withColumn("tag", F.col("y") * 256 + F.col("x")), sites, 256, 241)
+    return near.select((F.col("tag") % 256).alias("x"), F.floor(F.col("tag") / 256).alias("y"), F.col("target").alias("tag"))
 
 
 def spectra(spark, d, compat: bool = False):
@@ -266,8 +272,7 @@ def timebend_rate(spark, d):
     """
     f = planar(spark, d)
     rates = planes.info(f).select("stream_id", F.col("seq").alias("o"), (0.5 + 1.5 * F.col("raw_Y_average")).alias("rate"))
-    w = Window.partitionBy("stream_id").orderBy("o")
-    spans = rates.withColumns({"t0": F.coalesce(F.sum("rate").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "t1": F.sum("rate").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    spans = blocks.running(rates, {"t1": F.col("rate")}, key="stream_id", order="o").withColumnRenamed("t1_before", "t0")
     return rows(planes.bent(f, spans))
 
 
