@@ -61,6 +61,7 @@ def beside(df: DataFrame, columns: Sequence[str], ahead: bool, key: str, order:
     w = Window.partitionBy("_f").orderBy("_d")
     to = t.select(F.col(key).alias("_f"), F.col("_blk").alias("_d")).distinct().select("_f", "_d", (F.lag if ahead else F.lead)("_d").over(w).alias("_to")).where("_to is not null")
     lent = ends.join(to, F.col("_k").eqNullSafe(F.col("_f")) & (F.col("_c") == F.col("_d"))).select("_end.*", F.col("_to").alias("_blk"), F.lit(False).alias("_own"))
-    both = t.withColumn("_own", F.lit(True)).unionByName(lent)
+    # both sides come out of a generator: constraints on computed columns that the optimiser would carry into the union end there
+    both = t.withColumn("_own", F.lit(True)).select(F.inline(F.array(F.struct(*t.columns, "_own")))).unionByName(lent.select(F.inline(F.array(F.struct(*lent.columns)))))
     near = (F.lead if ahead else F.lag)(F.struct(*columns)).over(Window.partitionBy(key, "_blk").orderBy(order))
     return both.withColumn("_n", near).where("_own").drop("_own", "_blk")
