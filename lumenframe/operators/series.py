@@ -112,8 +112,8 @@ def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id")
     """
     following = lambda t, k: t.withColumns({n: F.coalesce(F.lead(c).over(Window.partitionBy(k).orderBy("i")), F.col(c)) for n, c in (("nx", "v"), ("r", "_r"))})
     t = blocks.sliding(df.select(key, "i", F.col(v).alias("v"), F.col(rate).alias("_r")), 0, 1, following, key)
+    total = t.groupBy(F.col(key).alias("_k")).agg(F.floor(F.sum(1 / F.col("r")) + 1e-9).alias("_n"))
     t = blocks.running(t, {"t1": 1 / F.col("r")}, key=key).withColumnRenamed("t1_before", "t0")
-    total = t.groupBy(F.col(key).alias("_k")).agg(F.floor(F.max("t1") + 1e-9).alias("_n"))
     t = t.withColumn("o", F.explode(F.sequence(F.floor("t0"), F.greatest(F.floor("t0"), F.ceil("t1") - 1))))
     begin, end = F.greatest("t0", F.col("o").cast("double")), F.least("t1", F.col("o") + 1.0)
     left = 1 - (begin - F.col("t0")) * F.col("r")

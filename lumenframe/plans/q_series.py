@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import blocks, planes
 from lumenframe.operators import series as op
+from lumenframe.operators.space import kept
 from lumenframe.plans.q_frames import BY as PLANE
 from lumenframe.plans.q_frames import ROWS, rows
 from lumenframe.plans.registry import query, table
@@ -101,11 +102,14 @@ again AS (SELECT user_id, i, v, (SELECT count(*) FROM jiffed k WHERE k.user_id =
 SELECT user_id, i, round(v, 6) AS rate FROM {_bent_sql('again')} x""",
 )
 def mk_timebend(spark, d):
-    """A time-bend's schedule from a user's values: rates bent by themselves, evened out, bent back, and scaled to the first length."""
+    """A time-bend's schedule from a user's values: rates bent by themselves, evened out, bent back, and scaled to the first length.
+
+    Each step reads its source several times, so the two in between are written.
+    """
     rates = op.bend_rates(series(spark, d).withColumn("v", F.col("v") / 500)).select("user_id", "i", F.col("rate").alias("v"))
-    scaled = op.bent(rates.withColumn("rate", F.col("v")))
+    scaled = kept(op.bent(rates.withColumn("rate", F.col("v"))), "scaled")
     even = lambda t, k: t.withColumn("m", op.lookahead(F.col("v"), "avg", 100, k)).withColumn("low", op.lookahead(F.col("m"), "min", 25, k))
-    jiffed = op.bent(blocks.sliding(scaled, 0, 61, even).select("user_id", "i", F.col("low").alias("v"), (1 / F.col("v")).alias("rate")))
+    jiffed = kept(op.bent(blocks.sliding(scaled, 0, 61, even).select("user_id", "i", F.col("low").alias("v"), (1 / F.col("v")).alias("rate"))), "jiffed")
     size = lambda t, n: t.groupBy(F.col("user_id").alias("_u")).agg(F.count("*").alias(n))
     both = size(jiffed, "a").join(size(rates, "b"), "_u").select("_u", (F.col("a") / F.col("b")).alias("rate"))
     return op.bent(jiffed.join(both, F.col("user_id") == F.col("_u")).drop("_u")).select("user_id", "i", F.round("v", 6).alias("rate"))
