@@ -44,8 +44,17 @@ def strict_double(text: Column) -> Column:
 
 def timecode(seconds: Column) -> Column:
     """HH:MM:SS.mmm, milliseconds cut."""
-    ms = F.floor(F.round(seconds * 1000, 6)).cast("long")
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    return clock(seconds * 1000)
+
+
+def clock(millis: Column) -> Column:
+    """HH:MM:SS.mmm of milliseconds, which are cut after they are rounded to six decimals; null of null.
+
+    Rounded as a double: scaled up, to a whole number, and down again. ``round`` to decimals goes by the digits of the number instead, and
+    leaves large ones that lie a last bit under a whole millisecond there.
+    """
+    ms = F.floor(F.round(millis * 1e6) / 1e6).cast("long")
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000))
 
 
 def gcd(a: Column, b: Column) -> Column:

@@ -106,8 +106,8 @@ def elapsed_time(spark, d):
 
 @query("timecode", "SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS code FROM (SELECT event_id, CAST(floor(round(event_id * value * 1000 / 50, 6)) AS BIGINT) AS ms FROM events)")
 def timecode(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("event_id") * F.col("value") * 1000 / 50 / 1000).alias("t"))
-    return e.select("event_id", parse.timecode(F.col("t")).alias("code"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") * F.col("value") * 1000 / 50).alias("t"))
+    return e.select("event_id", parse.clock(F.col("t")).alias("code"))
 
 
 @query("aspect_ratio", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey // g AS x, l_suppkey // g AS y FROM (SELECT *, gcd(l_partkey, l_suppkey) AS g FROM lineitem) WHERE g > 0")

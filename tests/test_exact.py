@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from lumenframe.functions import parse
 from lumenframe.plans import catalog
 
 
@@ -27,3 +29,15 @@ def test_bins_that_cancel_out(spark, tmp_path, name):
     flat = np.clip(x.reshape(12, 64), -128, 127) / 128.0
     rows = pa.table({"vec_id": pa.array(range(12), pa.int64()), "embedding": pa.array(flat.tolist(), pa.list_(pa.float32())), "label": pa.array([i // 6 for i in range(12)], pa.int32())})
     same(spark, tmp_path, name, "embeddings", rows)
+
+
+def test_timecodes_of_many_hours(spark, tmp_path):
+    rows = pa.table({"event_id": pa.array([943316, 1004622, 1019497, 7, None], pa.int64()), "value": [451.9, 212.2, 209.45, 0.15, 1.0]})
+    same(spark, tmp_path, "timecode", "events", rows)
+
+
+def test_clock_rounds_as_a_double(spark):
+    t = np.nextafter(6e10, 0)
+    want = duckdb.execute("SELECT CAST(floor(round(?, 6)) AS BIGINT)", [float(t)]).fetchone()[0]
+    h, m, s = spark.range(1).select(parse.clock(F.lit(float(t))).alias("c")).first()["c"].split(":")
+    assert round((int(h) * 3600 + int(m) * 60 + float(s)) * 1000) == want
