@@ -110,16 +110,38 @@ def bent(df: DataFrame, v: str = "v", rate: str = "rate", key: str = "user_id")
     stays for one such way more. A tick holds the values that pass in it, each piece at the mix where it begins. A last tick
     that is not filled goes.
     """
-    following = lambda t, k: t.withColumns({n: F.coalesce(F.lead(c).over(Window.partitionBy(k).orderBy("i")), F.col(c)) for n, c in (("nx", "v"), ("r", "_r"))})
-    t = blocks.sliding(df.select(key, "i", F.col(v).alias("v"), F.col(rate).alias("_r")), 0, 1, following, key)
-    total = t.groupBy(F.col(key).alias("_k")).agg(F.floor(F.sum(1 / F.col("r")) + 1e-9).alias("_n"))
-    t = blocks.running(t, {"t1": 1 / F.col("r")}, key=key).withColumnRenamed("t1_before", "t0")
-    t = t.withColumn("o", F.explode(F.sequence(F.floor("t0"), F.greatest(F.floor("t0"), F.ceil("t1") - 1))))
-    begin, end = F.greatest("t0", F.col("o").cast("double")), F.least("t1", F.col("o") + 1.0)
-    left = 1 - (begin - F.col("t0")) * F.col("r")
-    t = t.withColumn("x", (end - begin) * (F.col("v") * left + F.col("nx") * (1 - left)))
-    out = t.groupBy(key, "o").agg(F.sum("x").alias("v")).join(total, F.col(key).eqNullSafe(F.col("_k"))).where(F.col("o") < F.col("_n"))
-    return out.select(key, F.col("o").cast("long").alias("i"), "v")
+    n = blocks.LENGTH
+    # null keys are one key: in a struct they are equal, so that windows and the join go by the same columns and rows are dealt and sorted once
+    t = df.select(F.struct(F.col(key).alias("k")).alias("_s"), "i", F.col(v).alias("v"), F.col(rate).alias("_r"))
+    t = t.withColumn("_blk", F.explode(F.sequence(F.floor(F.greatest(F.col("i") - 1, F.lit(0)) / n), F.floor(F.col("i") / n))))
+    w = Window.partitionBy("_s", "_blk").orderBy("i")
+    t = t.withColumns({c: F.coalesce(F.lead(x).over(w), F.col(x)) for c, x in (("nx", "v"), ("r", "_r"))}).drop("_r")
+    way = lambda end: F.sum(1 / F.col("r")).over(w.rowsBetween(Window.unboundedPreceding, end))
+    t = t.withColumns({"t1": way(0), "t0": F.coalesce(way(-1), F.lit(0.0))}).where(F.col("_blk") == F.floor(F.col("i") / n))
+    totals = t.groupBy(F.col("_s").alias("_k"), F.col("_blk").alias("_c")).agg(F.max_by("t1", "i").alias("x"))
+    upto = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_t", F.coalesce(F.sum("x").over(upto), F.lit(0.0)))
+    totals = totals.select("_k", "_c", "_t", F.floor(F.max(F.col("_t") + F.col("x")).over(Window.partitionBy("_k")) + 1e-9).alias("_n"))
+    t = t.join(totals, (F.col("_s") == F.col("_k")) & (F.col("_blk") == F.col("_c")))
+    t = t.select("_s", "v", "nx", "r", (F.col("_t") + F.col("t0")).alias("t0"), (F.col("_t") + F.col("t1")).alias("t1"), "_n")
+    t = t.withColumn("lo", F.floor("t0")).withColumn("hi", F.greatest("lo", F.ceil("t1") - 1))
+
+    def mix(begin: Column) -> Column:
+        left = 1 - (begin - F.col("t0")) * F.col("r")
+        return F.col("v") * left + F.col("nx") * (1 - left)
+
+    def piece(o: Column) -> Column:
+        begin, end = F.greatest("t0", o.cast("double")), F.least("t1", o + 1.0)
+        return F.struct(o.alias("o"), ((end - begin) * mix(begin)).alias("x"), F.lit(None).cast("long").alias("e"))
+
+    # ways share ticks only at their two ends; the ticks between stay one row up to the last of them, e, until the ends are added up
+    inner = F.struct((F.col("lo") + 1).alias("o"), F.lit(None).cast("double").alias("x"), F.least(F.col("hi"), F.col("_n")).alias("e"))
+    ends = F.array(piece(F.col("lo")), F.when(F.col("hi") > F.col("lo"), piece(F.col("hi"))), F.when(F.col("hi") > F.col("lo") + 1, inner))
+    t = t.select("*", F.explode(ends).alias("p")).where(F.col("p.o") < F.col("_n"))
+    held = [F.max(F.when(F.col("p.e").isNotNull(), F.col(c))).alias(c) for c in ("t0", "r", "v", "nx")]
+    out = t.groupBy("_s", F.col("p.o").alias("o")).agg(F.sum("p.x").alias("x"), F.max("p.e").alias("e"), *held)
+    out = out.withColumn("i", F.explode(F.sequence("o", F.coalesce(F.col("e") - 1, "o"))))
+    return out.select(F.col("_s.k").alias(key), F.col("i").cast("long").alias("i"), F.when(F.col("e").isNull(), F.col("x")).otherwise(mix(F.col("i"))).alias("v"))
 
 
 def translated(df: DataFrame, ticks: int, key: str = "user_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Windows in blocks against plain loops: a key with nine tenths of the rows, null keys, gaps, borders everywhere."""
 
+import math
 import random
 
 import numpy as np
@@ -157,3 +158,30 @@ def test_signatures_meet_in_groups_of_blocks(spark, monkeypatch):
     assert got == {i: min(((words[i] ^ words[j]).bit_count(), j) for j in range(i)) for i in range(1, 70)}
     pairs = {(r.first, r.second): r.bits for r in sig.pairs_within(df, "stream_id", "seq", 115).collect()}
     assert pairs == {(j, i): (words[i] ^ words[j]).bit_count() for i in range(70) for j in range(i) if (words[i] ^ words[j]).bit_count() <= 115}
+
+
+@pytest.mark.parametrize("slow", [0.01, 0.4, 3.0])
+def test_bent_adds_up_before_it_spreads(spark, short, slow):
+    """A way of a hundred ticks goes through the sums as its two ends and one row between, and rows are dealt once for windows and carry."""
+    rows = hot(90)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("rate", F.col("v") * slow)
+    bent = series.bent(df)
+    got = collected(bent, "v")
+    want = {}
+    for k, vs in by_key(rows).items():
+        t, ticks = 0.0, {}
+        for i, v in enumerate(vs):
+            nx = vs[min(i + 1, len(vs) - 1)]
+            r = nx * slow
+            for o in range(math.floor(t), max(math.floor(t), math.ceil(t + 1 / r) - 1) + 1):
+                a, b = max(t, o), min(t + 1 / r, o + 1)
+                left = 1 - (a - t) * r
+                ticks[o] = ticks.get(o, 0.0) + (b - a) * (v * left + nx * (1 - left))
+            t += 1 / r
+        want |= {(k, o): x for o, x in ticks.items() if o < math.floor(t + 1e-9)}
+    assert set(got) == set(want)
+    assert all(got[at][0] == pytest.approx(x, abs=1e-6) for at, x in want.items())
+    plan = bent._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate" in line or "Generate" in line]
+    assert "Generate" in sums[0] and "Aggregate" in sums[1]  # the ticks between are spread over what was added up
+    assert plan.count("Join ") == 1
