@@ -45,6 +45,9 @@ def of_values(values: Column) -> Column:
 #: Signatures of a stream that are compared as one block, and blocks of earlier ones that meet the later ones in one task.
 BLOCK, GROUP = 2048, 4
 
+#: Later signatures that are compared with a block at once: what a comparison holds does not grow with the rows of a task.
+STRIP = 256
+
 
 def _blocks(signatures: DataFrame, key: str, order: str) -> DataFrame:
     """(key, blk, at, words): signatures of each key in blocks by ``order``, a whole number from 0 up; null ones take no part."""
@@ -74,12 +77,14 @@ def _compared(signatures: DataFrame, key: str, order: str, emit) -> DataFrame:
             for i in range(t.num_rows):
                 a, p = (np.frombuffer(t.column(c)[i].as_py(), "<i8") for c in ("a", "at"))
                 x, y = (np.frombuffer(t.column(c)[i].as_py(), np.uint64).reshape(len(n), -1) for c, n in (("w", a), ("words", p)))
-                bits = np.zeros((len(a), len(p)), np.int32)
-                for j in range(x.shape[1]):
-                    bits += np.bitwise_count(x[:, j, None] ^ y[None, :, j])
-                r, c = emit(bits, p[None, :] < a[:, None], p)
-                key_ = pa.array([t.column("k")[i].as_py()] * len(r), t.schema.field("k").type)
-                yield pa.RecordBatch.from_arrays([key_, pa.array(a[r]), pa.array(p[c]), pa.array(bits[r, c])], names=[key, "second", "first", "bits"])
+                for lo in range(0, len(a), STRIP):
+                    own, some = a[lo : lo + STRIP], x[lo : lo + STRIP]
+                    bits = np.zeros((len(own), len(p)), np.int32)
+                    for j in range(x.shape[1]):
+                        bits += np.bitwise_count(some[:, j, None] ^ y[None, :, j])
+                    r, c = emit(bits, p[None, :] < own[:, None], p)
+                    key_ = pa.array([t.column("k")[i].as_py()] * len(r), t.schema.field("k").type)
+                    yield pa.RecordBatch.from_arrays([key_, pa.array(own[r]), pa.array(p[c]), pa.array(bits[r, c])], names=[key, "second", "first", "bits"])
 
     kind = signatures.schema[key].dataType.simpleString()
     return pairs.select("k", "a", "w", "at", "words").mapInArrow(run, f"{key} {kind}, second long, first long, bits int")

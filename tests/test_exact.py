@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import parse
+from lumenframe.functions import signature as sig
+from lumenframe.operators import planes
 from lumenframe.plans import catalog
 
 
@@ -41,3 +43,25 @@ def test_clock_rounds_as_a_double(spark):
     want = duckdb.execute("SELECT CAST(floor(round(?, 6)) AS BIGINT)", [float(t)]).fetchone()[0]
     h, m, s = spark.range(1).select(parse.clock(F.lit(float(t))).alias("c")).first()["c"].split(":")
     assert round((int(h) * 3600 + int(m) * 60 + float(s)) * 1000) == want
+
+
+def test_comparisons_hold_few_rows_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (700, 256))
+    df = spark.createDataFrame([(1, i, "".join(map(str, r))) for i, r in enumerate(bits.tolist())], "stream_id long, seq long, signature string")
+
+    def emit(d, ok, at):
+        assert len(d) <= sig.STRIP
+        return np.nonzero(ok)
+
+    assert sig._compared(df, "stream_id", "seq", emit).count() == 700 * 699 // 2
+    far = (bits[:, None, :] != bits[None, :, :]).sum(2)
+    got = {r["seq"]: (r["nearest"], r["bits"]) for r in sig.nearest_before(df, "stream_id", "seq").collect()}
+    assert got == {i: (int(far[i, :i].argmin()), int(far[i, :i].min())) for i in range(1, 700)}
+
+
+def test_frames_are_unpacked_in_pieces():
+    b = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([bytes(planes.UNPACKED // 8)] * 100)], names=["seq", "y"])
+    some = list(planes.pieces(b))
+    assert max(x.num_rows for x in some) <= 8 and pa.Table.from_batches(some).equals(pa.Table.from_batches([b]))
+    assert list(planes.pieces(b.slice(0, 0))) == []
