@@ -41,6 +41,16 @@ def unpack(parms: dict[str, str], raw) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint8).reshape(s) for b, s in zip(raw, shapes(parms), strict=True)]
 
 
+#: Bytes of planes that are unpacked at once.
+UNPACKED = 1 << 20
+
+
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``UNPACKED`` bytes, at least a row each, so that Python objects of few frames are held at a time."""
+    step = max(1, UNPACKED * b.num_rows // max(1, b.nbytes))
+    return (b.slice(lo, step) for lo in range(0, b.num_rows, step))
+
+
 def mapped(frames: DataFrame, fn: Callable, add: str = "", planes: bool = True, sides: tuple[str, ...] = PLANES) -> DataFrame:
     """Apply ``fn(parms, planes)`` to every frame.
 
@@ -56,7 +66,7 @@ def mapped(frames: DataFrame, fn: Callable, add: str = "", planes: bool = True,
     text = pa.map_(pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             got = []
             for row in zip(b.column("parms").to_pylist(), *(b.column(s).to_pylist() for s in sides), strict=True):
                 parms = dict(row[0])
@@ -266,7 +276,7 @@ def from_float(frames: DataFrame) -> DataFrame:
         return out
 
     def batches_of(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             got = [run(dict(p), f) for p, f in zip(b.column("parms").to_pylist(), b.column("floats").to_pylist(), strict=True)]
             cols = [pa.array([g[i].tobytes() for g in got], pa.binary()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column("stream_id"), b.column("seq"), b.column("parms"), *cols], names=["stream_id", "seq", "parms", *PLANES])
