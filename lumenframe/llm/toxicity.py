@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ from lumenframe.llm.common import arrow_rows, fold, held_out, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 32
+#: Queries that go through one product.
+TOGETHER = 256
+#: Terms that one example in so many holds are common.
+COMMON = 32
 #: Lengths of the word beginnings that are terms too; families of one stem then count together.
 HEADS = (4, 5)
 
@@ -55,7 +61,28 @@ def _g2(a: np.ndarray, df: np.ndarray, pos: int, n: int) -> np.ndarray:
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all ranges start .. end - 1, one range after another."""
     n = end - start
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Words(dict):
+    """Numbers of the words met so far, each with the terms of an index that it holds: ``held[at[n]] .. held[at[n + 1] - 1]`` for word n."""
+
+    def __init__(self, index: Index):
+        super().__init__()
+        self.terms, self.heads, self.at, self.held = index.terms, index.heads, array("q", [0]), array("q")
+
+    def __missing__(self, word: str) -> int:
+        i = self.terms.get(word)
+        if i is not None:
+            self.held.append(i)
+        for size, ids in self.heads:
+            if len(word) > size:
+                i = ids.get(word[:size])
+                if i is not None:
+                    self.held.append(i)
+        self.at.append(len(self.held))
+        self[word] = n = len(self)
+        return n
 
 
 class Index:
@@ -66,6 +93,7 @@ class Index:
         labels = np.array([e[1] for e in examples], np.int64)
         bags = [terms(words) for _, _, words in examples]
         self.terms = {t: i for i, t in enumerate(sorted(set().union(*bags)))}
+        self.heads = [(size, {t[:-1]: i for t, i in self.terms.items() if len(t) == size + 1 and t[-1] == "~"}) for size in HEADS]
         df, pos = np.zeros(len(self.terms)), np.zeros(len(self.terms))
         where = [np.array([self.terms[t] for t in bag], np.int64) for bag in bags]
         for t, y in zip(where, labels.tolist(), strict=True):
@@ -85,8 +113,8 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
         place = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)]).astype(np.float32)
-        # terms of a sixteenth of the examples or more: columns of a matrix, one product for many queries
-        often = np.flatnonzero(df >= max(8, n / 16))
+        # common terms: columns of a matrix, one product for many queries
+        often = np.flatnonzero(df >= max(8, n / COMMON))
         self.column = np.full(len(self.terms), -1)
         self.column[often] = np.arange(len(often))
         common = self.column[term] >= 0
@@ -110,64 +138,85 @@ class Index:
         size = math.sqrt(float(w @ w))
         return t, w / size if size else w
 
-    def vector(self, words: dict[str, int], known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the index that the words hold, and their unit weights. ``known`` remembers the terms of a word."""
-        counts: dict[int, int] = {}
-        known = {} if known is None else known
-        for w, c in words.items():
-            own = known.get(w)
-            if own is None:
-                if len(known) > 200_000:
-                    known.clear()
-                own = known[w] = [i for t in names_of(w) if (i := self.terms.get(t)) is not None]
-            for i in own:
-                counts[i] = counts.get(i, 0) + c
-        return self._unit(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+    def vectors(self, bags: list[dict[str, int]], known: Words | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each bag of words the terms of the index that it holds, rising, and their unit weights. ``known`` remembers the terms of a word."""
+        out, known = [], Words(self) if known is None else known
+        for lo in range(0, len(bags), TOGETHER):
+            some = bags[lo : lo + TOGETHER]
+            words = np.fromiter(map(known.__getitem__, chain.from_iterable(some)), np.int64)
+            counts = np.fromiter(chain.from_iterable(b.values() for b in some), np.int64)
+            at, held = np.array(known.at), np.array(known.held)
+            n = at[words + 1] - at[words]
+            key = np.repeat(np.repeat(np.arange(len(some)), [len(b) for b in some]), n) * len(self.terms) + held[_ranges(at[words], at[words + 1])]
+            order = np.argsort(key)
+            key, counts = key[order], np.repeat(counts, n)[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            key, counts = key[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+            bag, t = np.divmod(key, max(1, len(self.terms)))
+            w = (1 + np.log(counts)) * self.weight[t]
+            size = np.sqrt(np.bincount(bag, w * w, len(some)))[bag]
+            w = np.divide(w, size, out=w, where=size > 0)
+            ends = np.searchsorted(bag, np.arange(len(some) + 1))
+            out.extend((t[i:j], w[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True))
+        return out
+
+    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        return self.vectors([words])[0]
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each vector the k greatest positive cosines as (cosine, place), ties to the smaller place; ``skip`` has a place to leave out for each."""
-        out, full = [], self.dense.astype(float)
-        for lo in range(0, len(vectors), 64):
-            some = vectors[lo : lo + 64]
-            q = np.zeros((len(some), full.shape[1]))
+        out = []
+        for lo in range(0, len(vectors), TOGETHER):
+            some = vectors[lo : lo + TOGETHER]
+            q = np.zeros((len(some), self.dense.shape[1]), np.float32)
             for row, (t, w) in zip(q, some, strict=True):
                 c = self.column[t]
                 row[c[c >= 0]] = w[c >= 0]
-            for i, ((t, w), base) in enumerate(zip(some, q @ full.T, strict=True)):
+            for i, ((t, w), base) in enumerate(zip(some, q @ self.dense.T, strict=True)):
                 out.append(self._walk(t, w, base, -1 if skip is None else skip[lo + i]))
         return out
 
     def _walk(self, t: np.ndarray, w: np.ndarray, base: np.ndarray, skip: int) -> list[tuple[float, int]]:
-        """Blocks by falling bound, the first few and then those over the kth cosine; ``base`` has the cosines' part of the common terms."""
-        rare = self.column[t] < 0
+        """Blocks by falling bound, the first few and then those over the kth cosine.
+
+        ``base`` has the cosines' part of the common terms in single precision, off by ``slack`` at most, which bounds and the
+        choice of candidates allow for. Candidates get that part anew in double precision.
+        """
+        column = self.column[t]
+        rare = column < 0
+        slack = (np.count_nonzero(~rare) + 8) * 2.0**-24
         lo, hi = self.entry[t[rare]], self.entry[t[rare] + 1]
         entries, q = _ranges(lo, hi), np.repeat(w[rare], hi - lo)
-        block, base = self.block[entries], base.reshape(self.blocks, BLOCK)
-        bound = np.bincount(block, q * self.top[entries], self.blocks) + base.max(1)
+        block = self.block.take(entries)
+        bound = np.bincount(block, q * self.top.take(entries), self.blocks) + base.reshape(self.blocks, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
-        scores, places, kth, done = np.zeros(0), np.zeros(0, np.int64), -1.0, 0
+        scores, parts, places, kth, done = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), -1.0, 0
         for last in (8, len(order)):
             now = order[done:last]
-            now = now[bound[now] + 1e-9 >= kth]
+            now = now[bound[now] + 2 * slack >= kth]
             if not len(now):
                 break
-            turn = np.full(self.blocks, -1)
-            turn[now] = np.arange(len(now))
-            on = np.flatnonzero(turn[block] >= 0)
-            a, b = self.first[entries[on]], self.first[entries[on] + 1]
+            turn = np.zeros(self.blocks, bool)
+            turn[now] = True
+            on = np.flatnonzero(turn.take(block))
+            some = entries.take(on)
+            a, b = self.first.take(some), self.first.take(some + 1)
             p = _ranges(a, b)
-            cell = np.repeat(turn[block[on]] * BLOCK, b - a) + self.place[p] % BLOCK
-            got = base[now].ravel() + np.bincount(cell, np.repeat(q[on], b - a) * self.value[p], len(now) * BLOCK)
-            hit = np.flatnonzero(got > max(0.0, kth - 1e-9))
-            place = now[hit // BLOCK] * BLOCK + hit % BLOCK
-            hit, place = hit[place != skip], place[place != skip]
-            scores, places = np.concatenate([scores, got[hit]]), np.concatenate([places, place])
-            best = np.lexsort((places, -scores))[: self.k]
-            scores, places = scores[best], places[best]
-            kth = scores[-1] if len(scores) == self.k else -1.0
+            part = np.bincount(self.place.take(p), np.repeat(q.take(on), b - a) * self.value.take(p), self.blocks * BLOCK)
+            place = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = base[place] + part[place]
+            place = place[(got > max(0.0, kth - 2 * slack)) & (place != skip)]
+            places, parts = np.concatenate([places, place]), np.concatenate([parts, part[place]])
+            scores = base[places] + parts
+            if len(scores) >= self.k:
+                kth = np.partition(scores, -self.k)[-self.k]
+                best = scores >= kth - 2 * slack
+                places, parts = places[best], parts[best]
             done = last
-        return list(zip(scores.tolist(), places.tolist(), strict=True))
+        scores = self.dense[places][:, column[~rare]] @ w[~rare] + parts
+        best = np.lexsort((places, -scores))[: self.k]
+        return list(zip(scores[best].tolist(), places[best].tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weights = [1.0 / (0.05 + max(0.0, 1.0 - s)) for s, _ in found]
@@ -193,10 +242,10 @@ class Index:
         self.curve_x = [x for p in pools for x in (p[0], p[1])]
         self.curve_y = [y for p in pools for y in [(p[2] + 0.25) / (p[3] + 0.5)] * 2]
 
-    def score(self, bags: list[dict[str, int]], known: dict[str, list[int]] | None = None) -> list[tuple[float, list[tuple[int, float, int]]]]:
+    def score(self, bags: list[dict[str, int]], known: Words | None = None) -> list[tuple[float, list[tuple[int, float, int]]]]:
         """(score, evidence) for each bag of words: evidence lists the nearest examples as (doc_id, cosine, label)."""
         out = []
-        for found in self.nearest([self.vector(words, known) for words in bags]):
+        for found in self.nearest(self.vectors(bags, known)):
             p = float(np.interp(self.vote(found), self.curve_x, self.curve_y)) if found and self.curve_x else self.silent
             out.append((p, [(int(self.ids[i]), s, int(self.labels[i])) for s, i in found[:3]]))
         return out
@@ -236,8 +285,11 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
-        x, cache = sent.value, {}
+        x = sent.value
+        cache = Words(x)
         for b in batches:
+            if len(cache) > 200_000:
+                cache = Words(x)
             texts = b.column("text").to_pylist()
             once = list(dict.fromkeys(texts))
             known = dict(zip(once, x.score([Counter(LETTERS.findall((t or "").lower())) for t in once], cache), strict=True))

@@ -181,6 +181,29 @@ def test_nearest_equals_brute_force():
         assert len(got) == len(want) and {n for s, n in got if s > want[-1][0] + 1e-6} >= {n for s, n in want if s > want[-1][0] + 2e-6}
 
 
+def test_batches_keep_double_precision():
+    """Common terms go through a product in single precision, which may choose candidates but not order them."""
+    rng = random.Random(7)
+    names = [f"v{i}x" for i in range(60)]
+    ex = [(i, i % 2, {w: rng.randint(1, 9) for w in rng.sample(names, 30)} | {f"own{i}": 1, f"pair{i // 2}": 2}) for i in range(500)]
+    x = toxicity.Index(ex)
+    assert x.dense.shape[1] >= 60
+    bags = [e[2] for e in ex] + [{}, {"unheard": 2}]
+    known = toxicity.Words(x)
+    vectors = x.vectors(bags, known)
+    assert len(known) == len({w for b in bags for w in b}) and [len(t) for t, _ in vectors[-2:]] == [0, 0]
+    whole = np.zeros((x.blocks * toxicity.BLOCK, len(x.terms)))
+    whole[:, x.column >= 0] = x.dense[:, x.column[x.column >= 0]]
+    for t in range(len(x.terms)):
+        p = slice(x.first[x.entry[t]], x.first[x.entry[t + 1]])
+        whole[x.place[p], t] = x.value[p]
+    for (t, w), got in zip(vectors, x.nearest(vectors), strict=True):
+        every = whole[:, t] @ w
+        want = np.sort(every[every > 0])[::-1][: x.k]
+        assert np.allclose([s for s, _ in got], want, rtol=0, atol=1e-13)
+        assert np.allclose([s for s, _ in got], every[[n for _, n in got]], rtol=0, atol=1e-13)
+
+
 def test_no_term_is_left_out_and_long_texts_score():
     ex = [(i, i % 2, {f"one{i}": 1, "shared": 1}) for i in range(40)]
     x = toxicity.Index(ex)
