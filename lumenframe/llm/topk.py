@@ -4,14 +4,12 @@ The top of a ball tree, fitted on a bounded sample, deals the distinct vectors t
 where the data have clusters; a region of many rows is parted into shards by a hash. Every shard has a ball tree of its own.
 Queries go to the shards of a region in waves: first to the region of the greatest upper bound <q, centre> + |q| radius,
 then, with the kth score found so far as a floor, to the next ones by bound and to the rest, always leaving out regions whose
-bound is under the floor. Inside a shard a query walks the nodes by falling bound and stops at the first one under its kth
-score. Equal vectors share one entry with their k + 1 smallest ids, so copies cannot swell a shard.
+bound is under the floor. Inside a shard queries take the leaves by falling bound, in rounds of twice as many, up to the first
+one under the kth score; all that meet at a leaf are scored by one matrix product. Equal vectors share one entry with their k + 1 smallest ids, so copies cannot swell a shard.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +22,8 @@ LEAF = 128
 SHARD_ROWS = 8192
 #: Queries that meet a shard at once.
 BLOCK_ROWS = 1 << 15
+#: Queries that walk a tree together, and the hits that they hold before the best are chosen.
+QUERY_ROWS, HELD = 512, 1 << 18
 #: Bounds of the sample that shapes the regions, of the regions, and of the numbers in their centres, which all executors get.
 SAMPLE_ROWS, MOST_REGIONS, MOST_NUMBERS = 1 << 16, 4096, 1 << 21
 
@@ -98,37 +98,71 @@ class BallTree:
                 self.order[lo:hi] = self.order[lo:hi][np.argsort(d @ halves(own), kind="stable")]
                 todo += [(lo + half, hi, at, 1), (lo, lo + half, at, 0)]
         self.centres, self.radii = np.array(centres), np.array(radii)
+        self.norm = float(np.sqrt(np.einsum("ij,ij->i", self.x, self.x).max()))
+        self.sorted: dict[type, np.ndarray] = {}
+
+    def search(self, q: np.ndarray, k: int, ids: np.ndarray, ends: np.ndarray, own: np.ndarray, floor: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Rows of ``q``, ids and scores of the best k at or over each row's ``floor``, ties to smaller ids, and the number of pairs scored.
 
-    def search(self, q: np.ndarray, k: int, ids: list[list[int]], own: int | None, floor: float, bound: np.ndarray) -> tuple[list[tuple[int, int]], int]:
-        """The best k (score, id) at or over ``floor``, ties to smaller ids, and the number of rows scored."""
-        best: list[tuple[float, int]] = []  # heap of (score, -id)
-        heap, scored = [(-bound[0], 0)], 0
-        while heap:
-            up, node = heapq.heappop(heap)
-            kth = best[0][0] if len(best) == k else floor
-            if -up < max(kth, floor):
-                break
-            lo, hi, left, right = self.nodes[node]
+        A query takes its leaves by falling bound, 1, 1, 2, 4 and so on at a time, and its kth score so far closes the others; the queries at
+        a leaf are scored by one product. Row i of the tree has ``ids[ends[i]:ends[i + 1]]``; a query's own id is left out.
+        """
+        size = np.sqrt(np.einsum("ij,ij->i", q, q))
+        up = self.centres @ q.T + self.radii[:, None] * size
+        up += 1e-9 * (np.abs(up) + 1)
+        for node, (_, _, left, right) in enumerate(self.nodes):  # children come after their parents
             if left >= 0:
-                heapq.heappush(heap, (-bound[left], left))
-                heapq.heappush(heap, (-bound[right], right))
-                continue
-            rows = self.order[lo:hi]
-            got = self.x[rows] @ q
-            scored += len(rows)
-            for i in np.flatnonzero(got >= max(kth, floor)).tolist():
-                s = got[i]
-                for v in ids[rows[i]]:
-                    if v == own:
-                        continue
-                    item = (s, -v)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                    else:
-                        break
-        return [(int(s), -v) for s, v in best], scored
+                up[[left, right]] = np.minimum(up[[left, right]], up[node])
+        leaves = [(lo, hi) for lo, hi, left, _ in self.nodes if left < 0]
+        up = up[[left < 0 for _, _, left, _ in self.nodes]]
+        turn = np.argsort(np.argsort(-up, axis=0, kind="stable"), axis=0)
+        # whole numbers: no partial sum passes the product of the norms, so single precision is exact under 2^24
+        kind = np.float32 if size.max() * max(1.0, self.norm) < 2**24 else np.float64
+        x, q = self.rows(kind), q.astype(kind)
+        start, copies = ends[self.order], np.diff(ends)[self.order]
+        kth, scored, first, last = floor.copy(), 0, 0, 1
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)]
+        hits: list[tuple] = []
+
+        def merged(best: list[np.ndarray]) -> list[np.ndarray]:
+            row, at, score = (np.concatenate(c) for c in zip(*hits, strict=True))
+            n = copies[at]
+            each = np.repeat(np.arange(len(at)), n)
+            v = ids[np.arange(len(each)) + np.repeat(start[at] - (np.cumsum(n) - n), n)]
+            each, v = each[other := v != own[row[each]]], v[other]
+            row, v, score = (np.concatenate(c) for c in zip(best, (row[each], v, score[each]), strict=True))
+            by = np.lexsort((v, -score, row))
+            row = row[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            by, row, place = by[place < k], row[place < k], place[place < k]
+            full = place == k - 1
+            kth[row[full]] = np.maximum(kth[row[full]], score[by[full]])
+            hits.clear()
+            return [row, v[by], score[by]]
+
+        while first < len(leaves):
+            due = (turn >= first) & (turn < last) & (up >= kth)
+            held = 0
+            for leaf in np.flatnonzero(due.any(1)):
+                lo, hi = leaves[leaf]
+                at = np.flatnonzero(due[leaf])
+                got = q[at] @ x[lo:hi].T
+                scored += got.size
+                i, j = np.nonzero(got >= kth[at, None].astype(kind))
+                hits.append((at[i], lo + j, got[i, j]))
+                held += int(copies[lo + j].sum())
+                if held > HELD:
+                    best, held = merged(best), 0
+            if hits:
+                best = merged(best)
+            first, last = last, 2 * last
+        return best, scored
+
+    def rows(self, kind: type) -> np.ndarray:
+        """The rows in the order of the leaves, in single or double precision."""
+        if kind not in self.sorted:
+            self.sorted[kind] = self.x[self.order].astype(kind)
+        return self.sorted[kind]
 
 
 def scaled(v, scale: int = 64):
@@ -255,23 +289,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, ws: Workspace, k: int, tally:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         x = np.frombuffer(left.column("x")[0].as_py()).reshape(left.column("n")[0].as_py(), -1)
-        flat, ends = left.column("ids")[0].as_py(), left.column("ends")[0].as_py()
-        ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        tree, q = BallTree(x), _matrix(right.column("v"))
-        size = np.sqrt(np.einsum("ij,ij->i", q, q))
-        out: list[list] = [[], [], []]
-        asked, floors, scored = right.column("id").to_pylist(), right.column("floor").to_pylist(), 0
-        for lo in range(0, len(q), 1024):
-            bound = q[lo : lo + 1024] @ tree.centres.T + size[lo : lo + 1024, None] * tree.radii
-            bound += 1e-9 * (np.abs(bound) + 1)
-            for i, up in enumerate(bound, lo):
-                got, n = tree.search(q[i], k, ids, asked[i], -np.inf if floors[i] is None else floors[i], up)
-                scored += n
-                out[0] += [asked[i]] * len(got)
-                out[1] += [g[1] for g in got]
-                out[2] += [g[0] for g in got]
-        out = [[*c, v] for c, v in zip(out, (None, None, scored), strict=True)]
-        return pa.table([pa.array(o, pa.int64()) for o in out], schema=schema)
+        ids, ends = (left.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("ids", "ends"))
+        tree, q, asked = BallTree(x), _matrix(right.column("v")), right.column("id").to_numpy()
+        floor = np.nan_to_num(right.column("floor").to_numpy().astype(float), nan=-np.inf)
+        out, scored = [], 0
+        for lo in range(0, len(q), QUERY_ROWS):
+            some = slice(lo, lo + QUERY_ROWS)
+            (row, v, score), n = tree.search(q[some], k, ids, ends, asked[some], floor[some])
+            scored += n
+            out.append(pa.table([asked[some][row], v, score.astype(np.int64)], schema=schema))
+        return pa.concat_tables([*out, pa.table([pa.array([c], pa.int64()) for c in (None, None, scored)], schema=schema)])
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")

@@ -57,6 +57,39 @@ def test_clustered_vectors_are_pruned(spark, monkeypatch):
     assert sum(tally) < 0.5 * 100 * 4000
 
 
+class Counted(np.ndarray):
+    """Rows of a tree that count the products they take part in."""
+
+    products = 0
+
+    def __rmatmul__(self, other):
+        Counted.products += 1
+        return other @ self.view(np.ndarray)
+
+
+@pytest.mark.parametrize(("most", "kind"), [(60, np.float32), (1 << 20, np.float64)])
+def test_queries_at_a_leaf_share_a_product(monkeypatch, most, kind):
+    monkeypatch.setattr(topk, "LEAF", 16)
+    monkeypatch.setattr(topk, "HELD", 500)
+    rng = np.random.default_rng(17)
+    x = rng.integers(-most, most, (512, 6)).astype(float)
+    ends = np.concatenate([[0], np.cumsum(rng.integers(1, 5, 512))])
+    ids = rng.permutation(ends[-1])
+    q = np.concatenate([x[:200], x[:200] // 3, np.zeros((1, 6))])
+    own, floor = np.append(ids[ends[:200]], [-1] * 201), np.where(np.arange(401) % 7, -np.inf, 0.0)
+    tree, used = topk.BallTree(x), []
+    monkeypatch.setattr(tree, "rows", lambda k, rows=tree.rows: used.append(k) or rows(k).view(Counted))
+    Counted.products = 0
+    (row, v, score), scored = tree.search(q, 9, ids, ends, own, floor)
+    assert used == [kind]
+    assert 0 < Counted.products <= 32 * 6  # leaves and rounds, however many queries
+    assert scored <= 401 * 512
+    for i in range(401):
+        s = np.repeat(x @ q[i], np.diff(ends))
+        want = sorted((-int(a), int(b)) for a, b in zip(s, ids, strict=True) if b != own[i] and a >= floor[i])[:9]
+        assert sorted((-int(a), int(b)) for a, b in zip(score[row == i], v[row == i], strict=True)) == want
+
+
 def test_top_k_of_few_and_none(spark, tmp_path):
     write(spark, tmp_path / "a", vectors(3))
     assert sorted((r.query_id, r.rank) for r in topk.op3(spark, str(tmp_path / "a")).collect()) == [(0, 1), (0, 2)]
