@@ -1,12 +1,11 @@
-"""Approximate nearest neighbours by NN-descent and greedy graph search.
-
-Equal vectors are one node. Random-projection leaves of bounded size give a first graph; each round of NN-descent joins
-every node's neighbours, and the nodes whose neighbour it is, with their vectors, compares them with each other, and keeps
-the nearest found for each. The graph, with its neighbours' vectors beside every node, then stays dealt out by node. A
-query keeps a pool of the nearest nodes seen; a round sends its unexpanded nearest to their places and folds the distances
-of their neighbours into the pool, until the pool is expanded throughout. The whole pool is measured again in double
-precision on the original vectors. A sample of the queries is also searched exhaustively, and the pool doubles until what
-it finds of their true neighbours reaches a bound.
+"""Approximate nearest neighbours by NN-descent and greedy graph search, in shards.
+
+Equal vectors are one node. Half-spaces fitted on a bounded sample deal the nodes to shards, so that rows near each other meet
+where the data have clusters. Each shard gets a graph of its own by NN-descent from random-projection leaves (``nngraph``). A
+query goes to the shards whose centres are nearest and keeps a pool in each, until the pool is expanded throughout; the
+nearest of all pools are measured again in double precision on the original vectors. A sample of the queries is searched
+exhaustively, and in every shard with several pools: the cheapest pool and number of shards that find enough of its true
+neighbours serve all queries, so these are searched once.
 """
 
 from __future__ import annotations
@@ -16,270 +15,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.llm import nngraph
 from lumenframe.llm.common import Workspace, arrow_rows, parallelism
+from lumenframe.llm.topk import Regions
 from lumenframe.llm.vectors import usable
 
 LEAF_ROWS = 384
-
-
-def contiguous(batches, key: str):
-    """Groups of rows of equal ``key`` from batches in which they stand side by side."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if held and held[0].column(key)[0].as_py() != k[lo]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dims)
-
-
-def _squares(x: np.ndarray) -> np.ndarray:
-    n = np.einsum("ij,ij->i", x, x)
-    return np.maximum(n[:, None] + n - 2 * (x @ x.T), 0)
-
-
-def _pairs(u, v, d) -> pa.RecordBatch:
-    cat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-    return pa.RecordBatch.from_arrays([pa.array(cat(u, np.int64)), pa.array(cat(v, np.int64)), pa.array(cat(d, np.float32))], names=["u", "v", "d"])
-
-
-def _flushed(found):
-    """Pairs of many groups in batches of moderate size."""
-    u, v, d, n = [], [], [], 0
-    for a, b, c in found:
-        u.append(a)
-        v.append(b)
-        d.append(c)
-        n += len(a)
-        if n > 50_000:
-            yield _pairs(u, v, d)
-            u, v, d, n = [], [], [], 0
-    yield _pairs(u, v, d)
-
-
-def nodes(vectors: DataFrame, ws: Workspace, k: int) -> tuple[DataFrame, int]:
-    """(node, vec, ids, v): distinct vectors, named by their least id (a hash where that names another already), with their k + 1 least ids; and the dimension."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    few = vectors.withColumn("r", rank).where(F.col("r") <= k + 1)
-    few = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    few = few.withColumn("node", F.element_at("ids", 1)).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("v")))
-    few = few.withColumn("node", F.when(F.col("r") == 1, F.col("node")).otherwise(F.xxhash64("node", "v")))
-    head = few.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    dims, scale = head[0] or 1, head[1] or 1.0
-
-    def pack(batches):
+#: Shards grow with the root of the nodes, between these bounds; the second one is of numbers.
+SHARD_ROWS, SHARD_NUMBERS = 4096, 1 << 23
+#: Bounds of the sample that shapes the regions and of their number; queries that meet a shard at once.
+SAMPLE_ROWS, MOST_REGIONS, QUERY_ROWS = 1 << 15, 4096, 1 << 15
+#: Partitions of shards for each one of other rows: shards are few and heavy, so no two should meet in a task.
+SPREAD = 8
+#: Pools that are tried at once, as multiples of the first.
+POOLS = (1, 1.5, 2, 3, 4, 6, 8)
+
+
+def _matrix(column) -> np.ndarray:
+    """The vectors of a list column, all of one size."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _packed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def nodes(vectors: DataFrame, ws: Workspace, k: int) -> DataFrame:
+    """(node, v, ids): distinct vectors, named by their least id (a hash where that names another as well), with their k + 1 least ids."""
+    rank = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))  # the hash spares the sort most comparisons of vectors
+    few = vectors.withColumn("h", F.xxhash64("v")).withColumn("r", rank).where(F.col("r") <= k + 1)
+    few = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = ws.write(few.select(F.element_at("ids", 1).alias("node"), "v", "ids"), "nodes")
+    shared = few.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("shared"))
+    if shared.limit(1).count():
+        few = few.join(shared, "node", "left")
+        few = ws.write(few.select(F.when(F.col("shared"), F.xxhash64("node", "v")).otherwise(F.col("node")).alias("node"), "v", "ids"), "nodes")
+    return few
+
+
+def sharded(points: DataFrame, n: int, ws: Workspace) -> DataFrame:
+    """(shard, node, v): the nodes dealt to regions of about equal shares, a region of too many rows by a hash to several shards."""
+    dims = points.select(F.size("v")).first()[0]
+    rows = max(1, min(SHARD_NUMBERS // dims, max(SHARD_ROWS, int(48 * n**0.5))))
+    most = min(MOST_REGIONS, -(-n // rows))
+    few = points.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / n)) + 1)
+    regions = Regions(_matrix(few.select("v").toArrow().column("v")), most) if most > 1 else None
+
+    def deal(batches):
         for b in batches:
-            v = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, dims) / scale
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()), b.column("ids"), b.column("v")], names=["node", "vec", "ids", "v"])
+            at = regions.of(_matrix(b.column("v"))) if regions else np.zeros(b.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("node"), b.column("v")], names=["region", "node", "v"])
 
-    return ws.write(few.select("node", "ids", "v").mapInArrow(pack, "node long, vec binary, ids array<long>, v array<double>"), "nodes"), dims
+    dealt = ws.write(points.select("node", "v").mapInArrow(deal, "region long, node long, v array<double>"), "dealt")
+    cuts = dealt.groupBy("region").agg(F.ceil(F.count("*") / (1.25 * rows)).alias("cuts"))
+    shard = F.concat_ws("/", "region", F.pmod(F.xxhash64("v"), F.col("cuts")))
+    return dealt.join(F.broadcast(cuts), "region").select(shard.alias("shard"), "node", "v")
 
 
-def first_graph(points: DataFrame, n: int, dims: int, k: int, trees: int, tasks: int) -> DataFrame:
-    """(u, v, d) within the leaves of random-projection trees. A leaf is cut by a hash where it is too large."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / (LEAF_ROWS / 2)))))
-
-    def leaves(batches):
-        planes = np.random.default_rng(17).normal(size=(trees, max(1, bits), dims)).astype(np.float32)
-        for b in batches:
-            x = _matrix(pa.chunked_array([b.column("vec")]), dims)
-            for t in range(trees):
-                code = ((x @ planes[t].T > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code * trees + t), b.column("node"), b.column("vec")], names=["leaf", "node", "vec"])
-
-    dealt = points.select("node", "vec").mapInArrow(leaves, "leaf long, node long, vec binary")
-    size = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("cuts"))
-    dealt = dealt.join(size, "leaf").withColumn("leaf", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), F.col("cuts"))))
-
-    def near(batches):
-        def found():
-            for t in contiguous(batches, "leaf"):
-                ids, x = t.column("node").to_numpy(), _matrix(t.column("vec"), dims)
-                for lo in range(0, len(ids), 1024):  # the halves of one hash value can still be uneven
-                    i, d = ids[lo : lo + 1024], _squares(x[lo : lo + 1024])
-                    if len(i) < 2:
-                        continue
-                    np.fill_diagonal(d, np.inf)
-                    m = min(k, len(i) - 1)
-                    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    yield np.repeat(i, m), i[at].ravel(), np.take_along_axis(d, at, 1).ravel()
-
-        yield from _flushed(found())
-
-    return dealt.repartition(tasks, "leaf").sortWithinPartitions("leaf").mapInArrow(near, "u long, v long, d float")
-
-
-def nearest_kept(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest v of each u of (u, v, d, fresh); a pair already known is not fresh."""
-    one = pairs.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("u").orderBy("d", "v")
-    return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
-
-
-def descend(edges: DataFrame, points: DataFrame, dims: int, k: int, each: int, tasks: int) -> DataFrame:
-    """One round of neighbours of neighbours: all pairs found (u, v, d, fresh), the old edges included."""
-    back = edges.select(F.col("v").alias("x"), F.col("u").alias("y"), "fresh", "d")
-    order = Window.partitionBy("x").orderBy(F.desc("fresh"), "d", "y")
-    back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("x", "y", "fresh")
-    members = edges.select(F.col("u").alias("x"), F.col("v").alias("y"), "fresh").union(back)
-    members = members.groupBy("x", "y").agg(F.max("fresh").alias("fresh"))
-    reach = edges.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).alias("far"))
-    known = points.select("node", "vec").join(reach, points["node"] == reach["u"], "left").select("node", "vec", "far")
-    rows = members.join(known, members["y"] == known["node"]).select("x", "y", "fresh", "vec", "far")
-
-    def compare(batches):
-        def found():
-            for t in contiguous(batches, "x"):
-                ids = t.column("y").to_numpy()
-                if len(ids) < 2:
-                    continue
-                fresh = t.column("fresh").to_numpy() > 0
-                far = t.column("far").to_numpy()
-                far = np.where(np.isnan(far), np.inf, far)
-                d = _squares(_matrix(t.column("vec"), dims))
-                d[~(fresh[:, None] | fresh)] = np.inf
-                np.fill_diagonal(d, np.inf)
-                d[d >= far[:, None]] = np.inf
-                m = min(each, len(ids) - 1)
-                at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                best = np.take_along_axis(d, at, 1)
-                i, j = np.nonzero(np.isfinite(best))
-                yield ids[i], ids[at[i, j]], best[i, j]
-
-        yield from _flushed(found())
-
-    new = rows.repartition(tasks, "x").sortWithinPartitions("x").mapInArrow(compare, "u long, v long, d float")
-    return edges.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
-
-
-def graph(points: DataFrame, ws: Workspace, dims: int, k: int = 20, trees: int = 8, rounds: int = 4, each: int = 10) -> DataFrame:
-    """(u, v): the k nearest found of each node and up to k - 4 nodes that have it among theirs, and the node itself."""
-    tasks, n = parallelism(ws.spark), points.count()
-    edges = first_graph(points, n, dims, k, trees, tasks).withColumn("fresh", F.lit(1))
-    edges = ws.write(nearest_kept(edges, k), "graph")
-    for _ in range(rounds):
-        new = ws.write(nearest_kept(descend(edges, points, dims, k, each, tasks), k), "graph")
-        ws.drop(edges)
-        edges = new
-    order = Window.partitionBy("v").orderBy("d", "u")
-    back = edges.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k - 4).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    own = points.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    return edges.select("u", "v").union(back).union(own).distinct()
-
-
-def search(points: DataFrame, edges: DataFrame, asked: DataFrame, ws: Workspace, dims: int, pool: int = 800, step: int = 200, seeds: int = 32) -> DataFrame:
-    """(query, node) for the pool of each query of ``asked`` (query, node, vec: the query's id, node and packed vector).
-
-    A query starts from its own node and from ``seeds`` others, its own choice of about 4096, so that no node is asked by
-    all. It ends when its pool is expanded throughout; a pool only gets nearer, so every query ends.
-    """
-    spark = ws.spark
-    tasks = parallelism(spark)
-    vec = points.select(F.col("node").alias("v"), "vec")
-    placed = edges.join(vec, "v").groupBy("u").agg(F.collect_list(F.struct("v", "vec")).alias("near"))
-    placed = ws.write(placed, "placed").repartition(tasks, "u").persist()
-    start = [r[0] for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(4096).collect()]
-    first = F.pmod(F.xxhash64("query"), F.lit(max(1, len(start) - seeds + 1))).cast("int") + 1
-    state = asked.select("query", "vec", F.array("node").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("dist"), F.array(F.lit(0)).alias("open"))
-    sent = F.from_json(F.lit("[" + ",".join(map(str, start)) + "]"), "array<bigint>")
-    state = ws.write(state.withColumn("next", F.array_distinct(F.concat("ids", F.slice(sent, first, seeds)))), "state")
-
-    def measure(batches):
-        for b in batches:
-            near = b.column("near")
-            size = np.diff(near.offsets.to_numpy())
-            flat = near.flatten()
-            x = _matrix(pa.chunked_array([flat.field("vec")]), dims)
-            q = _matrix(pa.chunked_array([b.column("vec")]), dims)
-            d = x - np.repeat(q, size, axis=0)
-            d = np.einsum("ij,ij->i", d, d)
-            at = near.offsets.to_numpy() - near.offsets[0].as_py()
-            off = pa.array(at.astype(np.int32))
-            cols = [b.column("query"), b.column("u"), pa.ListArray.from_arrays(off, flat.field("v")), pa.ListArray.from_arrays(off, pa.array(d.astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["query", "u", "ids", "dist"])
-
-    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left
-        old = np.array(left.column("ids")[0].as_py(), np.int64)
-        ids = np.concatenate([old, *(np.array(x, np.int64) for x in right.column("ids").to_pylist())])
-        dist = np.concatenate([np.array(left.column("dist")[0].as_py(), np.float32), *(np.array(x, np.float32) for x in right.column("dist").to_pylist())])
-        done = set(right.column("u").to_pylist()) | {i for i, o in zip(old.tolist(), left.column("open")[0].as_py(), strict=True) if not o and i != old[0]} | ({int(old[0])} if right.num_rows else set())
-        ids, first = np.unique(ids, return_index=True)
-        dist = dist[first]
-        at = np.lexsort((ids, dist))[:pool]
-        ids, dist = ids[at], dist[at]
-        new = np.array([i not in done for i in ids.tolist()])
-        cells = [left.column("query")[0], left.column("vec")[0], ids.tolist(), dist.tolist(), new.astype(np.int32).tolist(), ids[new][:step].tolist()]
-        return pa.table([pa.array([c.as_py() if isinstance(c, pa.Scalar) else c], t) for c, t in zip(cells, left.schema.types, strict=True)], schema=left.schema)
-
-    kinds = "query long, vec binary, ids array<long>, dist array<float>, open array<int>, next array<long>"
-    done = []
-    while True:
-        ahead = state.select("query", "vec", F.explode("next").alias("node"))
-        got = ahead.repartition(tasks, "node").join(placed, F.col("node") == F.col("u")).select("query", "vec", "u", "near")
-        got = got.mapInArrow(measure, "query long, u long, ids array<long>, dist array<float>")
-        new = ws.write(state.groupBy("query").cogroup(got.groupBy("query")).applyInArrow(fold, kinds), "state")
-        done.append(new.where(F.size("next") == 0).select("query", "ids"))
-        state = new.where(F.size("next") > 0)
-        if not state.limit(1).count():
-            break
-    placed.unpersist()
-    out = done[0]
-    for x in done[1:]:
-        out = out.union(x)
-    return out.select("query", F.posexplode("ids").alias("place", "node"))
+def graphs(shards: DataFrame, ws: Workspace) -> DataFrame:
+    """(shard, node, vec, near, centre, scale): each shard's graph, ``near`` holding places in the order of nodes; ``centre`` and ``scale``, by which its vectors were packed, stand in its first row."""
 
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        v = _matrix(t.column("v"))
+        centre, scale = nngraph.framed(v)
+        x = nngraph.single(v, centre, scale)
+        near, rest = nngraph.graph(x), [None] * (len(x) - 1)
+        cells = [t.column("shard"), t.column("node"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([centre.tolist(), *rest], pa.list_(pa.float64())), pa.array([scale, *rest], pa.float64())]
+        return pa.table(cells, names=["shard", "node", "vec", "near", "centre", "scale"])
 
-def truth(points: DataFrame, asked: DataFrame, dims: int, k: int, most: int = 64) -> DataFrame:
-    """(query, node): the k nearest other nodes of about ``most`` queries, chosen by a hash, from a scan of all points."""
-    some = asked.select("query", "vec").orderBy(F.xxhash64("query"), "query").limit(most).collect()
-    ids, q = np.array([r[0] for r in some], np.int64), np.frombuffer(b"".join(r[1] for r in some), "<f4").reshape(-1, dims)
+    return ws.write(shards.repartition(SPREAD * parallelism(ws.spark), "shard").groupBy("shard").applyInArrow(build, "shard string, node long, vec binary, near binary, centre array<double>, scale double"), "graphs")
 
-    def scan(batches):
-        for b in batches:
-            node, x = b.column("node").to_numpy(), _matrix(pa.chunked_array([b.column("vec")]), dims)
-            for i, own in zip(ids.tolist(), q, strict=True):
-                d = np.einsum("ij,ij->i", x - own, x - own)
-                d[node == i] = np.inf
-                at = np.argsort(d, kind="stable")[:k]
-                at = at[np.isfinite(d[at])]
-                yield _pairs([np.full(len(at), i)], [node[at]], [d[at]])
 
-    order = Window.partitionBy("u").orderBy("d", "v")
-    near = points.select("node", "vec").mapInArrow(scan, "u long, v long, d float").withColumn("r", F.row_number().over(order))
-    return near.where(F.col("r") <= k).select(F.col("u").alias("query"), F.col("v").alias("node"))
+def search(index: DataFrame, asked: DataFrame, pools: list[int], most: int, keep: int) -> DataFrame:
+    """(query, node, d, pool, turn): the ``keep`` nearest of the pool, for each pool size, that each query of ``asked`` (query, v; a query is a node's name) has in each of the ``most`` shards with the nearest centres.
 
+    ``d`` is a squared distance; ``turn`` counts a query's shards from the nearest. The pool sizes ascend.
+    """
+    known = index.where("scale is not null").select("shard", "centre").orderBy("shard").toArrow()
+    names, centres = known.column("shard").combine_chunks(), _matrix(known.column("centre"))
 
-def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, pool: int = 800, least_recall: float = 0.95) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds ids of theirs.
+    def ask(batches):
+        for b in batches:
+            v = _matrix(b.column("v"))
+            d = np.array([np.einsum("ij,ij->i", centres - q, centres - q) for q in v]).reshape(len(v), -1)
+            near = np.argsort(d, axis=1, kind="stable")[:, :most]
+            row, turn = (a.ravel() for a in np.indices(near.shape))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(near.ravel())), b.column("query").take(at), b.column("v").take(at), pa.array(turn.astype(np.int32))], names=["shard", "query", "v", "turn"])
+
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("d", pa.float64()), ("pool", pa.int32()), ("turn", pa.int32())])
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        left = left.sort_by("node")
+        node, x, near = left.column("node").to_numpy(), _packed(left.column("vec"), "<f4"), _packed(left.column("near"), "<i4")
+        first = int(np.flatnonzero(left.column("scale").is_valid().to_numpy())[0])
+        centre, scale = np.array(left.column("centre")[first].as_py()), left.column("scale")[first].as_py()
+        query, turn = right.column("query").to_numpy(), right.column("turn").to_numpy()
+        q = nngraph.single(_matrix(right.column("v")), centre, scale)
+        own = np.searchsorted(node, query)
+        own = np.where(node[np.minimum(own, len(node) - 1)] == query, own, len(node))
+        out = []
+        for pool in pools:
+            ids, d = nngraph.search(x, near, q, own, min(pool, len(node)))
+            row, col = np.nonzero(ids[:, :keep] < len(node))
+            out.append(pa.table([query[row], node[ids[row, col]], d[row, col].astype(float) * scale * scale, np.full(len(row), pool, np.int32), turn[row]], schema=schema))
+        return pa.concat_tables(out)
+
+    spark, n = index.sparkSession, asked.count()
+    blocks = max(1, -(-n // QUERY_ROWS), min(n // 1024, -(-2 * spark.sparkContext.defaultParallelism // len(names))))
+    tasks, unit = SPREAD * parallelism(spark), ["shard", "block"]
+    asks = asked.select("query", "v").mapInArrow(ask, "shard string, query long, v array<double>, turn int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return held.repartition(tasks, *unit).groupBy(*unit).cogroup(asks.repartition(tasks, *unit).groupBy(*unit)).applyInArrow(walk, "query long, node long, d double, pool int, turn int")
+
+
+def truth(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """(query, node): the k nearest other nodes of the queries of a bounded ``sample``, from a scan of all points."""
+    some = sample.select("query", "v").toArrow()
+    ids, q = some.column("query").to_numpy(), _matrix(some.column("v"))
 
-    ``pool`` doubles until the search finds ``least_recall`` of the true neighbours of a sample of the queries.
+    def scan(batches):
+        for b in batches:
+            node, x = b.column("node").to_numpy(), _matrix(b.column("v"))
+            c = x[0]
+            y, z = x - c, q - c
+            rough = np.einsum("ij,ij->i", y, y) - 2 * (z @ y.T)
+            rough[ids[:, None] == node] = np.inf
+            m = min(2 * k, len(node))
+            at = np.argpartition(rough, m - 1, axis=1)[:, :m]
+            gap = x[at] - q[:, None]
+            gap = np.einsum("ijk,ijk->ij", gap, gap)
+            gap[ids[:, None] == node[at]] = np.inf
+            row, col = np.nonzero(np.isfinite(gap))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(node[at[row, col]]), pa.array(gap[row, col])], names=["query", "node", "d"])
+
+    order = Window.partitionBy("query").orderBy("d", "node")
+    near = points.select("node", "v").mapInArrow(scan, "query long, node long, d double").withColumn("r", F.row_number().over(order))
+    return near.where(F.col("r") <= k).select("query", "node")
+
+
+def fitted(index: DataFrame, sample: DataFrame, real: DataFrame, ws: Workspace, keep: int, pool: int, least_recall: float) -> tuple[int, int]:
+    """The pool and the number of shards, cheapest first, that find ``least_recall`` of the true neighbours ``real`` of a sample of the queries."""
+    sizes = [r["count"] for r in index.groupBy("shard").count().collect()]
+    wanted, largest = real.count(), max(sizes)
+    while True:
+        pools = sorted({max(keep, int(pool * m)) for m in POOLS})
+        found = ws.write(search(index, sample, pools, len(sizes), keep), "tried")
+        hits = np.zeros((len(pools), len(sizes)))
+        for r in found.join(real, ["query", "node"]).groupBy("pool", "turn").count().collect():
+            hits[pools.index(r["pool"]), r["turn"]] = r["count"]
+        enough = np.argwhere(np.cumsum(hits, axis=1) >= least_recall * wanted)
+        if len(enough):
+            at, turn = min(enough.tolist(), key=lambda c: ((pools[c[0]] + 32) * (c[1] + 1), c))
+            return pools[at], turn + 1
+        if pools[-1] >= largest:
+            return pools[-1], len(sizes)
+        pool = 2 * pools[-1]
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int, pool: int = 64, least_recall: float = 0.95, most: int = 64) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found; ``vectors`` (id, v) are indexed whole, ``asked`` holds (id, v) of theirs.
+
+    Pools start at ``pool`` and grow until the search finds ``least_recall`` of the true neighbours of ``most`` queries, chosen by a hash.
     """
-    arrow_rows(ws.spark, 2000)
-    points, dims = nodes(vectors, ws, k)
-    named = vectors.join(asked.select("id").distinct(), "id").join(points.select("v", "node", "vec"), "v")
-    named = ws.write(named.select(F.col("id").alias("query_id"), "node", "vec", "v"), "asked")
-    edges = ws.write(graph(points, ws, dims), "edges")
+    arrow_rows(ws.spark, 4096)
+    points, keep = nodes(vectors, ws, k), 2 * k
+    named = asked.select("id", "v").distinct().join(points.select("v", "node"), "v")
+    named = ws.write(named.select(F.col("id").alias("query_id"), "node", "v"), "asked")
+    index = graphs(sharded(points, points.count(), ws), ws)
     # a query is a node, so equal ones are searched once and an id may have several
-    once = ws.write(named.select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"]), "once")
-    real, n = ws.write(truth(points, once, dims, k), "truth"), points.count()
-    wanted = real.count()
-    while True:
-        found = ws.write(search(points, edges, once, ws, dims, pool).select("query", "node"), "found")
-        if pool >= n or found.join(real, ["query", "node"]).count() >= least_recall * wanted:
-            break
-        pool *= 2
+    once = ws.write(named.select(F.col("node").alias("query"), "v").dropDuplicates(["query"]), "once")
+    sample = ws.write(once.orderBy(F.xxhash64("query"), "query").limit(most), "sample")
+    size, shards = fitted(index, sample, ws.write(truth(points, sample, k), "truth"), ws, keep, pool, least_recall)
+    found = search(index, once.repartition(parallelism(ws.spark)), [size], shards, keep)
+    order = Window.partitionBy("query").orderBy("d", "node")
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * keep)
+    found = ws.write(found.select("query", "node"), "found")
     found = found.join(points.select("node", "ids", F.col("v").alias("w")), "node")
     found = found.join(named.select("query_id", F.col("node").alias("query"), "v"), "query")
     return ranked(found.select("query_id", F.explode("ids").alias("vec_id"), "v", "w"), k)

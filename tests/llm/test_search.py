@@ -127,6 +127,41 @@ def test_recall_of_the_graph_search_beyond_its_pool(spark, dims, pool):
     assert np.mean(hits) >= 9
 
 
+def shuffled(spark):
+    """Bytes that this session's shuffles have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in [sc.statusStore().executorList(False).apply(0)])
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_search_moves_bounded_bytes(spark, monkeypatch, clustered):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 512, raising=False)
+    n, dims = 6000, 24
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(n, dims))
+    if clustered:
+        x = rng.normal(size=(30, dims))[rng.integers(0, 30, n)] * 40 + x
+    x[n // 2 : n // 2 + 40] = x[100]  # copies, more than are listed
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    before, got = shuffled(spark), {}
+    for r in neighbours.nearest(rows, rows.where("id % 100 = 0"), Workspace(spark, "t"), 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert shuffled(spark) - before < 12 * n * dims * 8  # NN-descent over the whole table sent every vector to every neighbourhood, round by round
+    assert set(got) == set(range(0, n, 100))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(n) if i != q)[:10]
+        found = sorted(found)
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(s == pytest.approx(d[i], abs=1e-9) for _, i, s in found)
+        assert [(s, i) for _, i, s in found] == sorted((s, i) for _, i, s in found)
+        hits += len({i for _, i, _ in found} & {i for _, i in want})
+    assert hits >= 0.9 * 10 * len(got)
+    assert [i for _, i, _ in sorted(got[100])] == list(range(n // 2, n // 2 + 10))
+
+
 def test_neighbours_of_nothing(spark, tmp_path):
     write(spark, tmp_path, ODD)
     assert neighbours.op9(spark, str(tmp_path)).count() == 0
