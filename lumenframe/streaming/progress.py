@@ -55,26 +55,32 @@ def observed(frames: DataFrame, name: str = "progress") -> DataFrame:
 
 
 class Listener(StreamingQueryListener):
-    """Calls ``say`` with a Report after every batch, frames and times since the stream's start; ``reports`` has the last one of each query."""
+    """Calls ``say`` with a Report after every batch, frames and times since the stream's start; ``reports`` has the last one of each query.
+
+    A start is told at once, batches some time later, so those of a run can come in after the next start. Each run counts by itself.
+    """
 
     def __init__(self, say: Callable[[Report], object] = lambda report: None, name: str = "progress"):
-        self.say, self.name, self.reports, self.began = say, name, {}, {}
+        self.say, self.name, self.reports, self.runs, self.latest = say, name, {}, {}, {}
 
     def onQueryStarted(self, event):
-        self.began[str(event.id)] = time.monotonic()
-        self.reports[str(event.id)] = Report(0, 0.0, 0.0)
+        key, run = str(event.id), str(event.runId)
+        self.runs[run] = time.monotonic(), Report(0, 0.0, 0.0)
+        self.latest[key], self.reports[key] = run, self.runs[run][1]
 
     def onQueryProgress(self, event):
-        key, got = str(event.progress.id), event.progress.observedMetrics.get(self.name)
+        key, run, got = str(event.progress.id), str(event.progress.runId), event.progress.observedMetrics.get(self.name)
         if got is None or not got["frames"]:
             return
-        before = self.reports.get(key, Report(0, 0.0, 0.0))
-        took = time.monotonic() - self.began.setdefault(key, time.monotonic())
-        self.reports[key] = Report(before.frames + got["frames"], max(before.media, got["media"] or 0.0), took)
-        self.say(self.reports[key])
+        began, before = self.runs.get(run, (time.monotonic(), Report(0, 0.0, 0.0)))
+        report = Report(before.frames + got["frames"], max(before.media, got["media"] or 0.0), time.monotonic() - began)
+        self.runs[run] = began, report
+        if self.latest.setdefault(key, run) == run:
+            self.reports[key] = report
+        self.say(report)
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self.runs.pop(str(event.runId), None)

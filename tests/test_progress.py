@@ -1,4 +1,5 @@
 import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,22 @@ def test_stream_over_batches_and_a_restart(spark, tmp_path):
     assert [r.frames for r in said] == [50, 50, 50]  # each start counts its own frames, and none comes twice
     assert [r.media for r in said] == [49 / 25, 99 / 25, 149 / 25]
     assert spark.read.parquet(f"{tmp_path}/out").count() == 150
+
+
+def test_a_batch_told_after_the_next_start_counts_in_its_own_run():
+    said = []
+    listener = progress.Listener(said.append)
+
+    def batch(run, frames, media):
+        listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(id="q", runId=run, observedMetrics={"progress": {"frames": frames, "media": media}})))
+
+    listener.onQueryStarted(SimpleNamespace(id="q", runId="a"))
+    batch("a", 50, 2.0)
+    listener.onQueryStarted(SimpleNamespace(id="q", runId="b"))
+    batch("a", 10, 3.0)
+    assert listener.reports["q"].frames == 0
+    listener.onQueryTerminated(SimpleNamespace(id="q", runId="a"))
+    batch("b", 20, 4.0)
+    batch("b", 5, 3.5)
+    assert [(r.frames, r.media) for r in said] == [(50, 2.0), (60, 3.0), (20, 4.0), (25, 4.0)]
+    assert listener.reports["q"] == said[-1]
