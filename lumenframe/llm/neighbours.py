@@ -2,8 +2,8 @@
 
 Equal vectors are one node. Half-spaces fitted on a bounded sample deal the nodes to shards, so that rows near each other meet
 where the data have clusters. Each shard gets a graph of its own by NN-descent from random-projection leaves (``nngraph``). A
-query goes to the shards whose centres are nearest and keeps a pool in each, until the pool is expanded throughout; the
-nearest of all pools are measured again in double precision on the original vectors. A sample of the queries is searched
+query goes to the shards whose centres are nearest and keeps a pool in each, until the pool is expanded throughout. A whole
+pool is measured again in double precision on the original vectors. A sample of the queries is searched
 exhaustively, and in every shard with several pools: the cheapest pool and number of shards that find enough of its true
 neighbours serve all queries, so these are searched once.
 """
@@ -74,7 +74,7 @@ def sharded(points: DataFrame, n: int, ws: Workspace) -> DataFrame:
 
 
 def graphs(shards: DataFrame, ws: Workspace) -> DataFrame:
-    """(shard, node, vec, near, centre, scale): each shard's graph, ``near`` holding places in the order of nodes; ``centre`` and ``scale``, by which its vectors were packed, stand in its first row."""
+    """(shard, node, vec, near, centre, scale): each shard's graph, ``vec`` holding doubles and ``near`` places in the order of nodes; ``centre`` and ``scale``, by which its vectors go to single precision, stand in its first row."""
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
@@ -82,14 +82,14 @@ def graphs(shards: DataFrame, ws: Workspace) -> DataFrame:
         centre, scale = nngraph.framed(v)
         x = nngraph.single(v, centre, scale)
         near, rest = nngraph.graph(x), [None] * (len(x) - 1)
-        cells = [t.column("shard"), t.column("node"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([centre.tolist(), *rest], pa.list_(pa.float64())), pa.array([scale, *rest], pa.float64())]
+        cells = [t.column("shard"), t.column("node"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([centre.tolist(), *rest], pa.list_(pa.float64())), pa.array([scale, *rest], pa.float64())]
         return pa.table(cells, names=["shard", "node", "vec", "near", "centre", "scale"])
 
     return ws.write(shards.repartition(SPREAD * parallelism(ws.spark), "shard").groupBy("shard").applyInArrow(build, "shard string, node long, vec binary, near binary, centre array<double>, scale double"), "graphs")
 
 
 def search(index: DataFrame, asked: DataFrame, pools: list[int], most: int, keep: int) -> DataFrame:
-    """(query, node, d, pool, turn): the ``keep`` nearest of the pool, for each pool size, that each query of ``asked`` (query, v; a query is a node's name) has in each of the ``most`` shards with the nearest centres.
+    """(query, node, d, pool, turn): the ``keep`` nearest, measured in double precision, of the pool, for each pool size, that each query of ``asked`` (query, v; a query is a node's name) has in each of the ``most`` shards with the nearest centres.
 
     ``d`` is a squared distance; ``turn`` counts a query's shards from the nearest. The pool sizes ascend.
     """
@@ -111,18 +111,27 @@ def search(index: DataFrame, asked: DataFrame, pools: list[int], most: int, keep
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         left = left.sort_by("node")
-        node, x, near = left.column("node").to_numpy(), _packed(left.column("vec"), "<f4"), _packed(left.column("near"), "<i4")
+        node, v, near = left.column("node").to_numpy(), _packed(left.column("vec"), "<f8"), _packed(left.column("near"), "<i4")
         first = int(np.flatnonzero(left.column("scale").is_valid().to_numpy())[0])
         centre, scale = np.array(left.column("centre")[first].as_py()), left.column("scale")[first].as_py()
         query, turn = right.column("query").to_numpy(), right.column("turn").to_numpy()
-        q = nngraph.single(_matrix(right.column("v")), centre, scale)
+        asking = _matrix(right.column("v"))
+        x, q = (nngraph.single(a, centre, scale) for a in (v, asking))
         own = np.searchsorted(node, query)
         own = np.where(node[np.minimum(own, len(node) - 1)] == query, own, len(node))
-        out = []
+        out = [schema.empty_table()]
         for pool in pools:
-            ids, d = nngraph.search(x, near, q, own, min(pool, len(node)))
-            row, col = np.nonzero(ids[:, :keep] < len(node))
-            out.append(pa.table([query[row], node[ids[row, col]], d[row, col].astype(float) * scale * scale, np.full(len(row), pool, np.int32), turn[row]], schema=schema))
+            for lo in range(0, len(q), nngraph.QUERIES):
+                some = slice(lo, lo + nngraph.QUERIES)
+                if pool < len(node):
+                    ids = nngraph.search(x, near, q[some], own[some], pool)[0]
+                else:  # every node is in the pool
+                    ids = np.tile(np.arange(len(node)), (len(q[some]), 1))
+                d = nngraph.measured(v, asking[some], ids)
+                by = np.argsort(d, axis=1, kind="stable")[:, :keep]
+                ids, d = np.take_along_axis(ids, by, 1), np.take_along_axis(d, by, 1)
+                row, col = np.nonzero(ids < len(node))
+                out.append(pa.table([query[some][row], node[ids[row, col]], d[row, col], np.full(len(row), pool, np.int32), turn[some][row]], schema=schema))
         return pa.concat_tables(out)
 
     spark, n = index.sparkSession, asked.count()
@@ -141,15 +150,14 @@ def truth(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
     def scan(batches):
         for b in batches:
             node, x = b.column("node").to_numpy(), _matrix(b.column("v"))
-            c = x[0]
-            y, z = x - c, q - c
-            rough = np.einsum("ij,ij->i", y, y) - 2 * (z @ y.T)
-            rough[ids[:, None] == node] = np.inf
-            m = min(2 * k, len(node))
-            at = np.argpartition(rough, m - 1, axis=1)[:, :m]
-            gap = x[at] - q[:, None]
-            gap = np.einsum("ijk,ijk->ij", gap, gap)
-            gap[ids[:, None] == node[at]] = np.inf
+            at, gap = [], []
+            for i, own in zip(ids, q, strict=True):
+                y = x - own
+                d = np.einsum("ij,ij->i", y, y)
+                d[node == i] = np.inf
+                at.append(np.argpartition(d, min(k, len(d)) - 1)[:k])
+                gap.append(d[at[-1]])
+            at, gap = np.array(at), np.array(gap)
             row, col = np.nonzero(np.isfinite(gap))
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(node[at[row, col]]), pa.array(gap[row, col])], names=["query", "node", "d"])
 

@@ -12,12 +12,18 @@ MOST = np.float32(1e15)  # its square, summed over a vector, stays finite in sin
 
 
 def framed(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Centre and scale that bring most rows near 1, whatever a few rows hold."""
+    """Centre and scale that bring most rows near 1, whatever a few rows hold. Rows that lie about the origin stay about it, so small ones keep their digits."""
+
+    def norms(d):
+        size = np.abs(d).max(1)
+        d = d / np.maximum(size, np.finfo(float).tiny)[:, None]  # no square overflows
+        return size * np.sqrt(np.einsum("ij,ij->i", d, d))
+
     centre = np.median(x, axis=0)
-    d = x - centre
-    size = np.abs(d).max(1)
-    d /= np.maximum(size, np.finfo(float).tiny)[:, None]  # no square overflows
-    norm = size * np.sqrt(np.einsum("ij,ij->i", d, d))
+    norm = norms(x - centre)
+    if norms(centre[None])[0] < 16 * np.median(norm):
+        centre = np.zeros_like(centre)
+        norm = norms(x)
     return centre, float(np.median(norm)) or float(norm.max()) or 1.0
 
 
@@ -187,3 +193,14 @@ def search(x: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarray, pool
             ids, dist, ahead = best(*(np.concatenate(c, 1) for c in ((ids, more), (dist, gaps), (ahead, more < n))))
         out.append((ids, dist))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def measured(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances from each query to the rows ``ids`` of its pool, in the precision of ``x``; infinite for the number of rows."""
+    out = np.full(ids.shape, np.inf)
+    step = max(1, (1 << 21) // max(1, ids.shape[1] * x.shape[1]))
+    for lo in range(0, len(q), step):
+        y = np.take(x, ids[lo : lo + step], axis=0, mode="clip")
+        y -= q[lo : lo + step, None]
+        out[lo : lo + step] = np.einsum("ijk,ijk->ij", y, y)
+    return np.where(ids < len(x), out, np.inf)

@@ -66,3 +66,17 @@ def test_a_frame_keeps_most_rows_apart_beside_huge_ones():
     assert (listed(y[:500], 5) == listed(made(500, 8), 5)).mean() > 0.98
     same = np.full((5, 3), 2.0)
     assert (nngraph.single(same, *nngraph.framed(same)) == 0).all()
+
+
+def test_a_frame_keeps_small_rows_apart_among_others():
+    x = np.concatenate([made(400, 8), made(400, 8, 8) * 1e-9]).astype(float)
+    y = nngraph.single(x, *nngraph.framed(x))
+    assert (listed(y[400:] * 1e9, 5) == listed(x[400:] * 1e9, 5)).mean() > 0.98
+
+
+def test_pools_are_measured_in_double_precision():
+    x = 1 + 1e-9 * made(50, 6).astype(float)
+    ids = np.array([[3, 50, 7], [49, 0, 50]])
+    got = nngraph.measured(x, x[:2], ids)
+    assert np.isinf(got[0, 1]) and np.isinf(got[1, 2])
+    assert np.allclose([got[0, 0], got[1, 1]], [((x[3] - x[0]) ** 2).sum(), ((x[0] - x[1]) ** 2).sum()], rtol=1e-12, atol=0)
